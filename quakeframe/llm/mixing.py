@@ -38,7 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     everything = Window.partitionBy()
     level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(earlier), F.lit(0.0))) / F.sum("w").over(onward)
     s = s.withColumn("level", level).withColumn("open", F.col("cap") > F.col("level") * F.col("w"))
-    final = F.coalesce(F.min(F.when(F.col("open"), F.col("level"))).over(everything), F.lit(float("inf")))
+    whole = filled.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    final = F.coalesce(F.first(F.when(F.col("open"), F.col("level")), ignorenulls=True).over(whole), F.lit(float("inf")))
     return s.select("source", "source_size", F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), final * F.col("w"))).alias("target"), "tilt")
 
 
@@ -89,11 +90,11 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The words of a cut copy are joined by single spaces.  Columns that start with two underscores are reserved.
     """
     names = docs.columns
-    key = F.struct("doc_id", F.xxhash64("text"))
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("content"))
     # repeated rows share a key; numbering both sides pairs each of them with its own copies
     turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))
     texts = docs.withColumn("__key", key).withColumn("__turn", turn)
-    parts = mix(docs, **options).select(F.struct("doc_id", "content").alias("__key"), F.col("size").alias("__size"), F.col("parts").alias("__parts"))
+    parts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "content").alias("__key"), F.col("size").alias("__size"), F.col("parts").alias("__parts"))
     parts = parts.withColumn("__turn", turn).select("__key", "__turn", "__size", F.explode("__parts").alias("__part"))
     joined = texts.join(parts, ["__key", "__turn"])
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part.words").cast("int")), " ")

@@ -116,7 +116,7 @@ caps AS (SELECT *, CASE turn WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELS
                 CASE turn WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS tilt, source_size * 2.0::DOUBLE AS cap FROM ranked),
 levels AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
-final AS (SELECT *, coalesce(min(CASE WHEN cap > level * w THEN level END) OVER (), 'inf'::DOUBLE) AS stop FROM levels),
+final AS (SELECT *, coalesce((SELECT level FROM levels WHERE cap > level * w ORDER BY cap / w, source NULLS LAST LIMIT 1), 'inf'::DOUBLE) AS stop FROM levels),
 targets AS (SELECT source, source_size, tilt, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE least(cap, stop * w) END AS target FROM final),
 placed AS (SELECT b.doc_id, b.size, t.source_size, t.target, t.tilt,
                   coalesce(sum(b.size) OVER (PARTITION BY b.source ORDER BY b.o, b.doc_id, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
