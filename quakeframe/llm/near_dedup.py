@@ -4,7 +4,11 @@ Equal shingle sets are one class first.  Classes then branch down independent tr
 coordinates of the MinHash signature, and its members go to the child of their value in each.  Two sets of
 similarity s stay together in a child with probability s for each coordinate, so the expected number of shared
 nodes does not die out at 0.75, while unlike sets part quickly.  Nodes without company end; small ones are compared
-exhaustively; large ones branch on.  Several trees raise recall.  Links are confirmed on full shingle sets.
+exhaustively by signature; large ones branch on.  Several trees raise recall.
+
+What a leaf finds alike it reports as stars, never as all pairs.  The stars' components are clusters that may link.
+A cluster's full shingle sets meet in one row (those of a large cluster in pairs of blocks), where every pair that
+the signatures leave open is confirmed exactly, unless a chain of confirmed links already joins it.
 """
 
 from __future__ import annotations
@@ -28,7 +32,8 @@ class Plan:
 
     A pair at ``percent`` shares a leaf of one tree with probability 0.89 at least (the branching of two coordinates
     at 0.75 survives any depth), hence of one of five trees with 0.99998.  ``slack`` is how far a signature's
-    estimate may lie below the threshold, four standard deviations of 64 coordinates.
+    estimate may lie below the threshold, four standard deviations of 64 coordinates.  ``small`` bounds a leaf, and
+    ``block_docs`` and ``block_shingles`` bound about half of what meets in one row of the confirmation.
     """
 
     width: int = 5
@@ -37,8 +42,8 @@ class Plan:
     trees: int = 5
     small: int = 1024
     depth: int = 8
-    nearest: int = 2
-    mixed: int = 3
+    block_docs: int = 512
+    block_shingles: int = 1 << 20
 
     @property
     def slack(self) -> float:
@@ -169,123 +174,133 @@ def leaves(reps: DataFrame, plan: Plan) -> DataFrame:
     return done
 
 
-def compare(ids: np.ndarray, sig: np.ndarray, plan: Plan, groups: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of a node worth confirming.
+def alike(sig: np.ndarray, plan: Plan, rows: slice) -> np.ndarray:
+    """Equal coordinates of some rows of a node with all of its rows."""
+    same = np.zeros((rows.stop - rows.start, len(sig)), dtype=np.uint8)
+    for c in np.ascontiguousarray(sig.T):
+        same += c[rows, None] == c[None, :]
+    return same
 
-    Without ``groups``, of all pairs whose estimate allows the threshold, each member names its nearest partners and
-    some that are drawn from the likely ones: enough to connect a group of near copies without all of its pairs.
-    With ``groups``, all such pairs between different groups.
-    """
-    order = np.argsort(ids)
-    ids, sig = ids[order], sig[order]
+
+def stars(ids: np.ndarray, sig: np.ndarray, plan: Plan) -> np.ndarray:
+    """(member, centre) of each group of a node that is connected by pairs whose estimate allows the threshold."""
     n = len(ids)
-    found = []
-    columns = np.ascontiguousarray(sig.T)
-    step = max(1, (1 << 22) // n)
-    for start in range(0, n, step):
-        end = min(n, start + step)
-        same = np.zeros((end - start, n), dtype=np.int16)
-        for c in columns:
-            same += c[start:end, None] == c[None, :]
-        same[np.arange(end - start), np.arange(start, end)] = -1
-        same[ids[start:end, None] == ids[None, :]] = -1
-        if groups is not None:
-            own = groups[order]
-            x, y = np.nonzero((same >= plan.floor) & (own[start:end, None] != own[None, :]))
-            found.append(np.stack([x + start, y], axis=1))
-            continue
-        rows = np.flatnonzero((same >= plan.floor).any(axis=1))
-        if not len(rows):
-            continue
-        same = same[rows]
-        keep = min(plan.nearest, n - 1)
-        near = np.argsort(-same, axis=1, kind="stable")[:, :keep] if n <= 64 else np.argpartition(-same, keep - 1, axis=1)[:, :keep]
-        draw = scramble((ids[rows + start, None] ^ ids[None, :]).view(np.uint64))
-        draw[same < plan.percent * plan.coordinates // 100] = np.iinfo(np.uint64).max
-        keep = min(plan.mixed, n - 1)
-        drawn = np.argpartition(draw, keep - 1, axis=1)[:, :keep] if n > keep else np.argsort(draw, axis=1)[:, :keep]
-        for picked in (near, drawn):
-            x = np.repeat(np.arange(len(rows)), picked.shape[1])
-            y = picked.reshape(-1)
-            fits = same[x, y] >= plan.floor
-            found.append(np.stack([rows[x[fits]] + start, y[fits]], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return np.unique(np.sort(ids[pairs], axis=1), axis=0)
-
-
-def candidates(members: DataFrame, plan: Plan, grouped: bool = False) -> DataFrame:
-    """``a, b`` (a < b) of all nodes; a node's rows meet in one list, which ``small`` bounds."""
-    fields = ["rep", "sig", "component"] if grouped else ["rep", "sig"]
-    lists = members.groupBy("node").agg(*[F.collect_list(F.struct(*fields)).alias("m")], *([F.min("component").alias("low"), F.max("component").alias("high")] if grouped else []))
-    if grouped:
-        lists = lists.filter("low != high")
+    step = max(1, (1 << 20) // n)
+    near = np.concatenate([alike(sig, plan, slice(i, min(n, i + step))) >= plan.floor for i in range(0, n, step)])
+    busy = np.flatnonzero(near.sum(axis=1) > 1)
+    if not len(busy):
+        return np.zeros((0, 2), dtype=np.int64)
+    near, ids = near[np.ix_(busy, busy)], ids[busy]
+    label = ids.copy()
+    while True:
+        new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    member = label != ids
+    return np.stack([ids[member], label[member]], axis=1)
+
+
+def candidates(members: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b``: stars of all leaves; a leaf's rows meet in one list, which ``small`` bounds."""
+    lists = members.groupBy("node").agg(F.collect_list(F.struct("rep", "sig")).alias("m"))
 
     def run(batches):
         for batch in batches:
             column = batch.column(0)
             values, edges = column.values, column.offsets.to_numpy()
             ids = values.field("rep").to_numpy()
-            labels = values.field("component").to_numpy() if grouped else None
-            out = []
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                sig = matrix(values.field("sig").slice(start, end - start), plan.coordinates)
-                out.append(compare(ids[start:end], sig, plan, labels[start:end] if grouped else None))
+            out = [stars(ids[i:j], matrix(values.field("sig").slice(i, j - i), plan.coordinates), plan) for i, j in zip(edges[:-1], edges[1:], strict=True)]
             pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return lists.select("m").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.  ``pairs`` is read twice: pass a materialised table."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
+def confirmed(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
+    """Links that join the confirmed components of one bundle; of two blocks, only pairs across them are looked at."""
+    sig = signatures(sets, plan.coordinates)
+    sizes = np.array([len(s) for s in sets])
+    parent = list(range(len(ids)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    two = len(set(blocks.tolist())) > 1
+    found, step = [], max(1, (1 << 20) // len(ids))
+    for start in range(0, len(ids), step):
+        rows = slice(start, min(len(ids), start + step))
+        same = alike(sig, plan, rows)
+        x, y = np.nonzero(same >= plan.floor)
+        keep = (x + start < y) & (100 * np.minimum(sizes[x + start], sizes[y]) >= plan.percent * np.maximum(sizes[x + start], sizes[y]))
+        if two:
+            keep &= blocks[x + start] != blocks[y]
+        x, y = x[keep], y[keep]
+        order = np.argsort(-same[x, y].astype(np.int16), kind="stable")
+        for i, j in zip((x[order] + start).tolist(), y[order].tolist(), strict=True):
+            a, b = root(i), root(j)
+            if a != b:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both and 100 * both >= plan.percent * (int(sizes[i]) + int(sizes[j]) - both):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((int(ids[i]), int(ids[j])))
+    return found
+
+
+def confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b``: confirmed links of clusters (``id, component``), enough to join all that is linked."""
+    sized = clusters.join(classes.select(F.col("rep").alias("id"), "n_shingles", "print"), "id")
+    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / plan.block_docs), F.ceil(F.sum("n_shingles") / plan.block_shingles)).cast("int").alias("blocks"))
+    wanted = sized.join(totals, "component").select(F.col("id").alias("doc_id"), "component", "blocks", "print")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
 
     def to_sets(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(strings(batch.column(1)), plan.width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            keep, sets = [], []
+            prints = batch.column(4).to_pylist()
+            for own, print_ in zip(shingle_sets(strings(batch.column(1)), plan.width), prints, strict=True):
+                keep.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() == print_)  # not another text of the same id
+                if keep[-1]:
+                    sets.append(own.tobytes())
+            fits = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(2).filter(fits), batch.column(3).filter(fits), pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "shingles"])
 
-    sets = materialise(texts.mapInArrow(to_sets, "doc_id long, shingles binary"))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    sets = texts.select("doc_id", "text", "component", "blocks", "print").mapInArrow(to_sets, "rep long, component long, blocks int, shingles binary")
+    sets = materialise(sets.dropDuplicates(["rep", "component"]))
+    dealt = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bundles = dealt.groupBy("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("rep", "own", "shingles")).alias("m"))
 
-    def similar(batches):
+    def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= plan.percent * (len(one) + len(two) - both))
-            fits = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], names=["a", "b"])
+            column = batch.column(0)
+            values, edges = column.values, column.offsets.to_numpy()
+            ids, blocks, data = values.field("rep").to_numpy(), values.field("own").to_numpy(), values.field("shingles")
+            out = []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in data.slice(start, end - start).to_pylist()]
+                out += confirmed(ids[start:end], blocks[start:end], sets, plan)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(similar, "a long, b long").distinct()
+    return bundles.select("m").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
 
     A text's set is its distinct shingles of ``width`` words; a shorter text is one shingle; a null text, or one
-    without words, has an empty set and is linked with nothing.  Rows of equal sets are one vertex, and so are rows
-    of one id.  A row with a null id is not compared: its component is null and it is kept.
+    without words, has an empty set and is linked with nothing.  Rows of equal sets are one class, named by its
+    smallest id; classes of the same name count as one.  A row with a null id is not compared: its component is null
+    and it is kept.  Repeated rows have the same result.
     """
     base = materialise(describe(docs, plan))
     some = base.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
-    classes = materialise(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    members = leaves(classes, plan)
-    pairs = materialise(candidates(members, plan))
-    links = materialise(confirm(pairs, docs, plan))
-    found = materialise(connected_components(links))
-
-    # what is left: pairs of a leaf that may reach the threshold, were not confirmed or refuted, and lie in two components
-    labelled = members.join(found, members["rep"] == found["id"], "left").select("node", "rep", "sig", F.coalesce("component", "rep").alias("component"))
-    rest = materialise(candidates(labelled, plan, grouped=True).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        found = materialise(connected_components(links.unionByName(confirm(rest, docs, plan))))
-
+    classes = materialise(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    clusters = materialise(connected_components(candidates(leaves(classes, plan), plan)))
+    links = confirm(clusters, classes, docs, plan)
+    found = connected_components(links)
     placed = classes.join(found, classes["rep"] == found["id"], "left").select("print", F.coalesce("component", "rep").alias("component"))
-    # rows of one id whose texts lie in different components join them through the id
-    out = base.join(placed, "print", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = base.join(placed, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
