@@ -14,6 +14,11 @@ PICK_FORMATS = ("yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd
 MISSING = ("", "none", "nan", "na")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- numbers -----------------------------------------------------------------------------------------------------
 
 

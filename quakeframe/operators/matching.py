@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quakeframe.functions.scalars import let
+
 
 def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, order: str = "sample", value: str = "sample") -> DataFrame:
     """Pair each pick of ``a`` in turn with the nearest unused pick of ``b`` within the tolerance, inclusive.
@@ -35,11 +37,15 @@ def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, o
 
 def _fold(a: Column, b: Column, tolerance: float) -> Column:
     """Array of ``a_value, b_value, side`` of one run."""
-    indexed = F.transform(b, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    return let(F.transform(b, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda indexed: _fold_indexed(a, indexed, tolerance))
+
 
+def _fold_indexed(a: Column, indexed: Column, tolerance: float) -> Column:
     def step(acc: Column, x: Column) -> Column:
         near = F.filter(indexed, lambda y: (F.abs(y["v"] - x["v"]) <= tolerance) & ~F.array_contains(acc["used"], y["i"]))
-        best = F.array_min(F.transform(near, lambda y: F.struct(F.abs(y["v"] - x["v"]).alias("d"), y["i"].alias("i"), y["v"].alias("v"))))
+        return let(F.array_min(F.transform(near, lambda y: F.struct(F.abs(y["v"] - x["v"]).alias("d"), y["i"].alias("i"), y["v"].alias("v")))), lambda best: grown(acc, x, best))
+
+    def grown(acc: Column, x: Column, best: Column) -> Column:
         row = F.struct(x["v"].alias("a_value"), best["v"].alias("b_value"), F.when(best.isNull(), "a").otherwise("pair").alias("side"))
         return F.struct(
             F.when(best.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], best["i"])).alias("used"),
@@ -47,12 +53,12 @@ def _fold(a: Column, b: Column, tolerance: float) -> Column:
         )
 
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<a_value:double,b_value:double,side:string>>").alias("rows"))
-    done = F.aggregate(a, start, step)
-    left_over = F.transform(
-        F.filter(indexed, lambda y: ~F.array_contains(done["used"], y["i"])),
-        lambda y: F.struct(F.lit(None).cast("double").alias("a_value"), y["v"].alias("b_value"), F.lit("b").alias("side")),
-    )
-    return F.concat(done["rows"], left_over)
+
+    def left_over(used: Column) -> Column:
+        free = F.filter(indexed, lambda y: ~F.array_contains(used, y["i"]))
+        return F.transform(free, lambda y: F.struct(F.lit(None).cast("double").alias("a_value"), y["v"].alias("b_value"), F.lit("b").alias("side")))
+
+    return let(F.aggregate(a, start, step), lambda done: F.concat(done["rows"], left_over(done["used"])))
 
 
 def compare_pick_sets(catalog: DataFrame, detected: DataFrame, tolerance: float, keys: list[str] | None = None) -> DataFrame:
