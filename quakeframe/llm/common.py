@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -48,6 +49,24 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_string()).cast(kind).to_pylist()]
 
 
+def slices(batches, column: str, limit: int = 1 << 21):
+    """(part of a batch, its texts as bytes): parts hold at most ``limit`` bytes of text, or one row.
+
+    A batch from the engine may hold 10,000 rows; what is made of a part is bounded by the part.
+    """
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and held + size > limit:
+                yield (part := batch.slice(start, i - start)), strings(part.column(part.schema.get_field_index(column)))
+                start, held = i, 0
+            held += size
+        part = batch.slice(start)
+        yield part, strings(part.column(part.schema.get_field_index(column)))
+
+
 def chunks(texts: list[bytes], limit: int = 1 << 22):
     """Consecutive (start, end) ranges of ``texts`` of at most ``limit`` bytes, or of a single text."""
     start, total = 0, 0

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import extended, strings
+from quakeframe.llm.common import extended, slices
 
 SPACE = "▁".encode()
 #: The map's replacement of a byte that is not valid UTF-8.
@@ -254,9 +254,9 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", add_end: b
 
     def run(batches):
         own = codec(model)
-        for batch in batches:
+        for batch, texts in slices(batches, text):
             ids, edges, sizes = [], [], []
-            for data in strings(batch.column(batch.schema.get_field_index(text))):
+            for data in texts:
                 found, span = own.encode(data)
                 ids.append(found)
                 edges.append(span)
@@ -280,13 +280,15 @@ def decode_documents(encoded: DataFrame, model: str, ids: str = "ids", out: str
 
     def run(batches):
         own = codec(model)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            if not isinstance(lists, pa.ListArray):
-                lists = lists.combine_chunks()
-            flat, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = pa.array([own.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(edges[:-1], edges[1:], strict=True)], type=pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                yield one(own, whole.slice(at, 500))
+
+    def one(own: Codec, batch):
+        lists = batch.column(batch.schema.get_field_index(ids))
+        flat, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        texts = pa.array([own.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(edges[:-1], edges[1:], strict=True)], type=pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
     return encoded.mapInArrow(run, schema)
 
