@@ -175,7 +175,7 @@ def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
     Stretches from the first to the last sample of a channel are filled; each is a group of its own, so a day of one
     channel spreads over many tasks.
     """
-    seg = segments.withColumns({"i0": F.bround(seconds(F.col("start")) / 1e6 * F.col("sr")).cast("long"), "per": F.bround(F.lit(stretch_s) * F.col("sr")).cast("long")})
+    seg = segments.withColumn("samples", F.col("samples").cast("array<double>")).withColumns({"i0": F.bround(seconds(F.col("start")) / 1e6 * F.col("sr")).cast("long"), "per": F.bround(F.lit(stretch_s) * F.col("sr")).cast("long")})
     seg = seg.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("i0") / F.col("per")), F.floor((F.col("i0") + F.size("samples") - 1) / F.col("per")))))
     lo = F.greatest(F.col("i0"), F.col("stretch") * F.col("per"))
     hi = F.least(F.col("i0") + F.size("samples"), (F.col("stretch") + 1) * F.col("per"))
@@ -188,11 +188,14 @@ def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
     end = F.least(F.col("stop"), (F.col("stretch") + 1) * F.col("per"))
     rows = rows.withColumns({"begin": begin, "n": (end - begin).cast("int"), "shift": (begin - F.col("stretch") * F.col("per")).cast("int")})
 
-    def value(j: Column) -> Column:
-        # parts are sorted by start, so the last that covers the sample wins
-        return F.aggregate("parts", F.lit(0.0), lambda a, p: F.when((j >= p["off"]) & (j < p["off"] + F.size(p["x"])), F.get(p["x"], j - p["off"]).cast("double")).otherwise(a))
+    def overlay(acc: Column, p: Column) -> Column:
+        x = p["x"]
+        return F.concat(F.slice(acc, F.lit(1), p["off"]), x, F.slice(acc, p["off"] + F.size(x) + 1, F.greatest(F.size(acc) - p["off"] - F.size(x), F.lit(0))))
 
-    samples = F.transform(F.sequence(F.col("shift"), F.col("shift") + F.col("n") - 1), lambda j: F.coalesce(value(j), F.lit(0.0)))
+    # parts are sorted by start, so where two cover a sample the later wins
+    zeros = F.array_repeat(F.lit(0.0), F.col("per").cast("int"))
+    whole = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<i0:bigint,off:int,x:array<double>>>")), zeros, overlay)
+    samples = F.slice(whole, F.col("shift") + 1, F.col("n"))
     return rows.select(*CHANNEL, F.timestamp_micros((F.col("begin") * 1e6 / F.col("sr")).cast("long")).alias("start"), "sr", samples.alias("samples"))
 
 
