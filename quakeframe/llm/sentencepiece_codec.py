@@ -74,12 +74,14 @@ class CharacterMap:
             block += rules[source] + b"\0"
         units = {0: 0}
         used = {0}
+        bases: set[int] = set()  # two nodes of one base would share their children
 
         def place(node: int, prefix: bytes, members: list[bytes]) -> None:
             labels = sorted({m[len(prefix)] if len(m) > len(prefix) else 0 for m in members})
             base = 1
-            while any((base ^ c) in used for c in labels) or (node ^ base) >> 21:
+            while base in bases or any((base ^ c) in used for c in labels) or (node ^ base) >> 21:
                 base += 1
+            bases.add(base)
             units[node] |= (node ^ base) << 10
             if 0 in labels:
                 units[node] |= 1 << 8
