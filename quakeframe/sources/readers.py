@@ -15,7 +15,7 @@ EXTENSIONS = ("mseed", "miniseed", "msd", "sac", "parquet")
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` of all files below a folder; contents are never read."""
+    """``path`` of all files below a folder; contents are never read, and empty files are left out."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
 
 
