@@ -100,5 +100,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part.words").cast("int")), " ")
     text = F.when(F.col("__part.words") >= F.col("__size"), F.col("text")).otherwise(cut)
     rows = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col("__part.position").alias("__position"), F.col("doc_id").alias("__tie"))
-    rows = materialise(rows)
+    # the sampling pass of the range partitioner reads the join's shuffle files again, so no copy of the texts is written
     return rows.repartitionByRange("__position", "__tie").sortWithinPartitions("__position", "__tie").select(*names)
