@@ -140,7 +140,7 @@ def network_choice(spark, sf_dir):
 
 
 def station_choice(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("station"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_name").alias("station"))
     return readers.select_stations(s, 20)
 
 
@@ -264,7 +264,7 @@ ORACLE_SQL = {
     "A24_patched_records": "WITH r AS (SELECT l_orderkey AS trial, l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey AS seq, CASE WHEN l_discount > 0.05 THEN l_quantity END AS a, CASE WHEN l_tax < 0.03 THEN l_extendedprice END AS b FROM lineitem) SELECT trial, round(arg_max(a, seq) FILTER (a IS NOT NULL), 6) AS a, round(arg_max(b, seq) FILTER (b IS NOT NULL), 6) AS b FROM r GROUP BY trial",
     "A15_catalog_lists": f"{P} SELECT station, phase, round(sample, 3) AS sample FROM picks",
     "A25_network_choice": "SELECT 50::BIGINT AS n, 50::BIGINT AS traces, 0::BIGINT AS outside",
-    "A2_station_choice": "SELECT s_name AS station FROM supplier ORDER BY s_name LIMIT 20",
+    "A2_station_choice": "SELECT c_name AS station FROM customer ORDER BY c_name LIMIT 20",
     "A27_duplicated": "SELECT vec_id AS trace, c::INTEGER AS copy, 'S000' || c AS sta FROM embeddings, range(3) g(c)",
     "K7_latencies": f"{E}, t AS (SELECT floor(event_id / 4) AS task_id, max(queued_s) AS q, max(returned_s) AS r, sum(returned_s - queued_s) AS inf, count(*) AS n FROM station_events GROUP BY 1) SELECT event_id::VARCHAR AS station, task_id::BIGINT AS task_id, n::INTEGER AS n_in_group, round(ready_s, 6) AS ready_s, round(r - ready_s, 6) AS e2e_s, round(q - ready_s, 6) AS queue_s, round(r - q, 6) AS service_s, round(inf / n, 6) AS inference_share_s FROM station_events JOIN t ON floor(event_id / 4) = task_id",
     "K2_chunk_counts": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS chunk_start, count(*) AS n_stations FROM events GROUP BY 1",
