@@ -196,7 +196,7 @@ def arrival_schedule(spark, sf_dir):
 
 def stations_kept(spark, sf_dir):
     e = picks(spark, sf_dir).select(F.col("station").alias("sta"), "event_id")
-    return readers.network_segments(e, e.filter("event_id < 50").select(F.col("sta").alias("station")).distinct())
+    return readers.network_segments(e, table(spark, sf_dir, "supplier").select(F.format_string("S%04d", F.col("s_suppkey")).alias("station")))
 
 
 def stations_common(spark, sf_dir):
@@ -276,7 +276,7 @@ ORACLE_SQL = {
    UNION ALL SELECT o.stream, o.feed_index, o.k, o.feed_index * 60.0::DOUBLE, greatest(o.feed_index * 60.0::DOUBLE, g.end_s), greatest(o.feed_index * 60.0::DOUBLE, g.end_s) + o.work_s, g.end_s FROM g JOIN o ON o.stream = g.stream AND o.k = g.k + 1)
  SELECT stream, feed_index, due_s, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(greatest(due_s - before, 0), 6) AS wait_s, round(greatest(start_s - due_s, 0), 6) AS late_s FROM g""",
     "K1_arrival_schedule": "SELECT count(*) AS n, 0::BIGINT AS odd, true AS near_share FROM customer",
-    "I2_stations_kept": f"{P} SELECT station AS sta, event_id FROM picks WHERE station IN (SELECT station FROM picks WHERE event_id < 50)",
+    "I2_stations_kept": f"{P} SELECT station AS sta, event_id FROM picks WHERE station IN (SELECT printf('S%04d', s_suppkey) FROM supplier)",
     "I3_stations_common": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' AND prob > 0.3 INTERSECT SELECT station, phase FROM picks WHERE run = 'detected' AND prob > 0.3",
     "I5_channels_missing": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' EXCEPT ALL SELECT station, phase FROM picks WHERE run = 'detected'",
     "I1_station_union": f"{P} SELECT station FROM picks WHERE prob > 0.6 UNION SELECT station FROM picks WHERE prob < 0.001",

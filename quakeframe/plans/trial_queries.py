@@ -34,8 +34,7 @@ def intervals(spark, sf_dir):
 
 
 def intervals_short_table(spark, sf_dir):
-    t = trials(spark, sf_dir).filter("repeat % 50 < 5")
-    return rounded(T.with_intervals(t, [*CELL, "variant"], "wall_s", last=9))
+    return rounded(T.with_intervals(trials(spark, sf_dir), [*CELL, "variant", "cpus"], "wall_s", last=9))
 
 
 def speedup(spark, sf_dir):
@@ -129,7 +128,7 @@ def skip_done(spark, sf_dir):
 
 def fuzzy_skip(spark, sf_dir):
     plan = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("n"), F.col("p_type").alias("kind"))
-    tested = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").select(F.col("p_size").alias("n"), F.col("p_type").alias("kind"))
+    tested = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 2).alias("n"), F.when(F.col("s_acctbal") > 5000, "ECONOMY").otherwise("SMALL").alias("kind"))
     return T.not_nearly_tested(plan, tested, ["kind"], "n")
 
 
@@ -139,8 +138,8 @@ def capped(spark, sf_dir):
 
 
 def grid_gaps(spark, sf_dir):
-    t = table(spark, sf_dir, "orders").filter("o_orderkey % 61 = 0").select(F.col("o_orderstatus").alias("s"), F.month("o_orderdate").alias("m"), (F.col("o_custkey") % 10).cast("int").alias("c"))
-    return T.missing_cells(t, {"s": ["F", "O", "P"], "m": list(range(1, 13)), "c": list(range(10))})
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), F.dayofmonth("o_orderdate").alias("m"), (F.col("o_custkey") % 100).cast("int").alias("c"))
+    return T.missing_cells(t, {"s": ["F", "O", "P"], "m": list(range(1, 32)), "c": list(range(100))})
 
 
 def merged_sources(spark, sf_dir):
@@ -283,8 +282,8 @@ V = f"WITH {STATION_EVENTS}"
 _T = "[" + ", ".join(map(str, st.T95)) + "]"
 
 
-def _ci(last: int, by: str, where: str = "TRUE") -> str:
-    return f"""s AS (SELECT {by}, count(wall_s) AS n, avg(wall_s) AS mean, stddev_samp(wall_s) AS std FROM trials WHERE {where} GROUP BY ALL),
+def _ci(last: int, by: str) -> str:
+    return f"""s AS (SELECT {by}, count(wall_s) AS n, avg(wall_s) AS mean, stddev_samp(wall_s) AS std FROM trials GROUP BY ALL),
  ci AS (SELECT *, CASE WHEN n > 1 THEN coalesce(CASE WHEN n - 1 <= {last} THEN {_T}[n - 1] END, 1.96)::DOUBLE * std / sqrt(n) END AS half FROM s)"""
 
 
@@ -314,7 +313,7 @@ ORACLE_SQL = {
     "F7_repeat_summary": W + ", ok AS (SELECT *, CASE WHEN success THEN wall_s END AS a, CASE WHEN success THEN cpus END AS b FROM trials) SELECT model, n_stations, device, variant, count(*) AS n_repeats, round(avg(success::INTEGER), 6) AS success_rate, round(min(a), 6) AS wall_s_min, round(avg(a), 6) AS wall_s_mean, round(CASE WHEN count(a) = 1 THEN 0 ELSE stddev_samp(a) END, 6) AS wall_s_std, min(b) AS cpus_min, round(avg(b), 6) AS cpus_mean, round(CASE WHEN count(b) = 1 THEN 0 ELSE stddev_samp(b) END, 6) AS cpus_std FROM ok GROUP BY ALL",
     "F8_nested_summary": W + ", l AS (SELECT model, device, unnest(['wall', 'f1', 'cpus']) AS metric, unnest([wall_s, f1, cpus::DOUBLE]) AS value FROM trials) SELECT model, device, metric, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS n FROM l GROUP BY ALL",
     "F9_intervals": f"{W}, {_ci(30, 'model, n_stations, device, variant')} SELECT model, n_stations, device, variant, n AS wall_s_n, round(mean, 6) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
-    "F10_short_table_intervals": f"{W}, {_ci(9, 'model, n_stations, device, variant', 'repeat % 50 < 5')} SELECT model, n_stations, device, variant, n AS wall_s_n, round(mean, 6) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
+    "F10_short_table_intervals": f"{W}, {_ci(9, 'model, n_stations, device, variant, cpus')} SELECT model, n_stations, device, variant, cpus, n AS wall_s_n, round(mean, 6) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
     "E6_speedup": W + ", b AS (SELECT model, n_stations, device, median(wall_s) AS baseline FROM trials WHERE kind = 'baseline' GROUP BY ALL), o AS (SELECT model, n_stations, device, variant, median(wall_s) AS median, min(wall_s) AS best, count(wall_s) AS n_repeats FROM trials WHERE kind <> 'baseline' GROUP BY ALL) SELECT o.model, o.n_stations, o.device, variant, round(median, 6) AS median, round(best, 6) AS best, n_repeats, round(baseline, 6) AS baseline, round(baseline / median, 6) AS speedup_median, round(baseline / best, 6) AS speedup_best FROM o LEFT JOIN b ON o.model IS NOT DISTINCT FROM b.model AND o.n_stations IS NOT DISTINCT FROM b.n_stations AND o.device IS NOT DISTINCT FROM b.device",
     "E7_significant_speedup": f"{W}, {_ci(30, 'model, n_stations, device, kind, variant')}, x AS (SELECT *, mean - coalesce(half, 0) AS lo, mean + coalesce(half, 0) AS hi FROM ci) SELECT o.model, o.n_stations, o.device, o.variant, round(b.mean, 6) AS baseline_mean, round(o.mean, 6) AS variant_mean, round(b.mean / o.mean, 6) AS speedup_mean, round(b.lo / o.hi, 6) AS speedup_ci_low, round(b.hi / o.lo, 6) AS speedup_ci_high, o.hi < b.lo AS is_significant FROM x o LEFT JOIN x b ON b.kind = 'baseline' AND o.model = b.model AND o.n_stations = b.n_stations AND o.device = b.device WHERE o.kind <> 'baseline'",
     "E8_precision_ratio": _RATIO.format(w=W, keys="model, n_stations, device, cpus", split="dtype", top="'fp32'", bottom="'bf16'", where="WHERE top IS NOT NULL AND bottom IS NOT NULL"),
@@ -334,9 +333,9 @@ ORACLE_SQL = {
     "F22_summary_record": W + " SELECT model, dtype, count(wall_s) AS n, round(avg(wall_s), 6) AS mean, round(median(wall_s), 6) AS median, round(quantile_cont(wall_s, 0.25), 6) AS q25, round(quantile_cont(wall_s, 0.75), 6) AS q75, round(min(wall_s), 6) AS min, round(max(wall_s), 6) AS max FROM trials GROUP BY ALL",
     "E14_winner_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
     "E12_skip_done": "SELECT c_custkey AS k, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "E13_fuzzy_skip": "SELECT p_partkey, p_size AS n, p_type AS kind FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_partkey % 97 = 0 AND a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= greatest(2, floor(a.p_size * 0.05)))",
+    "E13_fuzzy_skip": "SELECT p_partkey, p_size AS n, p_type AS kind FROM part a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE a.p_type = CASE WHEN s_acctbal > 5000 THEN 'ECONOMY' ELSE 'SMALL' END AND abs(a.p_size - s_nationkey * 2) <= greatest(2, floor(a.p_size * 0.05)))",
     "E19_capped": "WITH t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey AS k, l_quantity AS asked, least(l_quantity, 30.0 + l_suppkey % 10) AS got FROM lineitem), c AS (SELECT k, min({'asked': asked, 'got': got}) AS m FROM t WHERE got < asked GROUP BY k) SELECT t.* FROM t JOIN c ON t.k = c.k WHERE asked > m.asked AND asked >= m.got",
-    "E16_grid_gaps": "SELECT s, m::INTEGER AS m, c::INTEGER AS c FROM (VALUES ('F'), ('O'), ('P')) a(s), range(1, 13) b(m), range(10) d(c) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 61 = 0 AND o_orderstatus = s AND month(o_orderdate) = m AND o_custkey % 10 = c)",
+    "E16_grid_gaps": "SELECT s, m::INTEGER AS m, c::INTEGER AS c FROM (VALUES ('F'), ('O'), ('P')) a(s), range(1, 32) b(m), range(100) d(c) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = s AND day(o_orderdate) = m AND o_custkey % 100 = c)",
     "E17_merged_sources": "WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1 HAVING max(o_totalprice) > 300000), u AS (SELECT k, v, 'orders' AS src, 0 AS p FROM o UNION ALL SELECT c_custkey, c_acctbal, 'customer', 1 FROM customer) SELECT k, round(v, 6) AS v, src FROM u QUALIFY row_number() OVER (PARTITION BY k ORDER BY p, v) = 1",
     "E18_inventory": "WITH s AS (SELECT c_mktsegment, list(DISTINCT c_nationkey ORDER BY c_nationkey) AS l FROM customer GROUP BY 1) SELECT count(*) AS n_chunks, count(DISTINCT l) AS n_lists, count(DISTINCT l) <= 1 AS same FROM s",
     "F49_pivot": W + " SELECT model, device, " + ", ".join(f"round(avg(wall_s) FILTER (dtype = '{d}'), 6) AS dtype_{d}" for d in ("fp32", "bf16", "fp16")) + " FROM trials GROUP BY ALL",

@@ -110,7 +110,8 @@ def strict_union(spark, sf_dir):
 
 
 def lenient(spark, sf_dir):
-    s = segments(spark, sf_dir).filter("trace % 7 <> 0 AND trace % 5 < 3").withColumn("group", F.floor(F.col("trace") / 5))
+    letter = F.element_at(F.array(*[F.lit(x) for x in "ZNEZN"]), (F.col("trace") % 5 + 1).cast("int"))
+    s = segments(spark, sf_dir).withColumns({"cha": F.concat(F.lit("HH"), letter), "group": F.floor(F.col("trace") / 3)})
     return P.lenient_components(s, ["group"])
 
 
@@ -130,7 +131,7 @@ def span(spark, sf_dir):
 
 
 def filtered(spark, sf_dir):
-    s = P.filter_parameters(segments(spark, sf_dir), segments(spark, sf_dir).select("sta").distinct().limit(3).select("sta", F.lit(0.5).alias("hp"), F.lit(2.0).alias("lp")), 0.2, 4.0)
+    s = P.filter_parameters(segments(spark, sf_dir), segments(spark, sf_dir).select("sta").distinct().select("sta", F.when(F.col("sta") < "S0005", 0.5).alias("hp"), F.when(F.col("sta") < "S0007", 2.0).alias("lp")), 0.2, 4.0)
     return P.filter_waveforms(s).select("trace", "fmin", "fmax", _sum(F.col("samples")).alias("s"))
 
 
@@ -238,7 +239,7 @@ ORACLE_SQL = {
  FROM ok JOIN c z ON z.g = ok.g AND z.comp = 'Z' JOIN c n ON n.g = ok.g AND n.comp = 'N' JOIN c e ON e.g = ok.g AND e.comp = 'E'""",
     "C10_strict_union": f"""{STATIONS} SELECT ok.g AS "group", round(list_sum(e.p), 6) AS s0, round(list_sum(n.p), 6) AS s1, round(list_sum(z.p), 6) AS s2, (ub - ua)::INTEGER AS n
  FROM ok JOIN c z ON z.g = ok.g AND z.comp = 'Z' JOIN c n ON n.g = ok.g AND n.comp = 'N' JOIN c e ON e.g = ok.g AND e.comp = 'E'""",
-    "C12_lenient": f"""{T}, s AS (SELECT trace // 5 AS g, 'HH' || substr('ZNE', (trace % 5 + 1)::INTEGER, 1) AS c FROM traces WHERE trace % 7 <> 0 AND trace % 5 < 3)
+    "C12_lenient": f"""{T}, s AS (SELECT trace // 3 AS g, 'HH' || substr('ZNEZN', (trace % 5 + 1)::INTEGER, 1) AS c FROM traces)
  SELECT g AS "group", max(CASE WHEN c = 'HHE' THEN c END) AS e, max(CASE WHEN c = 'HHN' THEN c END) AS n, max(CASE WHEN c = 'HHZ' THEN c END) AS z,
  concat_ws(',', CASE WHEN count(*) FILTER (c = 'HHE') = 0 THEN 'E' END, CASE WHEN count(*) FILTER (c = 'HHN') = 0 THEN 'N' END, CASE WHEN count(*) FILTER (c = 'HHZ') = 0 THEN 'Z' END) AS filled FROM s GROUP BY g""",
     "C22_component_traces": f"""{STATIONS} SELECT ok.g AS "group", 'HH' || c.comp AS cha, round(list_sum(c.p[a - c.i0 + 1 : b - c.i0 + 1]), 6) AS s FROM ok JOIN c ON c.g = ok.g""",
