@@ -22,8 +22,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines of ten documents or more; documents keep their other lines, and those left without a word go."""
-    deduped = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Of lines in ten documents or more keep the first occurrence; documents left without a word go.
+
+    The first occurrence stays so that one of many copies of a clean document does.
+    """
+    deduped = line_dedup.dedup_lines(docs, keep_first=True).withColumn("n_chars", F.length("text").cast("long"))
     return deduped.filter(F.btrim("text", F.lit(line_dedup.BLANKS)) != "").select(*docs.columns)
 
 

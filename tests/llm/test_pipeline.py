@@ -23,7 +23,7 @@ def test_stages(spark):
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     deduped = named["line_dedup"](spark, kept, SF).cache()
     assert deduped.columns == columns
-    want = {i: (n, sha) for i, _, n, sha in plain_lines(rows, 10)}
+    want = {i: (n, sha) for i, _, n, sha in plain_lines(rows, 10, True)}
     for r in deduped.collect():
         assert hashlib.sha256(r["text"].encode()).hexdigest() == want[r["doc_id"]][1]
     assert len(rows) - deduped.count() == sum(1 for r in rows if not any(line.strip() for line in plain_text(r, want)))
