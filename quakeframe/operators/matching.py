@@ -6,10 +6,11 @@ into runs without a wider gap, and the greedy rule folds over one run at a time,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.functions.scalars import let
+from quakeframe.operators.runs import with_runs
 
 
 def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, order: str = "sample", value: str = "sample") -> DataFrame:
@@ -25,10 +26,7 @@ def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, o
     both = left.unionByName(right).filter(F.col("v").isNotNull())
     for k in keys:
         both = both.filter(F.col(k).isNotNull())
-    w = Window.partitionBy(*keys).orderBy("v")
-    opens = (F.col("v") - F.lag("v").over(w) > tolerance).cast("int")
-    runs = both.withColumn("opens", F.coalesce(opens, F.lit(1))).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = runs.groupBy(*keys, "run").agg(
+    grouped = with_runs(both, keys, "v", tolerance).groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_a"), F.struct("o", "v")))).alias("a"),
         F.array_sort(F.collect_list(F.when(~F.col("is_a"), F.col("v")))).alias("b"),
     )

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quakeframe.functions.scalars import let
+from quakeframe.operators.runs import with_runs
 
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 #: Models by name; a user adds a function that loads a model and returns its batch function.
@@ -157,11 +158,9 @@ def pair_phases(picks: DataFrame, keys: list[str], t: str = "t", prob: str = "pr
     Returns ``keys, p_time, p_prob, s_time, s_prob``.  ``t`` is seconds (double).  Picks are cut into runs wherever
     nothing happens for ``most`` seconds: no pair crosses such a gap, so a busy station still folds in small groups.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
-    opens = F.coalesce((F.col(t) - F.lag(t).over(w) >= most).cast("int"), F.lit(1))
-    runs = picks.withColumn("__o", opens).withColumn("__run", F.sum("__o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    of = lambda x: F.array_sort(F.collect_list(F.when(F.col("phase") == x, F.struct(F.col(t).alias("t"), F.col(prob).alias("prob")))))
-    g = runs.groupBy(*keys, "__run").agg(of("P").alias("p"), of("S").alias("s"))
+    runs = with_runs(picks.select(*keys, "phase", F.col(t).alias("t"), F.col(prob).alias("prob")), keys, "t", most, inclusive=True)
+    of = lambda x: F.array_sort(F.collect_list(F.when(F.col("phase") == x, F.struct("t", "prob"))))
+    g = runs.groupBy(*keys, "run").agg(of("P").alias("p"), of("S").alias("s"))
     row = "array<struct<p_time:double,p_prob:double,s_time:double,s_prob:double>>"
     indexed = F.transform("s", lambda x, i: F.struct(i.alias("i"), x["t"].alias("t"), x["prob"].alias("prob")))
     nothing = F.lit(None).cast("double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
 from quakeframe.operators import matching, metrics, picks, prep
+from quakeframe.operators.runs import with_runs
 from quakeframe.sources import readers, sinks
 from quakeframe.streaming import stations as K
 
@@ -68,6 +69,20 @@ def test_greedy_equals_a_plain_loop(spark, a, b):
     assert sorted((r["a_value"], r["b_value"]) for r in got) == sorted(want)
 
 
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(hs.integers(-300, 300), max_size=25), hs.booleans())
+def test_runs_equal_a_plain_loop(spark, values, inclusive):
+    df = spark.createDataFrame([("k", float(v)) for v in values], "k string, v double")
+    got = sorted((r["v"], r["run"]) for r in with_runs(df, ["k"], "v", 15.0, inclusive, width=40.0).collect())
+    want, start, last = [], None, None
+    for v in sorted(map(float, values)):
+        if last is None or (v - last >= 15 if inclusive else v - last > 15):
+            start = v
+        want.append((v, start))
+        last = v
+    assert got == want
+
+
 def test_scores(spark):
     cat = spark.createDataFrame([("s", "P", 100.0)], "station string, phase string, sample double")
     det = spark.createDataFrame([("s", "P", 90.0), ("s", "P", 140.0), ("s", "P", 400.0), ("t", "P", 5.0)], "station string, phase string, sample double")
