@@ -136,7 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     # in all lanes, so each pair of blocks meets in one lane and lanes are worked on side by side
     left = asked.select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     right = data.select("dim", "ids", "data", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"))
-    pairs = left.join(right, ["dim", "lane"])
+    # a merge join streams and spills: the copies of the query blocks are larger than their files suggest
+    pairs = left.hint("merge").join(right, ["dim", "lane"])
 
     def run(batches):
         for batch in batches:
