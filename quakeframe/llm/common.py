@@ -86,7 +86,7 @@ def pack(texts: list[bytes], gap: bytes = b"\n") -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(gap.join(texts) + gap, dtype=np.uint8), ends - lengths, ends
 
 
-def running_totals(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: Column, rows_per_bucket: int = 4096) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: str, ties: list[str], weight: Column, rows_per_bucket: int = 1024) -> DataFrame:
     """Add ``before``: the sum of ``weight`` over the rows of the same key that come earlier by (``order``, ``ties``).
 
     ``order`` is a lower-case hexadecimal digest.  Its leading digits cut each key into buckets of about
