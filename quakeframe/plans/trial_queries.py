@@ -248,6 +248,12 @@ def asked_vs_used(spark, sf_dir):
     return rounded(T.requested_vs_actual(t, "asked", "used", "base"))
 
 
+def bootstrap(spark, sf_dir):
+    t = trials(spark, sf_dir).groupBy("model", "device", "cpus").agg(F.sort_array(F.collect_list(F.when(baseline(), F.col("wall_s")))).alias("base"), F.sort_array(F.collect_list(F.when(~baseline(), F.col("wall_s")))).alias("other"))
+    cells = t.filter((F.size("base") > 0) & (F.size("other") > 0)).groupBy("model", "device").agg(F.sort_array(F.collect_list(F.element_at("base", 1))).alias("base"), F.sort_array(F.collect_list(F.element_at("other", 1))).alias("other"))
+    return rounded(T.bootstrap_ratio(cells, ["model", "device"], "base", "other", draws=400, seed=42))
+
+
 def throughput(spark, sf_dir):
     t = trials(spark, sf_dir)
     return rounded(t.groupBy("model", "variant").agg(F.avg(S.rate(F.col("n_stations"), F.col("wall_s"))).alias("stations_per_s"), F.max(S.rate(F.col("cpus"), F.col("wall_s"))).alias("best_cpus_per_s")))
@@ -274,7 +280,7 @@ QUERIES = {
     "F31_progress": progress, "F32_completions": completions, "F36_audit": audit, "F33_cold_warm": cold_warm, "F34_warm_tails": warm_tails, "F35_paced_tails": paced_tails,
     "F39_latency": latency, "F40_stored_p95": stored_p95, "F41_makespan": spans, "F43_run_spread": run_spread, "F43_device_difference": device_difference, "F45_device_counts": device_counts,
     "F56_stage_report": stage_report, "F29_stage_timings": stage_timings, "F37_delays": delays, "F55_energy": energy, "F52_resources": resources, "F53_memory": memory,
-    "F54_asked_vs_used": asked_vs_used, "B8_throughput": throughput, "H3_top_speedups": top_speedups, "B14_trial_ids": trial_ids,
+    "F54_asked_vs_used": asked_vs_used, "F11_bootstrap": bootstrap, "B8_throughput": throughput, "H3_top_speedups": top_speedups, "B14_trial_ids": trial_ids,
 }
 
 W = f"WITH {TRIALS}"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
-from quakeframe.operators import matching, metrics, picks, prep
+from quakeframe.operators import matching, metrics, picks, prep, trials
 from quakeframe.operators.runs import with_runs
 from quakeframe.sources import readers, sinks
 from quakeframe.streaming import stations as K
@@ -241,6 +241,30 @@ def test_trial_csv_and_columns(spark, tmp_path):
         readers.catalog_columns(spark.range(1))
 
 
+def test_resolved_files(spark):
+    files = spark.createDataFrame([("c", "a", "l1", True), ("c", "a", "p1", False), ("c", "b", "l2", True), ("c", "b", "p2", False), ("c", "d", "p3", False)], "chunk string, sta string, path string, local boolean")
+    decoded = spark.createDataFrame([("l1", 5), ("p1", 9), ("l2", 0), ("p2", 4)], "path string, samples int")
+    assert sorted(r["path"] for r in readers.resolve_files(files, decoded, ["chunk", "sta"]).collect()) == ["l1", "p2", "p3"]
+
+
+def test_records_are_appended(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2.0)], "trial int, wall double")
+    for _ in range(2):
+        sinks.append_records(rows, str(tmp_path / "r"), {"wall": "Runtime (s)"})
+    back = spark.read.json(str(tmp_path / "r"))
+    assert back.count() == 2 and "Runtime (s)" in back.columns and back.filter("recorded_at IS NULL").count() == 0
+    meta = rows.select(sinks.result_struct(F.create_map(F.lit("a"), F.lit("b")), F.struct(F.col("wall")), F.struct(F.lit(1).alias("P"))).alias("x")).select("x.*")
+    sinks.write_results(meta, str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).first()["schema_version"] == 3
+
+
+def test_bootstrap(spark):
+    df = spark.createDataFrame([("k", [10.0, 11.0, 9.0, 10.0], [5.0, 5.5, 4.5, 5.0]), ("one", [4.0], [2.0])], "k string, a array<double>, b array<double>")
+    got = {r["k"]: r for r in trials.bootstrap_ratio(df, ["k"], "a", "b", draws=500).collect()}
+    assert got["k"]["ratio"] == 2.0 and 1.7 < got["k"]["ci_low"] < 2.0 < got["k"]["ci_high"] < 2.3
+    assert (got["one"]["ci_low"], got["one"]["ci_high"]) == (2.0, 2.0)
+
+
 def test_files_of_an_archive(spark, tmp_path):
     for name in ("X/a.MSEED", "Y/b.mseed", "Y/c.txt", "20240101T000000Z_20240101T000100Z/d.sac"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
