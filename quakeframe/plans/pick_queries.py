@@ -18,7 +18,7 @@ def _sides(spark, sf_dir):
 
 def greedy_match(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
-    return rounded(matching.match_picks(a, b, ["station", "phase"], TOLERANCE))
+    return rounded(matching.match_picks(a, b, ["station", "phase"], TOLERANCE), 9)
 
 
 def pick_sets(spark, sf_dir):
@@ -157,7 +157,7 @@ def _stats(prefix: str, scale: str) -> str:
 
 
 ORACLE_SQL = {
-    "E1_greedy_match": f"{GREEDY} SELECT station, phase, round(a_value, 6) AS a_value, round(b_value, 6) AS b_value, side FROM sides",
+    "E1_greedy_match": f"{GREEDY} SELECT station, phase, round(a_value, 9) AS a_value, round(b_value, 9) AS b_value, side FROM sides",
     "E2_pick_sets": f"{JUDGED} SELECT station, phase, kind, count(*) AS n, round(sum(delta), 6) AS sum_delta FROM judged GROUP BY ALL",
     "pick_scores": f"""{JUDGED}, m AS (SELECT phase, count(DISTINCT station) AS n_catalog, count(*) FILTER (kind <> 'missing') AS n_detected, count(*) FILTER (kind = 'matched') AS matched,
  count(*) FILTER (kind = 'missing') AS missing, count(*) FILTER (kind = 'additional') AS additional, count(*) FILTER (kind = 'duplicated') AS duplicated, round(avg(delta), 6) AS mean_dt,

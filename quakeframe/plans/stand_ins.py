@@ -80,6 +80,9 @@ STATION_EVENTS = """station_events AS (SELECT printf('S%04d', user_id) AS statio
   (epoch_us(ts) % 3600000000) / 1000000.0::DOUBLE + value / 50 AS returned_s, ts AS seen, event_id FROM events)"""
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """All doubles rounded, for comparison with another engine's sums."""
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, finer: tuple[str, ...] = ()) -> DataFrame:
+    """All doubles rounded, for comparison with another engine's sums.
+
+    Columns in ``finer`` keep nine digits: means of a few decimal amounts, whose seventh digit is often an exact 5.
+    """
+    return df.select(*[F.round(c, 9 if c in finer else digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])

@@ -34,7 +34,7 @@ def intervals(spark, sf_dir):
 
 
 def intervals_short_table(spark, sf_dir):
-    return rounded(T.with_intervals(trials(spark, sf_dir), [*CELL, "variant", "cpus"], "wall_s", last=9))
+    return rounded(T.with_intervals(trials(spark, sf_dir), [*CELL, "variant", "cpus"], "wall_s", last=9), finer=("wall_s_mean",))
 
 
 def speedup(spark, sf_dir):
@@ -46,7 +46,7 @@ def significant(spark, sf_dir):
 
 
 def precision_ratio(spark, sf_dir):
-    return rounded(T.matched_ratio(trials(spark, sf_dir), [*CELL, "cpus"], "dtype", "fp32", "bf16", "wall_s"))
+    return rounded(T.matched_ratio(trials(spark, sf_dir), [*CELL, "cpus"], "dtype", "fp32", "bf16", "wall_s"), finer=("top", "bottom"))
 
 
 def strategy_ratio(spark, sf_dir):
@@ -171,7 +171,7 @@ def completions(spark, sf_dir):
 
 
 def audit(spark, sf_dir):
-    return rounded(T.unstable(trials(spark, sf_dir), [*CELL, "variant", "cpus"], "wall_s", 20.0))
+    return rounded(T.unstable(trials(spark, sf_dir), [*CELL, "variant", "cpus"], "wall_s", 20.0), finer=("mean",))
 
 
 def cold_warm(spark, sf_dir):
@@ -225,7 +225,7 @@ def stage_timings(spark, sf_dir):
 
 def delays(spark, sf_dir):
     e = station_events(spark, sf_dir).withColumn("ready", F.greatest(F.col("ready_s") - 600, F.lit(0.0)))
-    return rounded(T.delay_summary(e, ["chunk"], "ready"))
+    return rounded(T.delay_summary(e, ["chunk"], "ready"), finer=("delay_mean",))
 
 
 def energy(spark, sf_dir):
@@ -319,10 +319,10 @@ ORACLE_SQL = {
     "F7_repeat_summary": W + ", ok AS (SELECT *, CASE WHEN success THEN wall_s END AS a, CASE WHEN success THEN cpus END AS b FROM trials) SELECT model, n_stations, device, variant, count(*) AS n_repeats, round(avg(success::INTEGER), 6) AS success_rate, round(min(a), 6) AS wall_s_min, round(avg(a), 6) AS wall_s_mean, round(CASE WHEN count(a) = 1 THEN 0 ELSE stddev_samp(a) END, 6) AS wall_s_std, min(b) AS cpus_min, round(avg(b), 6) AS cpus_mean, round(CASE WHEN count(b) = 1 THEN 0 ELSE stddev_samp(b) END, 6) AS cpus_std FROM ok GROUP BY ALL",
     "F8_nested_summary": W + ", l AS (SELECT model, device, unnest(['wall', 'f1', 'cpus']) AS metric, unnest([wall_s, f1, cpus::DOUBLE]) AS value FROM trials) SELECT model, device, metric, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, count(value) AS n FROM l GROUP BY ALL",
     "F9_intervals": f"{W}, {_ci(30, 'model, n_stations, device, variant')} SELECT model, n_stations, device, variant, n AS wall_s_n, round(mean, 6) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
-    "F10_short_table_intervals": f"{W}, {_ci(9, 'model, n_stations, device, variant, cpus')} SELECT model, n_stations, device, variant, cpus, n AS wall_s_n, round(mean, 6) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
+    "F10_short_table_intervals": f"{W}, {_ci(9, 'model, n_stations, device, variant, cpus')} SELECT model, n_stations, device, variant, cpus, n AS wall_s_n, round(mean, 9) AS wall_s_mean, round(std, 6) AS wall_s_std, round(mean - coalesce(half, 0), 6) AS wall_s_ci_low, round(mean + coalesce(half, 0), 6) AS wall_s_ci_high, round(half, 6) AS wall_s_ci_half FROM ci",
     "E6_speedup": W + ", b AS (SELECT model, n_stations, device, median(wall_s) AS baseline FROM trials WHERE kind = 'baseline' GROUP BY ALL), o AS (SELECT model, n_stations, device, variant, median(wall_s) AS median, min(wall_s) AS best, count(wall_s) AS n_repeats FROM trials WHERE kind <> 'baseline' GROUP BY ALL) SELECT o.model, o.n_stations, o.device, variant, round(median, 6) AS median, round(best, 6) AS best, n_repeats, round(baseline, 6) AS baseline, round(baseline / median, 6) AS speedup_median, round(baseline / best, 6) AS speedup_best FROM o LEFT JOIN b ON o.model IS NOT DISTINCT FROM b.model AND o.n_stations IS NOT DISTINCT FROM b.n_stations AND o.device IS NOT DISTINCT FROM b.device",
     "E7_significant_speedup": f"{W}, {_ci(30, 'model, n_stations, device, kind, variant')}, x AS (SELECT *, mean - coalesce(half, 0) AS lo, mean + coalesce(half, 0) AS hi FROM ci) SELECT o.model, o.n_stations, o.device, o.variant, round(b.mean, 6) AS baseline_mean, round(o.mean, 6) AS variant_mean, round(b.mean / o.mean, 6) AS speedup_mean, round(b.lo / o.hi, 6) AS speedup_ci_low, round(b.hi / o.lo, 6) AS speedup_ci_high, o.hi < b.lo AS is_significant FROM x o LEFT JOIN x b ON b.kind = 'baseline' AND o.model = b.model AND o.n_stations = b.n_stations AND o.device = b.device WHERE o.kind <> 'baseline'",
-    "E8_precision_ratio": _RATIO.format(w=W, keys="model, n_stations, device, cpus", split="dtype", top="'fp32'", bottom="'bf16'", where="WHERE top IS NOT NULL AND bottom IS NOT NULL"),
+    "E8_precision_ratio": _RATIO.replace("round(top, 6)", "round(top, 9)").replace("round(bottom, 6)", "round(bottom, 9)").format(w=W, keys="model, n_stations, device, cpus", split="dtype", top="'fp32'", bottom="'bf16'", where="WHERE top IS NOT NULL AND bottom IS NOT NULL"),
     "E9_strategy_ratio": _RATIO.format(w=W, keys="model, n_stations, cpus", split="device", top="'O'", bottom="'F'", where="WHERE top IS NOT NULL AND bottom IS NOT NULL"),
     "F24_scaling_ratio": _RATIO.format(w=W, keys="model, device, variant", split="n_stations", top="350", bottom="50", where=""),
     "E10_reduced_quality": W + ", t AS (SELECT model, n_stations, device, variant, dtype, max(f1) AS f1, count(*) FILTER (success) AS picks FROM trials GROUP BY ALL), b AS (SELECT model, n_stations, device, variant, max(f1) AS full_f1 FROM t WHERE dtype = 'fp32' GROUP BY ALL), j AS (SELECT t.*, full_f1, CASE WHEN full_f1 IS NULL THEN 'unsupported' WHEN picks = 0 THEN 'no_picks' WHEN f1 IS NULL THEN 'invalid' ELSE 'valid' END AS status FROM t LEFT JOIN b ON t.model = b.model AND t.n_stations = b.n_stations AND t.device = b.device AND t.variant = b.variant WHERE dtype <> 'fp32') SELECT model, n_stations, device, variant, dtype, round(f1, 6) AS f1, picks, round(full_f1, 6) AS full_f1, status, CASE WHEN status = 'valid' THEN round(f1 - full_f1, 6) END AS delta_f1 FROM j",
@@ -348,7 +348,7 @@ ORACLE_SQL = {
     "F48_threads_table": W + " SELECT cpus, " + ", ".join(f"round(min(wall_s) FILTER (model = '{d}'), 6) AS \"model_{d}\"" for d in "ANR") + " FROM trials GROUP BY ALL",
     "F31_progress": "SELECT o_orderpriority, year(o_orderdate)::INTEGER AS y, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\", count(*) AS total FROM orders GROUP BY ROLLUP (o_orderpriority, y)",
     "F32_completions": V + " SELECT event_id % 7 AS family, count(*) AS done, count(*) FILTER (seen > TIMESTAMP '2024-01-20 23:57:12') AS recent FROM station_events GROUP BY 1",
-    "F36_audit": W + ", t AS (SELECT model, n_stations, device, variant, cpus, count(wall_s) AS n, avg(wall_s) AS mean, 100 * stddev_pop(wall_s) / avg(wall_s) AS cv FROM trials GROUP BY ALL) SELECT model, n_stations, device, variant, cpus, n, round(mean, 6) AS mean, round(cv, 6) AS cv FROM t WHERE n >= 3 AND cv > 20",
+    "F36_audit": W + ", t AS (SELECT model, n_stations, device, variant, cpus, count(wall_s) AS n, avg(wall_s) AS mean, 100 * stddev_pop(wall_s) / avg(wall_s) AS cv FROM trials GROUP BY ALL) SELECT model, n_stations, device, variant, cpus, n, round(mean, 9) AS mean, round(cv, 6) AS cv FROM t WHERE n >= 3 AND cv > 20",
     "F33_cold_warm": V + ", f AS (SELECT station, event_id % 10 AS feed, max(returned_s - queued_s) AS busy FROM station_events GROUP BY ALL) SELECT station, round(max(busy) FILTER (feed = 0), 6) AS cold, round(avg(busy) FILTER (feed > 0), 6) AS warm_mean, round(min(busy) FILTER (feed > 0), 6) AS warm_min, round(max(busy) FILTER (feed > 0), 6) AS warm_max, round(CASE WHEN count(*) FILTER (feed > 0) = 1 THEN 0 ELSE stddev_samp(busy) FILTER (feed > 0) END, 6) AS warm_std, round(sum(busy), 6) AS idle_total FROM f GROUP BY station",
     "F34_warm_tails": _tails("floor({q} * (len(v) - 1) + 0.5)::INTEGER"),
     "F35_paced_tails": _tails("round_even({q}::DOUBLE * (len(v) - 1), 0)::INTEGER"),
@@ -360,7 +360,7 @@ ORACLE_SQL = {
     "F45_device_counts": W + ", t AS (SELECT model, dtype, count(*) FILTER (device = 'F') AS f, count(*) FILTER (device = 'O') AS o FROM trials GROUP BY ALL) SELECT model, dtype, f AS \"n_F\", o AS \"n_O\", coalesce(greatest(nullif(f, 0), nullif(o, 0)) - least(nullif(f, 0), nullif(o, 0)), 0) AS spread FROM t",
     "F56_stage_report": V + " SELECT station, round(sum(returned_s - queued_s), 6) AS sum, round(avg(returned_s - queued_s), 6) AS mean, round(median(returned_s - queued_s), 6) AS median, round(min(returned_s - queued_s), 6) AS min, round(max(returned_s - queued_s), 6) AS max, count(*) AS n FROM station_events GROUP BY station",
     "F29_stage_timings": V + " SELECT station, round(coalesce(avg(queued_s) FILTER (event_id % 3 = 0), 0), 6) AS load_avg, round(coalesce(sum(queued_s) FILTER (event_id % 3 = 0), 0), 6) AS load_sum, 0.0::DOUBLE AS never_avg, 0.0::DOUBLE AS never_sum FROM station_events GROUP BY station",
-    "F37_delays": V + ", r AS (SELECT chunk, greatest(ready_s - 600, 0) AS ready FROM station_events) SELECT chunk, count(ready) AS n_stations, count(*) FILTER (ready > 0) AS n_delayed, count(*) FILTER (ready <= 0) AS n_ready, count(*) FILTER (ready >= 60) AS n_spill, round(min(ready), 6) AS delay_min, round(max(ready), 6) AS delay_max, round(avg(ready), 6) AS delay_mean, count(DISTINCT floor(ready / 60)) AS n_chunks_touched FROM r GROUP BY chunk",
+    "F37_delays": V + ", r AS (SELECT chunk, greatest(ready_s - 600, 0) AS ready FROM station_events) SELECT chunk, count(ready) AS n_stations, count(*) FILTER (ready > 0) AS n_delayed, count(*) FILTER (ready <= 0) AS n_ready, count(*) FILTER (ready >= 60) AS n_spill, round(min(ready), 6) AS delay_min, round(max(ready), 6) AS delay_max, round(avg(ready), 9) AS delay_mean, count(DISTINCT floor(ready / 60)) AS n_chunks_touched FROM r GROUP BY chunk",
     "F55_energy": V + ", e AS (SELECT station, chunk, chunk * 3600.0::DOUBLE + max(queued_s) AS t, max(returned_s) AS power FROM station_events GROUP BY station, chunk), s AS (SELECT station, power, 0.5 * (power + lag(power) OVER w) * (t - lag(t) OVER w) AS e FROM e WINDOW w AS (PARTITION BY station ORDER BY t)) SELECT station, round(coalesce(sum(e), 0), 3) AS energy, round(avg(power), 3) AS mean_power, round(max(power), 3) AS max_power FROM s GROUP BY station",
     "F52_resources": V + ", e AS (SELECT station, chunk * 3600.0::DOUBLE + ready_s AS t, queued_s AS cpu, (event_id % 1000)::DOUBLE AS n FROM station_events), g AS (SELECT *, n - lag(n) OVER (PARTITION BY station ORDER BY t) AS d FROM e), s AS (SELECT station, max(t) - min(t) AS wall, max(cpu) - min(cpu) AS cpu_s, sum(CASE WHEN d < 0 THEN d + 1000 ELSE d END) AS gain FROM g GROUP BY 1) SELECT station, round(wall, 6) AS wall, round(cpu_s, 6) AS cpu_s, round(cpu_s / nullif(wall, 0), 6) AS cpu_share, round(coalesce(gain, 0), 6) AS gain FROM s",
     "F53_memory": W + ", t AS (SELECT model, cpus, max(wall_s) FILTER (device = 'F') AS before, max(wall_s) FILTER (device = 'O') AS after FROM trials GROUP BY ALL) SELECT model, cpus, round(before, 6) AS before, round(after, 6) AS after, round(after - before, 6) AS growth FROM t",
