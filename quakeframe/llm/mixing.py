@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     Null sources form one source.  Repeated rows are taken one after the other.
     """
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = materialise(docs.select("doc_id", F.xxhash64("text").alias("content"), "source", word_count(F.col("text")).alias("size"), order.alias("order")))
+    base = materialise(docs.select("doc_id", F.xxhash64(*docs.columns).alias("content"), "source", word_count(F.col("text")).alias("size"), order.alias("order")))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, share, most, tilts)).withColumnRenamed("source", "__source")
     placed = running_totals(base, ["source"], "order", ["doc_id", "size", "content"], F.col("size"))
@@ -90,13 +90,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The words of a cut copy are joined by single spaces.  Columns that start with two underscores are reserved.
     """
     names = docs.columns
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("content"))
-    # repeated rows share a key; numbering both sides pairs each of them with its own copies
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(*names).alias("content"))
+    # rows of one key are alike in every column: one of them serves the copies of all, by a join on the key alone,
+    # so that the texts are shuffled once before they are range-sorted
     turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))
-    texts = docs.withColumn("__key", key).withColumn("__turn", turn)
-    parts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "content").alias("__key"), F.col("size").alias("__size"), F.col("parts").alias("__parts"))
-    parts = parts.withColumn("__turn", turn).select("__key", "__turn", "__size", F.explode("__parts").alias("__part"))
-    joined = texts.join(parts, ["__key", "__turn"])
+    texts = docs.withColumn("__key", key).withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
+    parts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "content").alias("__key"), F.col("size").alias("__size"), F.explode("parts").alias("__part"))
+    joined = texts.join(parts, "__key")
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part.words").cast("int")), " ")
     text = F.when(F.col("__part.words") >= F.col("__size"), F.col("text")).otherwise(cut)
     rows = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col("__part.position").alias("__position"), F.col("doc_id").alias("__tie"))
