@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
 
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
 
+MASK = (1 << 64) - 1
+
 
 def present(df: DataFrame, names: list[str]) -> list[str]:
     """Those of the names that are columns; absent axes are skipped."""
@@ -75,6 +80,80 @@ def bootstrap_ratio(df: DataFrame, keys: list[str], top: str, bottom: str, draws
     return rows.select(*keys, "ratio", F.get("r", F.lit(int(0.025 * draws))).alias("ci_low"), F.get("r", F.lit(int(0.975 * draws) - 1)).alias("ci_high"))
 
 
+def bootstrap_pooled(df: DataFrame, keys: list[str], value: str, top: Column, bottom: Column, draws: int = 10000, seed: int = 0, block_rows: int = 8192) -> DataFrame:
+    """As ``bootstrap_ratio``, for groups of any size: one row per repeat, of the side for which ``top`` or ``bottom`` is true.
+
+    Every draw takes as many repeats as the side has, with replacement.  Repeats lie in blocks of about ``block_rows``;
+    how many of a draw fall into each block is multinomial, and a block then draws its part by itself, so no task holds
+    a side.  Blocks follow from the values alone: a seed gives the same draws however the input is split.
+    """
+    side = [*keys, "side"]
+    rows = df.select(*keys, F.when(top, 1).when(bottom, 2).alias("side"), F.col(value).cast("double").alias("v")).filter("side IS NOT NULL AND v IS NOT NULL")
+    counts = rows.groupBy(*side, "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(*side).agg(F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    # a value of many repeats is cut into pieces, so that blocks stay bounded
+    pieces = null_safe(counts, sizes, side, "inner").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1024))))
+    pieces = pieces.withColumn("c", F.least(F.lit(1024), F.col("n") - F.col("piece") * 1024).cast("int")).withColumn("block", F.pmod(F.xxhash64("v", "piece"), F.ceil(F.col("total") / block_rows)))
+    blocks = pieces.groupBy(*side, "block").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"), F.sum("c").alias("n"), F.max("total").alias("total"))
+    blocks = blocks.withColumn("stream", F.xxhash64(F.lit(seed), *side, "block"))
+
+    def allot(batches):
+        seen, left = 0, None
+        for batch in batches:
+            n, total, stream = (batch.column(c).to_pylist() for c in ("n", "total", "stream"))
+            drawn = []
+            for i in range(len(n)):
+                if seen == 0:
+                    left = np.full(draws, total[i], dtype=np.int64)
+                taken = np.random.default_rng([stream[i] & MASK, 1]).binomial(left, n[i] / (total[i] - seen))
+                left, seen = left - taken, (seen + n[i]) % total[i]
+                drawn.append(taken.astype("<i8").tobytes())
+                if len(drawn) == 64 or i + 1 == len(n):
+                    part = batch.slice(i + 1 - len(drawn), len(drawn))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(drawn, pa.binary())], names=[*part.schema.names, "drawn"])
+                    drawn = []
+
+    ordered = blocks.select(*side, "block", "n", "total", "stream").repartition(*side).sortWithinPartitions(*side, "block")
+    allotted = ordered.mapInArrow(allot, StructType([*ordered.schema.fields, StructField("drawn", BinaryType())])).select(*side, "block", "drawn")
+    dealt = null_safe(blocks, allotted, [*side, "block"], "inner").select(*side, "values.v", "values.c", "stream", "drawn")
+
+    def draw(batches):
+        held = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                v, c = (one.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("v", "c"))
+                rng = np.random.Generator(np.random.SFC64([one.column("stream")[0].as_py() & MASK, 2]))
+                sums = _drawn_sums(np.repeat(v, c), np.frombuffer(one.column("drawn")[0].as_py(), "<i8"), rng)
+                of = tuple(one.column(k)[0].as_py() for k in side)
+                if of in held:
+                    held[of] = (held[of][0], held[of][1] + sums)
+                else:
+                    held[of] = (one.select(side), sums)
+                if len(held) == 64:
+                    yield from folded(held)
+                    held = {}
+        yield from folded(held)
+
+    def folded(held):
+        for of, sums in held.values():
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array([sums], pa.list_(pa.float64()))], names=[*side, "sums"])
+
+    sums = dealt.mapInArrow(draw, StructType([*dealt.select(*side).schema.fields, StructField("sums", ArrayType(DoubleType()))]))
+    at = lambda x, c: F.when(F.col("side") == x, F.col(c))
+    by_draw = sums.select(*side, F.posexplode("sums").alias("draw", "s")).groupBy(*keys, "draw").agg(F.sum(at(1, "s")).alias("a"), F.sum(at(2, "s")).alias("b"))
+    plain = sizes.groupBy(*keys).agg(*[F.max(at(x, c)).alias(f"{c}{x}") for x in (1, 2) for c in ("mean", "total")])
+    both = null_safe(by_draw, plain, keys, "inner").filter("total1 IS NOT NULL AND total2 IS NOT NULL")
+    ratio = S.ratio(F.col("a") / F.col("total1"), F.col("b") / F.col("total2"))
+    out = both.groupBy(*keys).agg(F.first(S.ratio(F.col("mean1"), F.col("mean2"))).alias("ratio"), F.array_sort(F.collect_list(ratio)).alias("r"))
+    return out.select(*keys, "ratio", F.get("r", F.lit(int(0.025 * draws))).alias("ci_low"), F.get("r", F.lit(int(0.975 * draws) - 1)).alias("ci_high"))
+
+
+def _drawn_sums(values: np.ndarray, drawn: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """For each entry of ``drawn``, the sum of so many values taken with replacement."""
+    return np.array([values.take(rng.integers(0, len(values), m)).sum() for m in drawn.tolist()])
+
+
 # --- baselines and speedups ------------------------------------------------------------------------------------------------
 
 

@@ -249,9 +249,7 @@ def asked_vs_used(spark, sf_dir):
 
 
 def bootstrap(spark, sf_dir):
-    t = trials(spark, sf_dir).groupBy("model", "device", "cpus").agg(F.sort_array(F.collect_list(F.when(baseline(), F.col("wall_s")))).alias("base"), F.sort_array(F.collect_list(F.when(~baseline(), F.col("wall_s")))).alias("other"))
-    cells = t.filter((F.size("base") > 0) & (F.size("other") > 0)).groupBy("model", "device").agg(F.sort_array(F.collect_list(F.element_at("base", 1))).alias("base"), F.sort_array(F.collect_list(F.element_at("other", 1))).alias("other"))
-    return rounded(T.bootstrap_ratio(cells, ["model", "device"], "base", "other", draws=400, seed=42))
+    return rounded(T.bootstrap_pooled(trials(spark, sf_dir), ["model", "device"], "wall_s", baseline(), ~baseline(), seed=42))
 
 
 def throughput(spark, sf_dir):

@@ -13,6 +13,7 @@ from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
 from quakeframe.operators import matching, metrics, picks, prep, trials
 from quakeframe.operators.runs import with_runs
+from quakeframe.plans import trial_queries
 from quakeframe.sources import readers, sinks
 from quakeframe.streaming import stations as K
 
@@ -265,6 +266,29 @@ def test_bootstrap(spark):
     assert (got["one"]["ci_low"], got["one"]["ci_high"]) == (2.0, 2.0)
 
 
+def test_pooled_bootstrap_draws_all_repeats(spark):
+    a, b = [float(i % 97) for i in range(6000)], [50.0] * 3000 + [float(i % 31) for i in range(900)]
+    rows = [("k", True, x) for x in a] + [("k", False, x) for x in b] + [(None, True, 4.0), (None, False, 2.0), ("half", True, 1.0), ("k", True, None)]
+    df = spark.createDataFrame(rows, "k string, top boolean, v double")
+    run = lambda d: {r["k"]: r for r in trials.bootstrap_pooled(d, ["k"], "v", F.col("top"), ~F.col("top"), draws=2000, block_rows=1000).collect()}
+    got = run(df.repartition(7))
+    ratio = np.mean(a) / np.mean(b)
+    deviation = ratio * np.sqrt(np.var(a) / len(a) / np.mean(a) ** 2 + np.var(b) / len(b) / np.mean(b) ** 2)
+    assert set(got) == {"k", None} and abs(got["k"]["ratio"] - ratio) < 1e-9
+    assert abs((got["k"]["ci_high"] - got["k"]["ci_low"]) / (2 * 1.96 * deviation) - 1) < 0.1
+    assert (got[None]["ratio"], got[None]["ci_low"], got[None]["ci_high"]) == (2.0, 2.0, 2.0)
+    assert abs(run(df.coalesce(1))["k"]["ci_low"] - got["k"]["ci_low"]) < 1e-9
+
+
+def test_bootstrap_query_is_of_all_repeats(spark):
+    got = {(r["model"], r["device"]): r for r in trial_queries.bootstrap(spark, "/root/testdata/sf0.001").collect()}
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").toPandas()
+    rows["base"] = rows.l_suppkey % 5 == 0
+    for cell, x in rows.groupby(["l_returnflag", "l_linestatus"]):
+        assert abs(x[x.base].l_extendedprice.mean() / x[~x.base].l_extendedprice.mean() - got[cell]["ratio"]) < 1e-5
+        assert got[cell]["ci_low"] < got[cell]["ratio"] < got[cell]["ci_high"]
+
+
 def test_files_of_an_archive(spark, tmp_path):
     for name in ("X/a.MSEED", "Y/b.mseed", "Y/c.txt", "20240101T000000Z_20240101T000100Z/d.sac"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
