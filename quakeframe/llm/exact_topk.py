@@ -124,7 +124,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     """``query_id, rank, vec_id, score``: the k largest integer inner products of each query row with all other rows.
 
     ``vectors`` has ``vec_id`` and ``embedding``.  Vectors that are null or hold null or non-finite components, and
-    null ids, take no part.  Vectors of different length are never compared.  Rows of one id are each other's own
+    null ids, take no part.  Vectors of different length are never compared; two empty vectors score 0.  Rows of one id are each other's own
     row.  Every block of queries meets every block of vectors once, each pair in a task of its own; blocks are
     bounded, and only k rows a query and block leave a task.
     """
@@ -145,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
             for row in batch.to_pylist():
                 dim = row["dim"]
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                block, queries = (np.frombuffer(x, "<f8").reshape(-1, dim) for x in (row["data"], row["q_data"]))
+                block, queries = (np.frombuffer(x, "<f8").reshape(len(n), dim) for x, n in ((row["data"], ids), (row["q_data"], q_ids)))
                 out += best_in_block(q_ids, queries, ids, block, k)
             columns = list(zip(*out, strict=True)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c, dtype=np.int64)) for c in columns], names=["query_id", "vec_id", "score"])

@@ -329,6 +329,12 @@ def test_top_k_equals_brute_force(spark):
     assert exact_topk.top_k(df.filter("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def test_empty_vectors_score_nothing(spark):
+    rows = [(0, []), (1, []), (2, []), (50, [1.0, 2.0]), (51, [0.5, 1.0]), (100, [])]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, lanes=4).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == plain_top(rows)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     block, queries_ = rng.integers(-300, 300, (500, 16)).astype(float), rng.integers(-300, 300, (20, 16)).astype(float)
