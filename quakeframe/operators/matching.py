@@ -1,7 +1,8 @@
 """Matching of picks: tolerance joins with a greedy order, pick-set comparison, station names.
 
 Greedy matching depends on order, but picks farther apart than the tolerance never meet.  Picks of a station are cut
-into runs without a wider gap, and the greedy rule folds over one run at a time, inside the JVM.
+into runs without a wider gap; the greedy rule folds over a short run inside the JVM, and long runs are settled by
+stretches of time (``dense``).
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.functions.scalars import let
-from quakeframe.operators.runs import with_runs
+from quakeframe.operators.dense import pair_up
+from quakeframe.operators.runs import short_and_long, with_runs
 
 
 def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, order: str = "sample", value: str = "sample") -> DataFrame:
@@ -26,11 +28,18 @@ def match_picks(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float, o
     both = left.unionByName(right).filter(F.col("v").isNotNull())
     for k in keys:
         both = both.filter(F.col(k).isNotNull())
-    grouped = with_runs(both, keys, "v", tolerance).groupBy(*keys, "run").agg(
+    short, long = short_and_long(with_runs(both, keys, "v", tolerance), keys)
+    grouped = short.groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list(F.when(F.col("is_a"), F.struct("o", "v")))).alias("a"),
         F.array_sort(F.collect_list(F.when(~F.col("is_a"), F.col("v")))).alias("b"),
     )
-    return grouped.select(*keys, F.inline(_fold(F.col("a"), F.col("b"), tolerance)))
+    folded = grouped.select(*keys, F.inline(_fold(F.col("a"), F.col("b"), tolerance)))
+    if long is None:
+        return folded
+    far = F.isnan("v") | (F.abs("v") == float("inf"))  # within reach of nothing
+    alone = long.filter(far).select(*keys, F.when(F.col("is_a"), F.col("v")).alias("a_value"), F.when(~F.col("is_a"), F.col("v")).alias("b_value"), F.when(F.col("is_a"), "a").otherwise("b").alias("side"))
+    paired = pair_up(long.filter(~far).withColumn("w", F.lit(None).cast("double")), [*keys, "run"], tolerance)
+    return folded.unionByName(alone).unionByName(paired.select(*keys, F.col("a_v").alias("a_value"), F.col("b_v").alias("b_value"), "side"))
 
 
 def _fold(a: Column, b: Column, tolerance: float) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quakeframe.functions.scalars import let
-from quakeframe.operators.runs import with_runs
+from quakeframe.operators.dense import pair_up
+from quakeframe.operators.runs import short_and_long, with_runs
 
 MakePredict = Callable[[], Callable[[np.ndarray], np.ndarray]]
 #: Models by name; a user adds a function that loads a model and returns its batch function.
@@ -160,7 +161,8 @@ def pair_phases(picks: DataFrame, keys: list[str], t: str = "t", prob: str = "pr
     """
     runs = with_runs(picks.select(*keys, "phase", F.col(t).alias("t"), F.col(prob).alias("prob")), keys, "t", most, inclusive=True)
     of = lambda x: F.array_sort(F.collect_list(F.when(F.col("phase") == x, F.struct("t", "prob"))))
-    g = runs.groupBy(*keys, "run").agg(of("P").alias("p"), of("S").alias("s"))
+    short, long = short_and_long(runs, keys)
+    g = short.groupBy(*keys, "run").agg(of("P").alias("p"), of("S").alias("s"))
     row = "array<struct<p_time:double,p_prob:double,s_time:double,s_prob:double>>"
     indexed = F.transform("s", lambda x, i: F.struct(i.alias("i"), x["t"].alias("t"), x["prob"].alias("prob")))
     nothing = F.lit(None).cast("double")
@@ -175,7 +177,17 @@ def pair_phases(picks: DataFrame, keys: list[str], t: str = "t", prob: str = "pr
     def alone(used: Column) -> Column:
         return F.transform(F.filter(indexed, lambda s: ~F.array_contains(used, s["i"])), lambda s: F.struct(nothing.alias("p_time"), nothing.alias("p_prob"), s["t"].alias("s_time"), s["prob"].alias("s_prob")))
 
-    return g.select(*keys, F.inline(let(done, lambda d: F.concat(d["rows"], alone(d["used"])))))
+    folded = g.select(*keys, F.inline(let(done, lambda d: F.concat(d["rows"], alone(d["used"])))))
+    if long is None:
+        return folded
+    v = F.col("t").cast("double")
+    rows = long.filter(F.col("phase").isin("P", "S") & F.col("t").isNotNull())
+    rows = rows.select(*keys, "run", (F.col("phase") == "P").alias("is_a"), v.alias("o"), v.alias("v"), F.col("prob").cast("double").alias("w"))
+    far = F.isnan("v") | (F.abs("v") == float("inf"))  # within reach of nothing
+    sides = [F.when(c, F.col(x)).alias(n) for n, c, x in (("p_time", F.col("is_a"), "v"), ("p_prob", F.col("is_a"), "w"), ("s_time", ~F.col("is_a"), "v"), ("s_prob", ~F.col("is_a"), "w"))]
+    paired = pair_up(rows.filter(~far), [*keys, "run"], most, following=True)
+    paired = paired.select(*keys, F.col("a_v").alias("p_time"), F.col("a_w").alias("p_prob"), F.col("b_v").alias("s_time"), F.col("b_w").alias("s_prob"))
+    return folded.unionByName(rows.filter(far).select(*keys, *sides)).unionByName(paired)
 
 
 def with_empty_stations(paired: DataFrame, stations: DataFrame, keys: list[str]) -> DataFrame:

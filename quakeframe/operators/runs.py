@@ -2,9 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Runs of up to so many picks fold inside a row; longer ones are settled by stretches.
+SHORT = 64
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder named by ``spark.checkpoint.dir`` and reread; a temporary one in local mode."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="quakeframe-")
+        spark.sparkContext.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def short_and_long(runs: DataFrame, keys: list[str], most: int = SHORT) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of runs of up to ``most`` rows, and rows of longer ones (None without any)."""
+    runs = materialised(runs)
+    long = runs.groupBy(*keys, "run").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(*[F.col(k).alias(f"__{k}") for k in [*keys, "run"]])
+    if long.isEmpty():
+        return runs, None
+    on = F.lit(True)
+    for k in [*keys, "run"]:
+        on = on & runs[k].eqNullSafe(F.col(f"__{k}"))
+    return runs.join(long, on, "left_anti"), runs.join(long, on, "left_semi")
+
 
 def with_runs(df: DataFrame, keys: list[str], value: str, gap: float, inclusive: bool = False, width: float | None = None) -> DataFrame:
     """Add ``run``: the first value of the row's run.  A run ends where the next value is more than ``gap`` away

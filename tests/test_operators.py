@@ -70,6 +70,41 @@ def test_greedy_equals_a_plain_loop(spark, a, b):
     assert sorted((r["a_value"], r["b_value"]) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("by", ["sample", "pos"])
+def test_a_busy_station_is_matched_by_stretches(spark, by):
+    rng = np.random.default_rng(3)
+    a, b = [rng.integers(0, 2000, n).tolist() for n in (900, 950)]
+    x, y, tol = match(spark, a, b, 20)
+    x = x.unionByName(spark.createDataFrame([("quiet", "P", 5.0, 0.0)], x.schema))
+    got = matching.match_picks(x, y, ["station", "phase"], tol, order=by).collect()
+    free, want = sorted(b), [(5.0, None, "a")]
+    for v in sorted(a) if by == "sample" else a:
+        near = min(free, key=lambda w: (abs(w - v), w), default=None)
+        if near is not None and abs(near - v) <= tol:
+            free.remove(near)
+            want.append((v, near, "pair"))
+        else:
+            want.append((v, None, "a"))
+    want += [(None, v, "b") for v in free]
+    assert sorted(((r["a_value"], r["b_value"], r["side"]) for r in got), key=str) == sorted([tuple(float(v) if isinstance(v, int) else v for v in w) for w in want], key=str)
+    assert sum(w[2] == "pair" for w in want) > 700
+
+
+def test_phases_of_a_busy_station_are_paired_by_stretches(spark):
+    rng = np.random.default_rng(5)
+    rows = [("s", str(rng.choice(["P", "S"])), float(t), None if i % 9 == 0 else float(rng.integers(0, 3))) for i, t in enumerate(rng.integers(0, 2000, 1500))]
+    got = picks.pair_phases(spark.createDataFrame(rows, "station string, phase string, t double, prob double"), ["station"]).collect()
+    key = lambda r: (r[0], r[1] is not None, r[1] or 0.0)
+    free, want = sorted([r[2:] for r in rows if r[1] == "S"], key=key), []
+    for p in sorted([r[2:] for r in rows if r[1] == "P"], key=key):
+        hit = next((s for s in free if p[0] < s[0] < p[0] + 30), (None, None))
+        if hit[0] is not None:
+            free.remove(hit)
+        want.append((*p, *hit))
+    want += [(None, None, *s) for s in free]
+    assert sorted((tuple(r)[1:] for r in got), key=str) == sorted(want, key=str)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(hs.lists(hs.integers(-300, 300), max_size=25), hs.booleans())
 def test_runs_equal_a_plain_loop(spark, values, inclusive):
