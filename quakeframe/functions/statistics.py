@@ -18,14 +18,18 @@ def percentile(x: Column, q: float, method: str = "linear") -> Column:
     """An exact percentile by one of three rules.
 
     ``linear`` interpolates; ``nearest`` takes the rank floor(q (n - 1) + 1/2); ``half_even`` rounds that rank half
-    to even.  The rank rules gather the group's values, so use them where groups are small.
+    to even.  The rank rules gather the group's values, so use them where groups are small (``trials.tails`` elsewhere).
     """
     if method == "linear":
         return F.percentile(x, q)
     values = F.sort_array(F.collect_list(x))
-    place = (F.size(values) - 1) * q
-    rank = F.floor(place + 0.5) if method == "nearest" else F.bround(place, 0)
-    return F.get(values, rank.cast("int"))
+    return F.get(values, rank_of(F.size(values), q, method).cast("int"))
+
+
+def rank_of(n: Column, q: float, method: str) -> Column:
+    """The rank, from 0, of a percentile of n values by ``nearest`` or ``half_even``."""
+    place = (n - 1) * q
+    return F.floor(place + 0.5) if method == "nearest" else F.bround(place, 0)
 
 
 def t_quantile(n: Column, last: int = 30) -> Column:

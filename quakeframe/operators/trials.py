@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, St
 
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
+from quakeframe.operators.runs import materialised
 
 MASK = (1 << 64) - 1
 
@@ -352,12 +353,27 @@ def cold_and_warm(df: DataFrame, keys: list[str], index: str, value: str, idle:
 
 
 def tails(df: DataFrame, keys: list[str], value: str, method: str = "nearest", deadlines: tuple[float, ...] = (10.0, 60.0)) -> DataFrame:
-    """Upper percentiles of pooled samples by a rank rule, the maximum and the misses of each deadline."""
+    """Upper percentiles of pooled samples by a rank rule, the maximum and the misses of each deadline.
+
+    Values are counted, then dealt by ranges of (keys, value); the one at a rank follows from sums of ranges and sums
+    within a range, so a busy group spreads over tasks.
+    """
     x = F.col(value)
-    return df.groupBy(*keys).agg(
-        F.count(x).alias("n"), *[st.percentile(x, q / 100, method).alias(f"p{q}") for q in (90, 95, 99)], F.max(x).alias("max"),
-        *[F.count_if(x > d).alias(f"over_{d:g}") for d in deadlines],
-    )
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.max(x).alias("max"), *[F.count_if(x > d).alias(f"over_{d:g}") for d in deadlines])
+    counts = df.filter(x.isNotNull()).groupBy(*keys, x.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = materialised(counts.repartitionByRange(*keys, "__v").withColumn("__range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys, "__range").agg(F.sum("__n").alias("__sum")).withColumn("__offset", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)))
+    inside = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    rows = null_safe(null_safe(rows, sums, [*keys, "__range"], "inner"), plain.select(*keys, "n"), keys, "inner").withColumn("__before", F.col("__offset") + F.col("__inside"))
+
+    def at(q: float) -> Column:
+        rank = st.rank_of(F.col("n"), q, method)
+        return F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col("__v")))
+
+    found = rows.groupBy(*keys).agg(*[at(q / 100).alias(f"p{q}") for q in (90, 95, 99)])
+    return null_safe(plain, found, keys, "left").select(*keys, "n", "p90", "p95", "p99", "max", *[f"over_{d:g}" for d in deadlines])
 
 
 def latency_block(df: DataFrame, keys: list[str], ready: str, queued: str, returned: str) -> DataFrame:

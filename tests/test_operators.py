@@ -301,6 +301,19 @@ def test_bootstrap(spark):
     assert (got["one"]["ci_low"], got["one"]["ci_high"]) == (2.0, 2.0)
 
 
+@pytest.mark.parametrize("method", ["nearest", "half_even"])
+def test_tails_of_a_busy_group_are_not_gathered(spark, method):
+    values = [float(i * 37 % 1001) for i in range(3000)] + [7.0] * 500
+    df = spark.createDataFrame([("k", v) for v in values] + [("k", None), (None, 3.0), ("none", None)], "k string, v double")
+    out = trials.tails(df, ["k"], "v", method, (500.0,))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got, ordered = {r["k"]: r for r in out.collect()}, sorted(values)
+    rank = (lambda q: int(q * (len(values) - 1) + 0.5)) if method == "nearest" else (lambda q: round(q * (len(values) - 1)))
+    assert [got["k"][f"p{q}"] for q in (90, 95, 99)] == [ordered[rank(q / 100)] for q in (90, 95, 99)]
+    assert (got["k"]["n"], got["k"]["max"], got["k"]["over_500"]) == (3500, 1000.0, sum(v > 500 for v in values))
+    assert (got[None]["p99"], got["none"]["n"], got["none"]["p90"]) == (3.0, 0, None)
+
+
 def test_pooled_bootstrap_draws_all_repeats(spark):
     a, b = [float(i % 97) for i in range(6000)], [50.0] * 3000 + [float(i % 31) for i in range(900)]
     rows = [("k", True, x) for x in a] + [("k", False, x) for x in b] + [(None, True, 4.0), (None, False, 2.0), ("half", True, 1.0), ("k", True, None)]
