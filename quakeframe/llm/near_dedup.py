@@ -6,9 +6,15 @@ similarity s stay together in a child with probability s for each coordinate, so
 nodes does not die out at 0.75, while unlike sets part quickly.  Nodes without company end; small ones are compared
 exhaustively by signature; large ones branch on.  Several trees raise recall.
 
+A large node full of near copies would branch for long, since near copies go the same ways.  So a few consensus
+signatures of the node absorb what differs from them in at most ``reach`` coordinates: absorbed members leave the
+node, and every other member that could be alike to one of them joins the same star.  Differing coordinates are a
+distance, so that no pair of the node which the signatures leave open is lost by this, whatever the consensus is.
+
 What a leaf finds alike it reports as stars, never as all pairs.  The stars' components are clusters that may link.
-A cluster's full shingle sets meet in one row (those of a large cluster in pairs of blocks), where every pair that
-the signatures leave open is confirmed exactly, unless a chain of confirmed links already joins it.
+A cluster's full shingle sets meet in blocks, where every pair that the signatures leave open is confirmed exactly,
+unless a chain of confirmed links already joins it.  Of a cluster of several blocks first the blocks are confirmed,
+each with the same few leading members; then only members outside the largest confirmed component meet the other blocks.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import materialise, strings
+from quakeframe.llm.common import materialise, running_totals, strings
 from quakeframe.llm.components import connected_components
 from quakeframe.llm.shingles import scramble, shingle_sets
 
@@ -30,10 +36,13 @@ from quakeframe.llm.shingles import scramble, shingle_sets
 class Plan:
     """Parameters of the join.
 
-    A pair at ``percent`` shares a leaf of one tree with probability 0.89 at least (the branching of two coordinates
-    at 0.75 survives any depth), hence of one of five trees with 0.99998.  ``slack`` is how far a signature's
-    estimate may lie below the threshold, four standard deviations of 64 coordinates.  ``small`` bounds a leaf, and
-    ``block_docs`` and ``block_shingles`` bound about half of what meets in one row of the confirmation.
+    A pair whose signatures agree in three quarters of the coordinates shares a leaf of one tree with probability
+    0.89 at least (the branching of two coordinates at 0.75 survives any depth), hence of one of five trees with
+    0.99998.  ``slack`` is how far a signature's estimate may lie below the threshold: ``deviations`` standard
+    deviations of its coordinates, or all the way where ``deviations`` is infinite, so that every pair of a leaf is
+    confirmed on full sets.  ``small`` bounds a leaf.  A node above it takes up to ``centres`` consensus signatures
+    from about ``sample`` members, each of which absorbs up to a distance of ``reach`` coordinates.  ``block_docs``
+    and ``block_shingles`` bound a block of the confirmation, beside one text that may be longer.
     """
 
     width: int = 5
@@ -42,19 +51,28 @@ class Plan:
     trees: int = 5
     small: int = 1024
     depth: int = 8
+    deviations: float = 4.0
+    reach: int = 10
+    sample: int = 64
+    centres: int = 8
     block_docs: int = 512
     block_shingles: int = 1 << 20
 
     @property
     def slack(self) -> float:
         p = self.percent / 100
-        return 4 * (p * (1 - p) / self.coordinates) ** 0.5
+        return min(self.deviations * (p * (1 - p) / self.coordinates) ** 0.5, p)
 
     @property
     def floor(self) -> int:
         """Equal coordinates from which on a pair is looked at."""
         return int((self.percent / 100 - self.slack) * self.coordinates)
 
+    @property
+    def unit(self) -> int:
+        """The least a text weighs in a block, so that a block holds ``block_docs`` texts at most."""
+        return max(1, self.block_shingles // self.block_docs)
+
 
 def factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = scramble(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -153,10 +171,77 @@ def in_blocks(rows: DataFrame, plan: Plan) -> DataFrame:
     return dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", "sig")
 
 
-def leaves(reps: DataFrame, plan: Plan) -> DataFrame:
-    """``node, rep, sig``: the members of all nodes that are compared exhaustively."""
+def consensus(sig: np.ndarray, plan: Plan) -> np.ndarray:
+    """Signatures that many of a node's sampled members are near to: the most frequent values of a group by coordinate."""
+    found: list[np.ndarray] = []
+    while len(sig) and len(found) < plan.centres:
+        near = alike(sig, plan, slice(0, len(sig))) >= plan.floor
+        group = sig[near[near.sum(axis=1).argmax()]]
+        middle = np.empty(sig.shape[1], dtype=np.uint32)
+        for c in range(sig.shape[1]):
+            values, counts = np.unique(group[:, c], return_counts=True)
+            middle[c] = values[counts.argmax()]
+        covered = (sig == middle).sum(axis=1) >= plan.coordinates - plan.reach
+        if covered.sum() < max(2, plan.sample // 8):
+            break
+        found.append(middle)
+        sig = sig[~covered]
+    return np.array(found, dtype=np.uint32).reshape(-1, sig.shape[1])
+
+
+def absorb(large: DataFrame, plan: Plan) -> DataFrame:
+    """``node, rep, sig, near, around``: the centre that absorbs a member (or -1), and else those it may have to do with.
+
+    A member at a distance of ``reach`` or less goes to its nearest centre.  A pair that is looked at differs in
+    ``coordinates - floor`` places at most, so what may pair with an absorbed member lies within that plus ``reach``
+    of the centre.  The sample of a node decides how much is absorbed, never which pairs are looked at.
+    """
+    n = plan.coordinates
+    drawn = F.pmod(F.xxhash64("node", "rep"), F.lit(1 << 30)) * F.col("n") < F.lit(plan.sample << 30)
+    lists = large.filter(drawn).groupBy("node").agg(F.collect_list("sig").alias("m"))
+
+    def choose(batches):
+        for batch in batches:
+            middles = [consensus(np.frombuffer(b"".join(sorted(m)), np.uint32).reshape(-1, n), plan).tobytes() for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(middles, pa.binary())], names=["node", "middles"])
+
+    middles = lists.mapInArrow(choose, "node long, middles binary").filter(F.length("middles") > 0)
+
+    def run(batches):
+        for batch in batches:
+            sig = matrix(batch.column(2), n)
+            near = np.full(len(sig), -1, dtype=np.int32)
+            around: list[list[int]] = [[]] * len(sig)
+            rows_of: dict[bytes, list[int]] = {}
+            for i, m in enumerate(batch.column(3).to_pylist()):
+                if m:
+                    rows_of.setdefault(m, []).append(i)
+            for m, rows in rows_of.items():
+                same = np.stack([(sig[rows] == middle).sum(axis=1) for middle in np.frombuffer(m, np.uint32).reshape(-1, n)], axis=1)
+                best = same.argmax(axis=1)
+                taken = same[np.arange(len(rows)), best] >= n - plan.reach
+                near[rows] = np.where(taken, best, -1)
+                for i, row, gone in zip(rows, same >= plan.floor - plan.reach, taken, strict=True):
+                    if not gone and row.any():
+                        around[i] = np.flatnonzero(row).tolist()
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(near), pa.array(around, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "sig", "near", "around"])
+
+    joined = large.join(middles, "node", "left").select("node", "rep", "sig", "middles")
+    return joined.mapInArrow(run, "node long, rep long, sig binary, near int, around array<int>")
+
+
+def absorbed_stars(absorbed: DataFrame) -> DataFrame:
+    """``a, b``: each centre's members, and those around it, with the least id that it has absorbed."""
+    hubs = absorbed.filter("near >= 0").groupBy("node", "near").agg(F.min("rep").alias("hub"))
+    touched = absorbed.select("node", "rep", F.explode(F.when(F.col("near") >= 0, F.array("near")).otherwise(F.col("around"))).alias("near"))
+    return touched.join(hubs, ["node", "near"]).filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+
+
+def leaves(reps: DataFrame, plan: Plan) -> tuple[DataFrame, DataFrame | None]:
+    """``node, rep, sig`` of all nodes that are compared exhaustively, and the stars (``a, b``) of what was absorbed."""
     rows = roots(reps, plan)
-    done = None
+    done = found = None
     for level in range(plan.depth + 1):
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         shared = rows.join(counts, "node")
@@ -167,11 +252,19 @@ def leaves(reps: DataFrame, plan: Plan) -> DataFrame:
         done = now if done is None else done.unionByName(now)
         large = shared.filter(F.col("n") > plan.small)
         if large.isEmpty():
-            return done
+            break
+        absorbed = materialise(absorb(large, plan))
+        stars_ = absorbed_stars(absorbed)
+        found = stars_ if found is None else found.unionByName(stars_)
+        left = absorbed.filter("near < 0").select("node", "rep", "sig")
+        left = left.join(left.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+        done = done.unionByName(left.filter(F.col("n") <= plan.small).select("node", "rep", "sig"))
+        large = left.filter(F.col("n") > plan.small)
         if level == plan.depth:
-            return done.unionByName(in_blocks(large, plan))
-        rows = branch(large, plan)
-    return done
+            done = done.unionByName(in_blocks(large, plan))
+        else:
+            rows = branch(large, plan)
+    return done, found
 
 
 def alike(sig: np.ndarray, plan: Plan, rows: slice) -> np.ndarray:
@@ -214,11 +307,14 @@ def candidates(members: DataFrame, plan: Plan) -> DataFrame:
             pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return lists.select("m").mapInArrow(run, "a long, b long").distinct()
+    return lists.select("m").mapInArrow(run, "a long, b long")
 
 
-def confirmed(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
-    """Links that join the confirmed components of one bundle; of two blocks, only pairs across them are looked at."""
+def confirmed(ids: np.ndarray, labels: np.ndarray, asks: np.ndarray, sets: list[np.ndarray], plan: Plan) -> list[tuple[int, int]]:
+    """Links that join the confirmed components of one bundle; texts of one label are joined already.
+
+    Only pairs in which one text asks are looked at.
+    """
     sig = signatures(sets, plan.coordinates)
     sizes = np.array([len(s) for s in sets])
     parent = list(range(len(ids)))
@@ -229,18 +325,22 @@ def confirmed(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], plan:
             x = parent[x]
         return x
 
-    two = len(set(blocks.tolist())) > 1
     found, step = [], max(1, (1 << 20) // len(ids))
-    for start in range(0, len(ids), step):
-        rows = slice(start, min(len(ids), start + step))
-        same = alike(sig, plan, rows)
+    asking = np.flatnonzero(asks)
+    _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+    for i, g in enumerate(group.tolist()):
+        parent[i] = int(first[g])
+    for start in range(0, len(asking), step):
+        rows = asking[start : start + step]
+        same = np.zeros((len(rows), len(ids)), dtype=np.uint8)
+        for c in np.ascontiguousarray(sig.T):
+            same += c[rows, None] == c[None, :]
         x, y = np.nonzero(same >= plan.floor)
-        keep = (x + start < y) & (100 * np.minimum(sizes[x + start], sizes[y]) >= plan.percent * np.maximum(sizes[x + start], sizes[y]))
-        if two:
-            keep &= blocks[x + start] != blocks[y]
+        keep = (labels[rows[x]] != labels[y]) & ((rows[x] < y) | ~asks[y])
+        keep &= 100 * np.minimum(sizes[rows[x]], sizes[y]) >= plan.percent * np.maximum(sizes[rows[x]], sizes[y])
         x, y = x[keep], y[keep]
         order = np.argsort(-same[x, y].astype(np.int16), kind="stable")
-        for i, j in zip((x[order] + start).tolist(), y[order].tolist(), strict=True):
+        for i, j in zip(rows[x[order]].tolist(), y[order].tolist(), strict=True):
             a, b = root(i), root(j)
             if a != b:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -250,41 +350,100 @@ def confirmed(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], plan:
     return found
 
 
-def confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b``: confirmed links of clusters (``id, component``), enough to join all that is linked."""
+def bundled(rows: DataFrame, by: list[str], plan: Plan) -> DataFrame:
+    """``a, b``: confirmed links within each bundle of ``rep, label, asks, shingles`` that has the same ``by``."""
+    lists = rows.groupBy(*by).agg(F.collect_list(F.struct("rep", "label", "asks", "shingles")).alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            values, edges = column.values, column.offsets.to_numpy()
+            ids, labels, data = values.field("rep").to_numpy(), values.field("label").to_numpy(), values.field("shingles")
+            asks = values.field("asks").to_numpy(zero_copy_only=False)
+            out = []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in data.slice(start, end - start).to_pylist()]
+                out += confirmed(ids[start:end], labels[start:end], asks[start:end], sets, plan)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return lists.select("m").mapInArrow(run, "a long, b long")
+
+
+def in_turn(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Add ``before``: the weight of a cluster's earlier texts, by fingerprint; it deals them to blocks of bounded weight."""
+    rows = materialise(rows.withColumns({"order": F.lower(F.hex("print")), "weight": F.greatest(F.col("n_shingles"), F.lit(plan.unit))}))
+    return running_totals(rows, ["component"], "order", ["id"], F.col("weight")).drop("order")
+
+
+def placed_in_blocks(clusters: DataFrame, classes: DataFrame, plan: Plan) -> tuple[DataFrame, bool]:
+    """``id, component, print, n_shingles, block, blocks, leads`` of all clustered classes, and whether any cluster has several blocks.
+
+    A block's texts weigh ``block_shingles`` and the last of them at most.  The first texts of a cluster lead it.
+    """
     sized = clusters.join(classes.select(F.col("rep").alias("id"), "n_shingles", "print"), "id")
-    totals = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / plan.block_docs), F.ceil(F.sum("n_shingles") / plan.block_shingles)).cast("int").alias("blocks"))
-    wanted = sized.join(totals, "component").select(F.col("id").alias("doc_id"), "component", "blocks", "print")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    heavy = sized.groupBy("component").agg(F.sum(F.greatest(F.col("n_shingles"), F.lit(plan.unit))).alias("total"))
+    sized = materialise(sized.join(heavy, "component"))
+    one = sized.filter(F.col("total") <= plan.block_shingles)
+    small = one.select("id", "component", "print", "n_shingles", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("blocks"), F.lit(False).alias("leads"))
+    several = sized.filter(F.col("total") > plan.block_shingles)
+    if several.isEmpty():
+        return small, False
+    block = F.floor(F.col("before") / plan.block_shingles)
+    last = F.floor(F.col("total") / plan.block_shingles) + 1
+    large = in_turn(several, plan).select("id", "component", "print", "n_shingles", block.alias("block"), last.alias("blocks"), (F.col("before") < 4 * plan.unit).alias("leads"))
+    return materialise(small.unionByName(large)), True
+
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
+    """The full sets of ``wanted`` (``id, print`` and more), with ``rep`` for ``id`` and ``shingles``; once for repeated rows."""
+    rest = [c for c in wanted.columns if c not in ("id", "print")]
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("id", "text", "print", *rest)
+    fields = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
+    schema = ", ".join(["rep long", "print binary", *[f"{c} {fields[c]}" for c in rest], "shingles binary"])
 
-    def to_sets(batches):
+    def run(batches):
         for batch in batches:
             keep, sets = [], []
-            prints = batch.column(4).to_pylist()
-            for own, print_ in zip(shingle_sets(strings(batch.column(1)), plan.width), prints, strict=True):
+            for own, print_ in zip(shingle_sets(strings(batch.column(1)), plan.width), batch.column(2).to_pylist(), strict=True):
                 keep.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() == print_)  # not another text of the same id
                 if keep[-1]:
                     sets.append(own.tobytes())
             fits = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(2).filter(fits), batch.column(3).filter(fits), pa.array(sets, pa.binary())], names=["rep", "component", "blocks", "shingles"])
+            columns = [batch.column(i).filter(fits) for i in (0, *range(2, 3 + len(rest)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], names=["rep", "print", *rest, "shingles"])
 
-    sets = texts.select("doc_id", "text", "component", "blocks", "print").mapInArrow(to_sets, "rep long, component long, blocks int, shingles binary")
-    sets = materialise(sets.dropDuplicates(["rep", "component"]))
-    dealt = sets.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    bundles = dealt.groupBy("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list(F.struct("rep", "own", "shingles")).alias("m"))
+    return texts.mapInArrow(run, schema).dropDuplicates(["rep", "print"])
 
-    def run(batches):
-        for batch in batches:
-            column = batch.column(0)
-            values, edges = column.values, column.offsets.to_numpy()
-            ids, blocks, data = values.field("rep").to_numpy(), values.field("own").to_numpy(), values.field("shingles")
-            out = []
-            for start, end in zip(edges[:-1], edges[1:], strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in data.slice(start, end - start).to_pylist()]
-                out += confirmed(ids[start:end], blocks[start:end], sets, plan)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    return bundles.select("m").mapInArrow(run, "a long, b long")
+def confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """``a, b``: confirmed links of clusters (``id, component``), enough to join all that is linked."""
+    wanted, several = placed_in_blocks(clusters, classes, plan)
+    sets = materialise(shingles_of(docs, wanted, plan))
+    # a text is known by a number of its own: two texts of one id are compared with each other and with all others
+    named = sets.withColumns({"label": F.xxhash64("rep", "print"), "asks": F.lit(True)})
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    leading = named.filter(F.col("leads") & (F.col("blocks") > 1)).withColumn("block", F.explode(others))
+    links = bundled(named.unionByName(leading), ["component", "block"], plan)
+    if not several:
+        return links
+    links = materialise(links)
+    large = sets.filter(F.col("blocks") > 1).select(F.col("rep").alias("id"), "component", "print", "n_shingles", "block", "blocks")
+    joined = connected_components(links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
+    labelled = large.join(joined.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    most = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    labelled = materialise(labelled.join(most, "component"))
+    open_ = labelled.filter("label != main")
+    if open_.isEmpty():
+        return links
+    # what is outside a cluster's largest component meets all other blocks; the rest is joined among itself
+    group = F.floor(F.col("before") / plan.block_shingles)
+    asking = materialise(in_turn(open_, plan).select("component", F.col("id").alias("rep"), "print", "label", group.alias("group")))
+    groups = asking.groupBy("component").agg(F.max("group").alias("last"))
+    near = sets.drop("leads").join(labelled.select(F.col("id").alias("rep"), "print", "label"), ["rep", "print"]).join(groups, "component")
+    answers = near.select("component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("group"), "rep", "label", F.lit(False).alias("asks"), "shingles")
+    questions = sets.join(asking.drop("component"), ["rep", "print"]).withColumn("block", F.explode(others))
+    rows = answers.unionByName(questions.select("component", "block", "group", "rep", "label", F.lit(True).alias("asks"), "shingles"))
+    return links.unionByName(bundled(rows, ["component", "block", "group"], plan))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -292,13 +451,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     A text's set is its distinct shingles of ``width`` words; a shorter text is one shingle; a null text, or one
     without words, has an empty set and is linked with nothing.  Rows of equal sets are one class, named by its
-    smallest id; classes of the same name count as one.  A row with a null id is not compared: its component is null
+    smallest id; different texts of one id count as linked.  A row with a null id is not compared: its component is null
     and it is kept.  Repeated rows have the same result.
     """
     base = materialise(describe(docs, plan))
     some = base.filter(F.col("print").isNotNull() & F.col("doc_id").isNotNull())
     classes = materialise(some.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
-    clusters = materialise(connected_components(candidates(leaves(classes, plan), plan)))
+    members, absorbed = leaves(classes, plan)
+    stars_ = candidates(members, plan)
+    clusters = materialise(connected_components(stars_ if absorbed is None else stars_.unionByName(absorbed)))
     links = confirm(clusters, classes, docs, plan)
     found = connected_components(links)
     placed = classes.join(found, classes["rep"] == found["id"], "left").select("print", F.coalesce("component", "rep").alias("component"))
