@@ -371,7 +371,7 @@ def bundled(rows: DataFrame, by: list[str], plan: Plan) -> DataFrame:
 
 def in_turn(rows: DataFrame, plan: Plan) -> DataFrame:
     """Add ``before``: the weight of a cluster's earlier texts, by fingerprint; it deals them to blocks of bounded weight."""
-    rows = materialise(rows.withColumns({"order": F.lower(F.hex("print")), "weight": F.greatest(F.col("n_shingles"), F.lit(plan.unit))}))
+    rows = rows.withColumns({"order": F.lower(F.hex("print")), "weight": F.greatest(F.col("n_shingles"), F.lit(plan.unit))})
     return running_totals(rows, ["component"], "order", ["id"], F.col("weight")).drop("order")
 
 
@@ -391,13 +391,14 @@ def placed_in_blocks(clusters: DataFrame, classes: DataFrame, plan: Plan) -> tup
     block = F.floor(F.col("before") / plan.block_shingles)
     last = F.floor(F.col("total") / plan.block_shingles) + 1
     large = in_turn(several, plan).select("id", "component", "print", "n_shingles", block.alias("block"), last.alias("blocks"), (F.col("before") < 4 * plan.unit).alias("leads"))
-    return materialise(small.unionByName(large)), True
+    return small.unionByName(large), True
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
     """The full sets of ``wanted`` (``id, print`` and more), with ``rep`` for ``id`` and ``shingles``; once for repeated rows."""
     rest = [c for c in wanted.columns if c not in ("id", "print")]
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id").select("id", "text", "print", *rest)
+    # a merge join at every size: the rows wanted grow with the input
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("merge"), "id").select("id", "text", "print", *rest)
     fields = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
     schema = ", ".join(["rep long", "print binary", *[f"{c} {fields[c]}" for c in rest], "shingles binary"])
 
@@ -416,25 +417,23 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, plan: Plan) -> DataFrame:
 
 
 def confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b``: confirmed links of clusters (``id, component``), enough to join all that is linked."""
+    """``id, component``: the classes that confirmed links join, from clusters (``id, component``) of those that may be."""
     wanted, several = placed_in_blocks(clusters, classes, plan)
     sets = materialise(shingles_of(docs, wanted, plan))
     # a text is known by a number of its own: two texts of one id are compared with each other and with all others
     named = sets.withColumns({"label": F.xxhash64("rep", "print"), "asks": F.lit(True)})
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.col("block"))
     leading = named.filter(F.col("leads") & (F.col("blocks") > 1)).withColumn("block", F.explode(others))
-    links = bundled(named.unionByName(leading), ["component", "block"], plan)
+    joined = connected_components(bundled(named.unionByName(leading), ["component", "block"], plan))
     if not several:
-        return links
-    links = materialise(links)
+        return joined
     large = sets.filter(F.col("blocks") > 1).select(F.col("rep").alias("id"), "component", "print", "n_shingles", "block", "blocks")
-    joined = connected_components(links.join(large.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
     labelled = large.join(joined.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     most = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     labelled = materialise(labelled.join(most, "component"))
     open_ = labelled.filter("label != main")
     if open_.isEmpty():
-        return links
+        return joined
     # what is outside a cluster's largest component meets all other blocks; the rest is joined among itself
     group = F.floor(F.col("before") / plan.block_shingles)
     asking = materialise(in_turn(open_, plan).select("component", F.col("id").alias("rep"), "print", "label", group.alias("group")))
@@ -443,7 +442,17 @@ def confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, plan: Plan
     answers = near.select("component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("group"), "rep", "label", F.lit(False).alias("asks"), "shingles")
     questions = sets.join(asking.drop("component"), ["rep", "print"]).withColumn("block", F.explode(others))
     rows = answers.unionByName(questions.select("component", "block", "group", "rep", "label", F.lit(True).alias("asks"), "shingles"))
-    return links.unionByName(bundled(rows, ["component", "block", "group"], plan))
+    links = materialise(bundled(rows, ["component", "block", "group"], plan))
+    if links.isEmpty():
+        return joined
+    # the later links join components: they are followed between the components' names only
+    named_a = links.join(joined.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left")
+    named_b = named_a.join(joined.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+    merged = connected_components(named_b.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    merged = merged.select(F.col("id").alias("was"), F.col("component").alias("now"))
+    kept = joined.join(merged, joined["component"] == merged["was"], "left").select("id", F.coalesce("now", "component").alias("component"))
+    alone = merged.join(joined, merged["was"] == joined["id"], "left_anti").select(F.col("was").alias("id"), F.col("now").alias("component"))
+    return kept.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
@@ -460,8 +469,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     members, absorbed = leaves(classes, plan)
     stars_ = candidates(members, plan)
     clusters = materialise(connected_components(stars_ if absorbed is None else stars_.unionByName(absorbed)))
-    links = confirm(clusters, classes, docs, plan)
-    found = connected_components(links)
+    found = confirm(clusters, classes, docs, plan)
     placed = classes.join(found, classes["rep"] == found["id"], "left").select("print", F.coalesce("component", "rep").alias("component"))
     out = base.join(placed, "print", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
