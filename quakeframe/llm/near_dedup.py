@@ -7,8 +7,7 @@ nodes does not die out at 0.75, while unlike sets part quickly.  Nodes without c
 exhaustively by signature; large ones branch on.  Several trees raise recall.
 
 A large node full of near copies would branch for long, since near copies go the same ways.  So a few consensus
-signatures of the node absorb what differs from them in at most ``reach`` coordinates: absorbed members leave the
-node, and every other member that could be alike to one of them joins the same star.  Differing coordinates are a
+signatures of the node absorb what differs from them in few coordinates: absorbed members leave the node, and every other member that could be alike to one of them joins the same star.  Differing coordinates are a
 distance, so that no pair of the node which the signatures leave open is lost by this, whatever the consensus is.
 
 What a leaf finds alike it reports as stars, never as all pairs.  The stars' components are clusters that may link.
@@ -41,8 +40,9 @@ class Plan:
     0.99998.  ``slack`` is how far a signature's estimate may lie below the threshold: ``deviations`` standard
     deviations of its coordinates, or all the way where ``deviations`` is infinite, so that every pair of a leaf is
     confirmed on full sets.  ``small`` bounds a leaf.  A node above it takes up to ``centres`` consensus signatures
-    from about ``sample`` members, each of which absorbs up to a distance of ``reach`` coordinates.  ``block_docs``
-    and ``block_shingles`` bound a block of the confirmation, beside one text that may be longer.
+    from about ``sample`` members.  Each absorbs up to a distance of ``reach`` coordinates, or up to ``far`` where
+    that leaves few members around it.  ``block_docs`` and ``block_shingles`` bound a block of the confirmation,
+    beside one text that may be longer.
     """
 
     width: int = 5
@@ -53,6 +53,7 @@ class Plan:
     depth: int = 8
     deviations: float = 4.0
     reach: int = 10
+    far: int = 28
     sample: int = 64
     centres: int = 8
     block_docs: int = 512
@@ -172,29 +173,37 @@ def in_blocks(rows: DataFrame, plan: Plan) -> DataFrame:
 
 
 def consensus(sig: np.ndarray, plan: Plan) -> np.ndarray:
-    """Signatures that many of a node's sampled members are near to: the most frequent values of a group by coordinate."""
+    """Signatures that many of a node's sampled members are near to, each with the distance up to which it absorbs.
+
+    A signature has the most frequent values of a group by coordinate.  Its distance is the one that absorbs most
+    members while those merely around it stay fewer than a quarter of the absorbed; ``reach`` where none does.
+    """
+    n = plan.coordinates
     found: list[np.ndarray] = []
     while len(sig) and len(found) < plan.centres:
         near = alike(sig, plan, slice(0, len(sig))) >= plan.floor
         group = sig[near[near.sum(axis=1).argmax()]]
-        middle = np.empty(sig.shape[1], dtype=np.uint32)
-        for c in range(sig.shape[1]):
+        middle = np.empty(n, dtype=np.uint32)
+        for c in range(n):
             values, counts = np.unique(group[:, c], return_counts=True)
             middle[c] = values[counts.argmax()]
-        covered = (sig == middle).sum(axis=1) >= plan.coordinates - plan.reach
-        if covered.sum() < max(2, plan.sample // 8):
+        away = n - (sig == middle).sum(axis=1)
+        taken = {r: int((away <= r).sum()) for r in range(plan.reach, max(plan.reach, min(plan.far, plan.floor)) + 1)}
+        fair = {r: t for r, t in taken.items() if 4 * ((away <= n - plan.floor + r).sum() - t) <= t}
+        reach = max(fair, key=lambda r: (fair[r], -r), default=plan.reach)
+        if taken[reach] < max(2, plan.sample // 8):
             break
-        found.append(middle)
-        sig = sig[~covered]
-    return np.array(found, dtype=np.uint32).reshape(-1, sig.shape[1])
+        found.append(np.append(middle, np.uint32(reach)))
+        sig = sig[away > reach]
+    return np.array(found, dtype=np.uint32).reshape(-1, n + 1)
 
 
 def absorb(large: DataFrame, plan: Plan) -> DataFrame:
-    """``node, rep, sig, near, around``: the centre that absorbs a member (or -1), and else those it may have to do with.
+    """``node, rep, sig, near, around``: the centre that absorbs a member (or -1), and all those it may have to do with.
 
-    A member at a distance of ``reach`` or less goes to its nearest centre.  A pair that is looked at differs in
-    ``coordinates - floor`` places at most, so what may pair with an absorbed member lies within that plus ``reach``
-    of the centre.  The sample of a node decides how much is absorbed, never which pairs are looked at.
+    A member goes to the nearest centre that reaches it.  A pair that is looked at differs in ``coordinates - floor``
+    places at most, so what may pair with an absorbed member lies within that plus the reach of the centre.  The
+    sample of a node decides how much is absorbed, never which pairs are looked at.
     """
     n = plan.coordinates
     drawn = F.pmod(F.xxhash64("node", "rep"), F.lit(1 << 30)) * F.col("n") < F.lit(plan.sample << 30)
@@ -217,12 +226,14 @@ def absorb(large: DataFrame, plan: Plan) -> DataFrame:
                 if m:
                     rows_of.setdefault(m, []).append(i)
             for m, rows in rows_of.items():
-                same = np.stack([(sig[rows] == middle).sum(axis=1) for middle in np.frombuffer(m, np.uint32).reshape(-1, n)], axis=1)
-                best = same.argmax(axis=1)
-                taken = same[np.arange(len(rows)), best] >= n - plan.reach
+                table = np.frombuffer(m, np.uint32).reshape(-1, n + 1)
+                reach = table[:, n].astype(np.int64)
+                away = np.stack([n - (sig[rows] == middle).sum(axis=1) for middle in table[:, :n]], axis=1)
+                best = np.where(away <= reach, away, n + 1).argmin(axis=1)
+                taken = (away <= reach).any(axis=1)
                 near[rows] = np.where(taken, best, -1)
-                for i, row, gone in zip(rows, same >= plan.floor - plan.reach, taken, strict=True):
-                    if not gone and row.any():
+                for i, row in zip(rows, away <= n - plan.floor + reach, strict=True):
+                    if row.any():
                         around[i] = np.flatnonzero(row).tolist()
             columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(near), pa.array(around, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "rep", "sig", "near", "around"])
@@ -234,7 +245,7 @@ def absorb(large: DataFrame, plan: Plan) -> DataFrame:
 def absorbed_stars(absorbed: DataFrame) -> DataFrame:
     """``a, b``: each centre's members, and those around it, with the least id that it has absorbed."""
     hubs = absorbed.filter("near >= 0").groupBy("node", "near").agg(F.min("rep").alias("hub"))
-    touched = absorbed.select("node", "rep", F.explode(F.when(F.col("near") >= 0, F.array("near")).otherwise(F.col("around"))).alias("near"))
+    touched = absorbed.select("node", "rep", F.explode("around").alias("near"))
     return touched.join(hubs, ["node", "near"]).filter("rep != hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
 
 
