@@ -75,15 +75,17 @@ class Filters:
     false_rate: np.ndarray
 
     @classmethod
-    def build(cls, members: dict[str, np.ndarray], common: str, log2_positions: int = 20) -> Filters:
-        languages = sorted(members)
-        words = max(1, -(-len(languages) // 64))
-        table = np.zeros((1 << log2_positions, words), dtype=np.uint64)
-        for i, language in enumerate(languages):
-            for at in cls.positions(members[language].astype(np.uint64), log2_positions):
-                table[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
-        fill = [float((table[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).mean()) for i in range(len(languages))]
-        return cls(languages, common, table, np.array(fill) ** len(MIX))
+    def of_bits(cls, languages: list[str], common: str, log2_positions: int, owner: np.ndarray, word: np.ndarray, bits: np.ndarray) -> Filters:
+        """From the filters' set bits: 64 positions a word, each word with the number of its language."""
+        table = np.zeros((1 << log2_positions, max(1, -(-len(languages) // 64))), dtype=np.uint64)
+        fill = np.zeros(len(languages))
+        for i in range(len(languages)):
+            own = owner == i
+            set_ = np.unpackbits(np.ascontiguousarray(bits[own].astype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+            at = (word[own][:, None] * 64 + np.arange(64))[set_]
+            table[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+            fill[i] = len(at) / len(table)
+        return cls(languages, common, table, fill ** len(MIX))
 
     @staticmethod
     def positions(values: np.ndarray, log2_positions: int) -> list[np.ndarray]:
@@ -161,22 +163,45 @@ def gram_counts(labelled: DataFrame, lang: str, text: str) -> DataFrame:
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", least_share: float = 2e-5, purity: float = 0.25) -> Filters:
-    """Filters from every labelled row with a language.
+def filter_bits(members: DataFrame, log2_positions: int) -> DataFrame:
+    """``lang, word, bits`` of the filters of ``lang, gram``: positions become words of 64 bits in the tasks, or-ed map-side."""
 
-    An n-gram belongs to a language if it makes up ``least_share`` of that language's n-grams or more (so that at
-    most 1 / least_share belong to it, whatever the input: the bound of what is gathered and broadcast), and
-    ``purity`` of the largest share that any language gives it (languages share n-grams; strays of a few mixed
-    texts are left out).
+    def run(batches):
+        for batch in batches:
+            grams_ = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                at = np.unique(np.concatenate(Filters.positions(grams_[codes == i], log2_positions)))
+                word, first = np.unique(at >> np.uint64(6), return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(word), pa.string()), pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["lang", "word", "bits"])
+
+    return members.select("lang", "gram").mapInArrow(run, "lang string, word long, bits long").groupBy("lang", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", purity: float = 0.25, most_log2: int = 24) -> Filters:
+    """Filters from every n-gram of every labelled row with a language.
+
+    A language contains an n-gram if the n-gram's share of its text is ``purity`` or more of the largest share that
+    any language gives it.  So every n-gram is in one filter at least, however rare, while one foreign line in a
+    large corpus does not put its n-grams into the wrong language's filter (with ``purity`` 0 it does, and filters of
+    large corpora grow alike).  Filters have 16 positions for each n-gram of the largest language, from 2**16 to
+    2**``most_log2``; that bounds what is gathered and broadcast.  Fuller filters have a larger false-positive rate,
+    which the decision corrects; no n-gram is left out.
     """
     counts = materialise(gram_counts(labelled.filter(F.col(lang).isNotNull()), lang, text))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).filter(F.col("share") >= least_share)
+    shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     by_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all"))
-    kept = by_gram.select("gram", "top", F.inline("all")).filter(F.col("share") >= purity * F.col("top")).select("lang", "gram").toPandas()
+    members = materialise(by_gram.select("gram", "top", F.inline("all")).filter(F.col("share") >= purity * F.col("top")).select("lang", "gram"))
     sizes = totals.orderBy(F.col("total").desc(), "lang").toPandas()
-    members = {x: kept.loc[kept["lang"] == x, "gram"].to_numpy(dtype=np.int64) for x in sizes["lang"]}
-    return Filters.build(members, sizes["lang"].iloc[0] if len(sizes) else UNKNOWN)
+    most = members.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    log2_positions = min(max(16, (16 * most - 1).bit_length()), most_log2)
+    found = filter_bits(members, log2_positions).toPandas()
+    languages = sorted(sizes["lang"])
+    owner = found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
+    return Filters.of_bits(languages, sizes["lang"].iloc[0] if len(sizes) else UNKNOWN, log2_positions, owner, found["word"].to_numpy(dtype=np.int64), found["bits"].to_numpy(dtype=np.int64))
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
