@@ -187,6 +187,90 @@ def test_large_leaves_are_compared_in_blocks(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), plan).collect()} == want
 
 
+def varied(rng, words, keep):
+    """A copy that keeps each word run of a base with a chance, so that its shingles and the base's have a known overlap."""
+    return " ".join(w if rng.random() < keep else f"n{rng.integers(0, 10**9)}" for w in words)
+
+
+def test_thousands_of_near_copies_stay_linear(spark):
+    from quakeframe.llm import near_dedup
+
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, varied(rng, base, 0.99)) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    plan = near_dedup.Plan(small=128, block_docs=256, block_shingles=1 << 15)
+    base_rows = near_dedup.describe(docs, plan)
+    classes = near_dedup.materialise(base_rows.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
+    members, absorbed = near_dedup.leaves(classes, plan)
+    assert members.count() + absorbed.count() < 2 * 2 * plan.trees * classes.count(), "a few rows for each member and tree"
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, plan).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    whole = Counter(got.values())
+    # against the most central text most are linked directly; what is alone must be far from everything
+    alone = [i for i, c in got.items() if whole[c] == 1]
+    for i in alone:
+        assert all(100 * len(sets[i] & s) < 75 * len(sets[i] | s) for j, s in sets.items() if j != i)
+    assert whole.most_common(1)[0][1] > 4000
+
+
+@pytest.mark.parametrize("small", [1024, 64])
+def test_recall_at_the_threshold(spark, small):
+    """Pairs at exactly 0.75: 48 common and 8 own shingles on each side; linked but for 1 in 1,000 at most."""
+    rng = np.random.default_rng(small)
+    rows, pairs = [], 1500
+    for p in range(pairs):
+        common = [f"c{p}x{i}" for i in range(52)]
+        rows.append((2 * p, " ".join([*common, *[f"l{p}x{i}" for i in range(8)]])))
+        rows.append((2 * p + 1, " ".join([*common, *[f"r{p}x{i}" for i in range(8)]])))
+    base = [f"b{i}" for i in range(150)]
+    rows += [(10**6 + i, varied(rng, base, 0.985)) for i in range(1500)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), queries_plan(small)).collect()}
+    linked = sum(got[2 * p] == got[2 * p + 1] == 2 * p for p in range(pairs))
+    assert linked >= 0.999 * pairs
+    assert all(got[2 * p] == 2 * p and got[2 * p + 1] in (2 * p, 2 * p + 1) for p in range(pairs))
+
+
+def queries_plan(small):
+    from quakeframe.llm.near_dedup import Plan
+
+    return Plan(small=small)
+
+
+def test_all_pairs_of_a_leaf_are_confirmed_without_slack_limit(spark, docs):
+    from quakeframe.llm.near_dedup import Plan
+
+    plan = Plan(deviations=float("inf"))
+    assert plan.floor == 0 and Plan().floor == 34
+    rows = rows_of(docs)
+    want, _ = plain_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, plan).collect()} == want
+
+
+def test_no_pair_between_absorbed_groups_is_lost(spark):
+    """Families around several centres of one node, with links that run only between the families."""
+    from quakeframe.llm.near_dedup import Plan
+
+    rng = np.random.default_rng(13)
+    shared = [f"s{i}" for i in range(70)]
+    bases = [[*shared, *[f"f{k}x{i}" for i in range(22)]] for k in range(3)]
+    rows = [(1000 * k + i, mutated(rng, b, int(rng.integers(0, 5)))) for k, b in enumerate(bases) for i in range(90)]
+    rows += [(9000 + i, mutated(rng, [*shared, *bases[0][70:81], *bases[1][81:]], 1)) for i in range(6)]
+    want, _ = plain_components(rows)
+    plan = Plan(small=16, block_docs=20, block_shingles=1 << 11, deviations=6.0)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), plan).collect()}
+    assert got == want
+
+
+def test_two_texts_of_one_id_keep_all_links(spark):
+    base = [f"b{i}" for i in range(60)]
+    other = [f"o{i}" for i in range(60)]
+    rows = [(7, " ".join(base)), (7, " ".join(other)), (9, " ".join([*other[:-1], "x"])), (8, " ".join([*base[:-1], "y"])), (10, "far from all of these texts")]
+    for part in (1, 5):
+        got = Counter((r["doc_id"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(part)).collect())
+        assert got == Counter({(7, 7): 2, (8, 7): 1, (9, 7): 1, (10, 10): 1})
+
+
 # --- 4: mixing
 
 
@@ -248,11 +332,55 @@ def test_language_held_out_accuracy_and_hard_rows(spark, docs, hard, empty):
     assert {r["lang_pred"] for r in language_id.identify(hard, language_id.learn(empty)).collect()} == {"und"}
 
 
-def test_filters_hold_all_members_and_few_others():
+def plain_grams(text):
+    """All 4-byte grams of the lower-cased text with runs of other bytes than letters as one space, a space at both ends."""
+    lowered = (text if text.isascii() else text.lower()).encode()
+    kept = " ".join(re.findall(r"[a-z\x80-\xff]+", lowered.decode("latin-1").translate(LOW)))
+    data = f" {kept} ".encode("latin-1") if kept else b" "
+    return [data[i : i + 4] for i in range(len(data) - 3)]
+
+
+def plain_language(text, members, first):
+    if text is None or not any(c.isalpha() for c in text):
+        return {"und"}, 0.0
+    found = plain_grams(text)
+    share = {x: sum(g in members[x] for g in found) / max(len(found), 1) for x in sorted(members)}
+    if not sum(share.values()):
+        return {first}, 0.0
+    best = max(share.values())
+    return {x for x in share if share[x] > best - 0.01}, best / sum(share.values())
+
+
+@pytest.mark.parametrize("purity", [0.0, 0.25])
+def test_language_equals_plain_sets_of_grams(spark, docs, hard, purity):
+    train = docs.filter(~language_id.held_out(F.col("doc_id"), 3, 1))
+    counts = defaultdict(Counter)
+    for r in train.select("lang", "text").collect():
+        if r["lang"] is not None:
+            counts[r["lang"]].update(plain_grams(r["text"] or ""))
+    share = {x: {g: n / c.total() for g, n in c.items()} for x, c in counts.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    members = {x: {g for g, v in s.items() if v >= purity * top[g]} for x, s in share.items()}
+    assert set().union(*members.values()) == set(top), "every n-gram is in one language at least"
+    first = max(sorted(counts), key=lambda x: counts[x].total())
+    filters = language_id.learn(train, purity=purity)
+    assert filters.languages == sorted(members)
+    for df in (docs, hard):
+        for r in language_id.identify(df.select("doc_id", "text"), filters).collect():
+            want, score = plain_language(r["text"], members, first)
+            assert abs(r["score"] - score) < 0.01
+            assert r["lang_pred"] in want, r["doc_id"]
+
+
+def test_filters_hold_all_members_and_few_others(spark):
     rng = np.random.default_rng(1)
     members = {f"l{i:02d}": rng.integers(0, 1 << 32, 3000) for i in range(70)}
-    f = language_id.Filters.build(members, "l00", 18)
-    for i, name in enumerate(sorted(members)):
+    rows = [(x, int(g)) for x, v in members.items() for g in v]
+    found = language_id.filter_bits(spark.createDataFrame(rows, "lang string, gram long"), 18).toPandas()
+    names = sorted(members)
+    owner = found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)
+    f = language_id.Filters.of_bits(names, "l00", 18, owner, found["word"].to_numpy(dtype=np.int64), found["bits"].to_numpy(dtype=np.int64))
+    for i, name in enumerate(names):
         bit = f.languages_of(members[name])[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)
         assert bit.all()
     other = f.languages_of(rng.integers(0, 1 << 32, 20000))[:, 0] & np.uint64(1)
