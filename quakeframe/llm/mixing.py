@@ -90,13 +90,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     The words of a cut copy are joined by single spaces.  Columns that start with two underscores are reserved.
     """
     names = docs.columns
-    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64(*names).alias("content"))
-    # rows of one key are alike in every column: one of them serves the copies of all, by a join on the key alone,
-    # so that the texts are shuffled once before they are range-sorted
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(1)))
-    texts = docs.withColumn("__key", key).withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
-    parts = mix(docs, **options).select(F.struct(F.col("doc_id").alias("id"), "content").alias("__key"), F.col("size").alias("__size"), F.explode("parts").alias("__part"))
-    joined = texts.join(parts, "__key")
+    # rows of one key are alike in every column: one of them serves the copies of all, by a join on the key alone;
+    # both sides are dealt by the same flat columns, so that the texts are shuffled once before they are range-sorted
+    key = {"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__content": F.xxhash64(*names)}
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    texts = docs.withColumns(key).withColumn("__turn", turn).filter("__turn = 1").drop("__turn")
+    mixed = mix(docs, **options).withColumns(key | {"__content": F.col("content")})
+    parts = mixed.select(*key, F.col("size").alias("__size"), F.explode("parts").alias("__part"))
+    joined = texts.join(parts, list(key))
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part.words").cast("int")), " ")
     text = F.when(F.col("__part.words") >= F.col("__size"), F.col("text")).otherwise(cut)
     rows = joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], F.col("__part.position").alias("__position"), F.col("doc_id").alias("__tie"))
