@@ -249,3 +249,8 @@ def mean_utilisation(devices: Column) -> Column:
 
 def window_regime(input_samples: Column, network_samples: int = 6000) -> Column:
     return F.when(input_samples >= network_samples, "single").when(input_samples > 0, "sliding").otherwise("unknown")
+
+
+def drawn(*of: Column) -> Column:
+    """A number from 0 to 1 by a digest of the given values: the same in every run and partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[x.cast("string") for x in of])), 1, 12), 16, 10).cast("double") / float(1 << 48)

@@ -49,14 +49,15 @@ def cut_into_chunks(segments: DataFrame, chunks: DataFrame, chunk_minutes: float
     """Pieces of segments by chunk: ``chunk_id`` and the samples inside; each piece loses its mean.
 
     Both sides are dealt by whole ``chunk_minutes`` buckets of time, so the range condition only filters within one.
+    A pair that meets in several buckets counts in the first of them.
     """
     width = int(chunk_minutes * 60e6)
     end = seconds(F.col("start")) + (F.size("samples") * 1e6 / F.col("sr")).cast("long")
     seg = segments.withColumns({"s_us": seconds(F.col("start")), "e_us": end})
-    seg = seg.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("s_us") / width), F.floor((F.col("e_us") - 1) / width))))
+    seg = seg.withColumn("s_first", F.floor(F.col("s_us") / width)).withColumn("bucket", F.explode(F.sequence(F.col("s_first"), F.floor((F.col("e_us") - 1) / width))))
     ch = chunks.select("chunk_id", seconds(F.col("t_start")).alias("c0"), seconds(F.col("t_end")).alias("c1"))
-    ch = ch.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("c0") / width), F.floor((F.col("c1") - 1) / width))))
-    pieces = seg.join(ch, "bucket").filter("s_us < c1 AND e_us > c0").dropDuplicates([*CHANNEL, "s_us", "chunk_id"])
+    ch = ch.withColumn("c_first", F.floor(F.col("c0") / width)).withColumn("bucket", F.explode(F.sequence(F.col("c_first"), F.floor((F.col("c1") - 1) / width))))
+    pieces = seg.join(ch, "bucket").filter("s_us < c1 AND e_us > c0 AND bucket = greatest(s_first, c_first)")
     first = F.greatest(F.lit(0), F.ceil((F.col("c0") - F.col("s_us")) / 1e6 * F.col("sr"))).cast("int")
     last = F.least(F.size("samples"), F.ceil((F.col("c1") - F.col("s_us")) / 1e6 * F.col("sr"))).cast("int")
     cut = F.slice("samples", first + 1, F.greatest(last - first, F.lit(0)))
@@ -252,14 +253,6 @@ def union_interval(stations: DataFrame) -> DataFrame:
     return rows.select(*keep, F.timestamp_micros("begin").alias("start"), F.transform("components", pad).alias("xs"))
 
 
-#: Channel codes tried where no last letter fits.  Fixed values.
-FALLBACK = {
-    "Z": ("CHZ", "HHZ", "BHZ", "SHZ", "CNZ", "EHZ"),
-    "E": ("CHE", "HHE", "BHE", "SHE", "CNE", "HH1", "BH1", "EH1"),
-    "N": ("CHN", "HHN", "BHN", "SHN", "CNN", "HH2", "BH2", "EH2"),
-}
-
-
 def lenient_components(segments: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """``keys, e, n, z, filled``: the channel chosen for each component, and those that stay empty (zero-filled).
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,11 +62,21 @@ def known_issues(run: DataFrame, registry: DataFrame, keys: list[str]) -> DataFr
 
 
 def mark_unsupported(plan: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``benchmark_status`` and ``skip_reason``; a rule's null key fits any value."""
-    on = F.lit(True)
-    p, r = plan.alias("p"), rules.alias("r")
-    for k in keys:
-        on = on & (F.col(f"r.{k}").isNull() | (F.col(f"r.{k}") == F.col(f"p.{k}")))
-    # rules are a short list that the user writes; the optimiser decides by its size
-    j = p.join(r, on, "left").select("p.*", F.col("r.reason").alias("skip_reason"))
-    return j.groupBy(*plan.columns).agg(F.min("skip_reason").alias("skip_reason")).withColumn("benchmark_status", F.when(F.col("skip_reason").isNull(), "planned").otherwise("skipped"))
+    """Add ``benchmark_status`` and ``skip_reason`` (the first by name); a rule's null key fits any value.
+
+    Rules are dealt by which of their keys are given; each kind is one equi-join, so repeated plan rows stay.
+    """
+    rows, reasons = plan, []
+    for given in (c for n in range(len(keys) + 1) for c in combinations(keys, n)):
+        fit = rules
+        for k in keys:
+            fit = fit.filter(F.col(k).isNotNull() if k in given else F.col(k).isNull())
+        name = f"__reason{len(reasons)}"
+        reasons.append(F.col(name))
+        if given:
+            rows = rows.join(fit.groupBy(*given).agg(F.min("reason").alias(name)), list(given), "left")
+        else:
+            rows = rows.withColumn(name, fit.agg(F.min("reason")).scalar())
+    reason = F.array_min(F.array_compact(F.array(*reasons)))
+    status = F.when(F.col("skip_reason").isNull(), "planned").otherwise("skipped")
+    return rows.select(*plan.columns, reason.alias("skip_reason")).withColumn("benchmark_status", status)

@@ -64,3 +64,13 @@ def with_runs(df: DataFrame, keys: list[str], value: str, gap: float, inclusive:
     opened = F.last("__open", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     joined = rows.withColumn("__opened", opened).join(buckets, [*keys, "__b"])
     return joined.select(*df.columns, F.coalesce("__opened", "__enter").alias("run"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
+    """Add the row's place in the whole order: rows are dealt by ranges, and a place is the sum of earlier ranges' counts and its own."""
+    dealt = materialised(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("__inside", inside).join(offsets, "__range").select(*rows.columns, (F.col("__offset") + F.col("__inside") + start).alias(name))

@@ -269,12 +269,18 @@ def remaining(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def not_nearly_tested(plan: DataFrame, tested: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Planned trials unless one with the same keys was tested within max(2, 5 %) of the value."""
-    a, b = plan.alias("a"), tested.alias("b")
+    """Planned trials unless one with the same keys was tested within max(2, 5 %) of the value.
+
+    Values are dealt by a scale on which that distance is one step at most: halves up to 40, logarithms above.
+    """
+    step = lambda v: F.floor(F.when(v <= 40, v / 2).otherwise(20 + F.log(v / 40) / 0.06)).cast("long")
+    a = plan.withColumn("__step", step(F.col(value))).alias("a")
+    near = tested.select(*keys, value).distinct().withColumn("__step", step(F.col(value)))
+    b = near.withColumn("__step", F.explode(F.array(*[F.col("__step") + i for i in (-1, 0, 1)]))).alias("b")
     on = F.abs(F.col(f"a.{value}") - F.col(f"b.{value}")) <= F.greatest(F.lit(2), F.floor(F.col(f"a.{value}") * 0.05))
-    for k in keys:
+    for k in (*keys, "__step"):
         on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on, "left_anti")
+    return a.join(b, on, "left_anti").drop("__step")
 
 
 def capped_redundant(trials: DataFrame, keys: list[str], requested: str, achieved: str) -> DataFrame:

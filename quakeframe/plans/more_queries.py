@@ -95,13 +95,17 @@ def path_fallback(spark, sf_dir):
 
 
 def quality_sweep(spark, sf_dir):
-    """Probability drift and onset drift of pairs of traces, side by side."""
-    t = traces(spark, sf_dir).select((F.col("trace") - F.col("trace") % 2).alias("pair"), "p", (F.col("trace") % 2).alias("side"))
-    a, b = t.filter("side = 0"), t.filter("side = 1")
-    drift = metrics.probability_drift(metrics.exploded_pairs(a, b, ["pair"], "p"), ["pair"], "a", "b").select("pair", "mae", "n_samples")
-    on = lambda x: x.select("pair", F.explode(K.onsets(F.col("p"), 0.1, 5)).alias("sample"))
-    timing = metrics.pick_drift(matching.match_picks(on(a), on(b), ["pair"], 3.0), ["pair"]).select("pair", "n_pairs", "n_missing_a", "n_missing_b")
-    return rounded(drift.join(timing, "pair", "left"))
+    """Probability drift, onset drift and speedup of reduced against full runs, by model, precision and compile flag."""
+    t = traces(spark, sf_dir).withColumns({
+        "model": F.when(F.col("trace") % 4 < 2, "A").otherwise("B"), "dtype": F.when(F.col("trace") % 3 == 0, "bf16").otherwise("fp16"), "compiled": F.col("trace") % 5 == 0,
+    })
+    key = ["model", "dtype", "compiled"]
+    reduced = t.withColumn("p", F.transform("p", lambda v: F.bround(v, 1)))
+    drift = metrics.probability_drift(metrics.exploded_pairs(t.select(*key, "trace", "p"), reduced.select(*key, "trace", "p"), [*key, "trace"], "p"), key, "a", "b").select(*key, "mae", "n_samples")
+    on = lambda x: x.select(*key, "trace", F.explode(K.onsets(F.col("p"), 0.1, 5)).alias("sample"))
+    timing = metrics.pick_drift(matching.match_picks(on(t), on(reduced), [*key, "trace"], 0.5), key).select(*key, "n_pairs", "n_missing_a", "n_missing_b")
+    seconds = t.groupBy(*key).agg(S.ratio(F.sum(prep.total(F.transform("p", F.abs))), F.sum(prep.total(F.transform("p", lambda v: F.bround(F.abs(v), 1))))).alias("speedup"))
+    return rounded(drift.join(timing, key, "left").join(seconds, key, "left"))
 
 
 def gpu_optimum(spark, sf_dir):
@@ -117,15 +121,11 @@ def arrival_percentiles(spark, sf_dir):
 
 
 def pooled_runs(spark, sf_dir):
-    """Results of several runs pooled, then totalled as one."""
-    p = picks(spark, sf_dir)
-    runs = []
-    for r in range(3):
-        part = p.filter(F.pmod("event_id", F.lit(3)) == r)
-        cat = part.filter("run = 'catalog'").groupBy(F.concat_ws("/", "station", "phase", F.lit(str(r))).alias("trace")).agg(F.min("sample").alias("catalog"))
-        runs.append(matching.first_hits(cat, part.filter("run = 'detected'").select(F.concat_ws("/", "station", "phase", F.lit(str(r))).alias("trace"), F.col("event_id").alias("pos"), "sample"), "trace", 2000.0))
-    pooled = runs[0].unionByName(runs[1]).unionByName(runs[2]).withColumn("phase", F.get(F.split("trace", "/"), F.lit(1)))
-    return rounded(metrics.detection_totals(pooled, ["phase"]))
+    """Results of three seeded runs pooled, then totalled as one."""
+    p = picks(spark, sf_dir).withColumn("trace", F.concat_ws("/", "station", "phase", F.pmod("event_id", F.lit(3)).cast("string")))
+    cat = p.filter("run = 'catalog'").groupBy("trace").agg(F.min("sample").alias("catalog"))
+    hits = matching.first_hits(cat, p.filter("run = 'detected'").select("trace", F.col("event_id").alias("pos"), "sample"), "trace", 2000.0)
+    return rounded(metrics.detection_totals(hits.withColumn("phase", F.get(F.split("trace", "/"), F.lit(1))), ["phase"]))
 
 
 def chart_data(spark, sf_dir):
@@ -144,12 +144,11 @@ def peak_memory(spark, sf_dir):
 def seeded_choice(spark, sf_dir):
     """The same 20 stations for the same seed, whatever the partitioning."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    a, b = readers.seeded_subset(c, "c_custkey", 20, 7), readers.seeded_subset(c.repartition(5), "c_custkey", 20, 7)
-    return a.agg(F.count(F.lit(1)).alias("n")).join(a.join(b, "c_custkey").agg(F.count(F.lit(1)).alias("common")))
+    return readers.seeded_subset(c, "c_custkey", 20, 7)
 
 
 def windows_text(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'catalog'")
+    p = picks(spark, sf_dir)
     hour = F.date_trunc("hour", "t")
     user = F.when(F.col("event_id") % 4 == 0, hour)
     chunk = F.when(F.col("event_id") % 4 == 2, S.chunk_id(hour, hour + F.expr("INTERVAL 1 HOUR")))
@@ -206,6 +205,30 @@ RISES = """rises AS (SELECT trace, list(i ORDER BY i) AS r FROM (SELECT trace, p
  fold AS (SELECT trace, r, 1 AS k, [r[1]] AS kept FROM rises UNION ALL
    SELECT trace, r, k + 1, CASE WHEN r[k + 1] - kept[-1] >= 5 THEN list_append(kept, r[k + 1]) ELSE kept END FROM fold WHERE k < len(r))"""
 
+F44 = f"""{P}, k AS (SELECT *, station || '/' || phase || '/' || event_id % 3 AS trace FROM picks), cat AS (SELECT trace, min(sample) AS catalog FROM k WHERE run = 'catalog' GROUP BY 1),
+det AS (SELECT trace, sample FROM k WHERE run = 'detected'),
+h AS (SELECT c.trace, count(sample) AS n_detected, count(*) FILTER (abs(sample - catalog) <= 2000) AS hits FROM cat c LEFT JOIN det d ON c.trace = d.trace GROUP BY c.trace),
+t AS (SELECT split_part(trace, '/', 2) AS phase, count(*) AS n_traces, count(*) AS total_catalog, sum(n_detected)::BIGINT AS total_detected, sum(least(1, hits))::BIGINT AS total_matched, sum(1 - least(1, hits))::BIGINT AS total_missing,
+ sum(n_detected - hits)::BIGINT AS total_additional, sum(greatest(hits - 1, 0))::BIGINT AS total_duplicates FROM h GROUP BY 1),
+r AS (SELECT *, coalesce(total_matched / nullif(total_detected, 0)::DOUBLE, 0) AS p, coalesce(total_matched / nullif(total_catalog, 0)::DOUBLE, 0) AS q FROM t)
+SELECT * EXCLUDE (p, q), round(p, 6) AS precision, round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1 FROM r"""
+
+
+def _onsets(name: str, x: str) -> str:
+    """SQL of the onsets of an array column of ``src``: kept rises at least five samples apart."""
+    return f"""{name}r AS (SELECT trace, list(i ORDER BY i) AS r FROM (SELECT trace, {x} AS p, unnest(range(1, len(p))) AS i FROM src) WHERE p[i + 1] >= 0.1 AND p[i] < 0.1 GROUP BY trace),
+ {name}f AS (SELECT trace, r, 1 AS k, [r[1]] AS kept FROM {name}r UNION ALL SELECT trace, r, k + 1, CASE WHEN r[k + 1] - kept[-1] >= 5 THEN list_append(kept, r[k + 1]) ELSE kept END FROM {name}f WHERE k < len(r)),
+ {name} AS (SELECT trace, unnest(kept) AS i FROM {name}f WHERE k = len(r))"""
+
+
+F6 = f"""WITH RECURSIVE {TRACES}, src AS (SELECT *, list_transform(p, lambda v: round_even(v, 1)) AS q, CASE WHEN trace % 4 < 2 THEN 'A' ELSE 'B' END AS model, CASE WHEN trace % 3 = 0 THEN 'bf16' ELSE 'fp16' END AS dtype, trace % 5 = 0 AS compiled FROM traces),
+ {_onsets("a", "p")}, {_onsets("b", "q")},
+ d AS (SELECT model, dtype, compiled, avg(abs(x - y)) AS mae, count(*) AS n_samples FROM (SELECT model, dtype, compiled, unnest(p) AS x, unnest(q) AS y FROM src) GROUP BY ALL),
+ m AS (SELECT coalesce(a.trace, b.trace) AS trace, a.i AS x, b.i AS y FROM a FULL JOIN b ON a.trace = b.trace AND a.i = b.i),
+ t AS (SELECT model, dtype, compiled, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_pairs, count(*) FILTER (x IS NULL) AS n_missing_a, count(*) FILTER (y IS NULL) AS n_missing_b FROM m JOIN src ON m.trace = src.trace GROUP BY ALL),
+ s AS (SELECT model, dtype, compiled, sum(list_sum(list_transform(p, lambda v: abs(v)))) / sum(list_sum(list_transform(p, lambda v: round_even(abs(v), 1)))) AS speedup FROM src GROUP BY ALL)
+ SELECT model, dtype, compiled, round(mae, 6) AS mae, n_samples, n_pairs, n_missing_a, n_missing_b, round(speedup, 6) AS speedup FROM d LEFT JOIN t USING (model, dtype, compiled) LEFT JOIN s USING (model, dtype, compiled)"""
+
 ORACLE_SQL = {
     "B7_delta_rows": f"{P}, d AS (SELECT event_id, phase, round_even(prob * 60 - 20, 0)::INTEGER AS delta FROM picks WHERE run = 'catalog' AND prob > 0.02 AND event_id % 11 <> 0) SELECT *, delta * 10.0::DOUBLE AS ms, abs(delta) <= 5 AS within_5, delta < 0 AS early FROM d",
     "B11_usable": f"{TI} SELECT model, device, count(*) FILTER (cpus <= 45 AND success) AS usable, count(*) AS n FROM trials GROUP BY ALL",
@@ -217,12 +240,14 @@ ORACLE_SQL = {
     "D16_precision_evaluation": f"{TR}, q AS (SELECT trace, list_position(p, list_max(p)) - 1 AS a, list_transform(p, lambda v: round_even(v, 1)) AS r FROM traces) SELECT trace, (a - trace % 64)::INTEGER AS delta_catalog, (list_position(r, list_max(r)) - 1 - a)::INTEGER AS delta_full FROM q",
     "E3_network_comparison": f"{P}, c AS (SELECT station, phase, min(sample) AS c FROM picks WHERE run = 'catalog' GROUP BY ALL), m AS (SELECT c.station, c.phase, arg_min(sample - c, struct_pack(d := abs(sample - c), s := sample)) AS delta FROM c JOIN picks p ON p.run = 'detected' AND prob > 0.05 AND p.station = c.station AND p.phase = c.phase AND abs(sample - c) <= 900 GROUP BY ALL) SELECT c.station, c.phase, count(delta) AS matched, 1 - count(delta) AS missing, round(min(delta), 6) AS delta FROM c LEFT JOIN m ON c.station = m.station AND c.phase = m.phase GROUP BY ALL",
     "E11_path_fallback": "WITH o AS (SELECT o_custkey AS k, o_orderstatus AS layout, max(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT k, round(v, 6) AS v, layout FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE layout WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END) = 1",
+    "F44_pooled_runs": F44,
+    "F6_quality_sweep": F6,
     "F17_gpu_optimum": f"{TI} SELECT model, (variant % 3) || CASE WHEN device = 'F' THEN ',1' ELSE '' END AS gpus, n_stations, round(wall_s, 6) AS wall_s, repeat, cpus, variant FROM trials QUALIFY row_number() OVER (PARTITION BY model, gpus, n_stations ORDER BY wall_s, repeat, cpus, variant) = 1",
     "F38_arrival_percentiles": f"{E}, x AS (SELECT chunk, returned_s - ready_s AS x FROM station_events) SELECT chunk, count(x) AS n, round(min(x), 6) AS min, round(avg(x), 6) AS mean, round(max(x), 6) AS max, " + ", ".join(f"round(quantile_cont(x, {q / 100}), 6) AS p{q}" for q in (50, 90, 95, 99)) + " FROM x GROUP BY chunk",
     "F51_chart_data": f"{TI} SELECT model, n_stations AS x, round(avg(n_stations / wall_s), 6) AS y, 'throughput' AS chart FROM trials GROUP BY ALL UNION ALL SELECT model, cpus, round(min(wall_s), 6), 'workers' FROM trials GROUP BY ALL",
     "F50_peak_memory": f"{TI} SELECT model, n_stations, round(max(wall_s) FILTER (device = 'F'), 6) AS \"device_F\", round(max(wall_s) FILTER (device = 'O'), 6) AS \"device_O\" FROM trials WHERE kind <> 'baseline' GROUP BY ALL",
-    "H4_seeded_choice": "SELECT 20::BIGINT AS n, 20::BIGINT AS common",
-    "J6_windows_text": f"{P} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(date_trunc('hour', t) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') WHEN event_id % 4 = 2 THEN strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(date_trunc('hour', t) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') ELSE '60 min' END AS text FROM picks WHERE run = 'catalog'",
+    "H4_seeded_choice": "SELECT c_custkey FROM customer ORDER BY md5('7/' || c_custkey), c_custkey LIMIT 20",
+    "J6_windows_text": f"{P} SELECT event_id, CASE WHEN event_id % 4 = 0 THEN strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(date_trunc('hour', t) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') WHEN event_id % 4 = 2 THEN strftime(date_trunc('hour', t), '%Y-%m-%d %H:%M:%S') || ' to ' || strftime(date_trunc('hour', t) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') ELSE '60 min' END AS text FROM picks",
     "A20_classify_file": f"{P} SELECT station, phase, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS peak_time, round(prob, 6) AS peak_value FROM picks",
     "A23_numbered": "SELECT s_suppkey, row_number() OVER (ORDER BY upper(s_name), s_suppkey)::INTEGER AS trial_number FROM supplier",
     "A9_trial_rows": "WITH r AS (SELECT CASE WHEN l_linenumber = 3 THEN 'baseline' ELSE l_returnflag END || '/fp32' || CASE WHEN l_linestatus = 'O' THEN '/compiled' ELSE '' END || CASE WHEN l_suppkey % 3 > 0 THEN '/w' || (l_suppkey % 3) ELSE '' END AS variant, CASE WHEN l_quantity > 40 THEN l_quantity WHEN l_quantity > 20 THEN l_quantity + 100 ELSE l_quantity + 200 END AS w FROM lineitem WHERE l_linenumber BETWEEN 3 AND 6) SELECT variant, count(*) AS n, round(sum(w), 6) AS wall, 0::BIGINT AS errors FROM r GROUP BY variant",

@@ -12,7 +12,7 @@ from quakeframe.streaming import stations as K
 
 
 def time_texts(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'catalog'")
+    p = picks(spark, sf_dir)
     start = F.date_trunc("minute", "t")
     cid = S.chunk_id(start, start + F.expr("INTERVAL 1 MINUTE"))
     parsed = S.chunk_bounds(cid)
@@ -24,7 +24,7 @@ def time_texts(spark, sf_dir):
 
 
 def durations(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'catalog'")
+    p = picks(spark, sf_dir)
     return p.select("event_id", S.duration_text(F.floor(F.col("sample") * 60)).alias("text"), S.chunk_end(F.col("sample")).alias("chunk_end"), S.group_size(F.floor("sample").cast("int"), 7, F.col("phase") == "P").alias("group_size"))
 
 
@@ -98,12 +98,12 @@ def unsupported(spark, sf_dir):
 
 
 def pick_file_rows(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'detected'").select("station", F.when(F.col("phase") == "P", F.col("t")).alias("p_time"), F.when(F.col("phase") == "P", F.col("prob")).alias("p_prob"), F.when(F.col("phase") == "S", F.col("t")).alias("s_time"), F.when(F.col("phase") == "S", F.col("prob")).alias("s_prob"))
+    p = picks(spark, sf_dir).select("station", F.when(F.col("phase") == "P", F.col("t")).alias("p_time"), F.when(F.col("phase") == "P", F.col("prob")).alias("p_prob"), F.when(F.col("phase") == "S", F.col("t")).alias("s_time"), F.when(F.col("phase") == "S", F.col("prob")).alias("s_prob"))
     return sinks.pick_rows(p, "SB")
 
 
 def exported(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'detected' AND prob > 0.1")
+    p = picks(spark, sf_dir)
     stations = table(spark, sf_dir, "supplier").select(F.format_string("S%04d", F.col("s_suppkey")).alias("station")).union(p.select("station")).distinct()
     return sinks.export_tree(p, stations).select("station", "rn", F.date_format("p_time", "yyyy-MM-dd HH:mm:ss").alias("p_time"), F.date_format("s_time", "yyyy-MM-dd HH:mm:ss").alias("s_time"))
 
@@ -135,8 +135,7 @@ def catalog_lists(spark, sf_dir):
 
 def network_choice(spark, sf_dir):
     t = traces(spark, sf_dir).select("trace", (F.col("trace") % 7000).cast("double").alias("p"), (F.col("trace") % 5000 + 100).cast("double").alias("s"))
-    good = readers.build_network(t, 50, 42, 20.0, 4000.0)
-    return good.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("trace").alias("traces"), F.count_if((F.col("p") < 20) | (F.col("p") >= 4000)).alias("outside"))
+    return readers.build_network(t, 50, 42, 20.0, 4000.0)
 
 
 def station_choice(spark, sf_dir):
@@ -178,8 +177,10 @@ def paced(spark, sf_dir):
 
 
 def launch_groups(spark, sf_dir):
-    e = station_events(spark, sf_dir).withColumns({"station": F.col("event_id").cast("string"), "ready_s": F.round(F.col("ready_s") % 60, 3)}).withColumn("pool", F.concat_ws("/", K.pool_of(F.col("ready_s") - 30), F.floor(F.col("event_id") / 40).cast("string")))
-    g = K.batch_groups(e, "pool", 5, 8.0)
+    """Groups of each hour's early and late stations: five of them, or eight seconds after the oldest, or by the minute's end."""
+    e = station_events(spark, sf_dir).withColumns({"station": F.col("event_id").cast("string"), "ready_s": F.round("ready_s", 3)})
+    e = e.withColumn("pool", F.concat_ws("/", K.pool_of(F.col("ready_s") - 1800), F.col("chunk").cast("string")))
+    g = K.batch_groups(e, "pool", 5, 8.0, drain=True)
     return rounded(g.select("pool", "fire_s", "n"))
 
 
@@ -190,8 +191,7 @@ def launch_groups_from_first(spark, sf_dir):
 
 def arrival_schedule(spark, sf_dir):
     s = table(spark, sf_dir, "customer").select(F.col("c_name").alias("station"))
-    r = K.ready_times(s, 0.3, 7)
-    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("ready_s").isin(0.0, *map(float, K.DELAYS))).alias("odd"), (F.abs(F.avg((F.col("ready_s") > 0).cast("double")) - 0.3) < 0.1).alias("near_share"))
+    return K.ready_times(s, 0.3, 7)
 
 
 def stations_kept(spark, sf_dir):
@@ -243,9 +243,26 @@ REPORTS = """WITH r0 AS (SELECT 'S' || l_suppkey AS station, l_linenumber AS chu
  pk AS (SELECT 'S' || l_suppkey AS station, l_linenumber AS chunk_id, count(*) FILTER (l_linestatus = 'O') AS n_p, count(*) FILTER (l_linestatus <> 'O') AS n_s FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL),
  s AS (SELECT qt.station, qt.chunk_id, coalesce(n_p, 0) AS n_p, coalesce(n_s, 0) AS n_s, text FROM qt LEFT JOIN pk ON qt.station = pk.station AND qt.chunk_id = pk.chunk_id)"""
 
+def _drawn(*of: str) -> str:
+    """SQL of a draw by a digest: the seed with its salt, then a column."""
+    return f"(('0x' || substr(md5('{of[0]}/' || {of[1]}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
+def _groups(pool: str, ready: str, start: str, last: str) -> str:
+    """SQL of launch groups: a fold over the sorted stations of each pool and minute."""
+    due = f"least({start}, (minute + 1) * 60.0::DOUBLE)"
+    return f"""WITH RECURSIVE {STATION_EVENTS}, ev AS (SELECT {pool} AS pool, {ready} AS t, event_id::VARCHAR AS s FROM station_events),
+ g AS (SELECT pool, floor(t / 60) AS minute, list(struct_pack(t := t, s := s) ORDER BY t, s) AS r FROM ev GROUP BY ALL), ends AS (SELECT pool, max(t) AS last FROM ev GROUP BY pool),
+ f AS (SELECT pool, minute, r, 0 AS k, []::STRUCT(t DOUBLE, s VARCHAR)[] AS q, NULL::DOUBLE AS fire_s, 0 AS n FROM g UNION ALL
+   SELECT pool, minute, r, k + 1, CASE WHEN len(q1) >= 5 THEN [] ELSE q1 END, CASE WHEN over THEN due WHEN len(q1) >= 5 THEN e.t END, CASE WHEN over THEN len(q) WHEN len(q1) >= 5 THEN len(q1) ELSE 0 END FROM (
+     SELECT *, CASE WHEN over THEN [e] ELSE list_append(q, e) END AS q1 FROM (SELECT *, r[k + 1] AS e, {due} AS due, len(q) > 0 AND {due} <= r[k + 1].t AS over FROM f WHERE k < len(r)))),
+ done AS (SELECT pool, fire_s, n FROM f WHERE n > 0 UNION ALL SELECT f.pool, {last.format(due=due)}, len(q) FROM f JOIN ends ON f.pool = ends.pool WHERE k = len(r) AND len(q) > 0)
+ SELECT pool, round(fire_s, 6) AS fire_s, n::INTEGER AS n FROM done"""
+
+
 ORACLE_SQL = {
-    "J1_J4_time_texts": f"{P} SELECT event_id, strftime(date_trunc('minute', t), '%Y%m%dT%H%M%SZ') || '_' || strftime(date_trunc('minute', t) + INTERVAL 1 MINUTE, '%Y%m%dT%H%M%SZ') AS chunk_id, 1.0::DOUBLE AS minutes, true AS same, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS text, true AS back, false AS not_chunk, 'a_b_' || station || '_c' AS safe FROM picks WHERE run = 'catalog'",
-    "J5_J11_J12_durations": f"{P}, s AS (SELECT *, floor(sample * 60)::BIGINT AS x FROM picks WHERE run = 'catalog') SELECT event_id, (x // 86400) || ' Days ' || (x % 86400 // 3600) || ' Hrs ' || (x % 3600 // 60) || ' Min ' || (x % 60) || ' Sec' AS text, (floor(sample / 60) + 1) * 60 AS chunk_end, CASE WHEN phase = 'P' THEN ceil(floor(sample) / 7) ELSE 1 END::INTEGER AS group_size FROM s",
+    "J1_J4_time_texts": f"{P} SELECT event_id, strftime(date_trunc('minute', t), '%Y%m%dT%H%M%SZ') || '_' || strftime(date_trunc('minute', t) + INTERVAL 1 MINUTE, '%Y%m%dT%H%M%SZ') AS chunk_id, 1.0::DOUBLE AS minutes, true AS same, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS text, true AS back, false AS not_chunk, 'a_b_' || station || '_c' AS safe FROM picks",
+    "J5_J11_J12_durations": f"{P}, s AS (SELECT *, floor(sample * 60)::BIGINT AS x FROM picks) SELECT event_id, (x // 86400) || ' Days ' || (x % 86400 // 3600) || ' Hrs ' || (x % 3600 // 60) || ' Min ' || (x % 60) || ' Sec' AS text, (floor(sample / 60) + 1) * 60 AS chunk_end, CASE WHEN phase = 'P' THEN ceil(floor(sample) / 7) ELSE 1 END::INTEGER AS group_size FROM s",
     "J7_J8_B6_model_labels": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'PhaseNet' ELSE p_type END || CASE WHEN p_partkey % 2 = 0 THEN '/' || CASE WHEN p_partkey % 3 = 0 THEN 'stead' ELSE p_brand END ELSE '' END AS label, CASE WHEN p_partkey % 3 = 0 THEN 'stead' ELSE p_brand END AS child, CASE WHEN p_size = 30 THEN '0.3' ELSE 'P ' || regexp_replace(regexp_replace(printf('%.6f', p_size / 100.0::DOUBLE), '0+$', ''), '\\.$', '') || ' / S 0.3' END AS threshold, CASE p_type WHEN 'ECONOMY' THEN 'cheap' WHEN 'SMALL' THEN 'little' ELSE 'other' END AS kind FROM part",
     "J9_J13_json_cells": "SELECT event_id, CASE event_id % 5 WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN 'true' WHEN 3 THEN '\"' || event_type || '\"' ELSE 'null' END AS json, user_id || ',1' AS gpus, (props->>'$.k')::DOUBLE AS k FROM events",
     "B5_B17_B18_B20_trial_labels": "WITH t AS (SELECT *, l_quantity / 10 AS picker, l_discount + l_tax AS busy, floor(l_quantity / 2)::INTEGER AS got FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat_ws('/', CASE WHEN l_linenumber = 1 THEN 'baseline' ELSE l_returnflag END, 'bf16', CASE WHEN l_linestatus = 'O' THEN 'compiled' END, CASE WHEN l_quantity > 25 THEN 'w' || (l_quantity - 25)::INTEGER END, 't' || l_linenumber) AS label, round(greatest(0, 10 - picker - 3), 6) AS framework, round(CASE WHEN busy > 0 THEN picker * l_discount / busy ELSE picker END, 6) AS inference, round(CASE WHEN busy > 0 THEN picker * l_tax / busy ELSE 0 END, 6) AS preprocess, (l_linenumber <> 7 AND got >= 20) AS ok, CASE WHEN l_linenumber = 7 THEN 'boom' WHEN got = 0 THEN 'no stations returned' WHEN got < 20 THEN got || ' of 20 stations returned' END AS reason, CASE WHEN l_quantity * 200 >= 6000 THEN 'single' ELSE 'sliding' END AS regime FROM t",
@@ -256,14 +273,14 @@ ORACLE_SQL = {
     "F28_executive_summary": f"{REPORTS}, g AS (SELECT station, sum(n_p)::BIGINT AS n_p, sum(n_s)::BIGINT AS n_s, arg_min('m' || chunk_id, chunk_id) FILTER (chunk_id > 2) AS label, list(chunk_id::VARCHAR ORDER BY chunk_id::VARCHAR) FILTER (text <> 'OK') AS bad FROM s GROUP BY station) SELECT station, n_p, n_s, label, coalesce(array_to_string(bad[1:3], ', '), '') || CASE WHEN len(bad) > 3 THEN ' +' || (len(bad) - 3) || ' more' ELSE '' END AS bad_chunks FROM g",
     "B12_known_issues": "SELECT DISTINCT o_custkey AS station, o_orderstatus AS chunk_id, c_mktsegment AS issue FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal < 0",
     "B21_unsupported": "SELECT p_partkey, p_type AS model, p_brand AS dtype, CASE WHEN p_type = 'ECONOMY' AND p_brand = 'Brand#2' THEN 'no fp16' WHEN p_brand = 'Brand#4' THEN 'no playback' END AS skip_reason, CASE WHEN (p_type = 'ECONOMY' AND p_brand = 'Brand#2') OR p_brand = 'Brand#4' THEN 'skipped' ELSE 'planned' END AS benchmark_status FROM part",
-    "A17_pick_file_rows": f"{P} SELECT station AS file_name, 'SB' AS network, station, '0' AS instrument_type, 0.0::DOUBLE AS station_lat, 0.0::DOUBLE AS station_lon, 0.0::DOUBLE AS station_elv, CASE WHEN phase = 'P' THEN strftime(t, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS p_arrival_time, CASE WHEN phase = 'P' THEN printf('%.6f', prob) ELSE '' END AS p_probability, CASE WHEN phase = 'S' THEN strftime(t, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS s_arrival_time, CASE WHEN phase = 'S' THEN printf('%.6f', prob) ELSE '' END AS s_probability FROM picks WHERE run = 'detected'",
-    "A18_exported": f"{P}, d AS (SELECT *, row_number() OVER (PARTITION BY station, phase ORDER BY t) AS rn FROM picks WHERE run = 'detected' AND prob > 0.1), b AS (SELECT coalesce(p.station, s.station) AS station, coalesce(p.rn, s.rn) AS rn, p.t AS p_time, s.t AS s_time FROM (SELECT * FROM d WHERE phase = 'P') p FULL JOIN (SELECT * FROM d WHERE phase = 'S') s ON p.station = s.station AND p.rn = s.rn), st AS (SELECT printf('S%04d', s_suppkey) AS station FROM supplier UNION SELECT station FROM d) SELECT st.station, rn::INTEGER AS rn, strftime(p_time, '%Y-%m-%d %H:%M:%S') AS p_time, strftime(s_time, '%Y-%m-%d %H:%M:%S') AS s_time FROM st LEFT JOIN b ON st.station = b.station",
+    "A17_pick_file_rows": f"{P} SELECT station AS file_name, 'SB' AS network, station, '0' AS instrument_type, 0.0::DOUBLE AS station_lat, 0.0::DOUBLE AS station_lon, 0.0::DOUBLE AS station_elv, CASE WHEN phase = 'P' THEN strftime(t, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS p_arrival_time, CASE WHEN phase = 'P' THEN printf('%.6f', prob) ELSE '' END AS p_probability, CASE WHEN phase = 'S' THEN strftime(t, '%Y-%m-%d %H:%M:%S.%f') ELSE '' END AS s_arrival_time, CASE WHEN phase = 'S' THEN printf('%.6f', prob) ELSE '' END AS s_probability FROM picks",
+    "A18_exported": f"{P}, d AS (SELECT *, row_number() OVER (PARTITION BY station, phase ORDER BY t) AS rn FROM picks), b AS (SELECT coalesce(p.station, s.station) AS station, coalesce(p.rn, s.rn) AS rn, p.t AS p_time, s.t AS s_time FROM (SELECT * FROM d WHERE phase = 'P') p FULL JOIN (SELECT * FROM d WHERE phase = 'S') s ON p.station = s.station AND p.rn = s.rn), st AS (SELECT printf('S%04d', s_suppkey) AS station FROM supplier UNION SELECT station FROM d) SELECT st.station, rn::INTEGER AS rn, strftime(p_time, '%Y-%m-%d %H:%M:%S') AS p_time, strftime(s_time, '%Y-%m-%d %H:%M:%S') AS s_time FROM st LEFT JOIN b ON st.station = b.station",
     "A19_pick_lists": f"{P} SELECT station, count(*) FILTER (phase = 'P')::INTEGER AS n_p, count(*) FILTER (phase = 'S')::INTEGER AS n_s, round(min(sample) FILTER (phase = 'P'), 3) AS first_p, round(max(sample) FILTER (phase = 'S'), 3) AS last_s FROM picks GROUP BY station",
     "A21_pick_log": f"{P} SELECT station, row_number() OVER (PARTITION BY station ORDER BY t, phase)::INTEGER AS place, strftime(t, '%Y-%m-%d %H:%M:%S.%f') || phase AS line FROM picks",
     "A22_merged_summary": "SELECT c_custkey AS k, round(coalesce((SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey), c_acctbal), 6) AS v FROM customer",
     "A24_patched_records": "WITH r AS (SELECT l_orderkey AS trial, l_linenumber::BIGINT * 10000000000 + l_partkey * 10000 + l_suppkey AS seq, CASE WHEN l_discount > 0.05 THEN l_quantity END AS a, CASE WHEN l_tax < 0.03 THEN l_extendedprice END AS b FROM lineitem) SELECT trial, round(arg_max(a, seq) FILTER (a IS NOT NULL), 6) AS a, round(arg_max(b, seq) FILTER (b IS NOT NULL), 6) AS b FROM r GROUP BY trial",
     "A15_catalog_lists": f"{P} SELECT station, phase, round(sample, 3) AS sample FROM picks",
-    "A25_network_choice": "SELECT 50::BIGINT AS n, 50::BIGINT AS traces, 0::BIGINT AS outside",
+    "A25_network_choice": "WITH t AS (SELECT vec_id AS trace, (vec_id % 7000)::DOUBLE AS p, (vec_id % 5000 + 100)::DOUBLE AS s FROM embeddings) SELECT * FROM t WHERE p >= 20 AND p < 4000 AND s >= 20 AND s < 4000 ORDER BY md5('42/' || trace), trace LIMIT 50",
     "A2_station_choice": "SELECT c_name AS station FROM customer ORDER BY c_name LIMIT 20",
     "A27_duplicated": "SELECT vec_id AS trace, c::INTEGER AS copy, 'S000' || c AS sta FROM embeddings, range(3) g(c)",
     "K7_latencies": f"{E}, t AS (SELECT floor(event_id / 4) AS task_id, max(queued_s) AS q, max(returned_s) AS r, sum(returned_s - queued_s) AS inf, count(*) AS n FROM station_events GROUP BY 1) SELECT event_id::VARCHAR AS station, task_id::BIGINT AS task_id, n::INTEGER AS n_in_group, round(ready_s, 6) AS ready_s, round(r - ready_s, 6) AS e2e_s, round(q - ready_s, 6) AS queue_s, round(r - q, 6) AS service_s, round(inf / n, 6) AS inference_share_s FROM station_events JOIN t ON floor(event_id / 4) = task_id",
@@ -275,7 +292,9 @@ ORACLE_SQL = {
  g AS (SELECT stream, feed_index, k, feed_index * 60.0::DOUBLE AS due_s, feed_index * 60.0::DOUBLE AS start_s, feed_index * 60.0::DOUBLE + work_s AS end_s, 0.0::DOUBLE AS before FROM o WHERE k = 1
    UNION ALL SELECT o.stream, o.feed_index, o.k, o.feed_index * 60.0::DOUBLE, greatest(o.feed_index * 60.0::DOUBLE, g.end_s), greatest(o.feed_index * 60.0::DOUBLE, g.end_s) + o.work_s, g.end_s FROM g JOIN o ON o.stream = g.stream AND o.k = g.k + 1)
  SELECT stream, feed_index, due_s, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s, round(greatest(due_s - before, 0), 6) AS wait_s, round(greatest(start_s - due_s, 0), 6) AS late_s FROM g""",
-    "K1_arrival_schedule": "SELECT count(*) AS n, 0::BIGINT AS odd, true AS near_share FROM customer",
+    "K1_arrival_schedule": f"SELECT c_name AS station, CASE WHEN {_drawn('7/late', 'c_name')} < 0.3::DOUBLE THEN [0, 5, 10, 15, 20, 25, 30, 60, 65, 90][floor({_drawn('7/delay', 'c_name')} * 10)::INTEGER + 1] ELSE 0 END::DOUBLE AS ready_s FROM customer",
+    "K3_launch_groups": _groups("CASE WHEN round(ready_s, 3) <= 1800 THEN 'ontime' ELSE 'delayed' END || '/' || chunk", "round(ready_s, 3)", "q[1].t + 8", "least({due}, last)"),
+    "K4_launch_groups_from_first": _groups("(event_id // 40)::VARCHAR", "round(ready_s % 60, 3)", "greatest(r[1].t + 8, q[1].t)", "{due}"),
     "I2_stations_kept": f"{P} SELECT station AS sta, event_id FROM picks WHERE station IN (SELECT printf('S%04d', s_suppkey) FROM supplier)",
     "I3_stations_common": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' AND prob > 0.3 INTERSECT SELECT station, phase FROM picks WHERE run = 'detected' AND prob > 0.3",
     "I5_channels_missing": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' EXCEPT ALL SELECT station, phase FROM picks WHERE run = 'detected'",

@@ -121,8 +121,10 @@ def component_traces(spark, sf_dir):
 
 
 def read_window(spark, sf_dir):
+    """Minutes 1 to 10 of every hour."""
     s = segments(spark, sf_dir)
-    w = P.in_window(s, F.lit(START + " 00:01:00").cast("timestamp"), F.lit(START + " 00:10:00").cast("timestamp"))
+    hour = F.date_trunc("hour", "start")
+    w = P.in_window(s, hour + F.expr("INTERVAL 1 MINUTE"), hour + F.expr("INTERVAL 10 MINUTES"))
     return w.select("trace", F.size("samples").alias("n"), _sum(F.col("samples")).alias("s"))
 
 
@@ -172,8 +174,8 @@ def argmax_quality(spark, sf_dir):
 
 
 def paired(spark, sf_dir):
-    p = picks(spark, sf_dir).filter("run = 'catalog'").select("station", "phase", (F.col("sample") / 10).alias("t"), "prob")
-    return rounded(K.pair_phases(p, ["station"]))
+    p = picks(spark, sf_dir).select(F.col("run").alias("side"), "station", "phase", (F.col("sample") / 10).alias("t"), "prob")
+    return rounded(K.pair_phases(p, ["side", "station"]))
 
 
 def annotated(spark, sf_dir):
@@ -243,7 +245,7 @@ ORACLE_SQL = {
  SELECT g AS "group", max(CASE WHEN c = 'HHE' THEN c END) AS e, max(CASE WHEN c = 'HHN' THEN c END) AS n, max(CASE WHEN c = 'HHZ' THEN c END) AS z,
  concat_ws(',', CASE WHEN count(*) FILTER (c = 'HHE') = 0 THEN 'E' END, CASE WHEN count(*) FILTER (c = 'HHN') = 0 THEN 'N' END, CASE WHEN count(*) FILTER (c = 'HHZ') = 0 THEN 'Z' END) AS filled FROM s GROUP BY g""",
     "C22_component_traces": f"""{STATIONS} SELECT ok.g AS "group", 'HH' || c.comp AS cha, round(list_sum(c.p[a - c.i0 + 1 : b - c.i0 + 1]), 6) AS s FROM ok JOIN c ON c.g = ok.g""",
-    "A7_read_window": f"{SEG}, w AS (SELECT trace, p[greatest(0, 600 - i0) + 1 : least(64, 6000 - i0 + 1)] AS x FROM seg WHERE i0 <= 6000 AND i0 + 63 >= 600) SELECT trace, len(x)::INTEGER AS n, round(list_sum(x), 6) AS s FROM w WHERE len(x) > 0",
+    "A7_read_window": f"{SEG}, h AS (SELECT *, i0 % 36000 AS j0 FROM seg), w AS (SELECT trace, p[greatest(0, 600 - j0) + 1 : least(64, 6000 - j0 + 1)] AS x FROM h WHERE j0 <= 6000 AND j0 + 63 >= 600) SELECT trace, len(x)::INTEGER AS n, round(list_sum(x), 6) AS s FROM w WHERE len(x) > 0",
     "A8_span": f"{SEG} SELECT round((max(i0 + 64) - min(i0)) / 600.0::DOUBLE, 6) AS minutes FROM seg",
     "D5_onsets": f"WITH RECURSIVE {TRACES}, src AS (SELECT trace, p FROM traces), {RISES} SELECT trace, unnest(kept)::INTEGER AS sample FROM fold WHERE k = len(r)",
     "D6_peaks": f"{T}, i AS (SELECT trace, p, unnest(range(1, 63)) AS i FROM traces) SELECT trace, i::INTEGER AS sample FROM i WHERE p[i + 1] - p[i] > 0 AND p[i + 2] - p[i + 1] <= 0 AND p[i + 1] >= 0.1",
@@ -259,13 +261,13 @@ ORACLE_SQL = {
     "D15_argmax_quality": f"""WITH RECURSIVE {TRACES}, src AS (SELECT trace, p FROM traces), {RISES}, f AS (SELECT trace, kept[1] AS onset FROM fold WHERE k = len(r)),
  q AS (SELECT traces.trace, list_position(p, list_max(p)) - 1 AS argmax, onset, traces.trace % 64 AS c FROM traces LEFT JOIN f ON traces.trace = f.trace)
  SELECT trace, argmax::INTEGER AS argmax, onset::INTEGER AS onset, (argmax - c)::INTEGER AS delta_argmax, (onset - c)::INTEGER AS delta_onset FROM q""",
-    "D14_paired": f"""WITH RECURSIVE {PICKS}, c AS (SELECT station, phase, sample / 10 AS t, prob FROM picks WHERE run = 'catalog'),
- ps AS (SELECT station, list({{'t': t, 'prob': prob}} ORDER BY t, prob) AS p FROM c WHERE phase = 'P' GROUP BY 1), ss AS (SELECT station, list({{'t': t, 'prob': prob}} ORDER BY t, prob) AS s FROM c WHERE phase = 'S' GROUP BY 1),
- g AS (SELECT coalesce(ps.station, ss.station) AS station, p, coalesce(s, []) AS s FROM ps FULL JOIN ss ON ps.station = ss.station),
- fold AS (SELECT station, p, s, 0 AS i, []::BIGINT[] AS used, NULL::BIGINT AS j FROM g UNION ALL
-   SELECT station, p, s, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, j FROM (
+    "D14_paired": f"""WITH RECURSIVE {PICKS}, c AS (SELECT run, station, phase, sample / 10 AS t, prob FROM picks),
+ ps AS (SELECT run, station, list({{'t': t, 'prob': prob}} ORDER BY t, prob) AS p FROM c WHERE phase = 'P' GROUP BY ALL), ss AS (SELECT run, station, list({{'t': t, 'prob': prob}} ORDER BY t, prob) AS s FROM c WHERE phase = 'S' GROUP BY ALL),
+ g AS (SELECT coalesce(ps.run, ss.run) AS run, coalesce(ps.station, ss.station) AS station, p, coalesce(s, []) AS s FROM ps FULL JOIN ss ON ps.station = ss.station AND ps.run = ss.run),
+ fold AS (SELECT run, station, p, s, 0 AS i, []::BIGINT[] AS used, NULL::BIGINT AS j FROM g UNION ALL
+   SELECT run, station, p, s, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END, j FROM (
      SELECT *  EXCLUDE (j), list_min(list_filter(range(1, len(s) + 1), lambda k: s[k].t - p[i + 1].t > 0 AND s[k].t - p[i + 1].t < 30 AND NOT list_contains(used, k))) AS j FROM fold WHERE i < coalesce(len(p), 0))),
  ends AS (SELECT * FROM fold WHERE i = coalesce(len(p), 0))
- SELECT station, round(p[i].t, 6) AS p_time, round(p[i].prob, 6) AS p_prob, round(s[j].t, 6) AS s_time, round(s[j].prob, 6) AS s_prob FROM fold WHERE i > 0
- UNION ALL SELECT station, NULL, NULL, round(s[k].t, 6), round(s[k].prob, 6) FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM ends) WHERE NOT list_contains(used, k)""",
+ SELECT run AS side, station, round(p[i].t, 6) AS p_time, round(p[i].prob, 6) AS p_prob, round(s[j].t, 6) AS s_time, round(s[j].prob, 6) AS s_prob FROM fold WHERE i > 0
+ UNION ALL SELECT run, station, NULL, NULL, round(s[k].t, 6), round(s[k].prob, 6) FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM ends) WHERE NOT list_contains(used, k)""",
 }

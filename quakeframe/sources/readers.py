@@ -157,8 +157,8 @@ def catalog_columns(metadata: DataFrame) -> DataFrame:
 
 
 def seeded_subset(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in the order of a seeded hash of their key, one per key."""
-    return rows.dropDuplicates([key]).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)
+    """n rows in the order of a seeded digest of their key, one per key."""
+    return rows.dropDuplicates([key]).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
 def build_network(metadata: DataFrame, n: int, seed: int, low: float, high: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions import scalars as S
+from quakeframe.operators.runs import numbered
 from quakeframe.sources.schemas import PICK_COLUMNS
 
 
@@ -72,7 +73,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def number_records(records: DataFrame, order: list[str]) -> DataFrame:
     """Trial numbers from 1 in the order of their keys."""
-    return records.withColumn("trial_number", F.row_number().over(Window.orderBy(*order)))
+    return numbered(records, order, "trial_number", 1)
 
 
 def append_records(records: DataFrame, path: str, names: dict[str, str]) -> None:

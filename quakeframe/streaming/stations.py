@@ -1,6 +1,7 @@
 """Late stations as streams: chunks by event time, launch groups by count or wait, latencies, continuous picking.
 
-Every streaming operator has a batch twin with the same result, which tests hold against it.
+Every streaming operator has a batch twin with the same result, which tests hold against it; rules that need to know the
+end of the input (``from_first``, ``drain``) are batch only.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quakeframe.functions import scalars as S
+from quakeframe.operators.runs import numbered
 
 #: Delays that a late station may have, in seconds.  Fixed values.
-DELAYS = (5, 10, 20, 30, 45, 60, 90)
+DELAYS = (0, 5, 10, 15, 20, 25, 30, 60, 65, 90)
 #: A late station is always processed, in a later chunk, so the watermark waits longer than the largest delay.
 WATERMARK = "120 seconds"
 
@@ -23,11 +25,15 @@ WATERMARK = "120 seconds"
 # --- arrival schedules -------------------------------------------------------------------------------------------------------
 
 
-def ready_times(stations: DataFrame, share: float, seed: int, delays: tuple[int, ...] = DELAYS) -> DataFrame:
-    """Add ``ready_s``: 0, or for a seeded share of the stations one of the delays."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), "station"), F.lit(1000000)) / 1e6
-    pick = F.pmod(F.xxhash64(F.lit(seed + 1), "station"), F.lit(len(delays))).cast("int")
-    return stations.withColumn("ready_s", F.when(draw < share, F.get(F.array(*[F.lit(float(d)) for d in delays]), pick)).otherwise(0.0))
+def ready_times(stations: DataFrame, share: float | None, seed: int, delays: tuple[int, ...] = DELAYS) -> DataFrame:
+    """Add ``ready_s``: 0, or for a seeded share of the stations one of the delays; no ``share`` draws it from the seed.
+
+    Draws are digests of seed and name, so they are the same for every partitioning.
+    """
+    drawn = lambda salt: S.drawn(F.lit(f"{seed}/{salt}"), F.col("station"))
+    limit = F.lit(share) if share is not None else S.drawn(F.lit(f"{seed}/share"))
+    pick = F.floor(drawn("delay") * len(delays)).cast("int")
+    return stations.withColumn("ready_s", F.when(drawn("late") < limit, F.get(F.array(*[F.lit(float(d)) for d in delays]), pick)).otherwise(0.0))
 
 
 def split_on_time(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -39,17 +45,8 @@ def pool_of(ready: Column) -> Column:
 
 
 def round_robin(stations: DataFrame, workers: int) -> DataFrame:
-    """Add ``worker``: stations in name order dealt to workers in turn.
-
-    The number within a name's first characters' block is offset by the blocks before it, so only block counts are
-    ordered together, not all stations.
-    """
-    block = F.substring("station", 1, 4)
-    rows = stations.withColumn("__b", block)
-    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy("__b").orderBy("station")) - 1
-    return rows.withColumn("__p", place).join(before, "__b").withColumn("worker", ((F.col("__p") + F.col("__off")) % workers).cast("int")).drop("__b", "__p", "__off")
+    """Add ``worker``: stations in name order dealt to workers in turn; places are sums of range counts."""
+    return numbered(stations, ["station"], "worker", 0).withColumn("worker", (F.col("worker") % workers).cast("int"))
 
 
 # --- chunks by event time ---------------------------------------------------------------------------------------------------------
@@ -93,19 +90,49 @@ def launch_groups(events: list[tuple[str, float]], size: int, wait: float, chunk
     return fired
 
 
-def batch_groups(events: DataFrame, key: str, size: int, wait: float, chunk: float = 60.0, from_first: bool = False) -> DataFrame:
-    """``key, fire_s, n, stations`` of every launch group.  Keys are pools and chunks: each holds one minute of stations."""
-    schema = f"{key} {dict(events.dtypes)[key]}, fire_s double, n int, stations array<string>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = launch_groups(list(zip(pdf["station"], pdf["ready_s"], strict=True)), size, wait, chunk, from_first)
-        return pd.DataFrame({key: pdf[key].iloc[0], "fire_s": [t for t, _ in groups], "n": [len(s) for _, s in groups], "stations": [s for _, s in groups]})
+def batch_groups(events: DataFrame, key: str, size: int, wait: float, chunk: float = 60.0, from_first: bool = False, drain: bool = False) -> DataFrame:
+    """``key, fire_s, n, stations`` of every launch group, by a fold over the sorted stations of each key and chunk.
 
-    return events.select(key, "station", "ready_s").groupBy(key).applyInPandas(run, schema)
+    No group outlives its chunk, so a chunk's stations are all that meets in one row.  With ``drain`` the last group
+    of a key fires as soon as its last station has come: nobody else is expected.
+    """
+    rows = events.select(key, F.floor(F.col("ready_s") / chunk).alias("chunk"), F.struct(F.col("ready_s").cast("double").alias("t"), F.col("station").cast("string").alias("s")).alias("e"))
+    per = rows.groupBy(key, "chunk").agg(F.array_sort(F.collect_list("e")).alias("r"))
+    if drain:
+        ends = rows.groupBy(key).agg(F.max("e.t").alias("last"))
+        a, b = per.alias("a"), ends.alias("b")
+        per = a.join(b, F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}"))).select("a.*", "b.last")
+    else:
+        per = per.withColumn("last", F.lit(float("inf")))
+    end = (F.col("chunk") + 1) * chunk
+    first = F.get("r", F.lit(0))["t"]
+
+    def due(queue: Column) -> Column:
+        oldest = F.get(queue, F.lit(0))["t"]
+        return F.least(F.greatest(first + wait, oldest) if from_first else oldest + wait, end)
+
+    def group(at: Column, queue: Column) -> Column:
+        return F.struct(at.alias("fire_s"), F.transform(queue, lambda x: x["s"]).alias("stations"))
+
+    def step(acc: Column, e: Column) -> Column:
+        over = (F.size(acc["queue"]) > 0) & (due(acc["queue"]) <= e["t"])
+        queue = F.when(over, F.array(e)).otherwise(F.array_append(acc["queue"], e))
+        fired = F.when(over, F.array_append(acc["fired"], group(due(acc["queue"]), acc["queue"]))).otherwise(acc["fired"])
+        return S.let(queue, lambda q: F.struct(
+            F.when(F.size(q) >= size, F.array().cast(queue_type)).otherwise(q).alias("queue"),
+            F.when(F.size(q) >= size, F.array_append(fired, group(e["t"], q))).otherwise(fired).alias("fired"),
+        ))
+
+    queue_type, fired_type = "array<struct<t:double,s:string>>", "array<struct<fire_s:double,stations:array<string>>>"
+    start = F.struct(F.array().cast(queue_type).alias("queue"), F.array().cast(fired_type).alias("fired"))
+    done = per.withColumn("done", F.aggregate("r", start, step))
+    rest = F.when(F.size("done.queue") > 0, F.array(group(F.least(due(F.col("done.queue")), F.col("last")), F.col("done.queue")))).otherwise(F.array().cast(fired_type))
+    groups = done.select(key, F.inline(F.concat("done.fired", rest)))
+    return groups.select(key, "fire_s", F.size("stations").alias("n"), "stations")
 
 
 class LaunchQueue(StatefulProcessor):
-    """Keeps the stations of one pool until they fill a group, have waited long enough, or their chunk ends."""
+    """Keeps the stations of one pool and chunk until they fill a group, have waited long enough, or their chunk ends."""
 
     def __init__(self, size: int, wait: float, chunk: float):
         self.size, self.wait, self.chunk = size, wait, chunk
@@ -155,9 +182,11 @@ def stream_groups(events: DataFrame, size: int, wait: float, chunk: float = 60.0
     """Launch groups of a stream ``pool, station, ready (timestamp), ready_s``; needs the RocksDB state store.
 
     A group is given out once the watermark has passed its time, so that no earlier station can still change it.
+    State is kept by pool and chunk, so a busy pool spreads over tasks and its state ends with the chunk.  A stream
+    cannot know that nobody else is expected, so it has no drain rule.
     """
-    rows = events.withWatermark("ready", WATERMARK).select("pool", "station", "ready", "ready_s")
-    return rows.groupBy("pool").transformWithStateInPandas(LaunchQueue(size, wait, chunk), GROUPS, "Append", "EventTime")
+    rows = events.withWatermark("ready", WATERMARK).select("pool", F.floor(F.col("ready_s") / chunk).alias("chunk"), "station", "ready", "ready_s")
+    return rows.groupBy("pool", "chunk").transformWithStateInPandas(LaunchQueue(size, wait, chunk), GROUPS, "Append", "EventTime")
 
 
 # --- latency and cadence -----------------------------------------------------------------------------------------------------------------
