@@ -3,7 +3,10 @@
 Lines become 128-bit hashes with their document and position.  The hashes are range-partitioned with document and
 position as trailing keys, so that even one line of a third of all documents spreads over many ranges; each range
 streams its sorted runs into a first occurrence and a document count, and only these summaries meet again.
-Decisions return to the documents as bitmaps of 64 lines a word.
+Decisions return to the documents as sparse bitmaps of dropped positions: words of 64 lines, only those with a set bit.
+
+The first occurrence and the document count of a key within a range are a minimum and a count, which the optimiser
+takes from the sorted run; a line is kept unless its bit is set, so the bitmaps hold the complement of a keep bitmap.
 """
 
 from __future__ import annotations
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 from quakeframe.llm.common import BLANKS, LOWER, UPPER, materialise
 
 
+#: Parts of each key's lines in the join with the repeated keys.
+SALT = 16
+
+
 def line_key(line: Column) -> Column:
     """The line without blanks at its ends, A-Z lower-cased."""
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
@@ -52,24 +59,27 @@ def repeated_keys(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def drop_bitmaps(lines: DataFrame, repeated: DataFrame, keep_first: bool) -> DataFrame:
-    """``doc, content, words``: for each document with a dropped line, dense words whose set bits are dropped positions."""
-    hit = lines.join(repeated, ["h1", "h2"])
+    """``doc, content, words``: for each document with a dropped line, a map of words whose set bits are dropped positions.
+
+    Lines of one key are salted over ``SALT`` parts, so that the rows of a line of a third of all documents spread.
+    """
+    salted = lines.withColumn("__salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALT)).cast("int"))
+    keys = repeated.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALT)])))
+    hit = salted.join(keys, ["h1", "h2", "__salt"])
     if keep_first:
         hit = hit.filter(~F.struct("doc", "content", "pos").eqNullSafe(F.col("first")))
     word = F.floor(F.col("pos") / 64).cast("int")
     bits = hit.groupBy("doc", "content", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("pos") % 64)).alias("bits"))
-    sparse = bits.groupBy("doc", "content").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), F.max("word").alias("top"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.try_element_at(F.col("m"), w), F.lit(0).cast("long")))
-    return sparse.select("doc", "content", dense.alias("words"))
+    return bits.groupBy("doc", "content").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "bits")))).alias("words"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """Drop lines whose key occurs in ``min_docs`` documents or more; each row of ``docs`` is a document.
 
     Returns the columns of ``docs`` with ``text`` replaced by the kept lines, then ``n_lines``, ``n_dropped`` and
-    ``drop_words`` (null where no line is dropped).  ``keep_first`` keeps the first occurrence of each such key, by
+    ``drop_words`` (a map, null where no line is dropped).  ``keep_first`` keeps the first occurrence of each such key, by
     id and position.  A null or empty text has one empty line; a null text stays null unless a line is dropped.
-    Columns of ``docs`` with the added names are replaced.
+    Columns of ``docs`` with the added names are replaced; names that start with two underscores are reserved.
     """
     added = ("n_lines", "n_dropped", "drop_words")
     docs = docs.select(*[c for c in docs.columns if c not in added])
@@ -80,7 +90,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     every = lines_of(F.col(text))
 
     def stays(_: Column, i: Column) -> Column:
-        word = F.get(F.col("drop_words"), F.floor(i / 64).cast("int"))
+        word = F.try_element_at(F.col("drop_words"), F.floor(i / 64).cast("int"))
         return F.getbit(F.coalesce(word, F.lit(0).cast("long")), F.pmod(i, F.lit(64))) == 0
 
     kept = F.when(F.col("drop_words").isNull(), every).otherwise(F.filter(every, stays))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
-from pathlib import Path
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def piece_model() -> str:
     """The tokenizer file: of the installed vocabulary package, the same path on every executor."""
-    found = importlib.util.find_spec("public_tokenizers")
-    folder = Path(found.origin).parent if found and found.origin else Path("/opt/tokenizers")
-    return str(folder / "piece_bpe_32k.model")
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +55,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"), "mulaw")
-    return media.describe_media(stored.select("doc_id", "n_bytes", "media"))
+    stored = media.encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"), "mulaw").select("doc_id", "n_bytes", "media")
+    return media.describe_media(media.materialise(stored))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,16 @@ def hilbert_index(dims: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), start, step, lambda acc: acc["index"])
 
 
-def text_cell(value: Column, bits: int) -> Column:
-    """A cell of a categorical value; equal values share it, null has cell 0."""
-    return F.when(value.isNull(), 0).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << bits))).cast("int")
+def with_value_cells(rows: DataFrame, name: str, bits: int, out: str) -> DataFrame:
+    """Add ``out``: the cell of a categorical value by its place among the sorted distinct values, null first.
+
+    The order of values is kept, so that the smallest and largest value of a run of cells bound what is in it.  Up to
+    2**bits values have a cell of their own.  Values are ranked in one window: a row per distinct value.
+    """
+    place = F.row_number().over(Window.orderBy(F.col(name).asc_nulls_first())) - 1
+    values = rows.select(name).distinct()
+    cells = values.select(F.col(name).alias("__value"), F.floor(place * (1 << bits) / F.count(F.lit(1)).over(Window.partitionBy())).cast("int").alias(out))
+    return rows.join(cells, F.col(name).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def size_cell(value: Column, bits: int) -> Column:
@@ -99,13 +106,15 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFra
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, cell`` of every row of ``docs``.
 
     The law is ``rows``: shard counts differ by one at most.  Dimensions are language, source and size.  A null text
-    has size 1 and checksum 0.  Rows of equal cells are ordered by a digest of the id, then id and checksum; repeated
-    rows take neighbouring places.
+    has size 1 and checksum 0; a null id orders as an empty text; null languages and sources come before all others.
+    Rows of equal cells are ordered by a digest of id and checksum, then by both; repeated rows take neighbouring
+    places.  Further columns of ``docs``, whatever their names, are left out.
     """
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     base = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), "lang", "source")
-    cell = hilbert_index([text_cell(F.col("lang"), bits), text_cell(F.col("source"), bits), size_cell(F.col("size"), bits)], bits)
+    base = with_value_cells(with_value_cells(base, "lang", bits, "__lang"), "source", bits, "__source")
+    cell = hilbert_index([F.col("__lang"), F.col("__source"), size_cell(F.col("size"), bits)], bits)
     order = F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")))
     rows = materialise(base.select("doc_id", "size", "text_crc32", cell.alias("cell"), order.alias("order")))
     placed = hilbert_shards(rows, "cell", "order", ["doc_id", "text_crc32"], shards)
@@ -113,5 +122,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, bits: int = 4) -> DataFra
 
 
 def write_shards(rows: DataFrame, path: str, shard: str = "shard", slot: str = "slot") -> None:
-    """Write each shard to a folder of its own, in slot order; a shard is one task's work, so choose their number by size."""
-    rows.repartition(shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    """Write each shard to a folder of its own, in slot order; a large shard is cut into files that are runs of slots."""
+    rows.repartitionByRange(F.col(shard), F.col(slot)).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
