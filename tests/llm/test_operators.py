@@ -451,7 +451,7 @@ def test_top_k_equals_brute_force(spark):
     rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
     rows += [(300, rows[7][1]), (301, rows[7][1]), (350, None), (302, [1.0, None] + [0.0] * 6), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, [1e6] * 8), (None, [1.0] * 8), (306, [0.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=3, lanes=4).collect()
+    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=3, lane_blocks=2).collect()
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == plain_top(rows)
     assert exact_topk.top_k(df.filter(F.lit(False)), F.col("vec_id") % 50 == 0).count() == 0
     assert exact_topk.top_k(df.filter("vec_id in (0, 1)"), F.col("vec_id") % 50 == 0).count() == 1
@@ -459,10 +459,33 @@ def test_top_k_equals_brute_force(spark):
 
 def test_empty_vectors_score_nothing(spark):
     rows = [(0, []), (1, []), (2, []), (50, [1.0, 2.0]), (51, [0.5, 1.0]), (100, [])]
-    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, lanes=4).collect()
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == plain_top(rows)
 
 
+def test_large_components_are_multiplied_exactly(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-2, 5)).tolist()) for i in range(120)]
+    rows += [(200 + i, (rng.normal(size=4) * 10.0 ** rng.integers(5, 30)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit("clash").alias("score"), F.lit("clash").alias("rank"))
+    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=32, query_rows=3).collect()
+    whole = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows}
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = {}
+    for q in (i for i in whole if i % 50 == 0):
+        scored = sorted((-held(sum(a * b for a, b in zip(whole[q], whole[c], strict=True))), c) for c in whole if c != q)
+        want.update({(q, n + 1): (c, -s) for n, (s, c) in enumerate(scored[:5])})
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_bounds_leave_few_vectors_open():
+    rng = np.random.default_rng(15)
+    block = np.floor(256 * rng.normal(size=(2048, 64)) / 8)
+    lower, upper = exact_topk.Approximation.of(block).bounds(block[:40])
+    x, _ = exact_topk.open_pairs(np.arange(40), np.arange(2048), lower, upper, 5)
+    assert len(x) < 40 * 64
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     block, queries_ = rng.integers(-300, 300, (500, 16)).astype(float), rng.integers(-300, 300, (20, 16)).astype(float)
