@@ -91,6 +91,19 @@ def whole_vectors(vectors: DataFrame, is_query: Column, scale: int) -> DataFrame
     return materialise(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", "q"))
 
 
+def without_beaten_copies(whole: DataFrame, k: int) -> DataFrame:
+    """The vectors that can be among the k best of some query.
+
+    Equal vectors have equal scores, and ties go to the smaller id, so a vector is beaten wherever it may appear by its
+    copies under k + 1 smaller ids (one of them may be the query's own), and a repeated row by k earlier ones.  Both
+    limits are applied before the shuffles too, so that the copies of one vector never meet in one task.
+    """
+    repeated = Window.partitionBy("v", "vec_id").orderBy("row")
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    fewer = whole.select("row", "vec_id", "v").withColumn("n", F.row_number().over(repeated)).filter(F.col("n") <= k)
+    return fewer.withColumn("n", F.dense_rank().over(copies)).filter(F.col("n") <= k + 1).drop("n")
+
+
 def blocks_of(size: int):
     """A reader of Arrow batches of ``row, vec_id, v``: (dim, rows, ids, matrix) of up to ``size`` vectors of one length."""
 
@@ -209,13 +222,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     The best 2 k of a query by upper bound are read first; then only what their kth score leaves open.
     """
     whole = whole_vectors(vectors, is_query, scale)
-    cells = materialise(cell_blocks(whole, block_rows))
+    cells = materialise(cell_blocks(without_beaten_copies(whole, k), block_rows))
     asked = materialise(query_blocks(whole, query_rows))
-    found = scan(cells, asked, k, lane_blocks)
+    found = materialise(scan(cells, asked, k, lane_blocks))
     by_query = Window.partitionBy("query_id")
-    place = F.row_number().over(by_query.orderBy(F.col("lower").desc()))
-    kth = F.max(F.when(F.col("place") == k, F.col("lower"))).over(by_query)
-    left = found.withColumn("place", place).withColumn("kth", kth).filter(F.col("upper") >= F.coalesce("kth", F.lit(LEAST)))
+    lowest = found.select("query_id", "lower").withColumn("place", F.row_number().over(by_query.orderBy(F.col("lower").desc())))
+    kth = lowest.filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("kth"))
+    left = found.join(kth, "query_id").filter(F.col("upper") >= F.coalesce("kth", F.lit(LEAST)))
     turn = F.row_number().over(by_query.orderBy(F.col("upper").desc(), "vec_id", "row"))
     left = materialise(left.select("q_row", "query_id", "row", "vec_id", "upper", turn.alias("turn")))
     first = materialise(read_exactly(left.filter(F.col("turn") <= 2 * k), whole))

@@ -478,6 +478,20 @@ def test_large_components_are_multiplied_exactly(spark):
     assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
 
 
+def test_copies_of_a_vector_tie_to_smaller_ids(spark):
+    rng = np.random.default_rng(16)
+    one, two = rng.normal(size=6).tolist(), rng.normal(size=6).tolist()
+    rows = [(i, one if i % 3 else rng.normal(size=6).tolist()) for i in range(40, 400)] + [(i, two) for i in (400, 401, 450)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = exact_topk.top_k(df, F.col("vec_id") % 50 == 0, block_rows=32, query_rows=3).collect()
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == plain_top(rows)
+    whole = exact_topk.whole_vectors(df.unionByName(df), F.col("vec_id") % 50 == 0, 256)
+    fewer = exact_topk.without_beaten_copies(whole, 5)
+    assert fewer.groupBy("v").count().agg(F.max("count")).first()[0] == 12  # six ids, two rows each
+    repeated = exact_topk.top_k(df.unionByName(df), F.col("vec_id") % 50 == 0, block_rows=32).groupBy("query_id").count()
+    assert {r["count"] for r in repeated.collect()} == {5}
+
+
 def test_bounds_leave_few_vectors_open():
     rng = np.random.default_rng(15)
     block = np.floor(256 * rng.normal(size=(2048, 64)) / 8)
