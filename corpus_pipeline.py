@@ -6,6 +6,8 @@ return the columns of ``documents``.  ``run`` writes each stage's result to the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,18 @@ from quakeframe.llm.near_dedup import near_duplicates
 from quakeframe.llm.queries import piece_model
 
 
+def beside(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` over ``docs``, with the columns that it does not know under names that none of its own can clash with."""
+    known = ("doc_id", "text", "lang")
+    names = {c: c if c in known else f"column_{i}" for i, c in enumerate(docs.columns)}
+    done = step(docs.select(*[F.col(c).alias(n) for c, n in names.items()]))
+    return done.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is identified; a null text or one without letters goes."""
     filters = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id"), 3, 1)))
-    return language_id.identify(docs, filters).filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return beside(docs, lambda d: language_id.identify(d, filters).filter(F.col("lang_pred") != language_id.UNKNOWN))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +36,7 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The first occurrence stays so that one of many copies of a clean document does.
     """
-    deduped = line_dedup.dedup_lines(docs, keep_first=True).withColumn("n_chars", F.length("text").cast("long"))
+    deduped = beside(docs, lambda d: line_dedup.dedup_lines(d, keep_first=True)).withColumn("n_chars", F.length("text").cast("long"))
     return deduped.filter(F.btrim("text", F.lit(line_dedup.BLANKS)) != "").select(*docs.columns)
 
 
@@ -39,7 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat, cut or leave out documents so that sources meet their targets, in training order."""
-    return mixing.mix_documents(docs)
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else mixed
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
