@@ -5,6 +5,8 @@ from collections import Counter
 
 import sentencepiece
 
+import pytest
+
 import corpus_pipeline
 from quakeframe.llm import mixing, queries
 from tests.llm.test_operators import plain_components, plain_lines
@@ -50,3 +52,55 @@ def plain_text(row, want):
 
 def test_run_counts(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+EDGES = [  # the last three columns have the names of columns that operators add
+    (1, "plain words about one harbour town and its boats", "en", "a", 48, 0.5, 7, "x"),
+    (1, "plain words about one harbour town and its boats", "en", "a", 48, 0.5, 7, "x"),
+    (2, None, "en", "a", None, 0.1, 1, None),
+    (3, "", None, None, 0, None, None, "y"),
+    (4, "12 34", "de", "b", 5, 0.2, 2, "z"),
+    (5, "der lange Text " * 20000, "de", "b", 300000, 0.3, 3, "z"),
+    (6, "words of a row without a language or source", None, None, 43, 0.4, 4, None),
+    (None, "words of a row without an id stay as they are", "en", "a", 45, None, None, None),
+]
+EDGE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_lines long, lang_pred string"
+
+
+def test_stages_on_edge_rows(spark):
+    docs = spark.createDataFrame(EDGES, EDGE_SCHEMA)
+    named = dict(corpus_pipeline.STAGES)
+
+    def rows(frame):
+        assert frame.columns == docs.columns
+        return sorted((tuple(r) for r in frame.collect()), key=repr)
+
+    lettered = [r for r in EDGES if r[1] and r[0] != 4]
+    kept = named["language_id"](spark, docs, SF).cache()
+    assert rows(kept) == sorted(lettered, key=repr)
+
+    deduped = named["line_dedup"](spark, kept, SF).cache()  # no line is in ten documents
+    want = sorted(((*r[:4], len(r[1]), *r[5:]) for r in lettered), key=repr)
+    assert rows(deduped) == want
+
+    near = named["near_dedup"](spark, deduped, SF).cache()
+    assert rows(near) == sorted(set(want), key=repr)
+
+    mixed = named["mixing"](spark, near, SF).cache()
+    copies = {r["doc_id"]: [p["words"] for p in r["parts"]] for r in mixing.mix(near).collect()}
+    texts = {r[0]: r for r in want}
+    assert sum(map(len, copies.values())) == mixed.count()
+    for r in mixed.collect():
+        assert len(r["text"].split()) in copies[r["doc_id"]] and r["n_chars"] == len(r["text"])
+        assert (r["lang"], r["source"], r["score"], r["n_lines"], r["lang_pred"]) == (*texts[r["doc_id"]][2:4], *texts[r["doc_id"]][5:])
+
+    own = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
+    last = named["sentencepiece"](spark, mixed, SF).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in last) == Counter((r["doc_id"], len(own.encode(r["text"])) + 1) for r in mixed.collect())
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stage_on_an_empty_table(spark, name):
+    docs = spark.createDataFrame([], EDGE_SCHEMA)
+    done = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert done.count() == 0 and (name == "sentencepiece" or done.columns == docs.columns)
