@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm import exact_topk, language_id, line_dedup, media, mixing, quality, sentencepiece_codec, sharding
+from quakeframe.llm import exact_topk, language_id, line_dedup, media, mixing, periodic, quality, sentencepiece_codec, sharding, token_files, whitening
 from quakeframe.llm.near_dedup import near_duplicates
 from quakeframe.llm.url_filters import Rule, filter_urls
 
@@ -78,6 +78,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.decode_documents(encoded.select("doc_id", "ids"), piece_model()))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_files.write_store(token_files.encode_ids(docs, str(public_tokenizers.path("byte_bpe_50k.json"))))
+    return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digest(periodic.periodic_runs(docs))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_quality_classifier, op3_minhash_near_dedup, op4_mixing_sources, op5_language_id, op6_media_columns, op7_exact_topk, op8_hilbert_sharding, op9_line_dedup, op10_sentencepiece, pipeline)
+    for f in (op1_url_filters, op2_quality_classifier, op3_minhash_near_dedup, op4_mixing_sources, op5_language_id, op6_media_columns, op7_exact_topk, op8_hilbert_sharding, op9_line_dedup, op10_sentencepiece, op11_token_ids, op12_periodic_runs, op13_embedding_whitening, pipeline)
 }
 
 #: The characters of [\x20\x09-\x0D], as a DuckDB expression.
