@@ -80,7 +80,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = token_files.write_store(token_files.encode_ids(docs, str(public_tokenizers.path("byte_bpe_50k.json"))))
+    path = token_files.write_store(docs, str(public_tokenizers.path("byte_bpe_50k.json")))
     return token_files.read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

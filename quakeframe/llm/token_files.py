@@ -11,11 +11,12 @@ name its documents in order, ``codes`` holds their ids as one block of codes.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quakeframe.llm.common import extended, materialise, shared_folder, slices
+from quakeframe.llm.common import extended, shared_folder, slices
 
 MAGIC = b"DAC1"
 #: Bits and bytes of the bitmap between two entries of the rank directory.
@@ -108,37 +109,63 @@ class Codes:
 
 # --- encoding texts
 
-#: Pieces end where white space follows something else: there the tokenizer's pattern always begins a new word.
-PIECE = re.compile(r"\s*\S+|\s+")
+#: Pieces end where the tokenizer's pattern always begins a new word: at white space that follows something else, and
+#: where a plain letter meets ASCII that is none.
+PIECE = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[\x00-@\[-`{-\x7f]|\Z)|\s*\S+|\s+")
 #: Characters that Python and the tokenizer may class differently; a text with one is encoded whole.
-DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-#: Pieces that a worker remembers at most before it starts anew.
-REMEMBERED = 1 << 18
+DOUBTFUL = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
+#: Pieces that a worker remembers at most before it starts anew, and the longest that it remembers.
+REMEMBERED, SHORT = 1 << 19, 64
 
 
-class Encoder(dict):
-    """Maps a piece of text to its ids as little-endian unsigned 32-bit integers, asking the library once a piece."""
+class Encoder:
+    """Encodes texts piece by piece, asking the library once for a piece."""
 
     def __init__(self, path: str):
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self.whole(piece)
-        if len(piece) <= 64:
-            self[piece] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if DOUBTFUL.search(text) or any(a in text for a in self.added):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, PIECE.findall(text)))
+        self.whole = [*DOUBTFUL, *[t.content for t in self.library.get_added_tokens_decoder().values()]]
+        self.known: dict[str, bytes] = {}
+        gap = self.library.encode("\n", add_special_tokens=False).ids
+        self.gap = gap if len(gap) == 1 else None
+
+    def ask(self, pieces: list[str]) -> list[bytes]:
+        """The library's ids of every piece.  Pieces without line ends go in one text, parted by line ends.
+
+        A line end between two pieces is a word of its own to the pattern, unless white space other than one space
+        follows it; such pieces go alone.
+        """
+        lined = [p for p in pieces if "\n" not in p and (not p[0].isspace() or (p[0] == " " and not p[1:2].isspace() and len(p) > 1)) and not any(w in p for w in self.whole)] if self.gap else []
+        found: dict[str, bytes] = {}
+        for at in range(0, len(lined), 4000):
+            some = lined[at : at + 4000]
+            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, dtype="<u4")
+            edges = [-1, *np.flatnonzero(ids == self.gap[0]).tolist(), len(ids)]
+            if len(edges) == len(some) + 1:
+                raw = ids.tobytes()
+                found |= {p: raw[4 * (a + 1) : 4 * b] for p, a, b in zip(some, edges, edges[1:], strict=False)}
+        alone = [p for p in pieces if p not in found]
+        found |= {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        return [found[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        pieces = [[t] if any(w in t for w in self.whole) else PIECE.findall(t) for t in texts]
+        parts = [list(map(self.known.get, p)) for p in pieces]
+        new: dict[str, list[tuple[list, int]]] = {}
+        for own, found in zip(pieces, parts, strict=True):
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                new.setdefault(own[at], []).append((found, at))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+        for (piece, places), ids in zip(new.items(), self.ask(list(new)), strict=True):
+            for found, at in places:
+                found[at] = ids
+            if len(piece) <= SHORT:
+                self.known[piece] = ids
+        return [b"".join(found) for found in parts]
 
 
 @lru_cache(maxsize=4)
@@ -147,6 +174,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def encoded(batches, tokenizer: str, text: str, end_id: int | None):
+    """(part of a batch, the ids of its texts as bytes)."""
+    own, last = encoder(tokenizer), b"" if end_id is None else struct.pack("<I", end_id)
+    for batch, texts in slices(batches, text):
+        yield batch, [ids + last for ids in own.encode([t.decode() for t in texts])]
+
+
 def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int | None = 2) -> DataFrame:
     """Add ``ids binary``: the ids of the whole text as little-endian unsigned 32-bit integers, then ``end_id``.
 
@@ -155,12 +189,9 @@ def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int
     empty.  A column ``ids`` is replaced; no row is dropped, so repeated rows have repeated results.
     """
     docs = docs.select(*[c for c in docs.columns if c != "ids"])
-    last = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches):
-        own = encoder(tokenizer)
-        for batch, texts in slices(batches, text):
-            ids = [own.encode(t.decode()) + last for t in texts]
+        for batch, ids in encoded(batches, tokenizer, text, end_id):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, type=pa.binary())], names=[*batch.schema.names, "ids"])
 
     return docs.mapInArrow(run, extended(docs, ids="binary"))
@@ -169,19 +200,20 @@ def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", end_id: int
 # --- files
 
 
-def write_store(encoded: DataFrame, path: str | None = None, tokens_per_segment: int = 1 << 20) -> str:
-    """Write ``doc_id`` and ``ids`` of ``encoded`` in ascending ``doc_id`` order, and return the store's path.
+def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, text: str = "text", end_id: int | None = 2, tokens_per_segment: int = 1 << 20) -> str:
+    """Encode the texts of ``docs``, write them in ascending ``doc_id`` order, and return the store's path.
 
-    Rows are dealt by ranges of (doc_id, digest of the ids, row number), so an id that a third of all rows carry, or a
-    third of all rows that are equal, spread over ranges; null ids come first.  A segment ends with the document that
-    fills it, so a document is never split and a task holds one segment at a time.  An empty input makes a store
-    without segments.  ``encoded`` is written once before it is dealt, so that row numbers hold when tasks are repeated.
+    Texts, which are smaller than their ids, are dealt by ranges of (doc_id, digest of the text, row number), so an id
+    that a third of all rows carry, or a third of all rows that are equal, spread over ranges; null ids come first.  Row
+    numbers follow the order in which ``docs`` is read: pass a table, or the result of ``materialise``.  A segment ends
+    with the document that fills it, so a document is never split and a task holds one segment at a time.  Null texts
+    count as empty; an empty input makes a store without segments; further columns of ``docs`` are left out.
     """
-    spark = encoded.sparkSession
+    spark = docs.sparkSession
     path = path or f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    rows = materialise(encoded.select("doc_id", "ids", F.xxhash64("ids").alias("tie"), F.monotonically_increasing_id().alias("row")))
     order = ["doc_id", "tie", "row"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
         part, first, held, docs = TaskContext.get().partitionId(), 0, 0, []
@@ -194,17 +226,17 @@ def write_store(encoded: DataFrame, path: str | None = None, tokens_per_segment:
                  "sizes": pa.array([sizes], pa.list_(pa.int64())), "codes": pa.array([block], pa.binary())}
             )
 
-        for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs.append((row[0], row[1].as_py()))
-                held += len(docs[-1][1]) // 4
+        for batch, ids in encoded(batches, tokenizer, "text", end_id):
+            for row in zip(batch.column(0).to_pylist(), ids, strict=True):
+                docs.append(row)
+                held += len(row[1]) // 4
                 if held >= tokens_per_segment:
                     yield segment()
                     first, held, docs = first + held, 0, []
         if docs:
             yield segment()
 
-    dealt.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, STORE).write.parquet(path)
+    dealt.mapInArrow(run, STORE).write.parquet(path)
     return path
 
 
@@ -228,15 +260,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 codes = Codes(row["codes"])
-                edges = np.concatenate([[0], np.cumsum(np.array(row["sizes"], dtype=np.int64))]).tolist()
-                spans = list(pairwise(edges))
-                for at in range(0, len(spans), 1000):
-                    some = spans[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(row["doc_ids"][at : at + 1000], pa.int64()), pa.array([row["start"] + a for a, _ in some], pa.int64()), pa.array([b - a for a, b in some], pa.int64()),
-                         pa.array([codes.span(a, b).astype("<u4").tobytes() for a, b in some], pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids"],
-                    )
+                edges = np.concatenate([[0], np.cumsum(np.array(row["sizes"], dtype=np.int64))])
+                ids = codes.span(0, len(codes)).astype("<u4").tobytes()
+                spans = list(pairwise(edges.tolist()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(edges[:-1] + row["start"]), pa.array(np.diff(edges)), pa.array([ids[4 * a : 4 * b] for a, b in spans], pa.binary())],
+                    names=["doc_id", "start", "n_tokens", "ids"],
+                )
 
     return read_store(spark, path).select("start", "doc_ids", "sizes", "codes").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -45,8 +45,17 @@ def test_pieces_have_the_ids_of_whole_texts(library):
     odd = ["", " ", "a  b", "a \n\n b\t\tc  ", "don't  we'll 'S", "x!\x1c y", "x᠎ y", "　全 角　", "é  b", "1 23a 4", "<|endoftext|> a<|endoftext|>", "\r\n\r\n x", " \x85 y", "🙂 🙂​ z", "﻿ a", "a\x0b\x0cb"]
     draw = np.random.default_rng(5)
     odd += ["".join(draw.choice(list(" \n\ta1é!'s 　\x1f "), 40)) for _ in range(400)]
-    for text in odd:
-        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    odd += ["l'eau  -don't_x9 d'Été,ñandú.Łódź ñł! a.b,c", "w" * 100 + " x", "ab'sc 'sab' re're"]
+    for text, ids in zip(odd, own.encode(odd), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert not any(len(p) > 64 for p in own.known)
+
+
+def test_ids_column(spark, library):
+    hard = spark.createDataFrame(HARD, SCHEMA).withColumn("ids", F.lit("clash"))
+    got = token_files.encode_ids(hard, FILE)
+    assert got.columns == hard.columns
+    assert sorted((str(r["doc_id"]), bytes(r["ids"])) for r in got.collect()) == sorted((str(r[0]), ids_of(library, r[1]).tobytes()) for r in HARD)
 
 
 def test_query_equals_the_library(spark, library):
@@ -63,7 +72,7 @@ def test_query_equals_the_library(spark, library):
 
 def test_hard_rows_small_segments_and_places(spark, library):
     hard = spark.createDataFrame(HARD, SCHEMA).withColumn("ids", F.lit("clash")).withColumn("start", F.lit(7))
-    path = token_files.write_store(token_files.encode_ids(hard, FILE), tokens_per_segment=50)
+    path = token_files.write_store(hard, FILE, tokens_per_segment=50)
     got = sorted(token_files.read_documents(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == sorted([r[0] for r in HARD], key=lambda i: (i is not None, i))
     assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1].tolist()
@@ -76,8 +85,8 @@ def test_hard_rows_small_segments_and_places(spark, library):
 
 def test_empty_table_and_one_id_for_all(spark):
     docs = spark.createDataFrame([(1, "a b")] * 40 + [(1, f"text {i}") for i in range(40)], "doc_id long, text string")
-    path = token_files.write_store(token_files.encode_ids(docs, FILE, end_id=None))
+    path = token_files.write_store(docs, FILE, end_id=None)
     got = token_files.read_documents(spark, path)
     assert got.count() == 80 and got.agg(F.sum("n_tokens")).head()[0] == got.agg(F.max(F.col("start") + F.col("n_tokens"))).head()[0]
-    path = token_files.write_store(token_files.encode_ids(docs.filter(F.lit(False)), FILE))
+    path = token_files.write_store(docs.filter(F.lit(False)), FILE)
     assert token_files.read_documents(spark, path).count() == 0
