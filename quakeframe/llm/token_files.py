@@ -115,7 +115,7 @@ PIECE = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]++(?=[\x00-@\[-`{-\x7f
 #: Characters that Python and the tokenizer may class differently; a text with one is encoded whole.
 DOUBTFUL = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 #: Pieces that a worker remembers at most before it starts anew, and the longest that it remembers.
-REMEMBERED, SHORT = 1 << 19, 64
+REMEMBERED, SHORT = 1 << 20, 64
 
 
 class Encoder:
@@ -129,28 +129,30 @@ class Encoder:
         gap = self.library.encode("\n", add_special_tokens=False).ids
         self.gap = gap if len(gap) == 1 else None
 
+    def alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def ask(self, pieces: list[str]) -> list[bytes]:
         """The library's ids of every piece.  Pieces without line ends go in one text, parted by line ends.
 
         A line end between two pieces is a word of its own to the pattern, unless white space other than one space
         follows it; such pieces go alone.
         """
-        lined = [p for p in pieces if "\n" not in p and (not p[0].isspace() or (p[0] == " " and not p[1:2].isspace() and len(p) > 1)) and not any(w in p for w in self.whole)] if self.gap else []
-        found: dict[str, bytes] = {}
-        for at in range(0, len(lined), 4000):
-            some = lined[at : at + 4000]
-            ids = np.array(self.library.encode("\n".join(some), add_special_tokens=False).ids, dtype="<u4")
-            edges = [-1, *np.flatnonzero(ids == self.gap[0]).tolist(), len(ids)]
-            if len(edges) == len(some) + 1:
-                raw = ids.tobytes()
-                found |= {p: raw[4 * (a + 1) : 4 * b] for p, a, b in zip(some, edges, edges[1:], strict=False)}
-        alone = [p for p in pieces if p not in found]
-        found |= {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True)}
+        lined = [p for p in pieces if "\n" not in p and not (p[1:2] if p[0] == " " else p[0]).isspace() and p != " "] if self.gap else []
+        ids = np.array(self.library.encode_batch_fast(["\n".join(lined)], add_special_tokens=False)[0].ids if lined else [], dtype="<u4")
+        edges = np.flatnonzero(ids == self.gap[0]).tolist() if lined else []
+        if len(edges) + 1 != len(lined):
+            return self.alone(pieces)
+        raw = ids.tobytes()
+        found = {p: raw[4 * a + 4 : 4 * b] for p, a, b in zip(lined, [-1, *edges], [*edges, len(ids)], strict=True)}
+        rest = [p for p in pieces if p not in found]
+        found |= dict(zip(rest, self.alone(rest), strict=True))
         return [found[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers."""
-        pieces = [[t] if any(w in t for w in self.whole) else PIECE.findall(t) for t in texts]
+        whole = {i: t for i, t in enumerate(texts) if any(w in t for w in self.whole)}
+        pieces = [[] if i in whole else PIECE.findall(t) for i, t in enumerate(texts)]
         parts = [list(map(self.known.get, p)) for p in pieces]
         new: dict[str, list[tuple[list, int]]] = {}
         for own, found in zip(pieces, parts, strict=True):
@@ -165,7 +167,10 @@ class Encoder:
                 found[at] = ids
             if len(piece) <= SHORT:
                 self.known[piece] = ids
-        return [b"".join(found) for found in parts]
+        out = [b"".join(found) for found in parts]
+        for i, ids in zip(whole, self.alone(list(whole.values())), strict=True):
+            out[i] = ids
+        return out
 
 
 @lru_cache(maxsize=4)
