@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quakeframe.functions.scalars import let
 from quakeframe.operators.dense import pair_up
@@ -41,20 +41,65 @@ def energy_ratio() -> Callable[[np.ndarray], np.ndarray]:
 register_model("stand-in/energy", energy_ratio)
 
 
-def annotate(windows: DataFrame, array: str, n: int, model: str | MakePredict, batch_size: int = 512, out: str = "prob") -> DataFrame:
-    """Add a probability trace to each window; the model loads once per Python worker and sees batches across stations."""
+def three_components() -> Callable[[np.ndarray], np.ndarray]:
+    """The stand-in over (batch, components, samples): P from the first component, S from the energy of the others."""
+    one = energy_ratio()
+
+    def predict(x: np.ndarray) -> np.ndarray:
+        x = np.asarray(x, dtype=np.float64)
+        return np.stack([one(x[:, 0]), one(np.sqrt((x[:, 1:] ** 2).sum(axis=1)))], axis=1)
+
+    return predict
+
+
+register_model("stand-in/three", three_components)
+
+
+def annotate(
+    windows: DataFrame, array: str, n: int | tuple[int, int], model: str | MakePredict, batch_size: int = 512, out: str = "prob", channels: tuple[str, ...] | None = None, warm_up: int = 0
+) -> DataFrame:
+    """Add probability traces to each window; the model loads once per Python worker and sees batches across stations.
+
+    ``n`` is the number of samples of a plain window, or (components, samples) of a window of component arrays, which
+    the model then gets as one tensor (batch, components, samples).  With ``channels`` it returns (batch, channels,
+    samples), and ``out`` is a struct of one trace for each name.  ``warm_up`` batches of zeros run before the first.
+    """
     make = MODELS[model] if isinstance(model, str) else model
-    run = predict_batch_udf(make, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[[n]])
-    return windows.withColumn(out, run(F.col(array)))
+    shape = [n] if isinstance(n, int) else list(n)
+
+    def ready():
+        predict = make()
+        for _ in range(warm_up):
+            predict(np.zeros((batch_size, *shape), dtype=np.float32))
+        if channels is None:
+            return predict
+
+        def named(x: np.ndarray) -> dict[str, np.ndarray]:
+            y = predict(x)
+            return {c: y[:, k] for k, c in enumerate(channels)}
+
+        return named
+
+    kind = ArrayType(DoubleType()) if channels is None else StructType([StructField(c, ArrayType(DoubleType())) for c in channels])
+    run = predict_batch_udf(ready, return_type=kind, batch_size=batch_size, input_tensor_shapes=[shape])
+    return windows.withColumn(out, run(F.col(array) if len(shape) == 1 else F.flatten(array)))
 
 
-def annotate_branches(windows: DataFrame, array: str, n: int, branches: dict[str, str | MakePredict], **options) -> DataFrame:
-    """One row per window and branch (phase), each with its own model."""
-    parts = [annotate(windows, array, n, m, **options).withColumn("phase", F.lit(phase)) for phase, m in branches.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def by_phase(annotated: DataFrame, channels: tuple[str, ...], traces: str = "prob") -> DataFrame:
+    """One row per window and channel: ``phase`` and its trace under the name that the struct had."""
+    rest = [c for c in annotated.columns if c != traces]
+    return annotated.select(*rest, F.inline(F.array(*[F.struct(F.lit(c).alias("phase"), F.col(traces)[c].alias(traces)) for c in channels])))
+
+
+def annotate_branches(windows: DataFrame, array: str, n: int | tuple[int, int], branches: dict[str, str | MakePredict], out: str = "prob", **options) -> DataFrame:
+    """One row per window and branch (phase), each with its own model; all branches see a batch in one pass."""
+    makes = [MODELS[m] if isinstance(m, str) else m for m in branches.values()]
+
+    def together():
+        models = [make() for make in makes]
+        return lambda x: np.stack([m(x) for m in models], axis=1)
+
+    return by_phase(annotate(windows, array, n, together, out=out, channels=tuple(branches), **options), tuple(branches), out)
 
 
 def onsets(p: Column, threshold: float, separation: int) -> Column:
@@ -129,11 +174,49 @@ def window_pick_times(windows: DataFrame, prob: str, start: str, threshold: floa
     return rows.withColumns({"pick_time": t, "pick_prob": F.col("best.prob")}).drop("best")
 
 
-def trace_picks(windows: DataFrame, keys: list[str], prob: str, threshold: float, separation: int, offset: Column | None = None) -> DataFrame:
-    """One row per onset: ``sample`` counted from the trace's start."""
+def triggers(p: Column, threshold: float | Column, separation: int) -> Column:
+    """Structs ``onset, peak, value``: each onset, and the first highest value until the trace falls below the threshold."""
+
+    def highest(i: Column) -> Column:
+        after = F.transform(F.slice(p, i + 1, F.size(p)), lambda v, k: F.struct(v.alias("v"), (i + k).alias("k")))
+        start = F.struct(F.lit(True).alias("on"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("k"))
+
+        def step(acc: Column, q: Column) -> Column:
+            on = acc["on"] & F.coalesce(q["v"] >= threshold, F.lit(False))
+            better = on & (acc["v"].isNull() | (q["v"] > acc["v"]))
+            return F.struct(on.alias("on"), F.when(better, q["v"]).otherwise(acc["v"]).alias("v"), F.when(better, q["k"]).otherwise(acc["k"]).alias("k"))
+
+        return F.aggregate(after, start, step)
+
+    return F.transform(onsets(p, threshold, separation), lambda i: let(highest(i), lambda h: F.struct(i.alias("onset"), h["k"].alias("peak"), h["v"].alias("value"))))
+
+
+def trace_picks(windows: DataFrame, keys: list[str], prob: str, threshold: float, separation: int, offset: Column | None = None, value: str | None = None) -> DataFrame:
+    """One row per onset: ``sample`` counted from the trace's start, and the peak's probability under the name ``value``."""
     base = F.coalesce(offset if offset is not None else F.col("w_start"), F.lit(0))
-    rows = windows.select(*keys, base.alias("__o"), F.explode(onsets(F.col(prob), threshold, separation)).alias("__i"))
-    return rows.select(*keys, (F.col("__o") + F.col("__i")).cast("int").alias("sample"))
+    if value is None:
+        rows = windows.select(*keys, base.alias("__o"), F.explode(onsets(F.col(prob), threshold, separation)).alias("__i"))
+        return rows.select(*keys, (F.col("__o") + F.col("__i")).cast("int").alias("sample"))
+    rows = windows.select(*keys, base.alias("__o"), F.inline(triggers(F.col(prob), threshold, separation)))
+    return rows.select(*keys, (F.col("__o") + F.col("onset")).cast("int").alias("sample"), F.col("value").alias(value))
+
+
+def classify(
+    windows: DataFrame, array: str, n: int | tuple[int, int], model: str | MakePredict, thresholds: dict[str, float], separation: int = 50, rate_hz: float = 100.0, merged: bool = False, **options
+) -> DataFrame:
+    """Annotate, then picks: ``station, phase, peak_time, peak_value``, one row per pick of any window.
+
+    ``windows`` have ``station``, ``at`` (number of the first sample, from the epoch, at ``rate_hz``) and the window.
+    ``thresholds`` names the model's channels in order.  A pick that several windows find counts once, with the
+    highest value.  ``merged`` pools the network: its rows belong to the station ``NETWORK``.
+    """
+    channels = tuple(thresholds)
+    rows = by_phase(annotate(windows, array, n, model, out="__p", channels=channels, **options), channels, "__p")
+    threshold = F.element_at(F.create_map(*[F.lit(v) for pair in thresholds.items() for v in pair]), F.col("phase"))
+    found = rows.select("station", "phase", "at", F.inline(triggers(F.col("__p"), threshold, separation)))
+    found = found.select("station", "phase", (F.col("at") + F.col("peak")).alias("sample"), "value").groupBy("station", "phase", "sample").agg(F.max("value").alias("peak_value"))
+    time = F.timestamp_micros(F.bround(F.col("sample") / rate_hz * 1e6).cast("long"))
+    return found.select(F.lit("NETWORK").alias("station") if merged else "station", "phase", time.alias("peak_time"), "peak_value")
 
 
 def channel_phase(cha: Column) -> Column:

@@ -8,7 +8,6 @@ never gathered into one task.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,41 +110,6 @@ def normalise(x: Column, mode: str = "std") -> Column:
     return let(demean(x), lambda c: let(divisor(c), lambda d: F.transform(c, lambda v: v / F.when(d == 0, F.lit(1.0)).otherwise(d))))
 
 
-def butterworth_gain(n: int, sr: float, kind: str, low: float, high: float, corners: int, zero_phase: bool) -> np.ndarray:
-    """Amplitude gain at the frequencies of a real transform of n samples; squared for zero phase."""
-    f = np.fft.rfftfreq(n, 1.0 / sr)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if kind == "lowpass":
-            power = 1 / (1 + (f / high) ** (2 * corners))
-        elif kind == "highpass":
-            power = np.where(f > 0, 1 / (1 + (low / f) ** (2 * corners)), 0.0)
-        else:
-            ratio = (f * f - low * high) / (f * (high - low))
-            power = np.where(f > 0, 1 / (1 + ratio ** (2 * corners)), 0.0)
-            if kind == "bandstop":
-                power = 1 - power
-    return power if zero_phase else np.sqrt(power)
-
-
-def filter_waveforms(segments: DataFrame, kind: str = "bandpass", corners: int = 2, zero_phase: bool = True, low: str = "fmin", high: str = "fmax") -> DataFrame:
-    """Butterworth gain in the frequency domain, in Arrow batches; parameters are columns of the row.
-
-    A relation of its own rather than a column: later array expressions would otherwise draw the function into their lambdas.
-    """
-    widened = segments.withColumn("samples", F.col("samples").cast("array<double>"))
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for x, rate, a, b in zip(pdf["samples"], pdf["sr"], pdf[low], pdf[high], strict=True):
-                x = np.asarray(x, dtype=float)
-                gain = butterworth_gain(len(x), rate, kind, a, min(b, rate / 2 * 0.999), corners, zero_phase)
-                out.append(np.fft.irfft(np.fft.rfft(x) * gain, n=len(x)) if len(x) else x)
-            yield pdf.assign(samples=pd.Series(out, index=pdf.index, dtype=object))
-
-    return widened.mapInPandas(run, widened.schema)
-
-
 def filter_parameters(segments: DataFrame, overrides: DataFrame, low: float = 1.0, high: float = 45.0) -> DataFrame:
     """Add ``fmin, fmax``: of the station's override (``sta, hp, lp``), else the defaults."""
     rows = segments.join(overrides.select("sta", "hp", "lp"), "sta", "left")
@@ -354,41 +318,3 @@ def signal_to_noise(x: Column, pick: Column, window: int = 200) -> Column:
     noise = F.when(fits, p95(F.slice(x, pick - side + 1, side)))
     signal = F.when(fits, p95(F.slice(x, pick + 1, side)))
     return F.when((noise != 0) & (signal != 0), F.bround(20 * F.log10(F.abs(signal / noise)), 1))
-
-
-def condition(segments: DataFrame, target: float, at_ends: float = 5.0, kind: str = "bandpass", corners: int = 2, zero_phase: bool = True) -> DataFrame:
-    """Demean, taper, filter (columns ``fmin, fmax``) and resample every row in one Arrow pass.
-
-    The same as the four column forms in turn; with a filter in the middle the row is in Python anyway.
-    """
-
-    def one(x: np.ndarray, sr: float, low: float, high: float) -> np.ndarray:
-        n = len(x)
-        if not n:
-            return x
-        w = min(int(sr * at_ends), n // 2)
-        edge = np.minimum(np.arange(n), np.arange(n)[::-1])
-        x = (x - x.mean()) * np.where(edge >= w, 1.0, 0.5 * (1 - np.cos(np.pi * edge / max(w, 1))))
-        x = np.fft.irfft(np.fft.rfft(x) * butterworth_gain(n, sr, kind, low, min(high, sr / 2 * 0.999), corners, zero_phase), n=n)
-        return np.interp(np.arange(int((n - 1) * target / sr + 1e-9) + 1) * sr / target, np.arange(n), x)
-
-    def run(batches):
-        for pdf in batches:
-            out = [one(np.asarray(x, dtype=float), sr, a, b) for x, sr, a, b in zip(pdf["samples"], pdf["sr"], pdf["fmin"], pdf["fmax"], strict=True)]
-            yield pdf.assign(samples=pd.Series(out, index=pdf.index, dtype=object), sr=float(target))
-
-    return segments.mapInPandas(run, segments.schema)
-
-
-def prepare_station(segments: DataFrame, overrides: DataFrame, target: float = 100.0, light: bool = False) -> DataFrame:
-    """``net, sta, start, xs``: merge, demean, taper, filter, resample, choose components, trim; the light form skips the middle.
-
-    Merging yields one row per minute; each is prepared on its own, so components align by minute.
-    """
-    rows = merge_segments(segments)
-    if light:
-        rows = rows.withColumn("samples", demean(F.col("samples")))
-    else:
-        rows = condition(filter_parameters(rows, overrides), target)
-    rows = rows.withColumn("minute", F.date_trunc("minute", "start"))
-    return common_interval(strict_components(rows, ["net", "sta", "minute"]))

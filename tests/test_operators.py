@@ -190,24 +190,6 @@ def test_pairing(spark):
     assert pair([("P", 0), ("S", 30)]) == sorted([(0.0, None), (None, 30.0)], key=str)
 
 
-def test_filter_keeps_the_band(spark):
-    t = np.arange(2000) / 100.0
-    x = np.sin(2 * np.pi * 5 * t) + np.sin(2 * np.pi * 0.05 * t)
-    df = spark.createDataFrame([(x.tolist(), 100.0, 1.0, 45.0)], "samples array<double>, sr double, fmin double, fmax double")
-    y = np.array(prep.filter_waveforms(df).first()["samples"])
-    assert np.abs(y[300:-300] - np.sin(2 * np.pi * 5 * t)[300:-300]).max() < 0.05
-
-
-def test_one_pass_conditioning_equals_the_column_forms(spark):
-    rng = np.random.default_rng(8)
-    df = spark.createDataFrame([(rng.normal(size=n).tolist(), 10.0, 0.5, 3.0) for n in (300, 41, 1)], "samples array<double>, sr double, fmin double, fmax double")
-    got = prep.condition(df, 25.0).collect()
-    step = prep.filter_waveforms(df.withColumn("samples", prep.taper(prep.demean(F.col("samples")), F.col("sr"))))
-    want = step.withColumn("samples", prep.resample(F.col("samples"), F.col("sr"), 25.0)).collect()
-    for a, b in zip(got, want, strict=True):
-        assert np.allclose(a["samples"], b["samples"])
-
-
 def test_scalars(spark):
     assert one(spark, S.duration_text(F.lit(18750.0))) == "0 Days 5 Hrs 12 Min 30 Sec"
     assert [one(spark, S.chunk_index(F.lit(v))) for v in (59.9, 60.0, 90.0, -5.0)] == [0, 1, 1, 0]
