@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
+from quakeframe.operators.scans import with_quantiles
 
 BUCKETS = (1, 5, 10)
 
@@ -27,11 +28,10 @@ def phase_metrics(judged: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("kind") != "missing").alias("n_detected"),
         *[c.alias(k) for k, c in n.items()],
         F.avg(d).alias("mean_dt"),
-        F.median(d).alias("median_dt"),
         st.spread(d).alias("std_dt"),
-        *[F.percentile(a, q / 100).alias(f"p{q}_abs_dt") for q in (50, 95, 99)],
         *[F.avg((a <= b).cast("double")).alias(f"frac_within_{b}") for b in BUCKETS],
     )
+    rows = with_quantiles(rows, judged, keys, {"d": d, "a": a}, {"d": [("median_dt", 0.5)], "a": [(f"p{q}_abs_dt", q / 100) for q in (50, 95, 99)]})
     precision = S.ratio(F.col("matched"), F.col("matched") + F.col("additional"))
     recall = S.ratio(F.col("matched"), F.col("matched") + F.col("missing"))
     return rows.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1(F.col("precision"), F.col("recall")))
@@ -49,12 +49,14 @@ def detection_totals(hits: DataFrame, keys: list[str]) -> DataFrame:
 def delta_statistics(rows: DataFrame, keys: list[str], delta: str = "delta", rate_hz: float = 100.0) -> DataFrame:
     """Statistics of deltas in samples and milliseconds; population deviation; percentages within 1, 5 and 10."""
     d, a = F.col(delta).cast("double"), F.abs(F.col(delta).cast("double"))
-    stats = {"mean": F.avg(d), "median": F.median(d), "std": F.stddev_pop(d), "p50": F.percentile(a, 0.5), "p95": F.percentile(a, 0.95), "p99": F.percentile(a, 0.99)}
-    return rows.groupBy(*keys).agg(
-        F.count(d).alias("n"),
-        *[c.alias(f"{k}_samples") for k, c in stats.items()],
-        *[(c * (1000.0 / rate_hz)).alias(f"{k}_ms") for k, c in stats.items()],
+    plain = rows.groupBy(*keys).agg(
+        F.count(d).alias("n"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"),
         *[F.coalesce(F.avg((a <= b).cast("double")) * 100, F.lit(0.0)).alias(f"pct_within_{b}") for b in BUCKETS],
+    )
+    out = with_quantiles(plain, rows, keys, {"d": d, "a": a}, {"d": [("median", 0.5)], "a": [(f"p{q}", q / 100) for q in (50, 95, 99)]})
+    stats = ("mean", "median", "std", "p50", "p95", "p99")
+    return out.select(
+        *keys, "n", *[F.col(k).alias(f"{k}_samples") for k in stats], *[(F.col(k) * (1000.0 / rate_hz)).alias(f"{k}_ms") for k in stats], *[f"pct_within_{b}" for b in BUCKETS]
     )
 
 
@@ -87,15 +89,14 @@ def exploded_pairs(a: DataFrame, b: DataFrame, keys: list[str], array: str) -> D
 def pick_drift(sides: DataFrame, keys: list[str]) -> DataFrame:
     """From matched sides: pairs, those missing on either side, and the drift of the pairs."""
     d = F.col("a_value") - F.col("b_value")
-    return sides.groupBy(*keys).agg(
+    plain = sides.groupBy(*keys).agg(
         F.count_if(F.col("side") == "pair").alias("n_pairs"),
         F.count_if(F.col("side") == "a").alias("n_missing_b"),
         F.count_if(F.col("side") == "b").alias("n_missing_a"),
         F.avg(d).alias("mean_delta"),
-        F.median(d).alias("median_delta"),
-        F.percentile(F.abs(d), 0.95).alias("p95_abs_delta"),
         F.max(F.abs(d)).alias("max_abs_delta"),
     )
+    return with_quantiles(plain, sides, keys, {"d": d, "a": F.abs(d)}, {"d": [("median_delta", 0.5)], "a": [("p95_abs_delta", 0.95)]})
 
 
 def cumulative_share(rows: DataFrame, keys: list[str], delta: str = "delta", most: int = 50) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, St
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
 from quakeframe.operators.runs import materialised
+from quakeframe.operators.scans import carried, dealt, null_safe, quantiles, with_quantiles
 
 MASK = (1 << 64) - 1
 
@@ -22,15 +23,6 @@ def present(df: DataFrame, names: list[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
 
-def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join that matches null keys, as grouping does; keeps a's key columns."""
-    right = b.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(F.col(f"__r_{k}"))
-    return a.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
-
-
 # --- repeats -----------------------------------------------------------------------------------------------------------
 
 
@@ -40,8 +32,9 @@ def collapse_repeats(df: DataFrame, axes: list[str], metrics: list[str]) -> Data
     aggs = []
     for m in metrics:
         x = F.col(m)
-        aggs += [F.median(x).alias(f"{m}_median"), F.min(x).alias(f"{m}_min"), F.max(x).alias(f"{m}_max"), F.stddev_samp(x).alias(f"{m}_std"), F.count(x).alias(f"{m}_count")]
-    return df.groupBy(*axes).agg(*aggs)
+        aggs += [F.min(x).alias(f"{m}_min"), F.max(x).alias(f"{m}_max"), F.stddev_samp(x).alias(f"{m}_std"), F.count(x).alias(f"{m}_count")]
+    plain = df.groupBy(*axes).agg(*aggs)
+    return with_quantiles(plain, df, axes, {m: F.col(m) for m in metrics}, {m: [(f"{m}_median", 0.5)] for m in metrics}) if metrics else plain
 
 
 def summarize_repeats(df: DataFrame, keys: list[str], metrics: list[str], success: str) -> DataFrame:
@@ -163,8 +156,9 @@ def speedup_vs_baseline(df: DataFrame, match_on: list[str], metric: str, is_base
 
     Ordered by the match keys but the last, then the speedup, descending.
     """
-    base = df.filter(is_baseline).groupBy(*match_on).agg(F.median(metric).alias("baseline"))
-    other = df.filter(~F.coalesce(is_baseline, F.lit(False))).groupBy(*match_on, *variant).agg(F.median(metric).alias("median"), F.min(metric).alias("best"), F.count(metric).alias("n_repeats"))
+    base = quantiles(df.filter(is_baseline), match_on, {"x": F.col(metric)}, {"x": [("baseline", 0.5)]})
+    rest, keys = df.filter(~F.coalesce(is_baseline, F.lit(False))), [*match_on, *variant]
+    other = with_quantiles(rest.groupBy(*keys).agg(F.min(metric).alias("best"), F.count(metric).alias("n_repeats")), rest, keys, {"x": F.col(metric)}, {"x": [("median", 0.5)]})
     out = null_safe(other, base, match_on, "left")
     out = out.withColumns({"speedup_median": S.ratio(F.col("baseline"), F.col("median")), "speedup_best": S.ratio(F.col("baseline"), F.col("best"))})
     return out.orderBy(*match_on[:-1], F.col("speedup_median").desc_nulls_last())
@@ -211,7 +205,8 @@ def best_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def best_variant(df: DataFrame, match_on: list[str], variant: list[str], metric: str) -> DataFrame:
     """Fastest variant per group by its median; ties by name."""
-    medians = df.groupBy(*match_on, *variant).agg(F.median(metric).alias(metric))
+    keys = [*match_on, *variant]
+    medians = with_quantiles(df.select(*keys).distinct(), df, keys, {"x": F.col(metric)}, {"x": [(metric, 0.5)]})
     return best_rows(medians, match_on, [F.col(metric).asc_nulls_last(), *map(F.col, variant)])
 
 
@@ -387,13 +382,27 @@ def latency_block(df: DataFrame, keys: list[str], ready: str, queued: str, retur
     parts = {"e2e": F.col(returned) - F.col(ready), "queue": F.col(queued) - F.col(ready), "service": F.col(returned) - F.col(queued)}
     aggs = [F.count(F.lit(1)).alias("n")]
     for name, x in parts.items():
-        aggs += [F.min(x).alias(f"{name}_min"), F.avg(x).alias(f"{name}_mean"), F.max(x).alias(f"{name}_max"), *[F.percentile(x, q / 100).alias(f"{name}_p{q}") for q in (50, 90, 95, 99)]]
-    return df.groupBy(*keys).agg(*aggs)
+        aggs += [F.min(x).alias(f"{name}_min"), F.avg(x).alias(f"{name}_mean"), F.max(x).alias(f"{name}_max")]
+    return with_quantiles(df.groupBy(*keys).agg(*aggs), df, keys, parts, {name: [(f"{name}_p{q}", q / 100) for q in (50, 90, 95, 99)] for name in parts})
+
+
+def arrival_percentiles(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Count, extremes, mean and interpolated percentiles."""
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
+    return with_quantiles(plain, df, keys, {"x": value}, {"x": [(f"p{q}", q / 100) for q in (50, 90, 95, 99)]})
+
+
+def summary_record(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, median, quartiles and extremes."""
+    x = F.col(value)
+    plain = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quantiles(plain, df, keys, {"x": x}, {"x": [("median", 0.5), ("q25", 0.25), ("q75", 0.75)]})
 
 
 def check_stored(df: DataFrame, keys: list[str], value: str, stored: str, q: float = 0.95, tolerance: float = 1e-10) -> DataFrame:
     """Recomputed percentile beside the stored one, and whether they agree."""
-    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, q).alias("recomputed"), F.max(stored).alias("stored"))
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), F.max(stored).alias("stored"))
+    out = with_quantiles(plain, df, keys, {"x": F.col(value)}, {"x": [("recomputed", q)]})
     return out.withColumn("agrees", F.abs(F.col("recomputed") - F.col("stored")) <= tolerance)
 
 
@@ -424,7 +433,8 @@ def device_spread(df: DataFrame, keys: list[str], device: str, values: list[str]
 
 
 def stage_report(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    plain = df.groupBy(*keys).agg(F.sum(value).alias("sum"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("n"))
+    return with_quantiles(plain, df, keys, {"x": F.col(value)}, {"x": [("median", 0.5)]})
 
 
 def stage_timings(df: DataFrame, keys: list[str], stages: list[str]) -> DataFrame:
@@ -445,17 +455,16 @@ def delay_summary(df: DataFrame, keys: list[str], ready: str, chunk_s: float = 6
 
 def device_energy(df: DataFrame, keys: list[str], t: str, power: str, others: dict[str, str]) -> DataFrame:
     """Mean and peak of the given columns, and energy by the trapezoid rule over a device's samples."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    step = 0.5 * (F.col(power) + F.lag(power).over(w)) * (F.col(t) - F.lag(t).over(w))
-    rows = df.withColumn("__e", step)
+    rows = carried(dealt(df, keys, [t]), keys, [t], previous={"__p": F.col(power), "__u": F.col(t)})
+    rows = rows.withColumn("__e", 0.5 * (F.col(power) + F.col("__p")) * (F.col(t) - F.col("__u")))
     return rows.groupBy(*keys).agg(F.coalesce(F.sum("__e"), F.lit(0.0)).alias("energy"), *[f(c).alias(f"{n}_{c}") for c in others for n, f in (("mean", F.avg), ("max", F.max))])
 
 
 def resource_rollup(df: DataFrame, keys: list[str], t: str, cpu: str, counter: str, wrap: float) -> DataFrame:
     """CPU seconds and share of the wall clock, and a counter's gain with at most one wrap between samples."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    gain = F.col(counter) - F.lag(counter).over(w)
-    rows = df.withColumn("__g", F.when(gain < 0, gain + wrap).otherwise(gain))
+    rows = carried(dealt(df, keys, [t]), keys, [t], previous={"__p": F.col(counter)})
+    gain = F.col(counter) - F.col("__p")
+    rows = rows.withColumn("__g", F.when(gain < 0, gain + wrap).otherwise(gain))
     wall = F.max(t) - F.min(t)
     used = F.max(cpu) - F.min(cpu)
     return rows.groupBy(*keys).agg(wall.alias("wall"), used.alias("cpu_s"), S.ratio(used, wall).alias("cpu_share"), F.coalesce(F.sum("__g"), F.lit(0.0)).alias("gain"))

@@ -117,7 +117,7 @@ def gpu_optimum(spark, sf_dir):
 
 def arrival_percentiles(spark, sf_dir):
     e = station_events(spark, sf_dir).withColumn("x", F.col("returned_s") - F.col("ready_s"))
-    return rounded(e.groupBy("chunk").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.avg("x").alias("mean"), F.max("x").alias("max"), *[st.percentile(F.col("x"), q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)]))
+    return rounded(T.arrival_percentiles(e, ["chunk"], F.col("x")))
 
 
 def pooled_runs(spark, sf_dir):

@@ -113,7 +113,7 @@ def fastest_native(spark, sf_dir):
 
 
 def summary_record(spark, sf_dir):
-    return rounded(trials(spark, sf_dir).groupBy("model", "dtype").agg(*st.summary(F.col("wall_s"))))
+    return rounded(T.summary_record(trials(spark, sf_dir), ["model", "dtype"], "wall_s"))
 
 
 def winner_lookup(spark, sf_dir):

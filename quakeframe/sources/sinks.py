@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions import scalars as S
 from quakeframe.operators.runs import numbered
+from quakeframe.operators.scans import carried, dealt
 from quakeframe.sources.schemas import PICK_COLUMNS
 
 
@@ -30,8 +31,8 @@ def write_picks(rows: DataFrame, path: str, kind: str = "csv") -> None:
 
 def export_tree(picks: DataFrame, stations: DataFrame) -> DataFrame:
     """``station, p_time, s_time`` with P and S paired by their place in the lists; a blank row for a station without picks."""
-    w = Window.partitionBy("station", "phase").orderBy("t")
-    rows = picks.withColumn("rn", F.row_number().over(w))
+    keys = ["station", "phase"]
+    rows = carried(dealt(picks.select(*keys, "t"), keys, ["t"]), keys, ["t"], totals={"rn": F.lit(1)}).withColumn("rn", F.col("rn").cast("int"))
     side = lambda p: rows.filter(F.col("phase") == p).select("station", "rn", F.col("t").alias(f"{p.lower()}_time"))
     both = side("P").join(side("S"), ["station", "rn"], "full_outer")
     return stations.select("station").distinct().join(both, "station", "left").select("station", "rn", "p_time", "s_time")
@@ -54,9 +55,9 @@ def classify_rows(picks: DataFrame) -> DataFrame:
 def pick_log(picks: DataFrame) -> DataFrame:
     """``station, place, line``: times in order, P before S at ties; rows without a time dropped."""
     rank = F.when(F.col("phase") == "P", 0).otherwise(1)
-    w = Window.partitionBy("station").orderBy("t", rank)
-    good = picks.filter(F.col("t").isNotNull() & F.col("phase").isin("P", "S"))
-    return good.select("station", F.row_number().over(w).alias("place"), F.concat(S.format_pick_time(F.col("t")), F.col("phase")).alias("line"))
+    good = picks.filter(F.col("t").isNotNull() & F.col("phase").isin("P", "S")).select("station", "t", "phase", rank.alias("rank"))
+    rows = carried(dealt(good, ["station"], ["t", "rank"]), ["station"], ["t", "rank"], totals={"place": F.lit(1)})
+    return rows.select("station", F.col("place").cast("int").alias("place"), F.concat(S.format_pick_time(F.col("t")), F.col("phase")).alias("line"))
 
 
 def write_pick_log(picks: DataFrame, path: str) -> None:

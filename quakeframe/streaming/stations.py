@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quakeframe.functions import scalars as S
 from quakeframe.operators.runs import numbered
+from quakeframe.operators.scans import carried, dealt
 
 #: Delays that a late station may have, in seconds.  Fixed values.
 DELAYS = (0, 5, 10, 15, 20, 25, 30, 60, 65, 90)
@@ -204,15 +205,13 @@ def station_latency(tasks: DataFrame, ready: DataFrame) -> DataFrame:
 
 def paced(feeds: DataFrame, cadence: float = 60.0) -> DataFrame:
     """Wait before and lateness after each feed's due time; a feed starts when due or when the one before has ended."""
-    w = Window.partitionBy("stream").orderBy("feed_index")
-    due = F.col("feed_index") * cadence
-    # end of feed i = max over j <= i of (due of j + work from j to i), by running sums
-    work = F.sum("work_s").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = feeds.withColumns({"due_s": due, "__w": work})
-    slack = F.max(F.col("due_s") - (F.col("__w") - F.col("work_s"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("end_s", slack + F.col("__w"))
-    rows = rows.withColumn("start_s", F.col("end_s") - F.col("work_s"))
-    before = F.coalesce(F.lag("end_s").over(w), F.lit(0.0))
+    keys, order = ["stream"], ["feed_index"]
+    # end of feed i = max over j <= i of (due of j + work from j to i), by running sums and then a running maximum
+    rows = dealt(feeds.withColumn("due_s", F.col("feed_index") * cadence), keys, order)
+    rows = carried(rows, keys, order, totals={"__w": F.col("work_s")})
+    rows = carried(rows, keys, order, highest={"__slack": F.col("due_s") - (F.col("__w") - F.col("work_s"))}).withColumn("end_s", F.col("__slack") + F.col("__w"))
+    rows = carried(rows, keys, order, previous={"__before": F.col("end_s")}).withColumn("start_s", F.col("end_s") - F.col("work_s"))
+    before = F.coalesce("__before", F.lit(0.0))
     return rows.select("stream", "feed_index", "due_s", "start_s", "end_s", F.greatest(F.col("due_s") - before, F.lit(0.0)).alias("wait_s"), F.greatest(F.col("start_s") - F.col("due_s"), F.lit(0.0)).alias("late_s"))
 
 
