@@ -99,7 +99,7 @@ def test_paced_stream_of_one_key(spark):
     end = 0.0
     for i, w in enumerate(work):
         start = max(60.0 * i, end)
-        assert got[i]["start_s"] == pytest.approx(start) and got[i]["wait_s"] == pytest.approx(max(60.0 * i - end, 0.0)) and got[i]["late_s"] == pytest.approx(start - 60.0 * i)
+        assert got[i]["start_s"] == pytest.approx(start) and got[i]["wait_s"] == pytest.approx(max(60.0 * i - end, 0.0), abs=1e-6) and got[i]["late_s"] == pytest.approx(start - 60.0 * i, abs=1e-6)
         end = start + w
     assert len(got) == 1500
 
