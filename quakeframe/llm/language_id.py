@@ -67,25 +67,30 @@ def grams(texts: list[bytes], n: int = 4) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """Bloom filters of all languages, bit-sliced: ``table[position]`` has one bit per language, 64 to a word."""
+    """Bloom filters of all languages, bit-sliced: ``table[position]`` has one bit per slot, eight to a byte.
+
+    A language has a slot for each level, from the filter of all its n-grams to narrower ones.
+    """
 
     languages: list[str]
     common: str
     table: np.ndarray
     false_rate: np.ndarray
+    levels: int = 1
 
     @classmethod
-    def of_bits(cls, languages: list[str], common: str, log2_positions: int, owner: np.ndarray, word: np.ndarray, bits: np.ndarray) -> Filters:
-        """From the filters' set bits: 64 positions a word, each word with the number of its language."""
-        table = np.zeros((1 << log2_positions, max(1, -(-len(languages) // 64))), dtype=np.uint64)
-        fill = np.zeros(len(languages))
-        for i in range(len(languages)):
+    def of_bits(cls, languages: list[str], common: str, log2_positions: int, owner: np.ndarray, word: np.ndarray, bits: np.ndarray, levels: int = 1) -> Filters:
+        """From the filters' set bits: 64 positions a word, each word with the number of its slot."""
+        slots = len(languages) * levels
+        table = np.zeros((1 << log2_positions, max(1, -(-slots // 8))), dtype=np.uint8)
+        fill = np.zeros(slots)
+        for i in range(slots):
             own = owner == i
             set_ = np.unpackbits(np.ascontiguousarray(bits[own].astype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
             at = (word[own][:, None] * 64 + np.arange(64))[set_]
-            table[at, i // 64] |= np.uint64(1) << np.uint64(i % 64)
+            table[at, i // 8] |= np.uint8(1 << i % 8)
             fill[i] = len(at) / len(table)
-        return cls(languages, common, table, fill ** len(MIX))
+        return cls(languages, common, table, fill ** len(MIX), levels)
 
     @staticmethod
     def positions(values: np.ndarray, log2_positions: int) -> list[np.ndarray]:
@@ -94,26 +99,28 @@ class Filters:
         return [(spread * np.uint64(m)) >> np.uint64(64 - log2_positions) for m in MIX]
 
     def languages_of(self, values: np.ndarray) -> np.ndarray:
-        """For each n-gram the words whose set bits are the languages that contain it."""
+        """For each n-gram the bytes whose set bits are the slots of the languages that contain it."""
         found = None
         for at in self.positions(values.astype(np.uint64), int(self.table.shape[0]).bit_length() - 1):
             found = self.table[at] if found is None else found & self.table[at]
         return found
 
     def decide(self, texts: list[bytes]) -> list[tuple[str, float]]:
-        """Language and score of each text: the share of the corrected popcounts that the best language has."""
+        """Language and score of each text: the share of the corrected popcounts, over all levels, that the best language has."""
         out: list[tuple[str, float]] = []
         for start, end in chunks(texts, 1 << 20):
             part = texts[start:end]
             values, owner = grams(part)
-            hits = np.zeros((len(part), len(self.languages)))
+            hits = np.zeros((len(part), len(self.false_rate)))
             if len(values) and self.languages:
                 found = self.languages_of(values)
-                for i in range(len(self.languages)):
-                    bit = (found[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
+                for i in range(len(self.false_rate)):
+                    bit = found[:, i // 8] & np.uint8(1 << i % 8) > 0
                     hits[:, i] = np.bincount(owner[bit], minlength=len(part))
             count = np.bincount(owner, minlength=len(part))[:, None]
-            share = np.maximum(0.0, (hits / np.maximum(count, 1) - self.false_rate) / (1 - self.false_rate))
+            # a full filter tells nothing: its share is 0
+            share = np.maximum(0.0, (hits / np.maximum(count, 1) - self.false_rate) / np.where(self.false_rate < 1, 1 - self.false_rate, np.inf))
+            share = share.reshape(len(part), -1, self.levels).sum(axis=2)
             total = share.sum(axis=1)
             for i, text in enumerate(part):
                 if not self.languages or not has_letter(text):
@@ -180,28 +187,33 @@ def filter_bits(members: DataFrame, log2_positions: int) -> DataFrame:
     return members.select("lang", "gram").mapInArrow(run, "lang string, word long, bits long").groupBy("lang", "word").agg(F.bit_or("bits").alias("bits"))
 
 
-def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", purity: float = 0.25, most_log2: int = 24) -> Filters:
+def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", levels: tuple[float, ...] = (0.0, 0.25), most_log2: int = 28) -> Filters:
     """Filters from every n-gram of every labelled row with a language.
 
-    A language contains an n-gram if the n-gram's share of its text is ``purity`` or more of the largest share that
-    any language gives it.  So every n-gram is in one filter at least, however rare, while one foreign line in a
-    large corpus does not put its n-grams into the wrong language's filter (with ``purity`` 0 it does, and filters of
-    large corpora grow alike).  Filters have 16 positions for each n-gram of the largest language, from 2**16 to
-    2**``most_log2``; that bounds what is gathered and broadcast.  Fuller filters have a larger false-positive rate,
-    which the decision corrects; no n-gram is left out.
+    Each language has a filter a level.  That of level 0 holds every n-gram of the language, however rare; a higher one
+    those whose share of the language's text is ``level`` or more of the largest share that any language gives them.
+    In a large corpus stray foreign lines put most n-grams into all filters of level 0; the popcounts of the narrower
+    ones then tell languages apart, and those of level 0 decide where these are equal.  Filters have 16 positions for
+    each n-gram of the largest, from 2**16 to 2**``most_log2`` (n-grams are four bytes, so their number is bounded);
+    that bounds what is gathered and broadcast, a byte a position for eight filters.  Fuller filters have a larger
+    false-positive rate, which the decision corrects; no n-gram is left out.
     """
     counts = materialise(gram_counts(labelled.filter(F.col(lang).isNotNull()), lang, text))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share"))
     by_gram = shares.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "share")).alias("all"))
-    members = materialise(by_gram.select("gram", "top", F.inline("all")).filter(F.col("share") >= purity * F.col("top")).select("lang", "gram"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), F.lit(float(x)).alias("least")) for k, x in enumerate(levels)]))
+    of_level = by_gram.select("gram", "top", F.inline("all")).select("*", each.alias("level")).filter(F.col("share") >= F.col("level.least") * F.col("top"))
+    members = materialise(of_level.select(F.concat(F.col("level.slot").cast("string"), F.lit(":"), F.col("lang")).alias("lang"), "gram"))
     sizes = totals.orderBy(F.col("total").desc(), "lang").toPandas()
     most = members.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
     log2_positions = min(max(16, (16 * most - 1).bit_length()), most_log2)
     found = filter_bits(members, log2_positions).toPandas()
     languages = sorted(sizes["lang"])
-    owner = found["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=np.int64)
-    return Filters.of_bits(languages, sizes["lang"].iloc[0] if len(sizes) else UNKNOWN, log2_positions, owner, found["word"].to_numpy(dtype=np.int64), found["bits"].to_numpy(dtype=np.int64))
+    slot = {f"{k}:{x}": i * len(levels) + k for i, x in enumerate(languages) for k in range(len(levels))}
+    owner, word, bits = found["lang"].map(slot), found["word"], found["bits"]
+    common = sizes["lang"].iloc[0] if len(sizes) else UNKNOWN
+    return Filters.of_bits(languages, common, log2_positions, *[x.to_numpy(dtype=np.int64) for x in (owner, word, bits)], levels=len(levels))
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
