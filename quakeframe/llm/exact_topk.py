@@ -197,17 +197,17 @@ def inner_products(queries: list[np.ndarray], vectors: list[np.ndarray]) -> list
 
 
 def read_exactly(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """``query_id, vec_id, score`` of pairs (``q_row, query_id, row, vec_id``), from the whole vectors."""
+    """``q_row, query_id, vec_id, score`` of pairs (``q_row, query_id, row, vec_id``), from the whole vectors."""
     vectors = whole.select("row", "v")
     queries = whole.filter("q").select(F.col("row").alias("q_row"), F.col("v").alias("w"))
-    met = pairs.join(vectors, "row").join(queries, "q_row").select("query_id", "vec_id", "v", "w")
+    met = pairs.join(vectors, "row").join(queries, "q_row").select("q_row", "query_id", "vec_id", "v", "w")
 
     def run(batches):
         for batch in batches:
-            a, b = ([np.asarray(x, dtype=np.float64) for x in batch.column(i).to_pylist()] for i in (3, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inner_products(a, b), pa.int64())], names=["query_id", "vec_id", "score"])
+            a, b = ([np.asarray(x, dtype=np.float64) for x in batch.column(i).to_pylist()] for i in (4, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inner_products(a, b), pa.int64())], names=["q_row", "query_id", "vec_id", "score"])
 
-    return met.mapInArrow(run, "query_id long, vec_id long, score long")
+    return met.mapInArrow(run, "q_row long, query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = 2048, query_rows: int = 512, lane_blocks: int = 4) -> DataFrame:
@@ -215,7 +215,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
 
     ``vectors`` has ``vec_id`` and ``embedding``; further columns are left out.  Vectors that are null or hold null or
     non-finite components (or components whose scaled value is beyond a double), and null ids, take no part.  Vectors
-    of different length are never compared; two empty vectors score 0.  Rows of one id are each other's own row.
+    of different length are never compared; two empty vectors score 0.  Rows of one id are each other's own row; each
+    of them has results of its own.
     Components of any size are multiplied exactly; a score beyond a long is held at its end, and such ties go to the
     smaller id like all others.
 
@@ -225,15 +226,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     cells = materialise(cell_blocks(without_beaten_copies(whole, k), block_rows))
     asked = materialise(query_blocks(whole, query_rows))
     found = materialise(scan(cells, asked, k, lane_blocks))
-    by_query = Window.partitionBy("query_id")
-    lowest = found.select("query_id", "lower").withColumn("place", F.row_number().over(by_query.orderBy(F.col("lower").desc())))
-    kth = lowest.filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("kth"))
-    left = found.join(kth, "query_id").filter(F.col("upper") >= F.coalesce("kth", F.lit(LEAST)))
+    by_query = Window.partitionBy("q_row")
+    lowest = found.select("q_row", "lower").withColumn("place", F.row_number().over(by_query.orderBy(F.col("lower").desc())))
+    kth = lowest.filter(F.col("place") <= k).groupBy("q_row").agg(F.when(F.count(F.lit(1)) == k, F.min("lower")).alias("kth"))
+    left = found.join(kth, "q_row").filter(F.col("upper") >= F.coalesce("kth", F.lit(LEAST)))
     turn = F.row_number().over(by_query.orderBy(F.col("upper").desc(), "vec_id", "row"))
     left = materialise(left.select("q_row", "query_id", "row", "vec_id", "upper", turn.alias("turn")))
     first = materialise(read_exactly(left.filter(F.col("turn") <= 2 * k), whole))
     ranked = by_query.orderBy(F.col("score").desc(), "vec_id")
-    sure = first.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") == k).select("query_id", F.col("score").cast("double").alias("sure"))
-    rest = left.filter(F.col("turn") > 2 * k).join(sure, "query_id", "left").filter(F.col("upper") >= F.coalesce("sure", F.lit(LEAST)))
+    sure = first.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") == k).select("q_row", F.col("score").cast("double").alias("sure"))
+    rest = left.filter(F.col("turn") > 2 * k).join(sure, "q_row", "left").filter(F.col("upper") >= F.coalesce("sure", F.lit(LEAST)))
     scored = first.unionByName(read_exactly(rest.select("q_row", "query_id", "row", "vec_id"), whole))
     return scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
