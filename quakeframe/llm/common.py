@@ -30,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and reread it: cuts lineage, survives lost executors, has true size statistics."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +46,9 @@ def extended(df: DataFrame, **columns: str) -> StructType:
 def strings(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of every value of a string column; null counts as empty."""
     kind = pa.large_binary()
-    return [x or b"" for x in column.cast(pa.large_string()).cast(kind).to_pylist()]
+    if not pa.types.is_binary(column.type):
+        column = column.cast(pa.large_string())
+    return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
 def slices(batches, column: str, limit: int = 1 << 21):

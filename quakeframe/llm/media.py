@@ -157,7 +157,7 @@ def store_pcm(media: DataFrame, column: str = "media", out: str = "pcm", up: int
         return pcm_file(*decode_wav(data), up, down)
 
     def run(batches):
-        for batch in batches:
+        for batch, _ in slices(batches, column, 1 << 20):
             files = batch.column(batch.schema.get_field_index(column)).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([one(f) for f in files], pa.binary())], names=[*batch.schema.names, out])
 
@@ -170,34 +170,35 @@ def level(samples: np.ndarray) -> tuple[int, int]:
     return int((wide * wide).sum()), int(((wide[1:] < 0) != (wide[:-1] < 0)).sum())
 
 
-def describe_media(media: DataFrame, column: str = "media", up: int = 1, down: int = 1) -> DataFrame:
-    """Read the stored bytes back: ``doc_id, n_bytes``, digests and features of each file, and its audio as stored PCM.
+def describe_media(media: DataFrame, column: str = "media", pcm: str = "pcm") -> DataFrame:
+    """Read the stored bytes back: ``doc_id, n_bytes``, digests and features of each file and of its stored PCM.
 
-    ``feature`` lists energy and sign changes of the payload expanded as mu-law, as A-law and as ADPCM blocks, and
-    the checksum of the resampled 16-bit PCM.  ``pcm`` is that PCM as a file, of the payload expanded as mu-law.  All
-    depend on the payload alone.  A null file has nulls but for ``doc_id`` and ``n_bytes``.
+    ``feature`` lists energy and sign changes of the payload expanded as mu-law, as A-law and as ADPCM blocks, and of
+    the resampled audio as it was stored in ``pcm``, with that file's rate and the checksum of its samples.  All depend
+    on the payload alone.  A null file has nulls but for ``doc_id`` and ``n_bytes``.
     """
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
-    def rows(files: list[bytes | None]):
-        heads = [read_wav(f) if f is not None else (MULAW, RATE, 1, b"") for f in files]
-        payloads = [h[3] for h in heads]
+    def rows(files: list[bytes | None], sounds: list[bytes | None]):
+        payloads = [read_wav(f)[3] if f is not None else b"" for f in files]
         counts = np.array([len(p) // UNIT for p in payloads])
         whole = np.frombuffer(b"".join(p[: len(p) // UNIT * UNIT] for p in payloads), dtype=np.uint8)
         decoded = decode_adpcm(whole)
         ends = np.cumsum(counts)
-        for file, head, payload, start, end in zip(files, heads, payloads, ends - counts, ends, strict=True):
+        for file, sound, payload, start, end in zip(files, sounds, payloads, ends - counts, ends, strict=True):
             if file is None:
                 yield (None,) * len(names)
                 continue
             raw = np.frombuffer(payload, dtype=np.uint8)
-            mulaw = MULAW_PCM[raw]
-            pcm = pcm_file(mulaw, head[1], up, down)
-            marks = [*level(mulaw), *level(ALAW_PCM[raw]), *level(decoded[start:end].reshape(-1)), zlib.crc32(read_wav(pcm)[3])]
-            yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), " ".join(map(str, marks)), pcm
+            _, rate, _, samples = read_wav(sound)
+            marks = [*level(MULAW_PCM[raw]), *level(ALAW_PCM[raw]), *level(decoded[start:end].reshape(-1)), *level(np.frombuffer(samples, dtype="<i2")), rate, zlib.crc32(samples)]
+            yield (
+                len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), " ".join(map(str, marks)),
+                len(sound), hashlib.sha256(sound).hexdigest(),
+            )
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -207,8 +208,8 @@ def describe_media(media: DataFrame, column: str = "media", up: int = 1, down: i
                 held += size
                 if held > 1 << 21 or i == len(sizes) - 1:
                     part = batch.slice(start, i + 1 - start)
-                    columns = list(zip(*rows(part.column(2).to_pylist()), strict=True))
+                    columns = list(zip(*rows(part.column(2).to_pylist(), part.column(3).to_pylist()), strict=True))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", *names])
                     start, held = i + 1, 0
 
-    return media.select(F.col("doc_id").cast("long"), "n_bytes", column).mapInArrow(run, schema)
+    return media.select(F.col("doc_id").cast("long"), "n_bytes", column, pcm).mapInArrow(run, schema)

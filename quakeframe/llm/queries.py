@@ -56,7 +56,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_media(table(spark, sf_dir, "documents").select("doc_id", "text"), "mulaw").select("doc_id", "n_bytes", "media")
-    return media.describe_media(media.materialise(stored))
+    files = media.store_pcm(stored, up=2, down=1)
+    return media.describe_media(media.materialise(files, **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}))
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +140,11 @@ SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
             ELSE ((1.0::DOUBLE + tilt) - sqrt(greatest((1.0::DOUBLE + tilt) * (1.0::DOUBLE + tilt) - 4 * tilt * y, 0.0::DOUBLE))) / (2 * tilt) END AS position
 FROM shares""",
     "op7_exact_topk": """
-WITH clean AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+WITH clean AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
            FROM clean q JOIN clean c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT * FROM ranked WHERE rank <= 5""",
     "op9_line_dedup": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),

@@ -363,7 +363,7 @@ def test_language_equals_plain_sets_of_grams(spark, docs, hard, purity):
     members = {x: {g for g, v in s.items() if v >= purity * top[g]} for x, s in share.items()}
     assert set().union(*members.values()) == set(top), "every n-gram is in one language at least"
     first = max(sorted(counts), key=lambda x: counts[x].total())
-    filters = language_id.learn(train, purity=purity)
+    filters = language_id.learn(train, levels=(purity,))
     assert filters.languages == sorted(members)
     for df in (docs, hard):
         for r in language_id.identify(df.select("doc_id", "text"), filters).collect():
@@ -381,18 +381,28 @@ def test_filters_hold_all_members_and_few_others(spark):
     owner = found["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)
     f = language_id.Filters.of_bits(names, "l00", 18, owner, found["word"].to_numpy(dtype=np.int64), found["bits"].to_numpy(dtype=np.int64))
     for i, name in enumerate(names):
-        bit = f.languages_of(members[name])[:, i // 64] >> np.uint64(i % 64) & np.uint64(1)
+        bit = f.languages_of(members[name])[:, i // 8] >> np.uint8(i % 8) & np.uint8(1)
         assert bit.all()
-    other = f.languages_of(rng.integers(0, 1 << 32, 20000))[:, 0] & np.uint64(1)
+    other = f.languages_of(rng.integers(0, 1 << 32, 20000))[:, 0] & np.uint8(1)
     assert abs(other.mean() - f.false_rate[0]) < 0.002
 
 
+def test_full_filters_decide_nothing(spark):
+    rng = np.random.default_rng(7)
+    text = bytes(rng.integers(97, 123, 200_000).astype(np.uint8)).decode()
+    train = spark.createDataFrame([("a", text), ("b", text[::-1])], "lang string, text string")
+    filters = language_id.learn(train, most_log2=7)
+    assert (filters.false_rate == 1).all()
+    found = filters.decide([b"some words", b"", b"12"])
+    assert [x for _, x in found] == [0.0, 0.0, 0.0] and found[0][0] in ("a", "b")
+
+
 # --- 6: media
 
 
 def test_media_round_trip_and_feature(spark, hard, empty):
     text = {(r["doc_id"], r["text"]) for r in hard.collect()}
-    got = media.describe_media(media.encode_media(hard, "mulaw")).collect()
+    got = media.describe_media(media.store_pcm(media.encode_media(hard, "mulaw"))).collect()
     want = Counter()
     for i, t in [(r[0], r[1]) for r in HARD]:
         data = (t or "").encode()
@@ -401,7 +411,7 @@ def test_media_round_trip_and_feature(spark, hard, empty):
     assert Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want and len(text)
     same = {r["payload_sha256"]: (r["media_sha256"], r["feature"]) for r in got}
     assert all(same[r["payload_sha256"]] == (r["media_sha256"], r["feature"]) for r in got)
-    assert media.describe_media(media.encode_media(empty)).count() == 0
+    assert media.describe_media(media.store_pcm(media.encode_media(empty))).count() == 0
     for kind in media.FORMATS:
         files = [r["media"] for r in media.encode_media(hard, kind).collect()]
         assert all(media.read_wav(f)[3].startswith((t[1] or "").encode()) for f, t in zip(files, HARD, strict=True))
@@ -409,6 +419,67 @@ def test_media_round_trip_and_feature(spark, hard, empty):
         assert media.read_wav(pcm)[:2] == (media.PCM, 16000)
 
 
+def plain_mulaw(byte):
+    byte = ~byte & 255
+    size = (((byte & 15) << 3) + 132 << (byte >> 4 & 7)) - 132
+    return -size if byte & 128 else size
+
+
+def plain_alaw(byte):
+    byte ^= 0x55
+    exponent, size = byte >> 4 & 7, (byte & 15) << 4
+    size = size + 8 if exponent == 0 else size + 264 << exponent - 1
+    return size if byte & 128 else -size
+
+
+def plain_adpcm(block):
+    value = int.from_bytes(block[:2], "little", signed=True)
+    index, out = min(block[2], 88), [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - move if code & 8 else value + move))
+            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+            out.append(value)
+    return out
+
+
+def plain_wav(payload, kind, rate, extra, bits, block):
+    head = kind.to_bytes(2, "little") + (1).to_bytes(2, "little") + rate.to_bytes(4, "little") + (rate * bits // 8).to_bytes(4, "little") + block.to_bytes(2, "little") + bits.to_bytes(2, "little") + extra
+    body = b"WAVEfmt " + len(head).to_bytes(4, "little") + head + b"data" + len(payload).to_bytes(4, "little") + payload
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def test_media_query_equals_plain_python(spark):
+    """All digests and features by loops over bytes: tables, ADPCM, linear interpolation to twice the rate, files."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r for r in queries.op6_media_columns(spark, SF).collect()}
+    assert len(got) == len(docs)
+    level = lambda x: [sum(v * v for v in x), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))]
+    for r in [r for r in docs if len(r["text"] or "") < 4000][:40]:
+        data = (r["text"] or "").encode()
+        payload = data + b" " * (max(192, -(-len(data) // 192) * 192) - len(data))
+        one = [plain_mulaw(b) for b in payload]
+        steps = [v for at in range(0, len(payload), 192) for v in plain_adpcm(payload[at : at + 192])]
+        double = [v for a, b in zip(one, one[1:] + one[-1:]) for v in (a, (a + b) // 2)]
+        samples = b"".join(v.to_bytes(2, "little", signed=True) for v in double)
+        wav, pcm = plain_wav(payload, 7, 8000, b"\0\0", 8, 1), plain_wav(samples, 1, 16000, b"", 16, 2)
+        row = got[r["doc_id"]]
+        marks = [*level(one), *level([plain_alaw(b) for b in payload]), *level(steps), *level(double), 16000, zlib.crc32(samples)]
+        assert row["feature"] == " ".join(map(str, marks))
+        assert (row["media_bytes"], row["media_sha256"]) == (len(wav), hashlib.sha256(wav).hexdigest())
+        assert (row["pcm_bytes"], row["pcm_sha256"]) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+
+
+def test_resampling_by_any_ratio():
+    x = np.array([0, 100, -7, 32767, -32768], dtype=np.int16)
+    for up, down in ((1, 1), (2, 1), (441, 320), (3, 4), (1, 3)):
+        got = media.resample(x, up, down).tolist()
+        wide = [*x.tolist(), int(x[-1])]
+        assert got == [(wide[i * down // up] * (up - i * down % up) + wide[i * down // up + 1] * (i * down % up)) // up for i in range(-(-len(x) * up // down))]
+
+
 def test_tables_and_adpcm_equal_plain_decoding():
     assert media.MULAW_PCM[0] == -32124 and media.MULAW_PCM[255] == 0 and media.MULAW_PCM[128] == 32124
     assert media.ALAW_PCM[0x55] == -8 and media.ALAW_PCM[0xD5] == 8 and media.ALAW_PCM[0x2A] == -32256
@@ -489,7 +560,13 @@ def test_copies_of_a_vector_tie_to_smaller_ids(spark):
     fewer = exact_topk.without_beaten_copies(whole, 5)
     assert fewer.groupBy("v").count().agg(F.max("count")).first()[0] == 12  # six ids, two rows each
     repeated = exact_topk.top_k(df.unionByName(df), F.col("vec_id") % 50 == 0, block_rows=32).groupBy("query_id").count()
-    assert {r["count"] for r in repeated.collect()} == {5}
+    assert {r["count"] for r in repeated.collect()} == {10}
+
+
+def test_repeated_query_rows_have_results_of_their_own(spark):
+    rows = [(50, [1.0]), (50, [1.0])] + [(i, [float(i)]) for i in range(1, 9)]
+    got = exact_topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r["rank"], r["vec_id"]) for r in got) == sorted((n + 1, i) for n, i in enumerate((8, 7, 6, 5, 4)) for _ in range(2))
 
 
 def test_bounds_leave_few_vectors_open():
