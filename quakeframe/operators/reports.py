@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakeframe.operators.scans import null_safe
+
 
 def read_quality(expected: Column, decoded: Column, recovered: Column) -> Column:
     """``FAILED`` without samples, ``RECOVERED`` when fewer than expected or by recovery, else ``CLEAN``."""
@@ -64,19 +64,20 @@ def known_issues(run: DataFrame, registry: DataFrame, keys: list[str]) -> DataFr
 def mark_unsupported(plan: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``benchmark_status`` and ``skip_reason`` (the first by name); a rule's null key fits any value.
 
-    Rules are dealt by which of their keys are given; each kind is one equi-join, so repeated plan rows stay.
+    Each rule is filed under a mask of its given keys and their values; each distinct plan row looks itself up under the
+    masks that occur, in one equi-join however many keys there are.  A plan row with a null key fits only rules that
+    leave that key open; repeated plan rows stay.
     """
-    rows, reasons = plan, []
-    for given in (c for n in range(len(keys) + 1) for c in combinations(keys, n)):
-        fit = rules
-        for k in keys:
-            fit = fit.filter(F.col(k).isNotNull() if k in given else F.col(k).isNull())
-        name = f"__reason{len(reasons)}"
-        reasons.append(F.col(name))
-        if given:
-            rows = rows.join(fit.groupBy(*given).agg(F.min("reason").alias(name)), list(given), "left")
-        else:
-            rows = rows.withColumn(name, fit.agg(F.min("reason")).scalar())
-    reason = F.array_min(F.array_compact(F.array(*reasons)))
-    status = F.when(F.col("skip_reason").isNull(), "planned").otherwise("skipped")
-    return rows.select(*plan.columns, reason.alias("skip_reason")).withColumn("benchmark_status", status)
+    kinds = dict(plan.dtypes)
+    bits = {k: 1 << i for i, k in enumerate(keys)}
+    given = lambda k: F.when(F.col(k).isNotNull(), bits[k]).otherwise(0)
+    filed = rules.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], "reason").withColumn("__mask", sum((given(k) for k in keys), F.lit(0)))
+    # null fields are left out of the text, so it names the given keys and their values
+    filed = filed.groupBy("__mask", F.to_json(F.struct(*keys)).alias("__values")).agg(F.min("reason").alias("__reason"))
+    masks = [r["__mask"] for r in filed.select("__mask").distinct().collect()]  # at most one for each subset of the keys
+    cells = plan.select(*keys).distinct()
+    asked = cells.withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks]).cast("array<int>")))
+    of_mask = F.to_json(F.struct(*[F.when(F.col("__mask").bitwiseAND(bits[k]) != 0, F.col(k)).alias(k) for k in keys]))
+    found = asked.withColumn("__values", of_mask).join(filed, ["__mask", "__values"]).groupBy(*keys).agg(F.min("__reason").alias("skip_reason"))
+    rows = null_safe(plan.drop("skip_reason", "benchmark_status"), found, keys, "left")
+    return rows.withColumn("benchmark_status", F.when(F.col("skip_reason").isNull(), "planned").otherwise("skipped"))

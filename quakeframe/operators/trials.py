@@ -406,12 +406,26 @@ def check_stored(df: DataFrame, keys: list[str], value: str, stored: str, q: flo
     return out.withColumn("agrees", F.abs(F.col("recomputed") - F.col("stored")) <= tolerance)
 
 
-def makespan(df: DataFrame, keys: list[str], queued: str, returned: str, workers: int) -> DataFrame:
-    """Span from first queued to last returned, busy seconds and the idle share of all workers."""
-    span = F.max(returned) - F.min(queued)
+def makespan(df: DataFrame, keys: list[str], queued: str, returned: str, workers: int, ready: str) -> DataFrame:
+    """Makespan from first ready and compute span from first queued to last returned, busy seconds, and the idle share of all workers in both."""
     busy = F.sum(F.col(returned) - F.col(queued))
-    out = df.groupBy(*keys).agg(span.alias("makespan"), busy.alias("busy"), F.count(F.lit(1)).alias("n_tasks"))
-    return out.withColumn("idle_share", F.when(F.col("makespan") > 0, F.greatest(F.lit(0.0), 1 - F.col("busy") / (workers * F.col("makespan")))))
+    out = df.groupBy(*keys).agg((F.max(returned) - F.min(ready)).alias("makespan"), F.greatest(F.max(returned) - F.min(queued), F.lit(0.0)).alias("compute_span"), busy.alias("busy"), F.count(F.lit(1)).alias("n_tasks"))
+    idle = lambda span: F.when(F.col(span) > 0, F.greatest(F.lit(0.0), 1 - F.col("busy") / (workers * F.col(span))))
+    return out.withColumns({"idle_share": idle("makespan"), "idle_compute": idle("compute_span")})
+
+
+def stations_per_chunk(df: DataFrame, keys: list[str], ready: str, chunk_s: float = 60.0) -> DataFrame:
+    """How many stations became ready in each chunk of time."""
+    return df.groupBy(*keys, S.chunk_index(F.col(ready), chunk_s).alias("ready_chunk")).agg(F.count(F.lit(1)).alias("n_stations"))
+
+
+def soak_tails(df: DataFrame, keys: list[str], index: str, value: str, late: str, deadlines: tuple[float, ...] = (10.0, 60.0)) -> DataFrame:
+    """Tails of a paced soak by rounded ranks, without each stream's first feed, with mean, median and lateness (null counts as 0)."""
+    rows = df.filter(F.col(index) != 0)
+    held = F.coalesce(F.col(late), F.lit(0.0))
+    plain = rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.avg(held).alias("late_mean"), F.max(held).alias("late_max"), F.count_if(held > 0).alias("late_nonzero"))
+    plain = with_quantiles(plain, rows, keys, {"x": F.col(value)}, {"x": [("median", 0.5)]})
+    return null_safe(tails(rows, keys, value, "half_even", deadlines), plain, keys, "left")
 
 
 def run_spread(df: DataFrame, keys: list[str], value: str) -> DataFrame:

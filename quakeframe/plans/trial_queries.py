@@ -186,7 +186,8 @@ def warm_tails(spark, sf_dir):
 
 def paced_tails(spark, sf_dir):
     e = station_events(spark, sf_dir).withColumn("late", F.col("returned_s") - F.col("ready_s"))
-    return rounded(T.tails(e, ["station"], "late", "half_even", (1.0, 2.0)))
+    e = e.withColumns({"feed_index": F.col("event_id") % 7, "over": F.greatest(F.col("late") - 1.0, F.lit(0.0))})
+    return rounded(T.soak_tails(e, ["station"], "feed_index", "late", "over", (1.0, 2.0)))
 
 
 def latency(spark, sf_dir):
@@ -201,7 +202,11 @@ def stored_p95(spark, sf_dir):
 
 
 def spans(spark, sf_dir):
-    return rounded(T.makespan(station_events(spark, sf_dir), ["chunk"], "queued_s", "returned_s", 4))
+    return rounded(T.makespan(station_events(spark, sf_dir), ["chunk"], "queued_s", "returned_s", 4, "ready_s"))
+
+
+def ready_per_chunk(spark, sf_dir):
+    return T.stations_per_chunk(station_events(spark, sf_dir), ["chunk"], "ready_s", 60.0)
 
 
 def run_spread(spark, sf_dir):
@@ -278,7 +283,7 @@ QUERIES = {
     "F21_fastest_native": fastest_native, "F22_summary_record": summary_record, "E14_winner_lookup": winner_lookup, "E12_skip_done": skip_done, "E13_fuzzy_skip": fuzzy_skip,
     "E19_capped": capped, "E16_grid_gaps": grid_gaps, "E17_merged_sources": merged_sources, "E18_inventory": inventory, "F49_pivot": pivoted, "F48_threads_table": threads_table,
     "F31_progress": progress, "F32_completions": completions, "F36_audit": audit, "F33_cold_warm": cold_warm, "F34_warm_tails": warm_tails, "F35_paced_tails": paced_tails,
-    "F39_latency": latency, "F40_stored_p95": stored_p95, "F41_makespan": spans, "F43_run_spread": run_spread, "F43_device_difference": device_difference, "F45_device_counts": device_counts,
+    "F39_latency": latency, "F40_stored_p95": stored_p95, "F41_makespan": spans, "F41_stations_per_chunk": ready_per_chunk, "F43_run_spread": run_spread, "F43_device_difference": device_difference, "F45_device_counts": device_counts,
     "F56_stage_report": stage_report, "F29_stage_timings": stage_timings, "F37_delays": delays, "F55_energy": energy, "F52_resources": resources, "F53_memory": memory,
     "F54_asked_vs_used": asked_vs_used, "F11_bootstrap": bootstrap, "B8_throughput": throughput, "H3_top_speedups": top_speedups, "B14_trial_ids": trial_ids,
 }
@@ -351,10 +356,15 @@ ORACLE_SQL = {
     "F36_audit": W + ", t AS (SELECT model, n_stations, device, variant, cpus, count(wall_s) AS n, avg(wall_s) AS mean, 100 * stddev_pop(wall_s) / avg(wall_s) AS cv FROM trials GROUP BY ALL) SELECT model, n_stations, device, variant, cpus, n, round(mean, 9) AS mean, round(cv, 6) AS cv FROM t WHERE n >= 3 AND cv > 20",
     "F33_cold_warm": V + ", f AS (SELECT station, event_id % 10 AS feed, max(returned_s - queued_s) AS busy FROM station_events GROUP BY ALL) SELECT station, round(max(busy) FILTER (feed = 0), 6) AS cold, round(avg(busy) FILTER (feed > 0), 6) AS warm_mean, round(min(busy) FILTER (feed > 0), 6) AS warm_min, round(max(busy) FILTER (feed > 0), 6) AS warm_max, round(CASE WHEN count(*) FILTER (feed > 0) = 1 THEN 0 ELSE stddev_samp(busy) FILTER (feed > 0) END, 6) AS warm_std, round(sum(busy), 6) AS idle_total FROM f GROUP BY station",
     "F34_warm_tails": _tails("floor({q} * (len(v) - 1) + 0.5)::INTEGER"),
-    "F35_paced_tails": _tails("round_even({q}::DOUBLE * (len(v) - 1), 0)::INTEGER"),
+    "F35_paced_tails": f"""{_tails("round_even({q}::DOUBLE * (len(v) - 1), 0)::INTEGER").replace("FROM station_events GROUP BY 1", "FROM station_events WHERE event_id % 7 <> 0 GROUP BY 1").replace(" SELECT station, len(v)", ", t AS (SELECT station, len(v)", 1)}),
+ p AS (SELECT station, returned_s - ready_s AS x FROM station_events WHERE event_id % 7 <> 0)
+ SELECT t.*, m.* EXCLUDE (station) FROM t JOIN (SELECT station, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(avg(greatest(x - 1, 0)), 6) AS late_mean, round(max(greatest(x - 1, 0)), 6) AS late_max, count(*) FILTER (x > 1) AS late_nonzero FROM p GROUP BY station) m ON t.station = m.station""",
     "F39_latency": f"{V} SELECT station, count(*) AS n, {_lat('returned_s - ready_s', 'e2e')}, {_lat('queued_s - ready_s', 'queue')}, {_lat('returned_s - queued_s', 'service')} FROM station_events GROUP BY station",
     "F40_stored_p95": V + ", s AS (SELECT station, count(*) AS n, quantile_cont(returned_s - ready_s, 0.95) AS r FROM station_events GROUP BY 1) SELECT station, n, round(r, 6) AS recomputed, round(r + right(station, 1)::INTEGER % 2 * 0.5, 6) AS stored, right(station, 1)::INTEGER % 2 = 0 AS agrees FROM s",
-    "F41_makespan": V + ", s AS (SELECT chunk, max(returned_s) - min(queued_s) AS makespan, sum(returned_s - queued_s) AS busy, count(*) AS n_tasks FROM station_events GROUP BY 1) SELECT chunk, round(makespan, 6) AS makespan, round(busy, 6) AS busy, n_tasks, CASE WHEN makespan > 0 THEN round(greatest(0, 1 - busy / (4 * makespan)), 6) END AS idle_share FROM s",
+    "F41_makespan": V + """, s AS (SELECT chunk, max(returned_s) - min(ready_s) AS makespan, greatest(max(returned_s) - min(queued_s), 0) AS compute_span, sum(returned_s - queued_s) AS busy, count(*) AS n_tasks FROM station_events GROUP BY 1)
+ SELECT chunk, round(makespan, 6) AS makespan, round(compute_span, 6) AS compute_span, round(busy, 6) AS busy, n_tasks, CASE WHEN makespan > 0 THEN round(greatest(0, 1 - busy / (4 * makespan)), 6) END AS idle_share,
+  CASE WHEN compute_span > 0 THEN round(greatest(0, 1 - busy / (4 * compute_span)), 6) END AS idle_compute FROM s""",
+    "F41_stations_per_chunk": V + " SELECT chunk, greatest(0, floor(ready_s / 60))::INTEGER AS ready_chunk, count(*) AS n_stations FROM station_events GROUP BY ALL",
     "F43_run_spread": W + ", t AS (SELECT model, device, cpus, avg(f1) AS f1 FROM trials GROUP BY ALL) SELECT model, device, round(avg(f1), 6) AS mean, round(CASE WHEN count(f1) = 1 THEN 0 ELSE stddev_samp(f1) END, 6) AS std, count(f1) AS n_runs FROM t GROUP BY ALL",
     "F43_device_difference": W + ", t AS (SELECT model, cpus, avg(wall_s) FILTER (device = 'F') AS a, avg(wall_s) FILTER (device = 'O') AS b FROM trials GROUP BY ALL) SELECT model, round(avg(abs(a - b)), 6) AS mean_abs_diff, count(*) AS n_runs FROM t WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY model",
     "F45_device_counts": W + ", t AS (SELECT model, dtype, count(*) FILTER (device = 'F') AS f, count(*) FILTER (device = 'O') AS o FROM trials GROUP BY ALL) SELECT model, dtype, f AS \"n_F\", o AS \"n_O\", coalesce(greatest(nullif(f, 0), nullif(o, 0)) - least(nullif(f, 0), nullif(o, 0)), 0) AS spread FROM t",

@@ -115,3 +115,23 @@ def test_logs_of_one_busy_station(spark):
     s = [r[2] for r in sorted(rows, key=lambda r: r[2]) if r[1] == "S"]
     assert len(order) == 3001 and sorted((r["rn"], r["p"], r["s"]) for r in tree if r["station"] == "A") == [(i + 1, p[i], s[i] if i < len(s) else None) for i in range(len(p))]
     assert [tuple(r)[1:4] for r in tree if r["station"] == "B"] == [(None, None, None)]
+
+
+def test_rules_with_open_keys(spark):
+    from itertools import product
+
+    from quakeframe.operators import reports
+
+    plan = [(a, b, c) for a, b, c in product(("x", "y", None), (1, 2, None), (True, False))] + [("x", 1, True)]
+    rules = [("x", None, None, "m"), (None, 2, True, "c"), ("y", 1, False, "a"), (None, None, False, "z"), ("x", 1, True, "b"), ("x", None, None, "n")]
+    df = spark.createDataFrame(plan, "k string, n int, f boolean")
+    got = reports.mark_unsupported(df, spark.createDataFrame(rules, "k string, n long, f boolean, reason string"), ["k", "n", "f"]).collect()
+    want = []
+    for row in plan:
+        fits = [r[3] for r in rules if all(v is None or v == row[i] for i, v in enumerate(r[:3]))]
+        want.append((*row, min(fits, default=None), "skipped" if fits else "planned"))
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    everything = spark.createDataFrame([(None, None, None, "all")], "k string, n int, f boolean, reason string")
+    assert {r["skip_reason"] for r in reports.mark_unsupported(df, everything, ["k", "n", "f"]).collect()} == {"all"}
+    assert {r["benchmark_status"] for r in reports.mark_unsupported(df, everything.filter("false"), ["k", "n", "f"]).collect()} == {"planned"}
