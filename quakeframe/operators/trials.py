@@ -258,6 +258,30 @@ def lookup_winners(requests: DataFrame, winners: DataFrame, keys: list[str]) ->
 # --- plans, skipping, merging ------------------------------------------------------------------------------------------------
 
 
+def legacy_aliases() -> list[tuple[Column, dict[str, Column]]]:
+    """Rows of older logs, and the columns under which they also count as done.
+
+    Two-device rows without workers of their own were what is now called serial; CPU sweeps that kept only the resolved
+    number of threads had asked for the automatic one, -1.
+    """
+    serial = (F.col("kind") == "dual_gpu") & ~F.col("backend").eqNullSafe("baseline_annotate") & (F.coalesce("n_cpu_workers_per_gpu", F.lit(-1)) == -1)
+    resolved = (F.col("kind") == "cpu_worker_sweep") & F.col("device").startswith("cpu") & F.col("infer_num_threads_actual").isNull() & (F.col("infer_num_threads") > 0)
+    return [(serial, {"kind": F.lit("dual_gpu_serial")}), (resolved, {"infer_num_threads": F.lit(-1)})]
+
+
+def completed_cells(log: DataFrame, keys: list[str], retry_errors: bool = False, aliases: list[tuple[Column, dict[str, Column]]] | None = None) -> DataFrame:
+    """The distinct ``keys`` that count as done: environment rows do not, errors only where they are not retried.
+
+    A row that meets the condition of an alias counts under the alias' values too.
+    """
+    rows = log.filter(~F.col("kind").eqNullSafe("env"))
+    if retry_errors:
+        rows = rows.filter(~F.col("kind").eqNullSafe("error"))
+    own = F.struct(*keys)
+    others = [F.when(condition, F.struct(*[values[k].cast(dict(log.dtypes)[k]).alias(k) if k in values else F.col(k) for k in keys])) for condition, values in aliases or []]
+    return rows.select(F.inline(F.array_compact(F.array(own, *others)))).distinct()
+
+
 def remaining(plan: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Planned trials without a finished one; null axes compare equal."""
     return null_safe(plan, done.select(*keys).distinct(), keys, "left_anti")

@@ -126,6 +126,23 @@ def skip_done(spark, sf_dir):
     return T.remaining(plan, table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), ["k"])
 
 
+def retry_and_legacy(spark, sf_dir):
+    """What is left of a plan when errors are retried, and when they are not; older rows count under their new names."""
+    of = lambda x, *names: F.element_at(F.array(*[F.lit(n) for n in names]), (x + 1).cast("int"))
+    log = table(spark, sf_dir, "lineitem").select(
+        of(F.col("l_suppkey") % 5, "env", "error", "dual_gpu", "cpu_worker_sweep", "single").alias("kind"), F.when(F.col("l_returnflag") == "A", "baseline_annotate").when(F.col("l_returnflag") == "N", "lean").alias("backend"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.col("l_linenumber")).alias("n_cpu_workers_per_gpu"), F.when(F.col("l_linestatus") == "O", "cpu").otherwise("gpu").alias("device"),
+        F.when(F.col("l_tax") >= 0.04, 1).alias("infer_num_threads_actual"), (F.col("l_partkey") % 400).cast("int").alias("infer_num_threads"), (F.col("l_orderkey") % 50).cast("int").alias("n_stations"),
+    )
+    plan = table(spark, sf_dir, "part").select(
+        "p_partkey", of(F.col("p_partkey") % 4, "dual_gpu_serial", "cpu_worker_sweep", "error", "single").alias("kind"), F.when(F.col("p_size") < 10, "gpu").otherwise("cpu").alias("device"),
+        F.when(F.col("p_partkey") % 4 == 1, -1).otherwise(F.col("p_partkey") % 400).cast("int").alias("infer_num_threads"), F.col("p_size").cast("int").alias("n_stations"),
+    )
+    keys = ["kind", "device", "infer_num_threads", "n_stations"]
+    left = [T.remaining(plan, T.completed_cells(log, keys, retry, T.legacy_aliases()), keys).select("p_partkey", F.lit(retry).alias("retry")) for retry in (True, False)]
+    return left[0].unionByName(left[1])
+
+
 def fuzzy_skip(spark, sf_dir):
     plan = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("n"), F.col("p_type").alias("kind"))
     tested = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") * 2).alias("n"), F.when(F.col("s_acctbal") > 5000, "ECONOMY").otherwise("SMALL").alias("kind"))
@@ -280,7 +297,7 @@ QUERIES = {
     "E6_speedup": speedup, "E7_significant_speedup": significant, "E8_precision_ratio": precision_ratio, "E9_strategy_ratio": strategy_ratio, "F24_scaling_ratio": scaling_ratio,
     "E10_reduced_quality": reduced_quality, "F23_relative_to_row": relative, "F13_best_variant": best_variant, "F14_worker_knee": knee, "F15_elbow": elbows,
     "F16_optimal_configurations": optimal, "F16_best_overall": overall, "F18_stored_optimum": stored_optimum, "F19_safe_winners": safe_winners, "F20_best_over_rest": over_rest,
-    "F21_fastest_native": fastest_native, "F22_summary_record": summary_record, "E14_winner_lookup": winner_lookup, "E12_skip_done": skip_done, "E13_fuzzy_skip": fuzzy_skip,
+    "F21_fastest_native": fastest_native, "F22_summary_record": summary_record, "E14_winner_lookup": winner_lookup, "E12_skip_done": skip_done, "E12_retry_and_legacy": retry_and_legacy, "E13_fuzzy_skip": fuzzy_skip,
     "E19_capped": capped, "E16_grid_gaps": grid_gaps, "E17_merged_sources": merged_sources, "E18_inventory": inventory, "F49_pivot": pivoted, "F48_threads_table": threads_table,
     "F31_progress": progress, "F32_completions": completions, "F36_audit": audit, "F33_cold_warm": cold_warm, "F34_warm_tails": warm_tails, "F35_paced_tails": paced_tails,
     "F39_latency": latency, "F40_stored_p95": stored_p95, "F41_makespan": spans, "F41_stations_per_chunk": ready_per_chunk, "F43_run_spread": run_spread, "F43_device_difference": device_difference, "F45_device_counts": device_counts,
@@ -343,6 +360,15 @@ ORACLE_SQL = {
     "F21_fastest_native": W + ", t AS (SELECT model, device, kind, cpus, avg(wall_s) AS w FROM trials GROUP BY ALL), m AS (SELECT model, device, min(w) FILTER (kind = 'baseline') AS native, min(w) FILTER (kind <> 'baseline') AS orchestrated FROM t GROUP BY ALL) SELECT model, device, round(native, 6) AS native, round(orchestrated, 6) AS orchestrated, round(native / orchestrated, 6) AS speedup FROM m",
     "F22_summary_record": W + " SELECT model, dtype, count(wall_s) AS n, round(avg(wall_s), 6) AS mean, round(median(wall_s), 6) AS median, round(quantile_cont(wall_s, 0.25), 6) AS q25, round(quantile_cont(wall_s, 0.75), 6) AS q75, round(min(wall_s), 6) AS min, round(max(wall_s), 6) AS max FROM trials GROUP BY ALL",
     "E14_winner_lookup": "SELECT o_custkey AS c_custkey, o_orderkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    "E12_retry_and_legacy": """WITH log AS (SELECT (['env', 'error', 'dual_gpu', 'cpu_worker_sweep', 'single'])[(l_suppkey % 5 + 1)::INTEGER] AS kind, CASE l_returnflag WHEN 'A' THEN 'baseline_annotate' WHEN 'N' THEN 'lean' END AS backend,
+   CASE WHEN l_linenumber % 2 = 1 THEN l_linenumber END AS workers, CASE WHEN l_linestatus = 'O' THEN 'cpu' ELSE 'gpu' END AS device, CASE WHEN l_tax >= 0.04 THEN 1 END AS actual, l_partkey % 400 AS threads, l_orderkey % 50 AS n FROM lineitem),
+ done AS (SELECT kind, device, threads, n FROM log WHERE kind <> 'env'
+   UNION SELECT 'dual_gpu_serial', device, threads, n FROM log WHERE kind = 'dual_gpu' AND backend IS DISTINCT FROM 'baseline_annotate' AND workers IS NULL
+   UNION SELECT kind, device, -1, n FROM log WHERE kind = 'cpu_worker_sweep' AND device = 'cpu' AND actual IS NULL AND threads > 0),
+ plan AS (SELECT p_partkey, (['dual_gpu_serial', 'cpu_worker_sweep', 'error', 'single'])[(p_partkey % 4 + 1)::INTEGER] AS kind, CASE WHEN p_size < 10 THEN 'gpu' ELSE 'cpu' END AS device,
+   CASE WHEN p_partkey % 4 = 1 THEN -1 ELSE p_partkey % 400 END AS threads, p_size AS n FROM part)
+ SELECT p_partkey, retry FROM plan, (VALUES (true), (false)) t(retry)
+ WHERE NOT EXISTS (SELECT 1 FROM done WHERE done.kind = plan.kind AND done.device = plan.device AND done.threads = plan.threads AND done.n = plan.n AND NOT (retry AND done.kind = 'error'))""",
     "E12_skip_done": "SELECT c_custkey AS k, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
     "E13_fuzzy_skip": "SELECT p_partkey, p_size AS n, p_type AS kind FROM part a WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE a.p_type = CASE WHEN s_acctbal > 5000 THEN 'ECONOMY' ELSE 'SMALL' END AND abs(a.p_size - s_nationkey * 2) <= greatest(2, floor(a.p_size * 0.05)))",
     "E19_capped": "WITH t AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey AS k, l_quantity AS asked, least(l_quantity, 30.0 + l_suppkey % 10) AS got FROM lineitem), c AS (SELECT k, min({'asked': asked, 'got': got}) AS m FROM t WHERE got < asked GROUP BY k) SELECT t.* FROM t JOIN c ON t.k = c.k WHERE asked > m.asked AND asked >= m.got",
