@@ -1,12 +1,17 @@
-"""Greedy pairing of picks of busy stations: bounded stretches of time, settled in rounds.
+"""Greedy pairing of picks of busy stations: bounded blocks of time, settled in rounds.
 
-A stretch pairs its own picks of ``a`` in their order.  Its neighbours' claims on picks of ``b`` that both can reach
+A block pairs its own picks of ``a`` in their order.  Its neighbours' claims on picks of ``b`` that both can reach
 come from the round before; a claim counts against later picks only.  When a round changes no claim, every pick of ``a``
 has its first choice among those that no earlier one holds, which is the greedy result and the only such state.
+
+A chain of claims moves one block a round, so blocks double from round to round while none holds more than ``FULLEST``
+picks: a chain through n blocks of the first width takes about log2(n) rounds, and beyond that one for each ``FULLEST`` picks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,24 +20,46 @@ from pyspark.sql.types import StructType
 
 from quakeframe.operators.runs import materialised
 
+#: Picks that a block may hold for blocks to double once more; a first block holds what lies within four reaches.
+FULLEST = 1 << 16
+
 
-def pair_up(rows: DataFrame, keys: list[str], reach: float, following: bool = False) -> DataFrame:
+def pair_up(rows: DataFrame, keys: list[str], reach: float, following: bool = False, fullest: int = FULLEST, on_round: Callable[[int], None] | None = None) -> DataFrame:
     """``keys, side, a_v, a_w, b_v, b_w`` of ``keys, is_a, o, v, w``; ``v`` is finite.
 
     ``a`` is taken by (o, v, w).  Each takes the nearest free ``b`` within ``reach``, inclusive, ties to the earlier;
-    ``following``: the first free ``b``, by (v, w), that comes after it by less than ``reach``.
+    ``following``: the first free ``b``, by (v, w), that comes after it by less than ``reach``.  ``on_round`` is told
+    the number of each round before it runs.
     """
-    width, slack = 4.0 * reach, 1.001 * reach  # a pick of b is within reach of two stretches at most
-    seen = lambda c: F.sequence(F.floor((F.col(c) - slack) / width), F.floor((F.col(c) + slack) / width))
-    at = lambda c: F.floor(F.col(c) / width)
-    none = F.lit(None).cast("int")
-    a = rows.filter("is_a").select(*keys, at("v").alias("stretch"), F.lit(0).alias("kind"), "o", "v", "w", F.lit(None).cast("double").alias("b"), none.alias("rank"))
-    b = rows.filter("NOT is_a").select(*keys, F.explode(seen("v")).alias("stretch"), F.lit(1).alias("kind"), "o", "v", "w", F.lit(None).cast("double").alias("b"), none.alias("rank"))
-    base = a.unionByName(b)
+    slack = 1.001 * reach  # a pick of b is within reach of two blocks at most
+    seen = lambda c, width: F.sequence(F.floor((F.col(c) - slack) / width), F.floor((F.col(c) + slack) / width))
+    at = lambda c, width: F.floor(F.col(c) / width)
+    rest = ["o", "v", "w", F.lit(None).cast("double").alias("b"), F.lit(None).cast("int").alias("rank")]
     own = [*keys, "stretch"]
+    rows = materialised(rows.select(*keys, "is_a", "o", "v", "w"))
+
+    def blocks(width: float) -> DataFrame:
+        a = rows.filter("is_a").select(*keys, at("v", width).alias("stretch"), F.lit(0).alias("kind"), *rest)
+        return a.unionByName(rows.filter("NOT is_a").select(*keys, F.explode(seen("v", width)).alias("stretch"), F.lit(1).alias("kind"), *rest))
+
+    def claims(out: DataFrame, width: float) -> DataFrame:
+        """Pairs whose ``b`` another block of this width sees as well, for that block."""
+        far = out.filter("side = 'pair'").withColumn("to", F.explode(seen("b_v", width))).filter(F.col("to") != at("a_v", width))
+        return far.select(*keys, F.col("to").alias("stretch"), F.lit(2).alias("kind"), "o", F.col("a_v").alias("v"), F.col("a_w").alias("w"), F.col("b_v").alias("b"), "rank")
+
+    def most(counts: DataFrame, times: int) -> int:
+        return counts.groupBy(*keys, F.floor(F.col("stretch") / times)).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+
+    base = blocks(4.0 * reach)
     fields = StructType([*base.select(*own).schema.fields, *StructType.fromDDL("side string, o double, a_v double, a_w double, b_v double, b_w double, rank int").fields])
 
-    def settle(t: pa.Table) -> pa.Table:
+    def settling(width: float) -> Callable[[pa.Table], pa.Table]:
+        def run(t: pa.Table) -> pa.Table:
+            return settle(t, width)
+
+        return run
+
+    def settle(t: pa.Table, width: float) -> pa.Table:
         col = {c: t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("o", "v", "w", "b", "rank")}
         null = {c: np.asarray(t.column(c).is_null()) for c in ("o", "w")}
         kind, here = t.column("kind").to_numpy(), t.column("stretch")[0].as_py()
@@ -54,14 +81,23 @@ def pair_up(rows: DataFrame, keys: list[str], reach: float, following: bool = Fa
             names=fields.names,
         )
 
-    before = None
+    counts = materialised(base.groupBy(*own).agg(F.count(F.lit(1)).alias("n")))
+    times, used, turn, doubling = 1, None, 0, True
     while True:
-        out = materialised((base if before is None else base.unionByName(before)).groupBy(*own).applyInArrow(settle, fields))
-        claims = out.filter("side = 'pair'").withColumn("to", F.explode(seen("b_v"))).filter("`to` != stretch")
-        claims = claims.select(*keys, F.col("to").alias("stretch"), F.lit(2).alias("kind"), "o", F.col("a_v").alias("v"), F.col("a_w").alias("w"), F.col("b_v").alias("b"), "rank")
-        if claims.isEmpty() if before is None else claims.count() == before.count() and claims.exceptAll(before).isEmpty():
+        if on_round:
+            on_round(turn)
+        width = 4.0 * reach * times
+        given = blocks(width) if used is None else blocks(width).unionByName(used)
+        out = materialised(given.groupBy(*own).applyInArrow(settling(width), fields))
+        now = claims(out, width)
+        if used is not None:  # what came in fewer or more times than it went out
+            now, seen_as = now.withColumn("n", F.lit(1)), used.withColumn("n", F.lit(-1))
+            now = now.unionByName(seen_as).groupBy(*used.columns).agg(F.sum("n").alias("n")).filter("n <> 0")
+        if now.isEmpty():
             return out.select(*keys, "side", "a_v", "a_w", "b_v", "b_w")
-        before = claims
+        turn, doubling = turn + 1, doubling and most(counts, 2 * times) <= fullest
+        times *= 2 if doubling else 1
+        used = claims(out, 4.0 * reach * times)
 
 
 def _greedy(b: np.ndarray, a: np.ndarray, foreign: np.ndarray, claimed: np.ndarray, rank: np.ndarray, reach: float, following: bool) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ T0 = "2024-01-01"
 
 def delta_rows(spark, sf_dir):
     """Delta in samples and milliseconds with flags; skipped rows and nulls dropped."""
-    p = picks(spark, sf_dir).filter("run = 'catalog' AND prob > 0.02")
+    p = picks(spark, sf_dir).filter("run = 'catalog'")
     d = F.bround(F.col("prob") * 60 - 20, 0).cast("int")
     rows = p.select("event_id", "phase", F.when(F.col("event_id") % 11 != 0, d).alias("delta"))
     return rounded(rows.filter("delta IS NOT NULL").withColumns({"ms": F.col("delta") * 10.0, "within_5": F.abs("delta") <= 5, "early": F.col("delta") < 0}))
@@ -83,7 +83,7 @@ def network_comparison(spark, sf_dir):
     """Each station's single catalog pick against its saved picks; stations without picks stay."""
     p = picks(spark, sf_dir)
     cat = p.filter("run = 'catalog'").groupBy("station", "phase").agg(F.min("sample").alias("sample"))
-    judged = matching.compare_pick_sets(cat, p.filter("run = 'detected' AND prob > 0.05"), 900.0)
+    judged = matching.compare_pick_sets(cat, p.filter("run = 'detected'"), 900.0)
     return judged.groupBy("station", "phase").agg(F.count_if(F.col("kind") == "matched").alias("matched"), F.count_if(F.col("kind") == "missing").alias("missing"), F.round(F.min("delta"), 6).alias("delta"))
 
 
@@ -230,7 +230,7 @@ F6 = f"""WITH RECURSIVE {TRACES}, src AS (SELECT *, list_transform(p, lambda v:
  SELECT model, dtype, compiled, round(mae, 6) AS mae, n_samples, n_pairs, n_missing_a, n_missing_b, round(speedup, 6) AS speedup FROM d LEFT JOIN t USING (model, dtype, compiled) LEFT JOIN s USING (model, dtype, compiled)"""
 
 ORACLE_SQL = {
-    "B7_delta_rows": f"{P}, d AS (SELECT event_id, phase, round_even(prob * 60 - 20, 0)::INTEGER AS delta FROM picks WHERE run = 'catalog' AND prob > 0.02 AND event_id % 11 <> 0) SELECT *, delta * 10.0::DOUBLE AS ms, abs(delta) <= 5 AS within_5, delta < 0 AS early FROM d",
+    "B7_delta_rows": f"{P}, d AS (SELECT event_id, phase, round_even(prob * 60 - 20, 0)::INTEGER AS delta FROM picks WHERE run = 'catalog' AND event_id % 11 <> 0) SELECT *, delta * 10.0::DOUBLE AS ms, abs(delta) <= 5 AS within_5, delta < 0 AS early FROM d",
     "B11_usable": f"{TI} SELECT model, device, count(*) FILTER (cpus <= 45 AND success) AS usable, count(*) AS n FROM trials GROUP BY ALL",
     "B13_B16_families": "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'orchestrated' WHEN 1 THEN 'native' ELSE 'other' END AS family, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS state, count(*) FILTER (upper(trim(o_orderpriority)) NOT IN ('', 'OK', 'CLEAN', '-')) AS problems FROM orders GROUP BY ALL",
     "C17_centring_chain": f"{TR}, a AS (SELECT trace, p, trace * 7 % 80 AS pa, greatest(0, least(trace * 7 % 80 - 20, 24)) AS w FROM traces WHERE trace * 7 % 80 < 64), b AS (SELECT trace, p[w + 1 : w + 40] AS x, pa - w AS p1, pa + 9 - w AS s1 FROM a), c AS (SELECT *, greatest(0, least(p1 - 7, 25)) AS v FROM b) SELECT trace, (p1 - v)::INTEGER AS p2, CASE WHEN s1 - v >= 0 AND s1 - v < 15 THEN (s1 - v)::INTEGER END AS s2, round(list_sum(x[v + 1 : v + 15]), 6) AS sum FROM c",
@@ -238,7 +238,7 @@ ORACLE_SQL = {
     "D12_D13_normalised": "WITH r AS (SELECT CASE WHEN event_id % 4 <> 0 THEN 'S' || user_id WHEN event_id % 9 = 0 THEN 'spare' END AS station, CASE event_type WHEN 'click' THEN 'P' WHEN 'view' THEN 'S' WHEN 'error' THEN 'X' ELSE 'P' END AS phase, CASE WHEN event_id % 3 = 0 THEN event_id WHEN event_id % 3 = 1 THEN event_id + 1 WHEN event_id % 5 = 0 THEN event_id + 2 END AS t FROM events) SELECT station, phase, count(*) AS n, sum(t)::BIGINT AS t FROM r WHERE station IS NOT NULL AND t IS NOT NULL AND phase <> 'X' GROUP BY ALL",
     "D10_trace_offsets": f"WITH RECURSIVE {TRACES}, {RISES}, b AS (SELECT trace, station, CASE WHEN trace % 2 = 0 THEN 'P' ELSE 'S' END AS phase, trace * 3 % 50 + 100 AS begin, min(trace * 3 % 50 + 100) OVER (PARTITION BY station) AS origin FROM traces), o AS (SELECT trace, unnest(kept) AS i FROM fold WHERE k = len(r)) SELECT station, phase, count(*) AS n, sum(i + begin - origin)::BIGINT AS total FROM o JOIN b ON o.trace = b.trace GROUP BY ALL",
     "D16_precision_evaluation": f"{TR}, q AS (SELECT trace, list_position(p, list_max(p)) - 1 AS a, list_transform(p, lambda v: round_even(v, 1)) AS r FROM traces) SELECT trace, (a - trace % 64)::INTEGER AS delta_catalog, (list_position(r, list_max(r)) - 1 - a)::INTEGER AS delta_full FROM q",
-    "E3_network_comparison": f"{P}, c AS (SELECT station, phase, min(sample) AS c FROM picks WHERE run = 'catalog' GROUP BY ALL), m AS (SELECT c.station, c.phase, arg_min(sample - c, struct_pack(d := abs(sample - c), s := sample)) AS delta FROM c JOIN picks p ON p.run = 'detected' AND prob > 0.05 AND p.station = c.station AND p.phase = c.phase AND abs(sample - c) <= 900 GROUP BY ALL) SELECT c.station, c.phase, count(delta) AS matched, 1 - count(delta) AS missing, round(min(delta), 6) AS delta FROM c LEFT JOIN m ON c.station = m.station AND c.phase = m.phase GROUP BY ALL",
+    "E3_network_comparison": f"{P}, c AS (SELECT station, phase, min(sample) AS c FROM picks WHERE run = 'catalog' GROUP BY ALL), m AS (SELECT c.station, c.phase, arg_min(sample - c, struct_pack(d := abs(sample - c), s := sample)) AS delta FROM c JOIN picks p ON p.run = 'detected' AND p.station = c.station AND p.phase = c.phase AND abs(sample - c) <= 900 GROUP BY ALL) SELECT c.station, c.phase, count(delta) AS matched, 1 - count(delta) AS missing, round(min(delta), 6) AS delta FROM c LEFT JOIN m ON c.station = m.station AND c.phase = m.phase GROUP BY ALL",
     "E11_path_fallback": "WITH o AS (SELECT o_custkey AS k, o_orderstatus AS layout, max(o_totalprice) AS v FROM orders GROUP BY ALL) SELECT k, round(v, 6) AS v, layout FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY CASE layout WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 2 END) = 1",
     "F44_pooled_runs": F44,
     "F6_quality_sweep": F6,

@@ -201,7 +201,7 @@ def stations_kept(spark, sf_dir):
 
 def stations_common(spark, sf_dir):
     p = picks(spark, sf_dir)
-    return p.filter("run = 'catalog' AND prob > 0.3").select("station", "phase").intersect(p.filter("run = 'detected' AND prob > 0.3").select("station", "phase"))
+    return p.filter("run = 'catalog'").select("station", "phase").intersect(p.filter("run = 'detected'").select("station", "phase"))
 
 
 def channels_missing(spark, sf_dir):
@@ -211,7 +211,7 @@ def channels_missing(spark, sf_dir):
 
 def station_union(spark, sf_dir):
     p = picks(spark, sf_dir)
-    return p.filter("prob > 0.6").select("station").union(p.filter("prob < 0.001").select("station")).distinct()
+    return p.filter("run = 'catalog'").select("station").union(p.filter("run = 'detected'").select("station")).distinct()
 
 
 def distinct_traces(spark, sf_dir):
@@ -296,9 +296,9 @@ ORACLE_SQL = {
     "K3_launch_groups": _groups("CASE WHEN round(ready_s, 3) <= 1800 THEN 'ontime' ELSE 'delayed' END || '/' || chunk", "round(ready_s, 3)", "q[1].t + 8", "least({due}, last)"),
     "K4_launch_groups_from_first": _groups("(event_id // 40)::VARCHAR", "round(ready_s % 60, 3)", "greatest(r[1].t + 8, q[1].t)", "{due}"),
     "I2_stations_kept": f"{P} SELECT station AS sta, event_id FROM picks WHERE station IN (SELECT printf('S%04d', s_suppkey) FROM supplier)",
-    "I3_stations_common": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' AND prob > 0.3 INTERSECT SELECT station, phase FROM picks WHERE run = 'detected' AND prob > 0.3",
+    "I3_stations_common": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' INTERSECT SELECT station, phase FROM picks WHERE run = 'detected'",
     "I5_channels_missing": f"{P} SELECT station, phase FROM picks WHERE run = 'catalog' EXCEPT ALL SELECT station, phase FROM picks WHERE run = 'detected'",
-    "I1_station_union": f"{P} SELECT station FROM picks WHERE prob > 0.6 UNION SELECT station FROM picks WHERE prob < 0.001",
+    "I1_station_union": f"{P} SELECT station FROM picks WHERE run = 'catalog' UNION SELECT station FROM picks WHERE run = 'detected'",
     "F30_distinct_traces": "SELECT printf('S%04d', label) AS station, count(DISTINCT vec_id) AS n_traces FROM embeddings GROUP BY 1",
     "C14_single_windows": "SELECT vec_id AS trace, round(list_sum(embedding::DOUBLE[]), 6) AS s FROM embeddings",
 }

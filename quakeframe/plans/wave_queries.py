@@ -8,6 +8,7 @@ from quakeframe.operators import conditioning as C
 from quakeframe.operators import picks as K
 from quakeframe.operators import prep as P
 from quakeframe.plans.stand_ins import PICKS, START, TRACES, picks, rounded, table, traces
+from quakeframe.streaming import stations as A
 
 
 def _sum(c):
@@ -158,6 +159,13 @@ def prepared(spark, sf_dir):
     return p.select("sta", F.col("stretch").cast("long").alias("stretch"), (F.col("at") - origin).cast("long").alias("at"), F.size(F.get("xs", F.lit(0))).alias("n"), *sums)
 
 
+def continuous(spark, sf_dir):
+    """Fifty traces a station, each two samples over the next one's start, with a gap after the twenty-fifth."""
+    k = F.col("trace") % 50
+    t = traces(spark, sf_dir).select(F.format_string("S%04d", F.floor(F.col("trace") / 50)).alias("station"), (k * 62 + F.floor(k / 25) * 9).cast("long").alias("at"), F.col("p").alias("samples"))
+    return A.continuous_picks(t, 200, 50, "stand-in/energy", 0.7, 40)
+
+
 def onsets(spark, sf_dir):
     t = traces(spark, sf_dir).withColumn("i", K.onsets(F.col("p"), 0.1, 5))
     return t.select("trace", F.explode("i").alias("sample"))
@@ -232,7 +240,7 @@ QUERIES = {
     "C8_resampled": resampled, "C8_antialiased": antialiased, "C21_snr": snr, "C20_aligned": aligned, "C1_chunk_grid": chunk_grid, "C2_chunk_cut": chunk_cut, "C3_merged": merged, "C9_C11_strict_common": strict_common,
     "C10_strict_union": strict_union, "C12_lenient": lenient, "C22_component_traces": component_traces, "A7_read_window": read_window, "A8_span": span, "C6_C7_filtered": filtered, "C23_prepared": prepared,
     "D5_onsets": onsets, "D6_peaks": peaks, "D6_spaced_peaks": spaced_peaks, "D7_best_picks": best_picks, "D9_window_onsets": window_onsets, "D15_argmax_quality": argmax_quality, "D14_paired": paired,
-    "D1_annotated": annotated, "D2_classified": classified, "D2_classified_network": classified_network, "D3_network_pick": network_pick,
+    "K9_continuous_picks": continuous, "D1_annotated": annotated, "D2_classified": classified, "D2_classified_network": classified_network, "D3_network_pick": network_pick,
 }
 
 T = f"WITH {TRACES}"
@@ -366,6 +374,18 @@ ORACLE_SQL = {
  s AS (SELECT sta, comp, unnest(range(2 * first, 2 * first + 2 * len(x) - 1)) AS j, unnest({DOUBLED}) AS v FROM b)
  SELECT sta, (j // 1200 + (epoch(TIMESTAMP '{START}') // 60))::BIGINT AS stretch, min(j) AS at, (count(*) // 3)::INTEGER AS n, round(sum(abs(v)) FILTER (comp = 0), 6) AS s0, round(sum(abs(v)) FILTER (comp = 1), 6) AS s1, round(sum(abs(v)) FILTER (comp = 2), 6) AS s2
  FROM s GROUP BY sta, j // 1200""",
+    "K9_continuous_picks": f"""WITH RECURSIVE {T.removeprefix('WITH ')}, seg AS (SELECT printf('S%04d', trace // 50) AS station, (trace % 50) * 62 + trace % 50 // 25 * 9 AS a0, p FROM traces),
+s AS (SELECT *, max(a0 + len(p)) OVER (PARTITION BY station ORDER BY a0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ends FROM seg),
+r AS (SELECT *, max(CASE WHEN ends IS NULL OR a0 > ends THEN a0 END) OVER (PARTITION BY station ORDER BY a0) AS run FROM s),
+x AS (SELECT station, run, flatten(list(CASE WHEN ends > a0 THEN p[ends - a0 + 1:] ELSE p END ORDER BY a0)) AS x FROM r GROUP BY ALL HAVING sum(len(p)) >= 200),
+w AS (SELECT station, run, k, x[k * 150 + 1:k * 150 + 200] AS w FROM x, unnest(range((len(x) - 200) // 150 + 1)) t(k)),
+q AS (SELECT station, run, k, list_transform(range(1, 201), lambda i: (list_sum(list_transform(w[greatest(i - 2, 1):i], lambda v: v * v)) / least(i, 3)) / (list_sum(list_transform(w[greatest(i - 29, 1):i], lambda v: v * v)) / least(i, 30) + 1e-9)) AS q FROM w),
+d AS (SELECT station, run, run + k * 150 + i - 1 AS sample, q[i] / (1 + q[i]) AS v FROM q, unnest(range(1, 201)) u(i) WHERE k = 0 OR i > 50),
+b AS (SELECT *, lag(v) OVER (PARTITION BY station, run ORDER BY sample) AS b0 FROM d),
+rises AS (SELECT station, sample FROM b WHERE v >= 0.7 AND b0 < 0.7),
+kept AS (SELECT station, min(sample) AS sample FROM rises GROUP BY station
+  UNION ALL SELECT station, (SELECT min(n.sample) FROM rises n WHERE n.station = kept.station AND n.sample >= kept.sample + 40) FROM kept WHERE sample IS NOT NULL)
+SELECT station, sample::BIGINT AS sample FROM kept WHERE sample IS NOT NULL""",
     "D1_annotated": f"""{COMPONENT_WINDOWS} SELECT g AS "group", win_idx::INTEGER AS win_idx, w::INTEGER AS w_start, round(list_sum(p), 6) AS p_sum, round(list_max(p), 6) AS p_max, round(list_sum(s), 6) AS s_sum, round(list_max(s), 6) AS s_max FROM pr""",
     "D2_classified": f"{CLASSIFIED} SELECT station, phase, round(peak_s, 6) AS peak_s, round(peak_value, 6) AS peak_value FROM found",
     "D2_classified_network": f"{CLASSIFIED} SELECT 'NETWORK' AS station, phase, count(*) AS n, round(max(peak_value), 6) AS highest, round(sum(peak_s), 4) AS total_s FROM found GROUP BY phase",

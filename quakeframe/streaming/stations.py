@@ -1,21 +1,23 @@
 """Late stations as streams: chunks by event time, launch groups by count or wait, latencies, continuous picking.
 
-Every streaming operator has a batch twin with the same result, which tests hold against it; rules that need to know the
-end of the input (``from_first``, ``drain``) are batch only.
+Every streaming operator has a batch twin with the same result, which tests hold against it; ``from_first`` is batch only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quakeframe.functions import scalars as S
+from quakeframe.operators import conditioning, picks, prep
 from quakeframe.operators.runs import numbered
-from quakeframe.operators.scans import carried, dealt
+from quakeframe.operators.scans import carried, dealt, null_safe
+from quakeframe.operators.spacing import spaced
 
 #: Delays that a late station may have, in seconds.  Fixed values.
 DELAYS = (0, 5, 10, 15, 20, 25, 30, 60, 65, 90)
@@ -62,11 +64,11 @@ def stations_per_chunk(events: DataFrame, at: str = "ready", length: str = "60 s
 # --- launch groups ---------------------------------------------------------------------------------------------------------------------
 
 
-def launch_groups(events: list[tuple[str, float]], size: int, wait: float, chunk: float = 60.0, from_first: bool = False) -> list[tuple[float, list[str]]]:
+def launch_groups(events: list[tuple[str, float]], size: int, wait: float, chunk: float = 60.0, from_first: bool = False, drain: bool = False) -> list[tuple[float, list[str]]]:
     """(time, stations) of the groups of one pool: fired at ``size`` stations, at ``wait`` seconds after the oldest, or at the chunk's end.
 
     Waiting counts from the oldest station in the queue; with ``from_first`` from the first ready one of the chunk.
-    A size of 1 fires at once.
+    A size of 1 fires at once.  With ``drain`` nobody else is expected, so the last group waits no longer than its last station.
     """
     fired: list[tuple[float, list[str]]] = []
     queue: list[tuple[float, str]] = []
@@ -87,7 +89,7 @@ def launch_groups(events: list[tuple[str, float]], size: int, wait: float, chunk
             fired.append((t, [s for _, s in queue]))
             queue.clear()
     if queue:
-        fired.append((deadline(), [s for _, s in queue]))
+        fired.append((min(deadline(), queue[-1][0]) if drain else deadline(), [s for _, s in queue]))
     return fired
 
 
@@ -133,7 +135,10 @@ def batch_groups(events: DataFrame, key: str, size: int, wait: float, chunk: flo
 
 
 class LaunchQueue(StatefulProcessor):
-    """Keeps the stations of one pool and chunk until they fill a group, have waited long enough, or their chunk ends."""
+    """Keeps the stations of one pool and chunk until they fill a group, have waited long enough, or their chunk ends.
+
+    Where the roster says how many stations the chunk awaits, arrivals are counted, and the last of them fires the rest.
+    """
 
     def __init__(self, size: int, wait: float, chunk: float):
         self.size, self.wait, self.chunk = size, wait, chunk
@@ -141,32 +146,39 @@ class LaunchQueue(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.queue = handle.getListState("queue", "station string, ready_s double")
-
-    def _waiting(self) -> list[tuple[str, float]]:
-        return [(r[0], r[1]) for r in self.queue.get()]
-
-    def _settle(self, key, upto: float | None) -> Iterator[pd.DataFrame]:
-        """Fire what is certain at event time ``upto`` (all, if None); keep the rest with a timer at its deadline."""
-        held = sorted(self._waiting(), key=lambda x: (x[1], x[0]))
-        groups = launch_groups(held, self.size, self.wait, self.chunk)
-        done = [(t, s) for t, s in groups if upto is None or t <= upto]
-        gone = {x for _, s in done for x in s}
-        rest = [x for x in held if x[0] not in gone]
+        self.come = handle.getValueState("come", "n long, expected long")
+
+    def _settle(self, key, upto: float) -> Iterator[pd.DataFrame]:
+        """Fire what is certain at event time ``upto`` (all, once all have come); keep the rest with a timer at its deadline."""
+        n, expected = self.come.get() if self.come.exists() else (0, None)
+        full = expected is not None and n >= expected
+        held = sorted(((r[0], r[1]) for r in self.queue.get()), key=lambda x: (x[1], x[0]))
+        groups = launch_groups(held, self.size, self.wait, self.chunk, drain=full)
+        done = [(t, s) for t, s in groups if full or t <= upto]
+        rest = held[sum(len(s) for _, s in done) :]  # groups take the stations in turn
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        end = (key[1] + 1) * self.chunk
         if rest:
             self.queue.put(rest)
-            due = next(t for t, s in groups if not set(s) <= gone)
-            self.handle.registerTimer(int(due * 1000))
+            self.handle.registerTimer(int(groups[len(done)][0] * 1000))
         else:
             self.queue.clear()
+            if full or upto >= end:
+                self.come.clear()
+            elif expected is not None:
+                self.handle.registerTimer(int(end * 1000))
         if done:
             yield pd.DataFrame({"pool": [key[0]] * len(done), "fire_s": [t for t, _ in done], "n": [len(s) for _, s in done], "stations": [s for _, s in done]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, expected = self.come.get() if self.come.exists() else (0, None)
         for pdf in rows:
             for station, ready in zip(pdf["station"], pdf["ready_s"], strict=True):
                 self.queue.appendValue((station, float(ready)))
+            awaited = pdf["expected"].dropna()
+            n, expected = n + len(pdf), int(awaited.iloc[0]) if len(awaited) else expected
+        self.come.update((n, expected))
         yield from self._settle(key, timerValues.getCurrentWatermarkInMs() / 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -179,14 +191,26 @@ class LaunchQueue(StatefulProcessor):
 GROUPS = "pool string, fire_s double, n int, stations array<string>"
 
 
-def stream_groups(events: DataFrame, size: int, wait: float, chunk: float = 60.0) -> DataFrame:
+def last_chunks(plan: DataFrame, key: str = "pool", chunk: float = 60.0) -> DataFrame:
+    """``key, chunk, expected`` of each key's last chunk in a plan of arrivals (``key, ready_s``): how many stations it awaits."""
+    per = plan.groupBy(key, F.floor(F.col("ready_s") / chunk).alias("chunk")).agg(F.count(F.lit(1)).alias("expected"))
+    return per.groupBy(key).agg(F.max(F.struct("chunk", "expected")).alias("m")).select(key, "m.*")
+
+
+def stream_groups(events: DataFrame, size: int, wait: float, chunk: float = 60.0, roster: DataFrame | None = None) -> DataFrame:
     """Launch groups of a stream ``pool, station, ready (timestamp), ready_s``; needs the RocksDB state store.
 
     A group is given out once the watermark has passed its time, so that no earlier station can still change it.
-    State is kept by pool and chunk, so a busy pool spreads over tasks and its state ends with the chunk.  A stream
-    cannot know that nobody else is expected, so it has no drain rule.
+    State is kept by pool and chunk, so a busy pool spreads over tasks and its state ends with the chunk.  With a
+    ``roster`` (``last_chunks``) the stream drains: once a pool's last chunk has all the stations that it awaits, what
+    waits fires at the last one's time, without waiting for the watermark.
     """
     rows = events.withWatermark("ready", WATERMARK).select("pool", F.floor(F.col("ready_s") / chunk).alias("chunk"), "station", "ready", "ready_s")
+    if roster is None:
+        rows = rows.withColumn("expected", F.lit(None).cast("long"))
+    else:
+        awaited = roster.select(F.col("pool").alias("__pool"), F.col("chunk").alias("__chunk"), F.col("expected").cast("long").alias("expected"))
+        rows = rows.join(awaited, F.col("pool").eqNullSafe(F.col("__pool")) & (F.col("chunk") == F.col("__chunk")), "left").drop("__pool", "__chunk")
     return rows.groupBy("pool", "chunk").transformWithStateInPandas(LaunchQueue(size, wait, chunk), GROUPS, "Append", "EventTime")
 
 
@@ -217,12 +241,123 @@ def paced(feeds: DataFrame, cadence: float = 60.0) -> DataFrame:
 
 def stream_picks(spark: SparkSession, folder: str, schema: str, n: int, overlap: int, model: str, threshold: float, separation: int) -> DataFrame:
     """Arriving traces (``station, samples``) to picks: windows, batched model, onsets; the model stays in its worker."""
-    from quakeframe.operators import picks, prep
-
     arriving = spark.readStream.schema(schema).parquet(folder)
     windows = prep.sliding_windows(arriving, "samples", n, overlap)
     return picks.trace_picks(picks.annotate(windows, "window", n, model), ["station"], "prob", threshold, separation)
 
 
+# --- picking over arriving pieces of a trace -----------------------------------------------------------------------------------------
+
+
+class ContinuousPicker(StatefulProcessor):
+    """Picks of one station's trace whose pieces arrive apart and out of order.
+
+    Kept between arrivals: the samples from the next window's start on, pieces that wait for an earlier one, and the
+    last kept onset.  Never more than a window and the pieces of the watermark's delay.
+    """
+
+    def __init__(self, n: int, overlap: int, model: str | picks.MakePredict, threshold: float, separation: int):
+        self.n, self.step, self.threshold, self.separation = n, max(1, n - overlap), threshold, separation
+        self.make = picks.MODELS[model] if isinstance(model, str) else model
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.predict = handle, self.make()
+        self.pieces = handle.getListState("pieces", "at long, upto long, samples array<double>")
+        # the next window's first sample, whether a window came before it in this run, its last value, the last kept onset
+        self.trace = handle.getValueState("trace", "begin long, later boolean, value double, kept long, samples array<double>")
+
+    def _settle(self, key, upto: float) -> Iterator[pd.DataFrame]:
+        begin, later, value, kept, held = self.trace.get() if self.trace.exists() else (None, False, None, None, None)
+        x = np.asarray(held if held is not None else [], dtype=np.float64)
+        waiting = sorted(((r[0], r[1], list(r[2])) for r in self.pieces.get()), key=lambda p: (p[0], -len(p[2]), p[2]))
+        found: list[int] = []
+        while waiting:
+            at, ms, samples = waiting[0]
+            if begin is None or at > begin + len(x):  # a run begins here, unless something earlier is still to come
+                if ms > upto:
+                    break
+                begin, later, value, x = at, False, None, np.zeros(0)
+            waiting.pop(0)
+            x = np.concatenate([x, np.asarray(samples[begin + len(x) - at :], dtype=np.float64)])
+            n_windows = (len(x) - self.n) // self.step + 1
+            if n_windows < 1:
+                continue
+            p = np.asarray(self.predict(np.lib.stride_tricks.sliding_window_view(x, self.n)[:: self.step]), dtype=np.float64)
+            for row in p:
+                new = row if not later else row[self.n - self.step :]
+                first = begin + (self.n - len(new))
+                before = np.concatenate([[np.nan if value is None else value], new[:-1]])
+                for i in (first + np.flatnonzero((new >= self.threshold) & (before < self.threshold))).tolist():
+                    if kept is None or i - kept >= self.separation:
+                        kept = i
+                        found.append(i)
+                begin, later, value = begin + self.step, True, float(new[-1])
+            x = x[n_windows * self.step :]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if waiting:
+            self.pieces.put(waiting)
+            self.handle.registerTimer(waiting[0][1])
+        else:
+            self.pieces.clear()
+        if begin is not None:
+            self.trace.update((begin, later, value, kept, x.tolist()))
+        if found:
+            yield pd.DataFrame({"station": [key[0]] * len(found), "sample": found})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for at, start, samples in zip(pdf["at"], pdf["start_ms"], pdf["samples"], strict=True):
+                self.pieces.appendValue((int(at), int(start), [float(v) for v in samples]))
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_continuous_picks(pieces: DataFrame, n: int, overlap: int, model: str | picks.MakePredict, threshold: float, separation: int, delay: str = WATERMARK) -> DataFrame:
+    """``station, sample`` of the onsets in a stream of pieces ``station, at, start (timestamp), samples``.
+
+    ``at`` numbers a piece's first sample on the station's grid, ``start`` is its time.  Pieces follow on from each
+    other; a gap ends a run once the watermark has passed the piece behind it, and what two pieces both hold counts
+    once.  Windows start each ``n - overlap`` samples of a run.  A run's first window decides on all its samples, each
+    other on those that no window before it held, so that every onset has ``overlap`` samples of context, and edges and
+    the ``separation`` to the last kept onset carry over from window to window and piece to piece.
+    """
+    rows = pieces.withWatermark("start", delay).select("station", "at", "start", F.unix_millis("start").alias("start_ms"), "samples").filter("at IS NOT NULL AND size(samples) > 0")
+    return rows.groupBy("station").transformWithStateInPandas(ContinuousPicker(n, overlap, model, threshold, separation), "station string, sample long", "Append", "EventTime")
+
+
+def continuous_picks(pieces: DataFrame, n: int, overlap: int, model: str | picks.MakePredict, threshold: float, separation: int) -> DataFrame:
+    """Batch twin of ``stream_continuous_picks``: ``station, sample``.
+
+    Runs, the value before each window's part and the kept onsets come from ordered scans, so a busy station spreads
+    over tasks; a piece sends each window the samples that it holds of it.
+    """
+    keys, step = ["station"], max(1, n - overlap)
+    rows = pieces.filter("at IS NOT NULL AND size(samples) > 0").select("station", "at", "samples", (F.col("at") + F.size("samples")).alias("stop"))
+    # of what two pieces hold, the earlier piece's samples count
+    rows = carried(dealt(rows, keys, ["at", "stop"]), keys, ["at", "stop"], highest={"__high": F.col("stop")}).drop("__range")
+    rows = carried(dealt(rows, keys, ["at", "__high"]), keys, ["at", "__high"], previous={"__end": F.col("__high")})
+    opens = F.when(F.col("__end").isNull() | (F.col("at") > F.col("__end")), F.col("at"))
+    rows = carried(rows, keys, ["at", "__high"], highest={"first_out": opens}).drop("__range")
+    cut = F.greatest(F.coalesce("__end", F.col("at")) - F.col("at"), F.lit(0)).cast("int")
+    rows = rows.filter("__end IS NULL OR stop > __end").select("station", "first_out", (F.col("at") + cut).alias("at"), F.array(F.slice("samples", cut + 1, F.size("samples"))).alias("xs"), "stop")
+    stops = rows.groupBy("station", "first_out").agg(F.max("stop").alias("stop_out"))
+    rows = null_safe(rows.drop("stop"), stops, ["station", "first_out"], "inner")
+
+    windows = conditioning.windows_over_stretches(rows.withColumn("run", F.col("first_out")), ["station", "run", "stop_out"], n, overlap)
+    windows = windows.filter((F.col("at") + n <= F.col("stop_out")) & (F.col("w_start") % step == 0)).withColumn("window", F.get("window", F.lit(0)))
+    found = picks.annotate(windows, "window", n, model, out="p").select("station", "run", "at", F.when(F.col("w_start") == 0, F.col("p")).otherwise(F.slice("p", n - step + 1, step)).alias("p"))
+    found = carried(dealt(found, ["station", "run"], ["at"]), ["station", "run"], ["at"], previous={"before": F.element_at("p", -1)})
+    begin = F.col("at") + n - F.size("p")
+    with_before = F.concat(F.array("before"), F.col("p"))
+    rises = found.select("station", (begin - 1).alias("b"), F.explode(picks.onsets(with_before, threshold, 1)).alias("i")).select("station", (F.col("b") + F.col("i")).alias("sample"))
+    return spaced(rises, keys, "sample", separation)
+
+
 def chunk_of(ready: Column) -> Column:
     return S.chunk_index(ready)
