@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quakeframe.functions import scalars as S
 from quakeframe.functions import statistics as st
@@ -79,7 +79,10 @@ def bootstrap_pooled(df: DataFrame, keys: list[str], value: str, top: Column, bo
 
     Every draw takes as many repeats as the side has, with replacement.  Repeats lie in blocks of about ``block_rows``;
     how many of a draw fall into each block is multinomial, and a block then draws its part by itself, so no task holds
-    a side.  Blocks follow from the values alone: a seed gives the same draws however the input is split.
+    a side.  The blocks are the leaves of a binary tree: a node shares each draw's count between its halves by a
+    binomial that is seeded by the node's place alone, so a block finds its own counts by going down from the root, and
+    all blocks below a node agree on what it shared.  Blocks follow from the values alone: a seed gives the same draws
+    however the input is split.
     """
     side = [*keys, "side"]
     rows = df.select(*keys, F.when(top, 1).when(bottom, 2).alias("side"), F.col(value).cast("double").alias("v")).filter("side IS NOT NULL AND v IS NOT NULL")
@@ -87,29 +90,15 @@ def bootstrap_pooled(df: DataFrame, keys: list[str], value: str, top: Column, bo
     sizes = counts.groupBy(*side).agg(F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
     # a value of many repeats is cut into pieces, so that blocks stay bounded
     pieces = null_safe(counts, sizes, side, "inner").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1024))))
-    pieces = pieces.withColumn("c", F.least(F.lit(1024), F.col("n") - F.col("piece") * 1024).cast("int")).withColumn("block", F.pmod(F.xxhash64("v", "piece"), F.ceil(F.col("total") / block_rows)))
-    blocks = pieces.groupBy(*side, "block").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"), F.sum("c").alias("n"), F.max("total").alias("total"))
-    blocks = blocks.withColumn("stream", F.xxhash64(F.lit(seed), *side, "block"))
+    n_blocks = F.ceil(F.col("total") / block_rows)
+    pieces = pieces.withColumns({"c": F.least(F.lit(1024), F.col("n") - F.col("piece") * 1024).cast("int"), "block": F.pmod(F.xxhash64("v", "piece"), n_blocks), "levels": F.ceil(F.log2(n_blocks.cast("double"))).cast("int")})
+    blocks = pieces.groupBy(*side, "block").agg(F.sort_array(F.collect_list(F.struct("v", "c"))).alias("values"), F.sum("c").alias("n"), F.max("levels").alias("levels"))
+    blocks = materialised(blocks.withColumn("tree", F.xxhash64(F.lit(seed), *side)))
 
-    def allot(batches):
-        seen, left = 0, None
-        for batch in batches:
-            n, total, stream = (batch.column(c).to_pylist() for c in ("n", "total", "stream"))
-            drawn = []
-            for i in range(len(n)):
-                if seen == 0:
-                    left = np.full(draws, total[i], dtype=np.int64)
-                taken = np.random.default_rng([stream[i] & MASK, 1]).binomial(left, n[i] / (total[i] - seen))
-                left, seen = left - taken, (seen + n[i]) % total[i]
-                drawn.append(taken.astype("<i8").tobytes())
-                if len(drawn) == 64 or i + 1 == len(n):
-                    part = batch.slice(i + 1 - len(drawn), len(drawn))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(drawn, pa.binary())], names=[*part.schema.names, "drawn"])
-                    drawn = []
-
-    ordered = blocks.select(*side, "block", "n", "total", "stream").repartition(*side).sortWithinPartitions(*side, "block")
-    allotted = ordered.mapInArrow(allot, StructType([*ordered.schema.fields, StructField("drawn", BinaryType())])).select(*side, "block", "drawn")
-    dealt = null_safe(blocks, allotted, [*side, "block"], "inner").select(*side, "values.v", "values.c", "stream", "drawn")
+    above = blocks.select(*side, "block", "n", F.explode(F.sequence(F.lit(0), "levels")).alias("level")).withColumn("node", F.expr("shiftright(block, level)"))
+    nodes = above.groupBy(*side, "level", "node").agg(F.sum("n").alias("held"))
+    chains = null_safe(above, nodes, [*side, "level", "node"], "inner").groupBy(*side, "block").agg(F.array_sort(F.collect_list(F.struct("level", "held"))).alias("chain"))
+    dealt = null_safe(blocks, chains, [*side, "block"], "inner").select(*side, "block", "tree", "values.v", "values.c", F.col("chain.held").alias("held"))
 
     def draw(batches):
         held = {}
@@ -117,8 +106,9 @@ def bootstrap_pooled(df: DataFrame, keys: list[str], value: str, top: Column, bo
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 v, c = (one.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("v", "c"))
-                rng = np.random.Generator(np.random.SFC64([one.column("stream")[0].as_py() & MASK, 2]))
-                sums = _drawn_sums(np.repeat(v, c), np.frombuffer(one.column("drawn")[0].as_py(), "<i8"), rng)
+                tree, block, held_above = (one.column(x)[0].as_py() for x in ("tree", "block", "held"))
+                rng = np.random.Generator(np.random.SFC64([tree & MASK, block, 2]))
+                sums = _drawn_sums(np.repeat(v, c), _share_of_block(tree & MASK, block, held_above, draws), rng)
                 of = tuple(one.column(k)[0].as_py() for k in side)
                 if of in held:
                     held[of] = (held[of][0], held[of][1] + sums)
@@ -143,6 +133,17 @@ def bootstrap_pooled(df: DataFrame, keys: list[str], value: str, top: Column, bo
     return out.select(*keys, "ratio", F.get("r", F.lit(int(0.025 * draws))).alias("ci_low"), F.get("r", F.lit(int(0.975 * draws) - 1)).alias("ci_high"))
 
 
+def _share_of_block(tree: int, block: int, held: list[int], draws: int) -> np.ndarray:
+    """How many of each draw's repeats fall into the block; ``held`` are the repeats of its nodes, from the leaf up to the root."""
+    left = np.full(draws, held[-1], dtype=np.int64)
+    for level in range(len(held) - 2, -1, -1):
+        right = (block >> level) & 1
+        first = held[level + 1] - held[level] if right else held[level]
+        taken = np.random.default_rng([tree, level, block >> level + 1]).binomial(left, first / held[level + 1])
+        left = left - taken if right else taken
+    return left
+
+
 def _drawn_sums(values: np.ndarray, drawn: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """For each entry of ``drawn``, the sum of so many values taken with replacement."""
     return np.array([values.take(rng.integers(0, len(values), m)).sum() for m in drawn.tolist()])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quakeframe.operators import dense, picks
+from quakeframe.operators import dense, picks, trials
 from quakeframe.operators.spacing import spaced
 from quakeframe.streaming import stations as K
 
@@ -129,3 +129,30 @@ def test_picks_carry_over_arrivals(spark, tmp_path, n, overlap):
     assert len(plain) > 20
     assert sorted(map(tuple, batch)) == plain
     assert sorted(map(tuple, got)) == plain
+
+
+def test_blocks_of_a_tree_share_each_draw_whole():
+    """Whatever the blocks hold, their shares add up to the side, with the mean and spread of a multinomial."""
+    sizes = np.array([700, 0, 1200, 50, 900, 1100, 1024], dtype=np.int64)  # not a power of two, one block empty
+    levels, total, draws = 3, int(sizes.sum()), 20000
+    shares = []
+    for block, n in enumerate(sizes):
+        if n:
+            held = [int(sum(m for b, m in enumerate(sizes) if b >> level == block >> level)) for level in range(levels + 1)]
+            shares.append(trials._share_of_block(77, block, held, draws))
+    got, p = np.array(shares), sizes[sizes > 0] / total
+    assert (got.sum(axis=0) == total).all() and (got >= 0).all()
+    assert np.allclose(got.mean(axis=1), total * p, rtol=0.01)
+    assert np.allclose(np.cov(got), total * (np.diag(p) - np.outer(p, p)), atol=0.05 * total * p.max())
+
+
+def test_pooled_bootstrap_is_seeded_and_as_wide_as_the_closed_form(spark):
+    df = spark.range(20000).select(F.lit("k").alias("k"), (F.col("id") % 4 != 0).alias("top"), (F.col("id") % 251).cast("double").alias("v"))
+    run = lambda seed: trials.bootstrap_pooled(df, ["k"], "v", F.col("top"), ~F.col("top"), draws=800, seed=seed, block_rows=500).first()
+    a, again, b = run(3), run(3), run(4)
+    assert (a["ci_low"], a["ci_high"]) == pytest.approx((again["ci_low"], again["ci_high"]))
+    assert a["ci_low"] != b["ci_low"]
+    x = np.arange(20000)
+    v, top = (x % 251).astype(float), x % 4 != 0
+    deviation = np.sqrt(v[top].var() / top.sum() / v[top].mean() ** 2 + v[~top].var() / (~top).sum() / v[~top].mean() ** 2)
+    assert (a["ci_high"] - a["ci_low"]) / (2 * 1.96 * deviation * a["ratio"]) == pytest.approx(1, abs=0.12)
