@@ -35,6 +35,16 @@ def station_summary(picks: DataFrame, quality: DataFrame, keys: list[str]) -> Da
     return rows.withColumns({"n_p": F.coalesce("n_p", F.lit(0)), "n_s": F.coalesce("n_s", F.lit(0))})
 
 
+def run_rows(summary: DataFrame, runs: DataFrame, on: list[str]) -> DataFrame:
+    """Each station's row with the ``window``, ``model`` and ``thresholds`` of its run; empty text where the run is unknown.
+
+    ``expected`` and ``decoded`` become text, empty where they were not counted.
+    """
+    rows = summary.join(runs.select(*on, "window", "model", "thresholds"), on, "left")
+    texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("window", "model", "thresholds", "expected", "decoded")}
+    return rows.withColumns({**texts, "text": F.coalesce("text", F.lit("not available"))})
+
+
 def is_problem(text: Column) -> Column:
     """A summary cell that names a problem."""
     t = F.upper(F.trim(F.coalesce(text, F.lit(""))))

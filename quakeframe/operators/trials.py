@@ -165,6 +165,14 @@ def speedup_vs_baseline(df: DataFrame, match_on: list[str], metric: str, is_base
     return out.orderBy(*match_on[:-1], F.col("speedup_median").desc_nulls_last())
 
 
+def baseline_of(kind: str = "baseline", variant: str | None = None, dual_backend: str = "baseline_annotate") -> Column:
+    """Rows that are a baseline: of the given kind (and variant), or the dual-device run of the baseline's own backend."""
+    single = F.col("kind") == kind
+    if variant is not None:
+        single = single & (F.col("variant") == variant)
+    return F.coalesce(single, F.lit(False)) | F.coalesce((F.col("kind") == "dual_gpu") & (F.col("backend") == dual_backend), F.lit(False))
+
+
 def significant_speedup(df: DataFrame, match_on: list[str], metric: str, is_baseline: Column, variant: list[str], last: int = 30) -> DataFrame:
     """Speedup of means with bounds from the interval ends; significant where the intervals do not overlap."""
     base = with_intervals(df.filter(is_baseline), match_on, metric, last).select(*match_on, *[F.col(f"{metric}_{c}").alias(f"baseline_{c}") for c in ("mean", "ci_low", "ci_high")])
@@ -509,6 +517,29 @@ def resource_rollup(df: DataFrame, keys: list[str], t: str, cpu: str, counter: s
     return rows.groupBy(*keys).agg(wall.alias("wall"), used.alias("cpu_s"), S.ratio(used, wall).alias("cpu_share"), F.coalesce(F.sum("__g"), F.lit(0.0)).alias("gain"))
 
 
+def resource_usage(df: DataFrame, keys: list[str], process: str, t: str, cores: int, wrap: float) -> DataFrame:
+    """Use of a run from samples of its processes and its device, one row per run.
+
+    ``df`` has ``cpu_user, cpu_system`` (seconds so far), ``read_bytes, write_bytes`` (so far), ``util`` (percent),
+    ``power`` (watts) and ``energy`` (a counter in joules that starts anew at ``wrap``; null where there is none).  A
+    process counts with its last sample.  Without an energy counter energy is the mean power over the wall clock.
+    """
+    counters = ("cpu_user", "cpu_system", "read_bytes", "write_bytes")
+    last = df.groupBy(*keys, process).agg(F.max(F.struct(t, *counters)).alias("l")).groupBy(*keys).agg(*[F.sum(f"l.{c}").alias(c) for c in counters])
+    counted = carried(dealt(df.filter("energy IS NOT NULL").select(*keys, t, "energy"), keys, [t, "energy"]), keys, [t, "energy"], previous={"__p": F.col("energy")})
+    gain = F.col("energy") - F.col("__p")
+    joules = counted.groupBy(*keys).agg(F.sum(F.when(gain < 0, gain + wrap).otherwise(gain)).alias("counted"))
+    spans = df.groupBy(*keys).agg(
+        (F.max(t) - F.min(t)).alias("wall_s"), F.avg("util").alias("util_mean"), F.max("util").alias("util_max"), F.avg("power").alias("power_mean"), F.max("power").alias("power_max")
+    )
+    out = null_safe(null_safe(spans, last, keys, "left"), joules, keys, "left")
+    share = S.ratio(F.col("cpu_user") + F.col("cpu_system"), F.col("wall_s") * cores)
+    return out.select(
+        *keys, "wall_s", F.col("cpu_user").alias("cpu_user_s"), F.col("cpu_system").alias("cpu_system_s"), share.alias("cpu_share"), (F.col("read_bytes") / 1e6).alias("read_mb"),
+        (F.col("write_bytes") / 1e6).alias("write_mb"), "util_mean", "util_max", "power_mean", "power_max", F.greatest(F.coalesce("counted", F.col("power_mean") * F.col("wall_s")), F.lit(0.0)).alias("energy_j"),
+    )
+
+
 def memory_delta(df: DataFrame, keys: list[str], when: str, before: str, after: str, value: str) -> DataFrame:
     at = lambda x: F.max(F.when(F.col(when) == x, F.col(value)))
     return df.groupBy(*keys).agg(at(before).alias("before"), at(after).alias("after")).withColumn("growth", F.col("after") - F.col("before"))

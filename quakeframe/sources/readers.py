@@ -161,13 +161,17 @@ def seeded_subset(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return rows.dropDuplicates([key]).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), F.col(key)).limit(n)
 
 
-def build_network(metadata: DataFrame, n: int, seed: int, low: float, high: float) -> DataFrame:
-    """n distinct traces with both picks inside the range; raises, when run, if there are fewer."""
+def build_network(metadata: DataFrame, n: int, seed: int, low: float, high: float, trim: int | None = None, array: str = "samples") -> DataFrame:
+    """n distinct traces with both picks inside the range; raises, when run, if there are fewer.
+
+    ``trim`` cuts each chosen trace to its first samples; the choice is the same with and without it.
+    """
     good = metadata.filter(S.is_finite(F.col("p")) & S.is_finite(F.col("s")) & S.in_range(F.col("p"), low, high) & S.in_range(F.col("s"), low, high))
     chosen = seeded_subset(good, "trace", n, seed)
     count = chosen.agg(F.count(F.lit(1)).alias("__n"))
     check = F.when(F.col("__n") < n, F.raise_error(F.concat(F.lit(f"asked for {n} traces, found "), F.col("__n").cast("string"))).cast("long")).otherwise(F.col("trace"))
-    return chosen.join(F.broadcast(count)).withColumn("trace", check).drop("__n")
+    out = chosen.join(F.broadcast(count)).withColumn("trace", check).drop("__n")
+    return out if trim is None else out.withColumn(array, F.slice(array, 1, trim))
 
 
 def synthetic_network(spark: SparkSession, stations: int, n: int, seed: int) -> DataFrame:
