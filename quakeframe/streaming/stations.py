@@ -335,15 +335,16 @@ def continuous_picks(pieces: DataFrame, n: int, overlap: int, model: str | picks
     """Batch twin of ``stream_continuous_picks``: ``station, sample``.
 
     Runs, the value before each window's part and the kept onsets come from ordered scans, so a busy station spreads
-    over tasks; a piece sends each window the samples that it holds of it.
+    over tasks; a piece sends each window the samples that it holds of it.  Of pieces of one place and length any one counts.
     """
     keys, step = ["station"], max(1, n - overlap)
     rows = pieces.filter("at IS NOT NULL AND size(samples) > 0").select("station", "at", "samples", (F.col("at") + F.size("samples")).alias("stop"))
-    # of what two pieces hold, the earlier piece's samples count
-    rows = carried(dealt(rows, keys, ["at", "stop"]), keys, ["at", "stop"], highest={"__high": F.col("stop")}).drop("__range")
-    rows = carried(dealt(rows, keys, ["at", "__high"]), keys, ["at", "__high"], previous={"__end": F.col("__high")})
+    # of what two pieces hold, the earlier piece's samples count; one deal serves all three scans
+    order = ["at", "stop"]
+    rows = carried(dealt(rows, keys, order), keys, order, highest={"__high": F.col("stop")})
+    rows = carried(rows, keys, order, previous={"__end": F.col("__high")})
     opens = F.when(F.col("__end").isNull() | (F.col("at") > F.col("__end")), F.col("at"))
-    rows = carried(rows, keys, ["at", "__high"], highest={"first_out": opens}).drop("__range")
+    rows = carried(rows, keys, order, highest={"first_out": opens}).drop("__range")
     cut = F.greatest(F.coalesce("__end", F.col("at")) - F.col("at"), F.lit(0)).cast("int")
     rows = rows.filter("__end IS NULL OR stop > __end").select("station", "first_out", (F.col("at") + cut).alias("at"), F.array(F.slice("samples", cut + 1, F.size("samples"))).alias("xs"), "stop")
     stops = rows.groupBy("station", "first_out").agg(F.max("stop").alias("stop_out"))
