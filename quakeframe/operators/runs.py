@@ -5,25 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of up to so many picks fold inside a row; longer ones are settled by stretches.
 SHORT = 64
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder named by ``spark.checkpoint.dir`` and reread; a temporary one in local mode."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder named by ``spark.checkpoint.dir``; in a temporary one in local mode where it is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quakeframe-")
         spark.sparkContext.setCheckpointDir(named)
-    path = f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and reread."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def short_and_long(runs: DataFrame, keys: list[str], most: int = SHORT) -> tuple[DataFrame, DataFrame | None]:

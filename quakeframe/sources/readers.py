@@ -79,13 +79,17 @@ def shape_trials(raw: DataFrame, include_errors: bool = False, drop_env: bool =
 
 
 def env_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Environment snapshots in file order."""
-    return spark.read.text(path).filter(F.get_json_object("value", "$.kind") == "env").select("value")
+    """``file, block, line, value``: environment snapshots, in the order of files and of lines in a file.
+
+    A line's number only tells which of a block's lines comes first; a file that is read in several blocks keeps its order.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    return spark.read.text(path).select(*place, "value").filter(F.get_json_object("value", "$.kind") == "env").orderBy("file", "block", "line")
 
 
-def read_results(spark: SparkSession, folder: str, axes: dict[str, str]) -> DataFrame:
-    """All ``result.json`` below a folder, with axes taken from the path by regular expression."""
-    raw = spark.read.schema(schemas.RESULT_JSON).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "result.json").json(folder)
+def read_results(spark: SparkSession, folder: str, axes: dict[str, str], names: str = "result.json") -> DataFrame:
+    """All files of the given names below a folder, one record each, with axes taken from the path by regular expression."""
+    raw = spark.read.schema(schemas.RESULT_JSON).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", names).json(folder)
     path = F.col("_metadata.file_path")
     named = {k: F.nullif(F.regexp_extract(path, v, 1), F.lit("")) for k, v in axes.items()}
     return raw.select("*", path.alias("path"), *[c.alias(k) for k, c in named.items()])
@@ -174,12 +178,17 @@ def build_network(metadata: DataFrame, n: int, seed: int, low: float, high: floa
     return out if trim is None else out.withColumn(array, F.slice(array, 1, trim))
 
 
-def synthetic_network(spark: SparkSession, stations: int, n: int, seed: int) -> DataFrame:
-    """Segments of noise with a Gaussian pulse at P and at S on each component, and the pulses' samples."""
-    base = spark.range(stations).select(F.format_string("S%04d", "id").alias("sta"), F.explode(F.array(*[F.lit(c) for c in "ZNE"])).alias("comp"))
-    p = (F.pmod(F.xxhash64(F.lit(seed), "sta"), F.lit(n // 3)) + n // 6).cast("int")
-    rows = base.withColumn("p_sample", p).withColumn("s_sample", (F.col("p_sample") + n // 4).cast("int"))
-    noise = lambda i: (F.pmod(F.xxhash64(F.lit(seed), "sta", "comp", i), F.lit(2001)) - 1000) / 20000.0
+def synthetic_network(spark: SparkSession, stations: int | DataFrame, n: int, seed: int) -> DataFrame:
+    """Segments of noise with a Gaussian pulse at P and at S on each component, and the pulses' samples.
+
+    ``stations`` is a number of made-up names, or a table with a column ``sta``.  Every value is a digest of seed, station
+    and place, so it is the same for every partitioning.
+    """
+    named = spark.range(stations).select(F.format_string("S%04d", "id").alias("sta")) if isinstance(stations, int) else stations.select("sta")
+    drawn = lambda salt, *of: S.drawn(F.lit(f"{seed}/{salt}"), *of)
+    p = (F.floor(drawn("p", F.col("sta")) * (n // 3)) + n // 6).cast("int")
+    rows = named.withColumn("p_sample", p).withColumn("s_sample", (F.col("p_sample") + n // 4).cast("int")).withColumn("comp", F.explode(F.array(*[F.lit(c) for c in "ZNE"])))
+    noise = lambda i: drawn("noise", F.col("sta"), F.col("comp"), i.cast("string")) / 10 - 0.05
     pulse = lambda i, at, width: F.exp(-((i - F.col(at)) ** 2) / (2.0 * width * width))
     samples = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (noise(i) + pulse(i, "p_sample", 5) + pulse(i, "s_sample", 8)).cast("float"))
     return rows.select(F.lit("SB").alias("net"), "sta", F.lit("").alias("loc"), F.concat(F.lit("HH"), "comp").alias("cha"), F.lit("2024-01-01").cast("timestamp").alias("start"), F.lit(100.0).alias("sr"), samples.alias("samples"), "p_sample", "s_sample")

@@ -22,10 +22,10 @@ def pick_rows(paired: DataFrame, network: str = "") -> DataFrame:
 
 
 def write_picks(rows: DataFrame, path: str, kind: str = "csv") -> None:
-    """One folder per chunk and station, as CSV or XML."""
+    """One folder per chunk and station, as CSV or XML: a file each, more for a station that would fill a task."""
     rows = rows.withColumn("sta", F.col("station"))
     keys = [c for c in ("chunk_id", "sta") if c in rows.columns]
-    writer = rows.repartition(*keys).write.mode("overwrite").partitionBy(*keys)
+    writer = rows.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys)
     writer.option("header", "true").csv(path) if kind == "csv" else writer.option("rowTag", "pick").xml(path)
 
 
@@ -93,5 +93,7 @@ def result_struct(meta: Column, timing: Column, quality: Column) -> Column:
     return F.struct(F.lit(3).alias("schema_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("recorded_at"), meta.alias("meta"), timing.alias("timing"), quality.alias("pick_quality_vs_catalog"))
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def write_results(rows: DataFrame, path: str, axes: tuple[str, ...] = ()) -> None:
+    """Append result records as JSON; with ``axes`` each record is a file of its own, in folders named by their values."""
+    writer = rows.write.mode("append")
+    writer.option("maxRecordsPerFile", 1).partitionBy(*axes).json(path) if axes else writer.json(path)

@@ -276,6 +276,30 @@ def test_records_are_appended(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "s")).first()["schema_version"] == 3
 
 
+def test_snapshots_keep_the_order_of_files_and_lines(spark, tmp_path):
+    for name, first in (("b.jsonl", 50), ("a.jsonl", 0)):
+        (tmp_path / name).write_text("".join(json.dumps({"kind": "env" if i % 3 else "single", "i": first + i}) + "\n\n{broken\n" for i in range(50)))
+    assert [json.loads(r["value"])["i"] for r in readers.env_rows(spark, str(tmp_path)).collect()] == [i for i in range(100) if i % 50 % 3]
+    (tmp_path / "none").write_text("")
+    assert readers.env_rows(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_result_file_per_cell(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "model string, wall int")
+    made = rows.select("model", sinks.result_struct(F.create_map(F.lit("wall"), F.col("wall").cast("string")), F.struct(F.lit(0).alias("n_repeats")), F.lit(None).cast("struct<P: map<string,double>>")).alias("r")).select("model", "r.*")
+    sinks.write_results(made.repartition(1), str(tmp_path / "r"), ("model",))
+    back = readers.read_results(spark, str(tmp_path / "r"), {"model": r"/model=([a-z]+)/"}, "*.json")
+    assert sorted((r["model"], r["meta"]["wall"]) for r in back.collect()) == [("a", "1"), ("a", "2"), ("b", "3")]
+    assert back.select("path").distinct().count() == 3
+
+
+def test_pick_files_of_a_busy_station(spark, tmp_path):
+    paired = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "busy").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("station"), F.timestamp_seconds(F.col("id")).alias("p_time"), F.lit(0.5).alias("p_prob"), F.lit(None).cast("timestamp").alias("s_time"), F.lit(None).cast("double").alias("s_prob"))
+    sinks.write_picks(sinks.pick_rows(paired), str(tmp_path / "p"))
+    back = readers.read_picks(spark, str(tmp_path / "p"))
+    assert sorted((r["station"], r["t"]) for r in back.collect()) == sorted((r["station"], r["p_time"]) for r in paired.collect())
+
+
 def test_bootstrap(spark):
     df = spark.createDataFrame([("k", [10.0, 11.0, 9.0, 10.0], [5.0, 5.5, 4.5, 5.0]), ("one", [4.0], [2.0])], "k string, a array<double>, b array<double>")
     got = {r["k"]: r for r in trials.bootstrap_ratio(df, ["k"], "a", "b", draws=500).collect()}
@@ -336,6 +360,9 @@ def test_synthetic_network_is_found_by_the_stand_in(spark):
     p = picks.annotate(z, "x", 600, "stand-in/energy").withColumn("i", picks.onsets(F.col("prob"), 0.85, 50))
     for r in p.collect():
         assert any(abs(i - r["p_sample"]) <= 30 for i in r["i"])
+    named = readers.synthetic_network(spark, spark.createDataFrame([("S0001", 1), ("X", 2)], "sta string, other int"), 600, 1)
+    both = [sorted((r["cha"], r["p_sample"], tuple(r["samples"])) for r in d.filter("sta = 'S0001'").collect()) for d in (s, named)]
+    assert both[0] == both[1] and named.count() == 6
 
 
 # --- streams
