@@ -228,8 +228,7 @@ class Codec:
             return ids, np.zeros((0, 2), dtype=np.int64)
         ends = np.cumsum(self.width[ids])
         if ends[-1] != len(normal):  # unknown pieces have no width of their own
-            proto = self.merger.encode(normal.decode(), out_type="immutable_proto")
-            ends = np.cumsum([len(p.surface.encode()) for p in proto.pieces])
+            ends = np.array([p.end for p in self.merger.encode(normal.decode(), return_type="proto").pieces])
         edges = np.append(align, len(data))[np.concatenate([[0], ends])]
         return ids, np.stack([edges[:-1], edges[1:]], axis=1)
 
