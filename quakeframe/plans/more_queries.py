@@ -9,7 +9,7 @@ from quakeframe.functions import statistics as st
 from quakeframe.operators import matching, metrics, prep, reports
 from quakeframe.operators import picks as K
 from quakeframe.operators import trials as T
-from quakeframe.plans.stand_ins import PICKS, STATION_EVENTS, TRACES, TRIALS, micros, picks, rounded, station_events, table, traces, trials
+from quakeframe.plans.stand_ins import PICKS, STATION_EVENTS, TRACES, TRIALS, picks, rounded, station_events, table, traces, trials
 from quakeframe.sources import readers, sinks
 
 T0 = "2024-01-01"
@@ -188,9 +188,10 @@ def catalog_names(spark, sf_dir):
 
 
 def equal_minutes(spark, sf_dir):
-    """Minutes of each event as sample numbers and back; the time base of all picks."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", (micros("ts") / 60000000).cast("long").alias("minute"))
+    """The minute of each event by its sample number at one hertz, and the time of that sample."""
+    e = table(spark, sf_dir, "events").withColumns({"t": F.col("ts").cast("timestamp"), "t0": F.lit(T0).cast("timestamp")})
+    sample = S.to_sample(F.col("t"), F.col("t0"), 1.0)
+    return e.select("event_id", S.chunk_index(sample).alias("minute"), F.date_format(S.to_time(F.floor(sample), F.col("t0"), 1.0), "yyyy-MM-dd HH:mm:ss").alias("second"))
 
 
 QUERIES = {
@@ -253,5 +254,5 @@ ORACLE_SQL = {
     "A9_trial_rows": "WITH r AS (SELECT CASE WHEN l_linenumber = 3 THEN 'baseline' ELSE l_returnflag END || '/fp32' || CASE WHEN l_linestatus = 'O' THEN '/compiled' ELSE '' END || CASE WHEN l_suppkey % 3 > 0 THEN '/w' || (l_suppkey % 3) ELSE '' END AS variant, CASE WHEN l_quantity > 40 THEN l_quantity WHEN l_quantity > 20 THEN l_quantity + 100 ELSE l_quantity + 200 END AS w FROM lineitem WHERE l_linenumber BETWEEN 3 AND 6) SELECT variant, count(*) AS n, round(sum(w), 6) AS wall, 0::BIGINT AS errors FROM r GROUP BY variant",
     "A12_repeats_of_cells": "SELECT l_orderkey, count(*) FILTER (l_discount < 0.02) AS n_ok, greatest(1, count(*) FILTER (l_discount < 0.02)) AS rows, round(sum(l_quantity) FILTER (l_discount < 0.02), 6) AS inference_s FROM lineitem GROUP BY 1",
     "A16_catalog_names": "SELECT event_id, round(value, 6) AS p, round(value + 10, 6) AS s FROM events",
-    "B9_equal_minutes": "SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000 AS minute FROM events",
+    "B9_equal_minutes": "SELECT event_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 60000000)::INTEGER AS minute, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS second FROM events",
 }
