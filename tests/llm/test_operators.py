@@ -81,6 +81,17 @@ def test_urls_match_plain_rules(spark):
     assert {r["verdict"] for r in filter_urls(df, []).collect()} == {"allow"}
 
 
+def test_url_query_has_the_verdicts_of_its_contract(spark, tmp_path):
+    """Rules and verdicts written out here, apart from the code's list: each rule's own word, nested rules, no rule."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://example.com/en/71": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://WWW.Example.net/de/81?q": ("example.net/de/8", "block"), "http://q.org/es/": ("org/es/", "block"), "http://q.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op1_url_filters(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_automaton_wildcards_and_many_words():
     globs = ["*.a?c/**", "**z", "x*y", "q" * 130 + "*"] + [f"*.h{i}.org/p/**" for i in range(60)]
     urls = [b".abc/1/2", b".d.abc/", b".abc", b"foo/z", b"xay", b"xa/y", b"q" * 131, b"q" * 129, b".s.h59.org/p/", b".h7.org/q", b""]
