@@ -13,7 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.operators.prep import CHANNEL, component_rank, filter_parameters, merge_segments, total
@@ -165,42 +166,39 @@ def resample_waveforms(segments: DataFrame, target: float, method: str = "sinc",
 # --- chunks
 
 
-def _same(a: str, b: str, keys: list[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return on
+#: Samples of a channel, at the target rate, that a block of stretches holds at most (a single stretch may hold more).
+BLOCK = 1 << 16
 
 
-def in_chunks(stretches: DataFrame, chunk_s: float, stretch_s: float) -> DataFrame:
+def in_chunks(stretches: DataFrame, chunk_s: float, stretch_s: float, together: bool = False) -> DataFrame:
     """Number the samples of merged stretches, and add what each needs to know of its chunk.
 
     Adds ``at`` (number of the row's first sample, from the epoch), ``per`` (samples of a stretch), ``stretch``,
-    ``chunk`` (of ``chunk_s`` seconds), and of the chunk's whole trace ``first``, ``stop`` and ``mean``.  Sums are made
-    per stretch and meet as one small row per channel and chunk.
+    ``chunk`` (of ``chunk_s`` seconds), ``rate`` (the sampling rate as a key), and of the chunk's whole trace ``first``,
+    ``stop`` and ``mean``.  Sums are made per stretch.  ``together`` deals all of a station's chunk to one place.
     """
     per = F.bround(F.lit(stretch_s) * F.col("sr")).cast("long")
     rows = stretches.filter(F.size("samples") > 0).withColumns({"at": F.bround(F.unix_micros("start") / 1e6 * F.col("sr")).cast("long"), "per": per})
     rows = rows.withColumn("stretch", F.floor(F.col("at") / F.col("per"))).withColumn("chunk", F.floor(F.col("stretch") / round(chunk_s / stretch_s)))
-    keys = [*CHANNEL, "sr", "chunk"]
-    ends = rows.groupBy(*keys).agg(F.min("at").alias("first"), F.max(F.col("at") + F.size("samples")).alias("stop"), (F.sum(total(F.col("samples"))) / F.sum(F.size("samples"))).alias("mean"))
-    return rows.alias("a").join(ends.alias("b"), _same("a", "b", keys)).select("a.*", "b.first", "b.stop", "b.mean")
+    rows = rows.withColumns({"rate": F.col("sr").cast("string"), "sum": total(F.col("samples"))})
+    if together:
+        rows = rows.repartition("net", "sta", "chunk")
+    whole, size = Window.partitionBy(*CHANNEL, "rate", "chunk"), F.size("samples")
+    return rows.withColumns({"first": F.min("at").over(whole), "stop": F.max(F.col("at") + size).over(whole), "mean": F.sum("sum").over(whole) / F.sum(size).over(whole)}).drop("sum")
 
 
-def condition_chunks(
-    stretches: DataFrame, target: float, chunk_s: float = 3600.0, stretch_s: float = 60.0, at_ends: float = 5.0, kind: str | None = "bandpass", corners: int = 2,
-    zero_phase: bool = True, method: str = "linear", zeros: int = 16, rolloff: float = 0.9,
-) -> DataFrame:
-    """Demean, taper, filter (columns ``fmin, fmax``) and resample each channel's chunk as one trace.
+def _in_blocks(stretches, keep, target, chunk_s=3600.0, stretch_s=60.0, at_ends=5.0, kind="bandpass", corners=2, zero_phase=True, method="linear", zeros=16, rolloff=0.9):
+    """Pieces of stretches by the ``block`` of stretches that they reach, and what conditions the pieces of one block.
 
-    ``stretches`` come from ``merge_segments`` with the same ``stretch_s``, which must divide ``chunk_s``.  Returns a
-    row per stretch at the target rate: ``CHANNEL, chunk, stretch, sr, at, samples, first_out, n_trace, start``.
-    Samples are numbered from the epoch by ``at``, so that all channels share one grid; ``first_out`` and ``n_trace``
-    tell where the chunk's trace begins and how long it is.  ``kind=None`` leaves out taper and filter.
+    A block is a part of a chunk and holds no more than ``BLOCK`` samples of a channel; each stretch sends a block only
+    the samples that it reaches.  The function takes a block's pieces as an Arrow table and yields, for each channel, a
+    dict of its ``keep`` and key columns, and tuples ``stretch, at, samples, first_out, n_trace``.
     """
     if round(chunk_s / stretch_s) * stretch_s != chunk_s:
         raise ValueError("a chunk must be a whole number of stretches")
-    rows = in_chunks(stretches.withColumn("samples", F.col("samples").cast("array<double>")), chunk_s, stretch_s)
+    of_chunk = round(chunk_s / stretch_s)
+    of_block = min(of_chunk, max(1, int(BLOCK / (stretch_s * target))))
+    rows = in_chunks(stretches.withColumn("samples", F.col("samples").cast("array<double>")), chunk_s, stretch_s, of_block == of_chunk)
     taps_reach = F.ceil(F.lit(zeros / rolloff) * F.greatest(F.lit(1.0), F.col("sr") / target)).cast("long") + 1 if method == "sinc" else F.lit(1)
     if kind is None:
         rows = rows.withColumns({"fmin": F.lit(0.0), "fmax": F.lit(0.0), "length": F.lit(0).cast("long")})
@@ -211,44 +209,72 @@ def condition_chunks(
         slowest = {"lowpass": F.least("fmax", below), "highpass": F.least("fmin", F.col("sr") / 2 - F.col("fmin"))}.get(kind, F.least("fmin", (F.col("fmax") - F.col("fmin")) / 2, below))
         rows = rows.withColumn("length", F.ceil(36 * F.col("sr") / (2 * np.pi * float(np.sin(np.pi / (2 * corners))) * F.greatest(slowest, F.lit(1e-4)))).cast("long") + 8)
     rows = rows.withColumn("reach", F.col("length") + taps_reach)
-    per = F.col("per")
-
-    size = F.size("samples").cast("long")
+    per, size = F.col("per"), F.size("samples").cast("long")
     lo, hi = F.greatest(F.col("at") - F.col("reach"), F.col("first")), F.least(F.col("at") + size + F.col("reach"), F.col("stop")) - 1
-    # a stretch sends each neighbour only the samples that it reaches; a group holds one widened stretch
-    sent = rows.withColumn("to", F.explode(F.sequence(F.floor(lo / per), F.floor(hi / per))))
-    begin = F.greatest(F.col("at"), F.col("to") * per - F.col("reach"))
-    end = F.least(F.col("at") + size, (F.col("to") + 1) * per + F.col("reach"))
-    piece = F.struct(begin.alias("at"), F.slice("samples", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int")).alias("x"))
-    keys = [*CHANNEL, "sr", "chunk", "first", "stop", "mean", "fmin", "fmax", "length", "to"]
-    grouped = sent.filter(end > begin).groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    wide = grouped.select(*keys, F.get("pieces", F.lit(0))["at"].alias("held"), F.flatten(F.transform("pieces", lambda s: s["x"])).alias("samples"))
-
-    def one(x, held, first, stop, mean, low, high, length, to, sr):
-        x, n = np.asarray(x, dtype=float) - mean, int(stop - first)
-        width = round(stretch_s * sr)
-        own = range(max(int(first), int(to) * width), min(int(stop), int(to + 1) * width))
+    block = lambda at: F.floor((F.floor(at / per) - F.col("chunk") * of_chunk) / of_block)
+    sent = rows.withColumn("block", F.explode(F.sequence(block(lo), block(hi))))
+    opens = (F.col("chunk") * of_chunk + F.col("block") * of_block) * per
+    begin = F.greatest(F.col("at"), opens - F.col("reach"))
+    end = F.least(F.col("at") + size, opens + of_block * per + F.col("reach"))
+    piece = F.slice("samples", (begin - F.col("at") + 1).cast("int"), (end - begin).cast("int"))
+    trace = [*CHANNEL, "rate", "fmin", "fmax"]
+    sent = sent.filter(end > begin).select(*keep, *trace, "sr", "chunk", "block", "first", "stop", "mean", "length", begin.alias("held"), piece.alias("samples"))
+
+    def one(x, r):
+        held, first, stop, sr = r["held"], r["first"], r["stop"], r["sr"]
+        n, width = stop - first, round(stretch_s * sr)
+        x = x - (np.nan if r["mean"] is None else r["mean"])
         if kind is not None:
             place = np.arange(held - first, held - first + len(x))
-            width = min(int(sr * at_ends), n // 2)
+            w = min(int(sr * at_ends), n // 2)
             edge = np.minimum(place, n - 1 - place)
-            x = x * np.where(edge >= width, 1.0, 0.5 * (1 - np.cos(np.pi * edge / max(width, 1))))
-            x = filtered(x, response(kind, sr, low, high, corners, int(length)), zero_phase)
+            x = x * np.where(edge >= w, 1.0, 0.5 * (1 - np.cos(np.pi * edge / max(w, 1))))
+            x = filtered(x, response(kind, sr, r["fmin"], r["fmax"], corners, r["length"]), zero_phase)
         p, q = steps(sr, target)
-        end = (int(stop) - 1) * p // q + 1
-        a, b = -(-own.start * p // q), end if own.stop == stop else -(-own.stop * p // q)
-        begin = -(-int(first) * p // q)
-        return a, resampled_at(x, int(held), int(stop), a, b, p, q, method, zeros, rolloff), begin, end - begin
+        reach = taps(p, q, zeros, rolloff).shape[1] // 2 + 1 if method == "sinc" else 1
+        begin, end = -(-first * p // q), (stop - 1) * p // q + 1
+        at = r["chunk"] * of_chunk + r["block"] * of_block
+        for stretch in range(at, min(at + of_block, (r["chunk"] + 1) * of_chunk)):
+            lo, hi = max(first, stretch * width), min(stop, (stretch + 1) * width)
+            a, b = -(-lo * p // q), end if hi == stop else -(-hi * p // q)
+            if hi > lo and b > a:
+                cut = max(held, lo - reach)
+                yield stretch, a, resampled_at(x[cut - held : hi + reach - held], cut, stop, a, b, p, q, method, zeros, rolloff), begin, end - begin
+
+    def conditioned(block):
+        lists = pa.concat_arrays(block["samples"].chunks)
+        values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        rows, pieces = block.drop_columns(["samples"]).to_pylist(), {}
+        for i in sorted(range(len(rows)), key=lambda i: rows[i]["held"]):
+            pieces.setdefault(tuple(rows[i][c] for c in trace), []).append(i)
+        for own in pieces.values():
+            yield rows[own[0]], one(np.concatenate([values[ends[i] : ends[i + 1]] for i in own]), rows[own[0]])
+
+    return sent, conditioned
 
-    def run(batches):
-        for pdf in batches:
-            done = [one(*v) for v in zip(*[pdf[c] for c in ("samples", "held", "first", "stop", "mean", "fmin", "fmax", "length", "to", "sr")], strict=True)]
-            out = pdf[[*CHANNEL, "chunk"]].assign(stretch=pdf["to"], sr=float(target))
-            yield out.assign(at=[d[0] for d in done], samples=pd.Series([d[1] for d in done], index=pdf.index, dtype=object), first_out=[d[2] for d in done], n_trace=[d[3] for d in done])
 
-    kinds = dict(wide.dtypes)
+def condition_chunks(
+    stretches: DataFrame, target: float, chunk_s: float = 3600.0, stretch_s: float = 60.0, at_ends: float = 5.0, kind: str | None = "bandpass", corners: int = 2,
+    zero_phase: bool = True, method: str = "linear", zeros: int = 16, rolloff: float = 0.9,
+) -> DataFrame:
+    """Demean, taper, filter (columns ``fmin, fmax``) and resample each channel's chunk as one trace.
+
+    ``stretches`` come from ``merge_segments`` with the same ``stretch_s``, which must divide ``chunk_s``.  Returns a
+    row per stretch at the target rate: ``CHANNEL, chunk, stretch, sr, at, samples, first_out, n_trace, start``.
+    Samples are numbered from the epoch by ``at``, so that all channels share one grid; ``first_out`` and ``n_trace``
+    tell where the chunk's trace begins and how long it is.  ``kind=None`` leaves out taper and filter.
+    """
+    sent, conditioned = _in_blocks(stretches, [], target, chunk_s, stretch_s, at_ends, kind, corners, zero_phase, method, zeros, rolloff)
+    kinds = dict(sent.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*CHANNEL, "chunk"]) + ", stretch long, sr double, at long, samples array<double>, first_out long, n_trace long"
-    out = wide.mapInPandas(run, schema).filter(F.size("samples") > 0)
+    names = [*CHANNEL, "chunk", "stretch", "sr", "at", "samples", "first_out", "n_trace"]
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = [(*(r[c] for c in [*CHANNEL, "chunk"]), s, float(target), at, x, a, n) for r, out in conditioned(block) for s, at, x, a, n in out]
+        types = [block.schema.field(c).type for c in [*CHANNEL, "chunk"]] + [pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.int64()]
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, types, strict=True))})
+
+    out = sent.groupBy(*CHANNEL, "rate", "chunk", "block").applyInArrow(run, schema)
     return out.withColumn("start", F.timestamp_micros(F.bround(F.col("at") / F.col("sr") * 1e6).cast("long")))
 
 
@@ -258,24 +284,43 @@ def prepare_chunks(segments: DataFrame, overrides: DataFrame | None = None, targ
     Returns ``net, sta, chunk, stretch, at, xs, first_out, stop_out``: ``xs`` holds the three components of a stretch,
     cut to the interval of the chunk that all three cover, from sample ``first_out`` to before ``stop_out``.  ``light``
     leaves out taper and filter.  ``overrides`` holds ``sta, hp, lp``.
+
+    A station's channels are conditioned together, a block at a time, so that conditioned samples are never shuffled
+    and a task holds those of one block.
     """
     rows = merge_segments(segments, stretch_s)
     if light:
         options["kind"] = None
     else:
         rows = filter_parameters(rows, overrides, low, high) if overrides is not None else rows.withColumns({"fmin": F.lit(low), "fmax": F.lit(high)})
-    done = condition_chunks(rows, target, chunk_s, stretch_s, **options)
-    done = done.withColumn("c", component_rank(F.col("cha"))).filter("c.letter IS NOT NULL")
-    best = lambda x: F.min(F.when(F.col("c.letter") == x, F.struct("c.rank", "cha", "loc", "at", "samples", "first_out", "n_trace")))
-    wide = done.groupBy("net", "sta", "chunk", "stretch").agg(*[best(x).alias(x) for x in "ZNE"]).filter("Z IS NOT NULL AND N IS NOT NULL AND E IS NOT NULL")
-    every = [F.col(x) for x in "ZNE"]
-    a = F.greatest(*[c["first_out"] for c in every])
-    b = F.least(*[c["first_out"] + c["n_trace"] for c in every])
-    at = F.greatest(a, *[c["at"] for c in every])
-    end = F.least(b, *[c["at"] + F.size(c["samples"]) for c in every])
-    rows = wide.withColumns({"first_out": a, "stop_out": b, "begin": at, "n_common": (end - at).cast("int")}).filter("n_common > 0")
-    cut = [F.slice(c["samples"], (F.col("begin") - c["at"] + 1).cast("int"), F.col("n_common")) for c in every]
-    return rows.select("net", "sta", "chunk", "stretch", F.col("begin").alias("at"), F.array(*cut).alias("xs"), "first_out", "stop_out")
+    c = component_rank(F.col("cha"))
+    rows = rows.withColumns({"letter": c["letter"], "rank": c["rank"]}).filter("letter IS NOT NULL")
+    sent, conditioned = _in_blocks(rows, ["letter", "rank"], target, chunk_s, stretch_s, **options)
+    kinds = dict(sent.dtypes)
+    schema = f"net {kinds['net']}, sta {kinds['sta']}, chunk long, stretch long, at long, xs array<array<double>>, first_out long, stop_out long"
+
+    def run(block: pa.Table) -> pa.Table:
+        found: dict[int, dict[str, list]] = {}
+        for r, out in conditioned(block):
+            rank = (r["rank"], r["cha"], r["loc"] is not None, r["loc"] or "")
+            for stretch, at, x, first, n in out:
+                found.setdefault(stretch, {}).setdefault(r["letter"], []).append((rank, at, x, first, first + n))
+        rows = []
+        for stretch, by in found.items():
+            if len(by) == 3:
+                best = [by[c][0] if len(by[c]) == 1 else min(by[c], key=lambda v: (*v[:2], v[2].tolist(), *v[3:])) for c in "ZNE"]
+                first, stop = max(v[3] for v in best), min(v[4] for v in best)
+                at, end = max(first, *[v[1] for v in best]), min(stop, *[v[1] + len(v[2]) for v in best])
+                if end > at:
+                    rows.append((stretch, at, [v[2][at - v[1] : end - v[1]] for v in best], first, stop))
+        parts = [x for r in rows for x in r[2]]
+        inner = pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), np.concatenate([*parts, np.zeros(0)]))
+        xs = pa.ListArray.from_arrays(np.arange(0, 3 * len(rows) + 1, 3, dtype=np.int32), inner)
+        same = {c: pa.array([block[c][0].as_py()] * len(rows), block.schema.field(c).type) for c in ("net", "sta", "chunk")}
+        number = {c: pa.array([r[i] for r in rows], pa.int64()) for i, c in ((0, "stretch"), (1, "at"), (3, "first_out"), (4, "stop_out"))}
+        return pa.table(same | {"stretch": number["stretch"], "at": number["at"], "xs": xs, "first_out": number["first_out"], "stop_out": number["stop_out"]})
+
+    return sent.groupBy("net", "sta", "chunk", "block").applyInArrow(run, schema)
 
 
 def windows_over_stretches(prepared: DataFrame, keys: list[str], n: int, overlap: int = 0, array: str = "xs") -> DataFrame:

@@ -145,22 +145,24 @@ def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
     lo = F.greatest(F.col("i0"), F.col("stretch") * F.col("per"))
     hi = F.least(F.col("i0") + F.size("samples"), (F.col("stretch") + 1) * F.col("per"))
     seg = seg.withColumns({"off": (lo - F.col("stretch") * F.col("per")).cast("int"), "x": F.slice("samples", (lo - F.col("i0") + 1).cast("int"), (hi - lo).cast("int"))})
-    pieces = seg.groupBy(*CHANNEL, "sr", "per", "stretch").agg(F.array_sort(F.collect_list(F.struct("i0", "off", "x"))).alias("parts"))
+    # the grid of stretches joins the pieces as rows of its own, so that one shuffle serves both
     span = seg.groupBy(*CHANNEL, "sr", "per").agg(F.min("i0").alias("first"), F.max(F.col("i0") + F.size("samples")).alias("stop"))
     every = span.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / F.col("per")), F.floor((F.col("stop") - 1) / F.col("per")))))
-    rows = every.join(pieces, [*CHANNEL, "sr", "per", "stretch"], "left")
+    part = seg.select(*CHANNEL, "sr", "per", "stretch", F.struct("i0", "off", "x").alias("part"))
+    rows = part.unionByName(every, allowMissingColumns=True).groupBy(*CHANNEL, "sr", "per", "stretch")
+    rows = rows.agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("first").alias("first"), F.max("stop").alias("stop"))
     begin = F.greatest(F.col("first"), F.col("stretch") * F.col("per"))
     end = F.least(F.col("stop"), (F.col("stretch") + 1) * F.col("per"))
     rows = rows.withColumns({"begin": begin, "n": (end - begin).cast("int"), "shift": (begin - F.col("stretch") * F.col("per")).cast("int")})
+    zeros = lambda n: F.array_repeat(F.lit(0.0), F.greatest(n, F.lit(0)))
 
     def overlay(acc: Column, p: Column) -> Column:
-        x = p["x"]
-        return F.concat(F.slice(acc, F.lit(1), p["off"]), x, F.slice(acc, p["off"] + F.size(x) + 1, F.greatest(F.size(acc) - p["off"] - F.size(x), F.lit(0))))
+        x, over = p["x"], p["off"] + F.size(p["x"])
+        return F.concat(F.slice(acc, F.lit(1), p["off"]), zeros(p["off"] - F.size(acc)), x, F.slice(acc, over + 1, F.greatest(F.size(acc) - over, F.lit(0))))
 
-    # parts are sorted by start, so where two cover a sample the later wins
-    zeros = F.array_repeat(F.lit(0.0), F.col("per").cast("int"))
-    whole = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<i0:bigint,off:int,x:array<double>>>")), zeros, overlay)
-    samples = F.slice(whole, F.col("shift") + 1, F.col("n"))
+    # parts are sorted by start, so where two cover a sample the later wins; what is built so far ends with its last part
+    whole = F.aggregate("parts", F.array().cast("array<double>"), overlay)
+    samples = let(F.slice(whole, F.col("shift") + 1, F.col("n")), lambda x: F.concat(x, zeros(F.col("n") - F.size(x))))
     return rows.select(*CHANNEL, F.timestamp_micros((F.col("begin") * 1e6 / F.col("sr")).cast("long")).alias("start"), "sr", samples.alias("samples"))
 
 

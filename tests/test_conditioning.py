@@ -1,13 +1,16 @@
 """Chunks conditioned in stretches against plain passes over whole traces; filters and resamplers against their definitions."""
 
 import datetime as dt
+import os
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quakeframe.operators import conditioning as C
-from quakeframe.operators import picks
+from quakeframe.operators import picks, prep
 
 T0 = dt.datetime(2024, 1, 1, 0, 9, tzinfo=dt.UTC)
 SEGMENT = "net string, sta string, loc string, cha string, start timestamp, sr double, samples array<double>"
@@ -163,6 +166,79 @@ def test_windows_cross_stretches(spark):
                 assert np.allclose(np.array(r["window"]), want, atol=1e-9)  # means are summed in any order
 
 
+def test_merged_stretches_equal_a_plain_overlay(spark):
+    """Segments within, over and beside each other, gaps of whole stretches, a channel without a location."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for cha, loc, spans in (("HHZ", "", [(3, 40), (10, 15), (12, 31), (95, 99)]), ("HHN", None, [(20, 21), (0, 64)]), ("HHE", "00", [(7, 8)])):
+        base, whole = min(a for a, _ in spans), np.zeros(max(b for _, b in spans))
+        parts = [(a, rng.normal(size=b - a)) for a, b in spans]
+        for a, x in sorted(parts, key=lambda v: v[0]):
+            whole[a : a + len(x)] = x
+        rows += [("XX", "A", loc, cha, T0 + dt.timedelta(seconds=a), 1.0, x.tolist()) for a, x in parts]
+        want[cha, loc] = (base, whole[base:])
+    got = {}
+    for r in sorted(prep.merge_segments(spark.createDataFrame(rows, SEGMENT).repartition(3), 10.0).collect(), key=lambda r: r["start"]):
+        begin, held = got.setdefault((r["cha"], r["loc"]), (r["start"], []))
+        assert r["start"] == begin + dt.timedelta(seconds=len(held)) and 0 < len(r["samples"]) <= 10
+        held.extend(r["samples"])
+    assert {k: ((begin.replace(tzinfo=dt.UTC) - T0).total_seconds(), held) for k, (begin, held) in got.items()} == {k: (base, x.tolist()) for k, (base, x) in want.items()}
+
+
+@pytest.mark.parametrize("method,light", [("linear", False), ("sinc", False), ("sinc", True)])
+@pytest.mark.parametrize("stretches", [1, 2, 4])
+def test_blocks_of_a_chunk_equal_one_pass(spark, monkeypatch, stretches, method, light):
+    rows, _ = network(np.random.default_rng(11), 20.0)
+    df = spark.createDataFrame(rows, SEGMENT).repartition(3)
+
+    def prepared():
+        out = C.prepare_chunks(df, None, 50.0, 60.0, 10.0, light, 1.0, 9.0, method=method).collect()
+        return {(r["sta"], r["chunk"], r["stretch"]): (r["at"], r["first_out"], r["stop_out"], np.array(r["xs"])) for r in out}
+
+    whole = prepared()
+    monkeypatch.setattr(C, "BLOCK", stretches * 500)
+    dealt = prepared()
+    assert whole.keys() == dealt.keys() and len(whole) > 20
+    for key, (*numbers, xs) in dealt.items():
+        assert numbers == list(whole[key][:3]) and np.abs(xs - whole[key][3]).max() < 1e-9
+    each = C.condition_chunks(prep.merge_segments(df, 10.0).withColumns({"fmin": F.lit(1.0), "fmax": F.lit(9.0)}), 50.0, 60.0, 10.0, kind=None if light else "bandpass", method=method)
+    letters = {"Z": 0, "N": 1, "1": 2}
+    for r in each.collect():
+        at, _, _, xs = whole.get((r["sta"], r["chunk"], r["stretch"]), (0, 0, 0, np.zeros((3, 0))))
+        own = xs[letters[r["cha"][-1]]]
+        assert np.abs(np.array(r["samples"])[at - r["at"] :][: len(own)] - own).max(initial=0) < 1e-9
+
+
+def workers():
+    """Processes of Python below this process's JVM."""
+    parents = {}
+    for stat in Path("/proc").glob("[0-9]*/stat"):
+        try:
+            parents[int(stat.parent.name)] = int(stat.read_text().rpartition(")")[2].split()[1])
+        except OSError:
+            pass
+    below = {os.getpid()}
+    while more := {p for p, parent in parents.items() if parent in below} - below:
+        below |= more
+    return [Path(f"/proc/{p}") for p in below - {os.getpid()} if Path(f"/proc/{p}/cmdline").exists() and b"pyspark" in Path(f"/proc/{p}/cmdline").read_bytes() and b"java" not in Path(f"/proc/{p}/cmdline").read_bytes().split(b"\0")[0]]
+
+
+def test_memory_and_shuffle_of_conditioning(spark):
+    """Whatever a task's share, a Python worker holds one block, and conditioned samples go through no shuffle."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(1199)), lambda i: F.sin(i * 0.7 + F.col("id")))
+    cha = F.explode(F.array(*[F.lit(c) for c in ("HHZ", "HHN", "HHE")])).alias("cha")
+    start = F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 60000000).alias("start")
+    rows = spark.range(0, 2400, 1, 4).select(F.lit("XX").alias("net"), F.lit("A").alias("sta"), F.lit("").alias("loc"), cha, start, F.lit(20.0).alias("sr"), x.alias("samples"))
+    prepared = C.prepare_chunks(rows, None, 100.0, 600.0, low=1.0, high=9.0)
+    plan = prepared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in re.split(r"\w+In(?:Arrow|Pandas)", plan)[0]
+    for p in workers():
+        (p / "clear_refs").write_text("5")  # the peak counts anew
+    got = prepared.agg(F.count("*"), F.sum(F.size(F.get("xs", F.lit(2))))).first()
+    assert got[0] == 2400 and got[1] > 2400 * 5990
+    peaks = [int(re.search(r"VmHWM:\s+(\d+)", (p / "status").read_text())[1]) / 1024 for p in workers()]
+    assert peaks and max(peaks) < 300
+
+
 def test_chunk_of_whole_stretches_only(spark):
     df = spark.createDataFrame([], SEGMENT)
     assert C.prepare_chunks(df, None, 20.0, 60.0, 10.0).count() == 0
