@@ -170,24 +170,30 @@ def resample_waveforms(segments: DataFrame, target: float, method: str = "sinc",
 BLOCK = 1 << 16
 
 
-def in_chunks(stretches: DataFrame, chunk_s: float, stretch_s: float, together: bool = False) -> DataFrame:
+def in_block(target: float, chunk_s: float, stretch_s: float) -> tuple[int, int]:
+    """Stretches of a chunk, and of a block."""
+    n = round(chunk_s / stretch_s)
+    return n, min(n, max(1, int(BLOCK / (stretch_s * target))))
+
+
+def in_chunks(stretches: DataFrame, chunk_s: float, stretch_s: float) -> DataFrame:
     """Number the samples of merged stretches, and add what each needs to know of its chunk.
 
     Adds ``at`` (number of the row's first sample, from the epoch), ``per`` (samples of a stretch), ``stretch``,
     ``chunk`` (of ``chunk_s`` seconds), ``rate`` (the sampling rate as a key), and of the chunk's whole trace ``first``,
-    ``stop`` and ``mean``.  Sums are made per stretch.  ``together`` deals all of a station's chunk to one place.
+    ``stop`` and ``mean``.  Sums are made per stretch.  A ``chunk`` that the rows have is kept, with the place of its rows.
     """
     per = F.bround(F.lit(stretch_s) * F.col("sr")).cast("long")
     rows = stretches.filter(F.size("samples") > 0).withColumns({"at": F.bround(F.unix_micros("start") / 1e6 * F.col("sr")).cast("long"), "per": per})
-    rows = rows.withColumn("stretch", F.floor(F.col("at") / F.col("per"))).withColumn("chunk", F.floor(F.col("stretch") / round(chunk_s / stretch_s)))
+    rows = rows.withColumn("stretch", F.floor(F.col("at") / F.col("per")))
+    if "chunk" not in rows.columns:
+        rows = rows.withColumn("chunk", F.floor(F.col("stretch") / round(chunk_s / stretch_s)))
     rows = rows.withColumns({"rate": F.col("sr").cast("string"), "sum": total(F.col("samples"))})
-    if together:
-        rows = rows.repartition("net", "sta", "chunk")
     whole, size = Window.partitionBy(*CHANNEL, "rate", "chunk"), F.size("samples")
     return rows.withColumns({"first": F.min("at").over(whole), "stop": F.max(F.col("at") + size).over(whole), "mean": F.sum("sum").over(whole) / F.sum(size).over(whole)}).drop("sum")
 
 
-def _in_blocks(stretches, keep, target, chunk_s=3600.0, stretch_s=60.0, at_ends=5.0, kind="bandpass", corners=2, zero_phase=True, method="linear", zeros=16, rolloff=0.9):
+def _in_blocks(stretches, keep, target, chunk_s, stretch_s, at_ends=5.0, kind="bandpass", corners=2, zero_phase=True, method="linear", zeros=16, rolloff=0.9):
     """Pieces of stretches by the ``block`` of stretches that they reach, and what conditions the pieces of one block.
 
     A block is a part of a chunk and holds no more than ``BLOCK`` samples of a channel; each stretch sends a block only
@@ -196,9 +202,8 @@ def _in_blocks(stretches, keep, target, chunk_s=3600.0, stretch_s=60.0, at_ends=
     """
     if round(chunk_s / stretch_s) * stretch_s != chunk_s:
         raise ValueError("a chunk must be a whole number of stretches")
-    of_chunk = round(chunk_s / stretch_s)
-    of_block = min(of_chunk, max(1, int(BLOCK / (stretch_s * target))))
-    rows = in_chunks(stretches.withColumn("samples", F.col("samples").cast("array<double>")), chunk_s, stretch_s, of_block == of_chunk)
+    of_chunk, of_block = in_block(target, chunk_s, stretch_s)
+    rows = in_chunks(stretches.withColumn("samples", F.col("samples").cast("array<double>")), chunk_s, stretch_s)
     taps_reach = F.ceil(F.lit(zeros / rolloff) * F.greatest(F.lit(1.0), F.col("sr") / target)).cast("long") + 1 if method == "sinc" else F.lit(1)
     if kind is None:
         rows = rows.withColumns({"fmin": F.lit(0.0), "fmax": F.lit(0.0), "length": F.lit(0).cast("long")})
@@ -288,7 +293,8 @@ def prepare_chunks(segments: DataFrame, overrides: DataFrame | None = None, targ
     A station's channels are conditioned together, a block at a time, so that conditioned samples are never shuffled
     and a task holds those of one block.
     """
-    rows = merge_segments(segments, stretch_s)
+    n, of_block = in_block(target, chunk_s, stretch_s)
+    rows = merge_segments(segments, stretch_s, chunk_s if n == of_block else None)  # a chunk of one block is not dealt again
     if light:
         options["kind"] = None
     else:

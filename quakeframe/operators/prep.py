@@ -134,11 +134,12 @@ def resample(x: Column, sr: Column, target: float = 100.0) -> Column:
 # --- segments of one channel --------------------------------------------------------------------------------------------------
 
 
-def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
+def merge_segments(segments: DataFrame, stretch_s: float = 60.0, chunk_s: float | None = None) -> DataFrame:
     """One row per channel and stretch of time, on the grid of the rate: later segments win, gaps are zero.
 
     Stretches from the first to the last sample of a channel are filled; each is a group of its own, so a day of one
-    channel spreads over many tasks.
+    channel spreads over many tasks.  With ``chunk_s`` rows also have ``chunk``, of so many seconds, and all stretches of
+    a station's chunk are merged in one task, so that what needs them together finds them there.
     """
     seg = segments.withColumn("samples", F.col("samples").cast("array<double>")).withColumns({"i0": F.bround(seconds(F.col("start")) / 1e6 * F.col("sr")).cast("long"), "per": F.bround(F.lit(stretch_s) * F.col("sr")).cast("long")})
     seg = seg.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("i0") / F.col("per")), F.floor((F.col("i0") + F.size("samples") - 1) / F.col("per")))))
@@ -149,8 +150,10 @@ def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
     span = seg.groupBy(*CHANNEL, "sr", "per").agg(F.min("i0").alias("first"), F.max(F.col("i0") + F.size("samples")).alias("stop"))
     every = span.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("first") / F.col("per")), F.floor((F.col("stop") - 1) / F.col("per")))))
     part = seg.select(*CHANNEL, "sr", "per", "stretch", F.struct("i0", "off", "x").alias("part"))
-    rows = part.unionByName(every, allowMissingColumns=True).groupBy(*CHANNEL, "sr", "per", "stretch")
-    rows = rows.agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("first").alias("first"), F.max("stop").alias("stop"))
+    rows, chunk = part.unionByName(every, allowMissingColumns=True), []
+    if chunk_s is not None:
+        rows, chunk = rows.withColumn("chunk", F.floor(F.col("stretch") / round(chunk_s / stretch_s))).repartition("net", "sta", "chunk"), ["chunk"]
+    rows = rows.groupBy(*CHANNEL, "sr", "per", *chunk, "stretch").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max("first").alias("first"), F.max("stop").alias("stop"))
     begin = F.greatest(F.col("first"), F.col("stretch") * F.col("per"))
     end = F.least(F.col("stop"), (F.col("stretch") + 1) * F.col("per"))
     rows = rows.withColumns({"begin": begin, "n": (end - begin).cast("int"), "shift": (begin - F.col("stretch") * F.col("per")).cast("int")})
@@ -163,7 +166,7 @@ def merge_segments(segments: DataFrame, stretch_s: float = 60.0) -> DataFrame:
     # parts are sorted by start, so where two cover a sample the later wins; what is built so far ends with its last part
     whole = F.aggregate("parts", F.array().cast("array<double>"), overlay)
     samples = let(F.slice(whole, F.col("shift") + 1, F.col("n")), lambda x: F.concat(x, zeros(F.col("n") - F.size(x))))
-    return rows.select(*CHANNEL, F.timestamp_micros((F.col("begin") * 1e6 / F.col("sr")).cast("long")).alias("start"), "sr", samples.alias("samples"))
+    return rows.select(*CHANNEL, F.timestamp_micros((F.col("begin") * 1e6 / F.col("sr")).cast("long")).alias("start"), "sr", *chunk, samples.alias("samples"))
 
 
 # --- components of one station --------------------------------------------------------------------------------------------------

@@ -155,7 +155,7 @@ def prepared(spark, sf_dir):
     """Chunks of ten minutes, each conditioned as one trace over stretches of one minute."""
     p = C.prepare_chunks(three_channels(spark, sf_dir), None, 20.0, 600.0, low=0.5, high=4.0)
     origin = F.unix_micros(F.lit(START).cast("timestamp")) / 1e6 * 20.0
-    sums = [_sum(F.transform(F.get("xs", F.lit(i)), F.abs)).alias(f"s{i}") for i in range(3)]
+    sums = [F.round(F.aggregate(F.get("xs", F.lit(i)), F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias(f"s{i}") for i in range(3)]
     return p.select("sta", F.col("stretch").cast("long").alias("stretch"), (F.col("at") - origin).cast("long").alias("at"), F.size(F.get("xs", F.lit(0))).alias("n"), *sums)
 
 
